@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokencount, tokenfile
+from . import neardup, packing, tokencount, tokenfile
 from .common import materialize, scratch_dir
 
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
@@ -36,5 +40,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op8_token_counts, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_packing, op8_token_counts, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}
