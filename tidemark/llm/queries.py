@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, tokencount, tokenfile
-from .common import materialize, scratch_dir
+from . import langid, mixing, neardup, packing, quality, sharding, tokencount, tokenfile, topk, urlrules
+from .common import materialize, scratch_dir, word_count
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    return mixing.Mix(docs, "size", "tie").taken().select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def quantized(vector):
+    """floor(1024 x) of each component as double; null for a vector that is null or holds a null or non-finite component."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * 1024)))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), quantized(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors, vectors.filter("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+
+
+OP2_SQL = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,16 +56,74 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+m AS (SELECT *, (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') AS a, (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') AS b,
+  (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') AS c, (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') AS d FROM p)
+SELECT page_id, host, path, CASE WHEN b THEN 'example.net/en/' WHEN c THEN 'example.com/de/' WHEN d THEN 'org/fr/' WHEN a THEN 'net/' END AS rule,
+  CASE WHEN b OR d THEN 'allow' WHEN c OR a THEN 'block' ELSE 'allow' END AS verdict FROM m
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("text_key"))
+    sharded = sharding.shard(docs, 16, "size", "doc_id", "text_key")
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = materialize(tokencount.flat_token_blocks(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=50256))
     return tokencount.count_tokens(blocks, end_id=50256).join(tokencount.written_documents(blocks), ["file", "doc_no"]).select("doc_id", "n_tokens", "finished", "file", "doc_no", "start")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.annotate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+tri AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM g),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+l AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lws FROM l),
+full_lines AS (SELECT r, source, t, line, len(lws) AS n, regexp_replace(translate(array_to_string(lws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM lw WHERE len(lws) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM full_lines GROUP BY r),
+freq AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM full_lines GROUP BY source, norm) a
+  JOIN (SELECT source AS s, count(DISTINCT t) AS docs FROM d GROUP BY source) b ON a.source IS NOT DISTINCT FROM b.s WHERE n > 50 AND n > 0.01 * docs),
+gone AS (SELECT f.r, sum(f.n) AS gone FROM full_lines f JOIN freq q ON f.source IS NOT DISTINCT FROM q.source AND f.norm = q.norm GROUP BY f.r),
+c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(len(ws) - coalesce(gone, 0) AS BIGINT) AS kept_words FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_words >= 0.3 * n_words AS kept, kept_words FROM b
+"""
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tidemark-tokens-{uuid.uuid4().hex}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_packing, op8_token_counts, op10_token_file)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_top_k, op3_minhash_near_dedup, op4_packing, op5_url_filter, op6_language_id, op7_sharding, op8_token_counts, op9_quality_rules, op10_token_file)}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL}

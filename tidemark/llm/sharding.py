@@ -1,11 +1,11 @@
 """Sharding (7): sampled splitters over a content key.
 
-Keys are drawn with a chance in proportion to size, their quantiles become range bounds, and records are
-partitioned by range. Bounds are pairs (key, id), so a key that many records share is cut by id; ranges
-that still hold too much are subdivided by further samples from within them. There are many more ranges
-than shards: whole neighbouring ranges make up a shard, so that shards hold near equal sizes, and records
-are numbered within a range, never within a whole shard. The key is a hash of the text: equal texts lie
-side by side, in one shard unless their group alone overfills a range that a shard's bound falls into.
+Keys are drawn with a chance in proportion to size (and, to as great a part, by row), their quantiles
+become range bounds, and records are partitioned by range. The key is a hash of the text, so equal texts
+lie in one range. A range with more than an eighth of a shard, of bytes or of rows, is subdivided by
+samples of (key, id) from within it: only there are equal texts parted. There are many more ranges than
+shards; the largest range goes to the emptiest shard until all are dealt, so that shards hold near equal
+sizes. Records are numbered within a range, never within a whole shard.
 
 Null size counts as 0. A null id sorts first. Equal records (same key and id) share a range. Empty table:
 no rows. One record larger than a shard keeps its shard for itself. Columns that the input has besides
@@ -14,6 +14,8 @@ are kept; those named as an output column are replaced.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Ranges to a shard at least, rows to a range at most, samples for each range, rounds of subdivision at most.
-RANGES_EACH, ROWS_EACH, SAMPLES_EACH, ROUNDS = 256, 500_000, 16, 4
+#: Ranges to a shard at least, rows to a range at most, samples for each range, parts of a shard above which a range is subdivided, rounds of it.
+RANGES_EACH, ROWS_EACH, SAMPLES_EACH, PARTS, ROUNDS = 256, 500_000, 16, 8, 4
 _LEAST = -(2**63)
 
 
@@ -62,30 +64,31 @@ def shard(records: DataFrame, shards: int, size_col: str, id_col: str, key_col:
     records = materialize(records.drop("shard", "slot").withColumns({"shard_key": F.coalesce(F.col(key_col).cast("long"), F.lit(_LEAST)), "shard_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), "shard_size": F.coalesce(F.col(size_col).cast("long"), F.lit(0))}))
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("shard_size"), F.lit(0))).first()
     ranges = max(shards * RANGES_EACH, rows // ROWS_EACH)
-    aim, rate = max(total / ranges, 1.0), ranges * SAMPLES_EACH / max(total, 1)
-    draw = lambda df, rate, seed: [(r[0], r[1]) for r in df.filter(_chance(seed) < F.col("shard_size") * rate).select("shard_key", "shard_id").collect()]
-    bounds = _quantiles(draw(records, rate, seed), ranges)
+    weight = (F.col("shard_size") / F.lit(float(max(total, 1))) + F.lit(1 / max(rows, 1))) * F.lit(ranges * SAMPLES_EACH / 2)
+    draw = lambda df, times, seed: [(r[0], r[1]) for r in df.filter(_chance(seed) < weight * times).select("shard_key", "shard_id").collect()]
+    bounds = [(key, _LEAST) for key in sorted({key for key, _ in _quantiles(draw(records, 1, seed), ranges)})]
     for turn in range(ROUNDS):
         ranged = records.withColumn("shard_range", _range_of(bounds)("shard_key", "shard_id"))
         held = {r[0]: (r[1], r[2]) for r in ranged.groupBy("shard_range").agg(F.sum("shard_size"), F.count("*")).collect()}
-        over = [k for k, (size, n) in held.items() if size > 2 * aim and n > 1]
-        if not over or turn == ROUNDS - 1:
+        part = {k: max(size * shards / max(total, 1), n * shards / max(rows, 1)) for k, (size, n) in held.items()}
+        over = [k for k, x in part.items() if x > 1 / PARTS and held[k][1] > 1]
+        more = draw(ranged.filter(F.col("shard_range").isin(over)), 2, seed + turn + 1) if over and turn < ROUNDS - 1 else []
+        if not more:
             break
-        more = draw(ranged.filter(F.col("shard_range").isin(over)), rate * 4, seed + turn + 1)
+        at = _locate(*(np.array(x, np.int64) for x in zip(*more, strict=True)), *(np.array([b[i] for b in bounds], np.int64) for i in (0, 1)))
         within: dict[int, list] = {}
-        for sample, k in zip(more, _locate(*(np.array(x, np.int64) for x in zip(*more, strict=True)), *(np.array([b[i] for b in bounds], np.int64) for i in (0, 1))) if more else [], strict=True):
-            within.setdefault(int(k), []).append(sample)
-        finer = {b for k, drawn in within.items() for b in _quantiles(drawn, 1 + int(2 * held[k][0] / aim))}
+        for sample, k in zip(more, at.tolist(), strict=True):
+            within.setdefault(k, []).append(sample)
+        finer = {b for k, drawn in within.items() for b in _quantiles(drawn, 1 + int(2 * PARTS * part[k]))}
         if finer <= set(bounds):
             break
         bounds = sorted(finer | set(bounds))
-    before, filled, placed = 0, [0] * shards, []
-    for k in sorted(held):
-        size, n = held[k]
-        own = min(shards - 1, int((before + size / 2) * shards / max(total, 1)))
-        placed.append((k, own, filled[own]))
-        filled[own] += n
-        before += size
+    filled, counted, placed = [(0, k) for k in range(shards)], [0] * shards, []
+    for k in sorted(held, key=lambda k: (-held[k][0], k)):
+        size, own = heapq.heappop(filled)
+        placed.append((k, own, counted[own]))
+        counted[own] += held[k][1]
+        heapq.heappush(filled, (size + held[k][0], own))
     where = records.sparkSession.createDataFrame(placed, "shard_range long, shard int, shard_base long")
     order = Window.partitionBy("shard_range").orderBy("shard_key", "shard_id")
     return (
