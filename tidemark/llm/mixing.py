@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize
+from .common import materialize, text_slices, words
 
 #: Rows of a source's stream that are put in order together.
 ROWS_EACH = 100_000
@@ -82,12 +83,34 @@ def _permuted(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), n.to_numpy(), key.to_numpy()))
 
 
+_PIECES_DDL = "array<struct<block: long, first_word: long, n_words: long, text: string>>"
+_PIECE = pa.struct([("block", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())])
+
+
+def _cutter(block_words: int):
+    def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
+        """Each text's pieces at the bounds of blocks; a piece reaches to the next one's first word, so that none of the text is lost."""
+        out, at = [], starts.to_pylist()
+        for low, _, data, offsets in text_slices(texts):
+            word_starts, _, bounds = words(data, offsets)
+            for k in range(len(offsets) - 1):
+                n, start = int(bounds[k + 1] - bounds[k]), at[low + k]
+                own = word_starts[bounds[k] : bounds[k + 1]]
+                cuts = [0, *range(block_words - start % block_words, n, block_words), n]
+                places = [int(offsets[k]), *own[cuts[1:-1]].tolist(), int(offsets[k + 1])]
+                out.append([{"block": (start + a) // block_words, "first_word": a, "n_words": b - a, "text": data[p:q].tobytes().decode()} for a, b, p, q in zip(cuts, cuts[1:], places, places[1:], strict=False)])
+        return pa.array(out, pa.list_(_PIECE))
+
+    return cut
+
+
 class Mix:
     """A planned mix. docs need id_col, source_col and size_col (words), and tie_col, which orders rows of equal id."""
 
-    def __init__(self, docs: DataFrame, size_col: str, tie_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block_words: int = 32, shards: int = 256, seed: int = 5):
+    def __init__(self, docs: DataFrame, size_col: str, tie_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, carry: tuple[str, ...] = (), weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block_words: int = 32, shards: int = 256, seed: int = 5):
         self.block_words, self.seed, spark = block_words, seed, docs.sparkSession
-        more = {"text": F.col(text_col)} if text_col else {}
+        more = {c: F.col(c) for c in carry} | ({"text": F.col(text_col).cast("string")} if text_col else {})
+        self.text = text_col is not None
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size"), F.col(tie_col).cast("long").alias("tie"), *[c.alias(k) for k, c in more.items()])
         buckets = max(256, docs.count() // ROWS_EACH)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
@@ -109,13 +132,14 @@ class Mix:
         self.placed = materialize(rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(own), F.lit(0))).drop("bucket", "bucket_start", "tie"))
 
     def pieces(self) -> DataFrame:
-        """source_no, block, doc_id, start, first_word (in the document) and n_words, for each block that a document reaches into."""
-        b = F.lit(self.block_words)
-        full = self.placed.filter("size > 0")
+        """source_no, block, doc_id, start, first_word (in the document) and n_words, for each block that a document reaches into; with text, the piece's."""
+        full, kept = self.placed.filter("size > 0"), [c for c in self.placed.columns if c not in ("text", "size", "source_size", "target")]
+        if self.text:
+            return full.select(*kept, F.inline(F.arrow_udf(_cutter(self.block_words), _PIECES_DDL)("text", "start")))
         cut = full.withColumn("block", F.explode(F.sequence(F.expr(f"start div {self.block_words}"), F.expr(f"(start + size - 1) div {self.block_words}"))))
-        first = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
-        end = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
-        return cut.withColumn("first_word", first).withColumn("n_words", end - first).drop("source_size", "target", "size")
+        first = F.greatest(F.col("block") * self.block_words - F.col("start"), F.lit(0))
+        end = F.least((F.col("block") + 1) * self.block_words - F.col("start"), F.col("size"))
+        return cut.select(*kept, "block", first.alias("first_word"), (end - first).alias("n_words"))
 
     def slots(self) -> DataFrame:
         """shard, place (within the shard, sources mixed), source_no and block, for each block that the mix takes."""

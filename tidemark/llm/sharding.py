@@ -7,7 +7,7 @@ samples of (key, id) from within it: only there are equal texts parted. There ar
 shards; the largest range goes to the emptiest shard until all are dealt, so that shards hold near equal
 sizes. Records are numbered within a range, never within a whole shard.
 
-Null size counts as 0. A null id sorts first. Equal records (same key and id) share a range. Empty table:
+Null size counts as 0. Null ids come first, each on its own. Equal records (same key and id) share a range. Empty table:
 no rows. One record larger than a shard keeps its shard for itself. Columns that the input has besides
 are kept; those named as an output column are replaced.
 """
@@ -61,7 +61,7 @@ def _quantiles(drawn: list[tuple[int, int]], pieces: int) -> list[tuple[int, int
 
 def shard(records: DataFrame, shards: int, size_col: str, id_col: str, key_col: str, seed: int = 11) -> DataFrame:
     """The records with shard (0 to shards - 1) and slot (gapless from 0 within a shard)."""
-    records = materialize(records.drop("shard", "slot").withColumns({"shard_key": F.coalesce(F.col(key_col).cast("long"), F.lit(_LEAST)), "shard_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), "shard_size": F.coalesce(F.col(size_col).cast("long"), F.lit(0))}))
+    records = materialize(records.drop("shard", "slot").withColumns({"shard_key": F.coalesce(F.col(key_col).cast("long"), F.lit(_LEAST)), "shard_id": F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id() + F.lit(_LEAST)), "shard_size": F.coalesce(F.col(size_col).cast("long"), F.lit(0))}))
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("shard_size"), F.lit(0))).first()
     ranges = max(shards * RANGES_EACH, rows // ROWS_EACH)
     weight = (F.col("shard_size") / F.lit(float(max(total, 1))) + F.lit(1 / max(rows, 1))) * F.lit(ranges * SAMPLES_EACH / 2)
