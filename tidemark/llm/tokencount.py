@@ -78,7 +78,7 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFram
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.select("file", "block", "n_ids", "ends", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0)).alias("ends_before"))
     shifted = placed.withColumn("after", F.transform("ends", lambda e: e + F.col("base") + 1))
-    carried = shifted.withColumn("open_from", F.coalesce(F.max(F.element_at("after", -1)).over(before), F.lit(0)))
+    carried = shifted.withColumn("open_from", F.coalesce(F.max(F.try_element_at("after", F.lit(-1))).over(before), F.lit(0)))
     ordered = Window.partitionBy("file").orderBy("block")
     carried = carried.withColumn("is_last", F.lead("block").over(ordered).isNull()).withColumn("file_end", F.col("base") + F.col("n_ids"))
     starts = F.concat(F.array("open_from"), "after")
