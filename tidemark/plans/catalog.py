@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import signals  # noqa: E402, F401  (registers its queries)
+from . import histories, signals  # noqa: E402, F401  (these register their queries)
