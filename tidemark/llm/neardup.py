@@ -11,8 +11,10 @@ A list can be as long as the largest group of copies, so pairs are not taken wit
 no other posted class has cannot be shared: c, the number of the others, bounds every overlap of a class,
 and a class or pair that c rules out is left. Then every class is compared with the one class of a list
 that has the largest share of shared shingles, of its lists that with which it agrees most; linked classes
-form labels. Only the members outside a list's most frequent label are then compared with members of
-other labels. Any link between two labels has such a member, so no component is lost.
+form labels. Lists that still hold several labels are joined where they share a class; in each such
+cluster, the members outside of its most frequent label are compared with all members of other labels, in
+blocks of bounded size: a task takes one block of either and gives links, not pairs. Any link between two
+labels has such a member and such a cluster, so no component is lost.
 
 With 32 coordinates and 17 matches, a link at exactly 0.85 is missed with probability 3.5e-6.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import chain_hashes, lowered, materialize, mix, span_hashes, text_slices, words
 from .components import connected_components
 
+#: Shingles, and classes, in a block of a cluster's members, about.
+BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 16, 256
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("signature", pa.list_(pa.int32()))])
 _SETS = pa.schema([("class_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -124,6 +130,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "b").join(right, "a").filter(both * 100 >= (F.size("shingles_a") + F.size("shingles_b") - both) * percent).select("a", "b")
 
 
+def _cluster_links(clusters: DataFrame, short: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) between members (class_id, cluster, label) of one cluster and different labels."""
+    counted = clusters.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    main = counted.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    full = materialize(clusters.join(main, "cluster").join(short, "class_id"))
+    outside = F.col("label") != F.col("main")
+    blocks = lambda size, rows: 1 + F.greatest(F.expr(f"{size} div {BLOCK_SHINGLES}"), F.expr(f"{rows} div {BLOCK_CLASSES}"))
+    sizes = full.groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("rows"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out_size"), F.sum(outside.cast("long")).alias("out_rows"))
+    sizes = sizes.select("cluster", blocks("out_size", "out_rows").alias("ones"), blocks("size", "rows").alias("others"))
+    whole = full.join(sizes, "cluster").join(sets, "class_id")
+    place = lambda of: F.pmod(F.xxhash64("class_id", F.lit(of)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    columns = ["cluster", "i", "j", "class_id", "label", "n", "c", "s", "shingles"]
+    left = whole.filter(outside).withColumn("i", place("ones")).withColumn("j", every("others")).select(*[F.col(k).alias(k) for k in columns])
+    right = whole.withColumn("j", place("others")).withColumn("i", every("ones")).select(*[F.col(k).alias(k) for k in columns])
+    key = ["cluster", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda one, other: _block_links(one, other, percent, matches), "a long, b long").distinct()
+
+
+def _overlaps(one: list[np.ndarray], other: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of other."""
+    flat_one, flat_other = np.concatenate(one), np.concatenate(other)
+    shared = np.intersect1d(flat_one, flat_other)
+    out = np.zeros((len(one), len(other)), np.float32)
+    sides = []
+    for sets, flat in ((one, flat_one), (other, flat_other)):
+        at = np.searchsorted(shared, flat)
+        kept = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == flat) if len(shared) else np.zeros(len(flat), bool)
+        rows, columns = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[kept], at[kept]
+        order = np.argsort(columns, kind="stable")
+        sides.append((len(sets), rows[order], columns[order]))
+    for low in range(0, len(shared), width):
+        dense = []
+        for n, rows, columns in sides:
+            cut = slice(*np.searchsorted(columns, [low, low + width]))
+            m = np.zeros((n, width), np.float32)
+            m[rows[cut], columns[cut] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(one: pd.DataFrame, other: pd.DataFrame, percent: int, matches: int) -> pd.DataFrame:
+    """Of two blocks of classes: one link for each class and each other label that it links to."""
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not len(one) or not len(other):
+        return none
+    n, m, c, d = (x.to_numpy(np.int64) for x in (one["n"], other["n"], one["c"], other["c"]))
+    labels = other["label"].to_numpy(np.int64)
+    sizes = n[:, None] + m
+    room = np.minimum(np.minimum(c[:, None], d), np.minimum(n[:, None], m)) * (100 + percent) >= sizes * percent
+    agreed = sum((a[:, None] == b) for a, b in zip(np.array(one["s"].tolist(), np.int32).T, np.array(other["s"].tolist(), np.int32).T, strict=True))
+    open_pairs = (one["label"].to_numpy(np.int64)[:, None] != labels) & room & (agreed >= matches)
+    rows, columns = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
+    if not len(rows):
+        return none
+    both = _overlaps([one["shingles"].iloc[k] for k in rows], [other["shingles"].iloc[k] for k in columns])
+    linked = open_pairs[np.ix_(rows, columns)] & (both * 100 >= (sizes[np.ix_(rows, columns)] - both) * percent)
+    x, y = np.nonzero(linked)
+    found = pd.DataFrame({"a": one["class_id"].to_numpy(np.int64)[rows[x]], "b": other["class_id"].to_numpy(np.int64)[columns[y]], "label": labels[columns[y]]})
+    return found.drop_duplicates(["a", "label"])[["a", "b"]]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words_each: int = 5, coordinates: int = 32, matches: int = 17) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (it is its own), one row per document."""
     signed = materialize(signatures(docs, id_col, text_col, words_each, coordinates))
@@ -157,23 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(candidates.groupBy("b").agg(F.min_by("a", F.struct(-F.col("agreed"), F.col("a"))).alias("a")))
     links = materialize(_confirmed(first, sets, percent))
 
-    labelled = connected_components(links)
-    members = materialize(
-        lists.join(labelled.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id")).join(short, "class_id")
-    )
-    counted = members.groupBy("coordinate", "value", "label").agg(F.count("*").alias("members"))
-    most = counted.groupBy("coordinate", "value").agg(F.max_by("label", F.struct("members", F.col("label"))).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = members.join(most.drop("labels"), ["coordinate", "value"])
-    one = mixed.filter("label <> main").select("coordinate", "value", F.col("class_id").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("s").alias("s_x"), F.col("c").alias("c_x"))
-    other = mixed.select("coordinate", "value", F.col("class_id").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), F.col("s").alias("s_y"), F.col("c").alias("c_y"), "main")
-    once = (F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y"))
-    rest = (
-        one.join(other, ["coordinate", "value"])
-        .filter((F.col("label_x") != F.col("label_y")) & once & _may_link("x", "y", percent) & (_agreement("s_x", "s_y") >= matches))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = materialize(_confirmed(rest, sets, percent))
+    labelled = connected_components(links).withColumnRenamed("node", "class_id")
+    members = materialize(lists.join(labelled, "class_id", "left").select("coordinate", "value", "class_id", F.coalesce("label", "class_id").alias("label")))
+    several = members.groupBy("coordinate", "value").agg(F.min("class_id").alias("a"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    held = members.join(several.select("coordinate", "value", "a"), ["coordinate", "value"]).select("a", F.col("class_id").alias("b"), "label")
+    clusters = connected_components(held.select("a", "b")).select(F.col("node").alias("class_id"), F.col("label").alias("cluster"))
+    more = materialize(_cluster_links(clusters.join(held.select(F.col("b").alias("class_id"), "label").distinct(), "class_id"), short, sets, percent, matches))
     nodes = connected_components(links.union(more)).withColumnRenamed("node", "class_id")
     grouped = classes.select("class_id", "first_doc", *prints).join(nodes, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     firsts = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
