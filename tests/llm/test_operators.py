@@ -419,3 +419,24 @@ def test_slices_cover_all_rows():
     column = pa.array(["ab", None, "", "x" * 50, "é"])[1:]
     seen = [(low, high, bytes(data), offsets.tolist()) for low, high, data, offsets in text_slices(column, 4)]
     assert [s[:2] for s in seen] == [(0, 2), (2, 3), (3, 4)] and seen[2][2] == "é".encode()
+
+
+@pytest.mark.parametrize("size", [200, 1 << 16])
+def test_clusters_of_near_copies_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", size)
+    r, base, rows = random.Random(8), prose(77, 120).split(" "), []
+    for i in range(90):  # edits of every strength, many of them alike
+        text = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+            text[r.randrange(0, len(text), 6)] = r.choice(["red", "green", "blue"])
+        rows.append((i, " ".join(text)))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    wanted = brute_components(rows)
+    assert len(set(wanted.values())) > 5
+    assert {r.doc_id: r.component_id for r in found} == wanted
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    one, other = ([np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(7)] for _ in range(2))
+    assert neardup._overlaps(one, other, 16).tolist() == [[len(np.intersect1d(a, b)) for b in other] for a in one]
