@@ -127,10 +127,19 @@ def positive_dose(value: Column | str, unit: Column | str) -> Column:
     return F.when(finite(value) & (col(value) > 0) & (col(unit) != ""), F.struct(col(value).alias("value"), col(unit).alias("unit")))
 
 
-def clock_calibration(received: Column | str, sent: Column | str, local_sent: Column | str, local_received: Column | str, elapsed: Column | str, step_ms: float = 5.0, lifetime_ms: float = 60_000.0) -> Column:
-    """struct(offset_ms, uncertainty_ms, expires_at_ms, error) of one probe: half the round trip less the server's own time."""
-    received, sent, a, b, elapsed = (col(c) for c in (received, sent, local_sent, local_received, elapsed))
-    error = first_reason([(~(finite(received) & finite(sent) & finite(a) & finite(b) & finite(elapsed)), "invalid-probe"), (sent < received, "server-clock-regressed"), (elapsed < 0, "negative-elapsed"), (F.abs((b - a) - elapsed) > step_ms, "local-clock-discontinuity")])
+def clock_calibration(received: Column | str, sent: Column | str, local_sent: Column | str, local_received: Column | str, elapsed: Column | str, source_error_ms: Column | str, valid_until: Column | str, slack_ms: float = 10.0, longest_ms: float = 2_000.0, lifetime_ms: float = 60_000.0) -> Column:
+    """struct(offset_ms, uncertainty_ms, expires_at_ms, error) of one probe of a clock source.
+
+    elapsed is the round trip by a monotonic clock. The uncertainty is half of it (or of the wall clock's, if
+    longer), the source's own error and 8 ms, rounded up; the source's end is brought to local time by it.
+    """
+    received, sent, a, b, elapsed, own, until = (col(c) for c in (received, sent, local_sent, local_received, elapsed, source_error_ms, valid_until))
+    known = finite(received) & finite(sent) & finite(a) & finite(b) & finite(elapsed) & finite(own) & finite(until)
     offset = ((received - a) + (sent - b)) / 2
-    uncertainty = F.greatest((elapsed - (sent - received)) / 2, F.lit(0.0))
-    return F.struct(F.when(error.isNull(), offset).alias("offset_ms"), F.when(error.isNull(), uncertainty).alias("uncertainty_ms"), F.when(error.isNull(), b + lifetime_ms).alias("expires_at_ms"), error.alias("error"))
+    uncertainty = F.ceil(F.greatest(elapsed, b - a) / 2 + own + 8).cast("double")
+    expires = F.least(b + lifetime_ms, until - offset - uncertainty)
+    error = first_reason([
+        (~known, "invalid-probe"), ((elapsed < 0) | (elapsed > longest_ms) | (b < a) | (F.abs((b - a) - elapsed) > slack_ms), "local-clock-discontinuity"), ((sent < received) | (sent - received > elapsed + 2), "invalid-round-trip"), (expires <= b, "source-expired"),
+    ])
+    kept = lambda c, name: F.when(error.isNull(), c).alias(name)
+    return F.struct(kept(offset, "offset_ms"), kept(uncertainty, "uncertainty_ms"), kept(expires, "expires_at_ms"), error.alias("error"))
