@@ -160,7 +160,7 @@ class Mix:
 
     def rows(self) -> DataFrame:
         """The mix: each taken block's pieces, with shard and place."""
-        return self.slots().join(self.pieces(), ["source_no", "block"])
+        return self.slots().hint("merge").join(self.pieces(), ["source_no", "block"])  # exploded: its size is not known beforehand
 
     def taken(self) -> DataFrame:
         """The documents with taken, the words that the mix takes of each."""
