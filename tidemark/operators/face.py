@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import materialize
 from . import detect, gates, robust, sessionize
 
 # Fixed values of the face metrics.
@@ -110,7 +111,7 @@ def accepted_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
 
 def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """session_id, metric_code, status, reason_code, value, dispersion and bins, for each bin-median metric."""
-    bins, kept = accepted_frames(frames, sessions)
+    bins, kept = (materialize(x) for x in accepted_frames(frames, sessions))
     own = bin_values(kept, [*KEY, "bin"]).filter(~F.col("name").isin([n for _, n, special in BIN_METRICS if special]))
     special = None
     for _, name, carried in BIN_METRICS:

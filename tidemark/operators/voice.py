@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import materialize
 from . import gates, robust, sessionize
 
 # Fixed values of the voice metrics.
@@ -137,9 +138,10 @@ def _two_level(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
 def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """session_id, metric_code, status, reason_code, value, technical_quality_score and dispersion; seven rows for each session."""
     accepted, cut = segments(frames, sessions)
-    cut = cut.join(accepted.select(*KEY, "segment_no", F.col("pitched_ms").alias("segment_pitched_ms")), [*KEY, "segment_no"])
+    accepted = materialize(accepted)
+    cut = materialize(cut.drop("browser_processing", "quality_reasons")).join(accepted.select(*KEY, "segment_no", F.col("pitched_ms").alias("segment_pitched_ms")), [*KEY, "segment_no"])
     whole, joint = rejoined(accepted, cut.drop("segment_pitched_ms"))
-    runs = run_events(joint)
+    runs, whole = materialize(run_events(joint)), materialize(whole)
     evidence = _evidence(accepted, cut)
 
     pitch = _two_level(cut.filter("pitched and segment_pitched_ms >= 1000"), "segment_no", "f0_hz", "f0")

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
 from ..streaming import flows
 from .catalog import query, table
 
 
 def scratch(spark: SparkSession) -> tuple[str, str]:
     """New folders for a stream's result and checkpoint, in the shared folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else None)
-    if shared is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = f"{shared.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark)
     return f"{base}/result", f"{base}/checkpoint"
 
 
