@@ -6,6 +6,8 @@ bounded by its longest document. A null text scans as an empty one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +53,13 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can; workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def word_count(text):
     """Words of a text column, 0 for null; JVM-side."""
     return F.coalesce(F.size(F.filter(F.split(text, _SPLIT_PATTERN), lambda w: w != "")), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, ranges, span_hashes, spans, text_slices
+from .common import lowered, ranges, release_memory, span_hashes, spans, text_slices
 
 _BITS = 16
 _GRAMS = (1, 2, 3, 4)
@@ -250,7 +250,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return train([(r[0], r[1]) for r in chosen.select("lang", "text").limit(2 * max_docs).collect()], max_words=max_words, seed=seed)
 
 
-def identify_texts(model: ChainModel, column: pa.Array, slice_bytes: int = 1 << 21) -> pa.Array:
+def identify_texts(model: ChainModel, column: pa.Array, slice_bytes: int = 1 << 19) -> pa.Array:
     langs, shares = [], []
     for low, high, data, offsets in text_slices(column, slice_bytes):
         folded, starts, ends, bounds = text_words(data, offsets)
@@ -279,6 +279,7 @@ def identify(docs: DataFrame, model: ChainModel, text_col: str = "text") -> Data
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield identify_texts(shared.value, column)
+            release_memory()
 
     found = F.arrow_udf(predict, "lang_pred string, score double")
     return docs.drop("lang_pred", "score").withColumn("lang_found", found(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("lang_found.lang_pred"), "score": F.col("lang_found.score")}).drop("lang_found")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain_hashes, lowered, materialize, mix, span_hashes, text_slices, words
+from .common import chain_hashes, lowered, materialize, mix, release_memory, span_hashes, text_slices, words
 from .components import connected_components
 
 #: Shingles, and classes, in a block of a cluster's members, about.
@@ -83,6 +83,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, seed:
             yield pa.RecordBatch.from_arrays(
                 [names.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), lists], schema=_SIGNED
             )
+        release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -93,6 +94,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             kept = [(ids[low + k], s.view(np.int64)) for k, s in enumerate(_shingles(data, offsets, width)) if _prints(s) == (a[low + k], b[low + k])]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], schema=_SETS)
+        release_memory()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, coordinates: int = 32, seed: int = 7) -> DataFrame:

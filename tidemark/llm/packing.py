@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, release_memory, text_slices
 from .tokens import encoder
 
 _PIECES = pa.schema(
@@ -86,6 +86,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, en
                     out += windows.place((name, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw if keep_ids else None), len(raw) // 4)
             if out:
                 yield rows(out, True)
+        release_memory()
     for pieces in windows.pieces.values():
         yield rows(pieces, False)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain_hashes, lowered, materialize, mix, span_hashes, spans, text_slices, words
+from .common import chain_hashes, lowered, materialize, mix, release_memory, span_hashes, spans, text_slices, words
 
 _STATS_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<line: long, words: int>>"
 _LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
@@ -94,7 +94,9 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
 
 
 def _stats(column: pa.Array) -> pa.Array:
-    return pa.concat_arrays([text_stats(data, offsets) for _, _, data, offsets in text_slices(column)] or [pa.array([], _STATS)])
+    out = pa.concat_arrays([text_stats(data, offsets) for _, _, data, offsets in text_slices(column)] or [pa.array([], _STATS)])
+    release_memory()
+    return out
 
 
 def _stripped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

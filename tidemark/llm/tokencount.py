@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release_memory, text_slices
 from .packing import with_end
 from .tokens import encoder
 
@@ -46,6 +46,7 @@ def _flat(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block: int,
                     number += 1
                 held = [whole[total - total % block :]]
                 total %= block
+        release_memory()
     if total:
         yield row(file, number, np.concatenate(held).tobytes(), None)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release_memory, text_slices
 from .packing import with_end
 from .tokens import encoder
 
@@ -84,6 +84,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block:
             if total >= segment_tokens:
                 yield segment()
                 number, held, names, lengths, total = number + 1, [], [], [], 0
+        release_memory()
     if names:
         yield segment()
 

@@ -15,8 +15,8 @@ import numpy as np
 from .common import ranges, span_hashes
 
 #: Pieces kept by a worker before its table is emptied.
-MAX_PIECES = 2_500_000
-_GROUP = 256
+MAX_PIECES = 2_000_000
+_GROUP, _BATCH = 256, 16
 _SLOT_BITS = 22
 _SLOT_MASK = np.uint64((1 << _SLOT_BITS) - 1)
 
@@ -116,9 +116,11 @@ class Encoder:
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         groups = [texts[k : k + _GROUP] for k in range(0, len(texts), _GROUP)]
         counts, ids = [], []
-        for group, e in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids.append(np.array(e.ids, np.uint32))
-            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
+        for low in range(0, len(groups), _BATCH):  # the library's own records of a batch are many times its ids
+            some = groups[low : low + _BATCH]
+            for group, e in zip(some, self.tokenizer.encode_batch(some, is_pretokenized=True, add_special_tokens=False), strict=True):
+                ids.append(np.array(e.ids, np.uint32))
+                counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
         self._add(keys, np.concatenate(counts), np.concatenate(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
