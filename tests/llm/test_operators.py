@@ -440,3 +440,21 @@ def test_overlaps():
     rng = np.random.default_rng(3)
     one, other = ([np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(7)] for _ in range(2))
     assert neardup._overlaps(one, other, 16).tolist() == [[len(np.intersect1d(a, b)) for b in other] for a in one]
+
+
+def test_tables_are_deleted_when_discarded(spark):
+    from tidemark.llm import common
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(common._paths[df])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    with common.scope("one"):
+        kept = common.materialize(spark.range(3))
+    alone, gone = common.materialize(spark.range(4)), common.materialize(spark.range(5))
+    path = common._paths[gone]
+    common.discard(gone, spark.range(1))
+    assert there(kept) and there(alone) and gone not in common._paths
+    common.discard_scope(spark, "one")
+    common.discard_scope(spark, "none")
+    assert not there(kept) and there(alone) and alone.count() == 4 and path

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where materialized tables lie, and the tables of each open or closed scope.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: dict[str, list[str]] = {}
+_scope: list[str] = []
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is cut, and a lost executor costs a reread."""
     path = f"{scratch_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    for name in _scope[-1:]:
+        _scopes.setdefault(name, []).append(path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            _delete(table.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables materialized within are kept under the name, for discard_scope."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def discard_scope(spark: SparkSession, name: str) -> None:
+    """Deletes what a scope has materialized so far; for when all that was made of it is written."""
+    for path in _scopes.pop(name, []):
+        _delete(spark, path)
 
 
 def release_memory() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("at"), F.col("label").alias("ahead"))
         jumped = materialize(hooked.join(ahead, F.col("label") == F.col("at"), "left").select("node", "was", F.least("label", "ahead").alias("label")))
-        labels = jumped.select("node", "label")
+        discard(labels)
+        labels = jumped
         if jumped.filter("label <> was").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "label")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain_hashes, lowered, materialize, mix, release_memory, span_hashes, text_slices, words
+from .common import chain_hashes, discard, lowered, materialize, mix, release_memory, span_hashes, text_slices, words
 from .components import connected_components
 
 #: Shingles, and classes, in a block of a cluster's members, about.
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = connected_components(held.select("a", "b")).select(F.col("node").alias("class_id"), F.col("label").alias("cluster"))
     more = materialize(_cluster_links(clusters.join(held.select(F.col("b").alias("class_id"), "label").distinct(), "class_id"), short, sets, percent, matches))
     nodes = connected_components(links.union(more)).withColumnRenamed("node", "class_id")
+    discard(posts, sets, short, lists, first, links, members, more)
     grouped = classes.select("class_id", "first_doc", *prints).join(nodes, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     firsts = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     found = grouped.join(firsts, "label").select(*[F.col(c).alias(f"{c}_found") for c in prints], F.col("component_id").alias("found"))
