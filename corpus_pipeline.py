@@ -6,11 +6,15 @@ as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, neardup, packing, quality
-from tidemark.llm.common import materialize, word_count
+from tidemark.llm.common import discard_scope, scope, scratch_dir, word_count
 from tidemark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,6 +24,19 @@ LEAST_SCORE = 0.4
 BLOCK_WORDS = 512
 
 
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """f as a stage. As the stage before is written when the next begins, the tables that it left in the shared folder go then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_scope(spark, __name__)
+        with scope(__name__):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; lang becomes the predicted one. Where no row is labelled, nothing can be told and all stay."""
     model = langid.fit(docs)
@@ -29,12 +46,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that are too frequent on their host."""
     kept = quality.annotate(docs).filter("kept").withColumn("text", quality.strip_lines(F.col("text"), F.col("removed_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id; of repeated rows, one."""
     kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
@@ -42,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return stays.withColumn("text_print", F.xxhash64("text")).dropDuplicates(["doc_id", "text_print"]).select(COLUMNS)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that the mix takes, as often as it takes them."""
     sized = docs.withColumns({"size": word_count(F.col("text")), "tie": F.xxhash64("text")})
@@ -49,6 +69,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix.rows().withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens, one row for each piece of text in them, with its ids."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
@@ -62,6 +83,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    folder = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, apply in STAGES[:-1]:
+        apply(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
