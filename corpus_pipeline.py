@@ -55,8 +55,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; of repeated rows, one."""
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near-duplicates (similarity of 0.8 or more), that of the smallest doc_id; of repeated rows, one."""
+    kept = neardup.near_duplicates(docs, **neardup.GENERAL).filter("kept and doc_id is not null").select("doc_id").distinct()
     stays = docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
     return stays.withColumn("text_print", F.xxhash64("text")).dropDuplicates(["doc_id", "text_print"]).select(COLUMNS)
 
