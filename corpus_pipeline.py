@@ -48,8 +48,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that are too frequent on their host."""
-    kept = quality.annotate(docs).filter("kept").withColumn("text", quality.strip_lines(F.col("text"), F.col("removed_lines")))
+    """Documents that pass, without the lines that are too frequent on their host, where near copies count once."""
+    kept = quality.annotate(docs, copies=neardup.GENERAL).filter("kept").withColumn("text", quality.strip_lines(F.col("text"), F.col("removed_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -36,3 +36,18 @@ def test_near_duplicates_link_from_80_percent(spark):
     docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in rows], DDL).repartition(4)
     wanted = {i for i, root in components(rows, 0.8).items() if i == root}
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == wanted
+
+
+def lined(seed, n):
+    return [prose(seed * 100 + j, 14).replace("\n", " ") + f" end{seed}x{'abcdefghijklmnop'[j]}" for j in range(n)]
+
+
+def test_near_copies_do_not_condemn_each_other(spark):
+    clean, rows = lined(40, 12), []
+    for k in range(200):  # one clean document, each copy with a word of its own
+        rows.append((k, "\n".join([*clean[:11], f"{clean[11]} mark{'abcdefghij'[k // 20]}{'abcdefghijklmnopqrst'[k % 20]}"]), "en", "h", 0))
+    rows += [(1000 + k, "\n".join(lined(50 + k, 8)), "en", "h", 0) for k in range(20)]
+    kept = pipeline.quality_rules(spark, spark.createDataFrame(rows, DDL).repartition(4), "").collect()
+    assert {r.doc_id: r.text for r in kept} == {r[0]: r[1] for r in rows}
+    docs = spark.createDataFrame(kept, DDL)
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == {0, *range(1000, 1020)}

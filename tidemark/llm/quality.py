@@ -3,7 +3,8 @@
 Each line with a word is normalised (A-Z lowered, digits alike, white space runs alike) and hashed. For
 each host, the distinct documents that hold a line are counted; documents of equal text count once, so
 that copies do not condemn each other. A line in more than min_docs documents and in more than max_share
-of its host's documents is removed. A document that keeps less than least_left of its words is rejected,
+of its host's documents is removed. With copies, the parameters of near_duplicates, each class of near copies
+counts once instead of each text. A document that keeps less than least_left of its words is rejected,
 as is one that fails the base rules: fewer than 50 words, or over half of its words in 3-word windows that
 repeat. A null host is a host of its own.
 
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain_hashes, lowered, materialize, mix, release_memory, span_hashes, spans, text_slices, words
+from . import neardup
+from .common import chain_hashes, discard_scope, lowered, materialize, mix, release_memory, scope, span_hashes, spans, text_slices, words
 
 _STATS_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<line: long, words: int>>"
 _LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
@@ -119,20 +121,35 @@ def _stripped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         yield pa.array(out, pa.binary()).cast(pa.string())
 
 
-def annotate(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 50, max_share: float = 0.01, least_left: float = 0.3, keep_text: bool = True) -> DataFrame:
+def _votes(held: DataFrame, text_col: str, copies: dict[str, int]) -> DataFrame:
+    """quality_row and quality_print, which is alike for near copies; texts without words are alike."""
+    with scope(_votes.__qualname__):
+        found = neardup.near_duplicates(held, "quality_row", text_col, **copies)
+    votes = materialize(found.select(F.col("doc_id").alias("quality_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(-1).alias("quality_print")))
+    discard_scope(held.sparkSession, _votes.__qualname__)
+    return votes
+
+
+def annotate(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 50, max_share: float = 0.01, least_left: float = 0.3, keep_text: bool = True, copies: dict[str, int] | None = None
+) -> DataFrame:
     """The documents with the statistics, kept_words, base_failed, kept, and removed_lines (hashes; null if none). keep_text=False leaves the text out."""
     stats = F.arrow_udf(_stats, _STATS_DDL)
     outputs = [*_COUNTS, "base_failed", "kept_words", "kept", "removed_lines"]
     held = docs.drop(*outputs).withColumns({"quality_stats": stats(F.col(text_col).cast("string")), "quality_print": F.xxhash64(text_col), "quality_host": F.xxhash64(host_col), "quality_row": F.monotonically_increasing_id()})
-    held = materialize(held if keep_text else held.drop(text_col))
-    lines = held.select("quality_row", "quality_host", "quality_print", F.inline("quality_stats.lines"))
-    per_host = held.groupBy("quality_host", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host").agg(F.count("*").alias("host_docs"))
-    per_line = lines.groupBy("quality_host", "line", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host", "line").agg(F.count("*").alias("line_docs")).filter(F.col("line_docs") > min_docs)
+    held = materialize(held if keep_text or copies else held.drop(text_col))
+    lines = held.select("quality_row", "quality_host", F.inline("quality_stats.lines"))
+    voters = held.select("quality_row", "quality_host", "quality_print", "quality_stats")
+    if copies:
+        voters = voters.drop("quality_print").join(_votes(held, text_col, copies), "quality_row")
+    votes = voters.select("quality_host", "quality_print", F.inline("quality_stats.lines"))
+    per_host = voters.groupBy("quality_host", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host").agg(F.count("*").alias("host_docs"))
+    per_line = votes.groupBy("quality_host", "line", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host", "line").agg(F.count("*").alias("line_docs")).filter(F.col("line_docs") > min_docs)
     frequent = per_line.join(per_host, "quality_host").filter(F.col("line_docs") > max_share * F.col("host_docs")).select("quality_host", "line")
     hit = lines.join(frequent, ["quality_host", "line"]).groupBy("quality_row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return (
-        held.join(hit, "quality_row", "left")
+        (held if keep_text else held.drop(text_col)).join(hit, "quality_row", "left")
         .withColumns({c: F.col(f"quality_stats.{c}") for c in [*_COUNTS, "base_failed"]})
         .withColumn("kept_words", left)
         .withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= F.lit(least_left) * F.col("n_words")))
