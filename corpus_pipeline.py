@@ -20,6 +20,8 @@ from tidemark.llm.queries import tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a document's words that its language must have.
 LEAST_SCORE = 0.4
+#: A line goes that is in more documents of its host than chance explains, and in over 1 % of them or in very many.
+CHANCE_DOCS, MANY_DOCS = 5, 1000
 #: Words to a block of the mix.
 BLOCK_WORDS = 512
 
@@ -49,7 +51,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that are too frequent on their host, where near copies count once."""
-    kept = quality.annotate(docs, copies=neardup.GENERAL).filter("kept").withColumn("text", quality.strip_lines(F.col("text"), F.col("removed_lines")))
+    kept = quality.annotate(docs, min_docs=CHANCE_DOCS, many_docs=MANY_DOCS, copies=neardup.GENERAL).filter("kept").withColumn("text", quality.strip_lines(F.col("text"), F.col("removed_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -51,3 +51,14 @@ def test_near_copies_do_not_condemn_each_other(spark):
     assert {r.doc_id: r.text for r in kept} == {r[0]: r[1] for r in rows}
     docs = spark.createDataFrame(kept, DDL)
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == {0, *range(1000, 1020)}
+
+
+def test_frequent_lines_go_on_small_and_large_hosts(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "MANY_DOCS", 8)  # stands for 1000, as 1200 documents do for millions
+    notice = "all pages of this site carry one notice"
+    rows = [(k, "\n".join([*lined(300 + k, 6), notice]), "en", "small", 0) for k in range(12)]
+    rows += [(100 + k, "\n".join([*lined(400 + k, 6), *[notice] * (k < 4)]), "en", "chance", 0) for k in range(12)]
+    rows += [(1000 + k, "\n".join([*lined(2000 + k, 6), *[notice] * (k < 10)]), "en", "large", 0) for k in range(1200)]
+    kept = {r.doc_id: r.text for r in pipeline.quality_rules(spark, spark.createDataFrame(rows, DDL).repartition(4), "").collect()}
+    assert set(kept) == {r[0] for r in rows}
+    assert {i for i, t in kept.items() if notice in t} == {100, 101, 102, 103}

@@ -4,7 +4,8 @@ Each line with a word is normalised (A-Z lowered, digits alike, white space runs
 each host, the distinct documents that hold a line are counted; documents of equal text count once, so
 that copies do not condemn each other. A line in more than min_docs documents and in more than max_share
 of its host's documents is removed. With copies, the parameters of near_duplicates, each class of near copies
-counts once instead of each text. A document that keeps less than least_left of its words is rejected,
+counts once instead of each text. With many_docs, a line in more documents than that goes whatever its share,
+so that size does not shelter the lines of a very large host. A document that keeps less than least_left of its words is rejected,
 as is one that fails the base rules: fewer than 50 words, or over half of its words in 3-word windows that
 repeat. A null host is a host of its own.
 
@@ -131,7 +132,7 @@ def _votes(held: DataFrame, text_col: str, copies: dict[str, int]) -> DataFrame:
 
 
 def annotate(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 50, max_share: float = 0.01, least_left: float = 0.3, keep_text: bool = True, copies: dict[str, int] | None = None
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 50, max_share: float = 0.01, least_left: float = 0.3, keep_text: bool = True, copies: dict[str, int] | None = None, many_docs: int | None = None
 ) -> DataFrame:
     """The documents with the statistics, kept_words, base_failed, kept, and removed_lines (hashes; null if none). keep_text=False leaves the text out."""
     stats = F.arrow_udf(_stats, _STATS_DDL)
@@ -145,7 +146,9 @@ def annotate(
     votes = voters.select("quality_host", "quality_print", F.inline("quality_stats.lines"))
     per_host = voters.groupBy("quality_host", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host").agg(F.count("*").alias("host_docs"))
     per_line = votes.groupBy("quality_host", "line", "quality_print").agg(F.lit(1).alias("one")).groupBy("quality_host", "line").agg(F.count("*").alias("line_docs")).filter(F.col("line_docs") > min_docs)
-    frequent = per_line.join(per_host, "quality_host").filter(F.col("line_docs") > max_share * F.col("host_docs")).select("quality_host", "line")
+    limit = max_share * F.col("host_docs")
+    limit = limit if many_docs is None else F.least(limit, F.lit(float(many_docs)))
+    frequent = per_line.join(per_host, "quality_host").filter(F.col("line_docs") > limit).select("quality_host", "line")
     hit = lines.join(frequent, ["quality_host", "line"]).groupBy("quality_row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return (
