@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lowered, ranges, release_memory, span_hashes, spans, text_slices
@@ -243,11 +243,25 @@ def _gradient(model: ChainModel, scores: np.ndarray, label: np.ndarray, bounds:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_words: int = 120, seed: int = 3) -> ChainModel:
-    """A model of a bounded sample of the labelled rows."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(seed)).alias("draw"))
-    share = min(1.0, max_docs / max(1, rows.select("draw").count()))
-    chosen = rows if share == 1 else rows.filter(F.shiftrightunsigned("draw", 11) < F.lit(int(share * 2**53)))
-    return train([(r[0], r[1]) for r in chosen.select("lang", "text").limit(2 * max_docs).collect()], max_words=max_words, seed=seed)
+    """A model of a bounded sample of the labelled rows: of each language equally many, or all where it has fewer; never none."""
+    draw = F.xxhash64(id_col, text_col, F.lit(seed))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = shares_of(counts, max_docs)
+    # a draw that almost surely holds a language's share, before the ranks are exact
+    parts = [(lang, n, int(min(1.0, (n + 8 * n**0.5 + 16) / counts[lang]) * 2**53)) for lang, n in shares.items()]
+    bounds = labelled.sparkSession.createDataFrame(parts, "lang string, wanted long, below long")
+    drawn = rows.join(F.broadcast(bounds), "lang").filter(F.shiftrightunsigned("draw", 11) < F.col("below")).dropDuplicates(["lang", "draw"])
+    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter("place <= wanted")
+    return train([(r[0], r[1]) for r in chosen.select("lang", "text").orderBy("draw").collect()], max_words=max_words, seed=seed)
+
+
+def shares_of(counts: dict[str, int], total: int) -> dict[str, int]:
+    """total split over languages as evenly as their counts allow, 1 at least for each."""
+    out: dict[str, int] = {}
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, (total - sum(out.values())) // (len(counts) - k)))
+    return out
 
 
 def identify_texts(model: ChainModel, column: pa.Array, slice_bytes: int = 1 << 19) -> pa.Array:
