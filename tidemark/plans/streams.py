@@ -55,9 +55,11 @@ def stream_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_rotating_windows")
 def stream_rotating_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-day windows of each user's events that restart after long gaps."""
+    """Three-day windows of each user's events that restart after long gaps; as the source is read to its end, the last of each user too."""
+    length = 3 * 86_400_000.0
     e = event_stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1000).alias("at_ms"), "value", F.lit("one").alias("source"))
-    return flows.run_to_table(flows.rotating_windows(e, "user_id", "at_ms", "value", "source", 3 * 86_400_000.0), *scratch(spark))
+    most = int(flows.MAX_ROWS * length / flows.WINDOW_MS)
+    return flows.ended(flows.run_to_table(flows.rotating_windows(e, "user_id", "at_ms", "value", "source", length, most), *scratch(spark)))
 
 
 @query("stream_recomputed", "SELECT user_id, max(event_id) AS revision, count(*) AS n FROM events GROUP BY user_id")

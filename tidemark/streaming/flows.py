@@ -48,19 +48,27 @@ def rotate(rows: list[tuple[float, float, str]], state: tuple | None, window_ms:
 
 
 def rotating_windows(df: DataFrame, key: str, at_ms: str, value: str, source: str, window_ms: float = WINDOW_MS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Closed windows of each key; the open one stays in state until a later row closes it. Rows of a batch are taken in time order."""
+    """Closed windows of each key, and after each batch the open one as it stands (reason "open"), for ended(). Rows of a batch are taken in time order."""
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("at_ms", kind="stable")
         closed, state = rotate(list(zip(rows["at_ms"], rows["value"], rows["source"], strict=True)), held.get if held.exists else None, window_ms, max_rows)
         if state is not None:
             held.update(state)
+            closed.append((*state[:6], "open"))
         yield pd.DataFrame([(str(k[0]), *c) for c in closed], columns=[c.split()[0] for c in ROTATED_DDL.split(", ")])
 
     narrow = df.select(F.col(key).cast("string").alias("key"), F.col(at_ms).cast("double").alias("at_ms"), F.col(value).cast("double").alias("value"), F.col(source).cast("string").alias("source"))
     return narrow.groupBy("key").applyInPandasWithState(fold, ROTATED_DDL, _STATE_DDL, "append", GroupStateTimeout.NoTimeout)
 
 
+def ended(windows: DataFrame) -> DataFrame:
+    """Windows of a stream whose input has ended: the closed ones, and each key's last, which ends at its last row (reason "ended")."""
+    closed = windows.filter("reason <> 'open'")
+    last = windows.groupBy("key").agg(F.max_by(F.struct(*windows.columns), F.struct("window_no", F.col("reason") == "open", F.col("rows") + F.col("rejected"))).alias("last")).select("last.*")
+    return closed.unionByName(last.filter("reason = 'open'").withColumn("reason", F.lit("ended")))
+
+
 def tumbling(df: DataFrame, at: str, keys: list[str], length: str, lateness: str, *aggregates: Column) -> DataFrame:
     """Aggregates of fixed windows, final once the watermark has passed; later rows are dropped."""
     return df.withWatermark(at, lateness).groupBy(F.window(at, length), *keys).agg(*aggregates)
