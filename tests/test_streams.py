@@ -27,3 +27,11 @@ def test_the_query_keeps_every_row(spark, tmp_path):
     hot = spark.range(70_000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("e").alias("event_type"), F.lit(1.0).alias("value"), start.alias("ts"))
     hot.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert [(r["rows"], r["rejected"]) for r in streams.stream_rotating_windows(spark, str(tmp_path)).collect()] == [(70_000, 0)]
+
+
+def test_a_new_revision_supersedes(spark, tmp_path):
+    stream = files(spark, str(tmp_path / "in"), [[(1, 1, 0.0, 1.0), (2, 2, 0.0, 1.0)], [(1, 3, 0.0, 1.0)]]).withColumn("revision", F.col("event_id"))
+    flows.recompute_changed(stream, "user_id", lambda changed: changed, str(tmp_path / "out"), str(tmp_path / "check"))
+    published = spark.read.parquet(str(tmp_path / "out"))
+    assert published.count() == 3
+    assert sorted((r.user_id, r.revision) for r in flows.current(published, "user_id").collect()) == [(1, 3), (2, 2)]

@@ -68,4 +68,4 @@ def stream_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = scratch(spark)
     whole = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     flows.recompute_changed(event_stream(spark, sf_dir).withColumn("revision", F.col("event_id")), "user_id", lambda changed: changed.join(whole, "user_id"), path, checkpoint)
-    return spark.read.parquet(path).select("user_id", "revision", "n")
+    return flows.current(spark.read.parquet(path), "user_id").select("user_id", "revision", "n")

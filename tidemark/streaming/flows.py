@@ -69,6 +69,11 @@ def ended(windows: DataFrame) -> DataFrame:
     return closed.unionByName(last.filter("reason = 'open'").withColumn("reason", F.lit("ended")))
 
 
+def current(published: DataFrame, key: str) -> DataFrame:
+    """The newest revision of each key; earlier ones are superseded."""
+    return published.groupBy(key).agg(F.max_by(F.struct(*published.columns), F.struct("revision", "batch")).alias("newest")).select("newest.*")
+
+
 def tumbling(df: DataFrame, at: str, keys: list[str], length: str, lateness: str, *aggregates: Column) -> DataFrame:
     """Aggregates of fixed windows, final once the watermark has passed; later rows are dropped."""
     return df.withWatermark(at, lateness).groupBy(F.window(at, length), *keys).agg(*aggregates)
@@ -90,7 +95,7 @@ def live_state(df: DataFrame, session: str, sequence: str, stage: str, event_id:
 
 
 def recompute_changed(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """For every batch the distinct changed keys with their newest revision are computed anew and appended; runs until the source is read."""
+    """For every batch the distinct changed keys with their newest revision are computed anew and appended, to be read through current(); runs until the source is read."""
 
     def publish(batch: DataFrame, number: int) -> None:
         changed = batch.groupBy(key).agg(F.max("revision").alias("revision"))
