@@ -449,12 +449,14 @@ def test_tables_are_deleted_when_discarded(spark):
         path = spark._jvm.org.apache.hadoop.fs.Path(common._paths[df])
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
-    with common.scope("one"):
+    with common.Run().active() as run, common.Run().active() as other:
         kept = common.materialize(spark.range(3))
+    with run.active():
+        own = common.materialize(spark.range(2))
     alone, gone = common.materialize(spark.range(4)), common.materialize(spark.range(5))
-    path = common._paths[gone]
     common.discard(gone, spark.range(1))
     assert there(kept) and there(alone) and gone not in common._paths
-    common.discard_scope(spark, "one")
-    common.discard_scope(spark, "none")
-    assert not there(kept) and there(alone) and alone.count() == 4 and path
+    run.delete(spark)
+    assert there(kept) and not there(own)
+    other.delete(spark)
+    assert not there(kept) and there(alone) and alone.count() == 4

@@ -62,3 +62,20 @@ def test_frequent_lines_go_on_small_and_large_hosts(spark, monkeypatch):
     kept = {r.doc_id: r.text for r in pipeline.quality_rules(spark, spark.createDataFrame(rows, DDL).repartition(4), "").collect()}
     assert set(kept) == {r[0] for r in rows}
     assert {i for i, t in kept.items() if notice in t} == {100, 101, 102, 103}
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    one, other = prose(1, 90), prose(2, 90)
+    rows = [(1, one), (1, other), (2, one), (None, other), (3, prose(3, 90)), (3, prose(3, 90)), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "h", 0) for i, t in rows], DDL).repartition(3)
+    kept = pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, one), (1, other), (3, prose(3, 90)), (0, ""), (4, "")])
+
+
+def test_two_runs_do_not_disturb_each_other(spark, tmp_path):
+    rows = [(k, "\n".join(lined(700 + k, 8)), "en" if k % 2 else "de", "h" if k % 3 else None, 0) for k in range(60)] + [(None, None, None, None, None), (60, "", None, "h", 0)]
+    spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    one, other = pipeline.run(spark, str(tmp_path)), pipeline.run(spark, str(tmp_path))
+    key = lambda df: sorted((r.doc_id, r.start, r.ids_crc32, r.length) for r in df.collect())
+    first = key(one)
+    assert first and first == key(other) == key(one)

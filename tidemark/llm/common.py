@@ -7,7 +7,9 @@ bounded by its longest document. A null text scans as an empty one.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
+import hashlib
 import tempfile
 import uuid
 import weakref
@@ -27,11 +29,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Low bytes of a 64-bit word, by how many of them count.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of at most this many bytes are their own key.
+_SHORT = 15
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,49 +48,69 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Where materialized tables lie, and the tables of each open or closed scope.
+#: Where materialized tables lie, and the run whose tables are being written.
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_scopes: dict[str, list[str]] = {}
-_scope: list[str] = []
+_run: contextvars.ContextVar[Run | None] = contextvars.ContextVar("tidemark_run", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It goes when the application ends, if nothing deletes it before."""
+    path = f"{scratch_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    files, place = _file_system(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+    files.cancelDeleteOnExit(place)
+
+
+class Run:
+    """The tables that one run of something materializes, apart from those of any other run, in this thread or another."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextlib.contextmanager
+    def active(self) -> Iterator[Run]:
+        token = _run.set(self)
+        try:
+            yield self
+        finally:
+            _run.reset(token)
+
+    def delete(self, spark: SparkSession) -> None:
+        """For when all that was made of the tables is written."""
+        while self.paths:
+            delete_folder(spark, self.paths.pop())
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is cut, and a lost executor costs a reread."""
-    path = f"{scratch_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession, 'table')}/rows"
     df.write.option("compression", codec).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[table] = path
-    for name in _scope[-1:]:
-        _scopes.setdefault(name, []).append(path)
+    _paths[table] = folder = path.rsplit("/", 1)[0]
+    if run := _run.get():
+        run.paths.append(folder)
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that nothing reads any more."""
     for table in tables:
         if path := _paths.pop(table, None):
-            _delete(table.sparkSession, path)
-
-
-@contextlib.contextmanager
-def scope(name: str) -> Iterator[None]:
-    """Tables materialized within are kept under the name, for discard_scope."""
-    _scope.append(name)
-    try:
-        yield
-    finally:
-        _scope.pop()
-
-
-def discard_scope(spark: SparkSession, name: str) -> None:
-    """Deletes what a scope has materialized so far; for when all that was made of it is written."""
-    for path in _scopes.pop(name, []):
-        _delete(spark, path)
+            delete_folder(table.sparkSession, path)
+            if (run := _run.get()) and path in run.paths:
+                run.paths.remove(path)
 
 
 def release_memory() -> None:
@@ -155,35 +176,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grow_powers(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("_powers", _BASE), ("_inverses", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each span's bytes, alike wherever it stands: up to 15 bytes the bytes themselves and their number, beyond that their BLAKE2b digest."""
+    lengths = ends - starts
+    padded = np.zeros((len(data) + 31) // 8 * 8, np.uint8)
+    padded[: len(data)] = data
+    cells = padded.view("<u8")
+    at, shift = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+    rest = np.uint64(63) - shift
+    first, second = cells[at], cells[at + 1]
+    low = ((first >> shift) | ((second << np.uint64(1)) << rest)) & _KEPT[np.minimum(lengths, 8)]
+    high = ((second >> shift) | ((cells[np.minimum(at + 2, len(cells) - 1)] << np.uint64(1)) << rest)) & _KEPT[np.clip(lengths - 8, 0, 7)]
+    high |= np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(lengths > _SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long], high[long] = pairs[:, 0], pairs[:, 1] | np.uint64(0xFF << 56)
+    return low, high
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, alike wherever the span stands."""
-    _grow_powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * _powers[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _inverses[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64 bits of each span's key, for where chance hits do no harm."""
+    return key_hashes(*span_keys(data, starts, ends))
+
+
+def key_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mix(mix(low + np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def chain_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of width consecutive items, in order; one for each start."""
+def chain_hashes(hashes: np.ndarray, width: int, factor: int = 0xA24BAED4963EE407) -> np.ndarray:
+    """Hashes of width (a few) consecutive items, in order; one for each start. Each step is mixed, so that none undoes another."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(width))
     for k in range(width):
-        out = out * np.uint64(0xA24BAED4963EE407) + hashes[k : k + n]
-    return mix(out)
+        out = mix(out * np.uint64(factor) + hashes[k : k + n])
+    return out
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

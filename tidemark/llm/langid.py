@@ -6,8 +6,8 @@ itself. Learned transitions join the words into a chain, and forward-backward gi
 probabilities, so texts that switch language are labelled in parts. A document's language is the one with
 the largest share of probability over its words; that share is its score.
 
-The model is fitted on the driver, on a bounded sample: at most max_docs labelled documents, drawn by a
-hash of their id, and at most max_words words of each. Training chains join stretches of several documents,
+The model is fitted in one task, on a bounded sample: at most max_docs labelled documents (or one of each
+language, if those are more), drawn by a hash of their id and text, and at most max_words words of each. Training chains join stretches of several documents,
 so that switches are seen. Prediction reads whole texts. Forward and backward passes run over all chains of
 a slice at once: products of each block of words first, then the chain of blocks, then all blocks again.
 
@@ -18,6 +18,7 @@ input has besides are kept; those named as an output column are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ _GRAM_FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[0x80:] = True
 _BLOCK = 64
+#: Characters of a text that the sample keeps, for each of its words that training uses.
+CHARS_A_WORD = 16
 _RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -161,7 +164,7 @@ def _training_words(texts: list[tuple[str, str]], langs: list[str], max_words: i
             own = slice(first, first + take)
             hashes.append(all_hashes[own])
             f, c = word_features(data, starts[own], ends[own])
-            features.append(f)
+            features.append(f.astype(np.int32))
             counts.append(c)
             stretches.append((base, base + take, langs.index(texts[low + k][0])))
             base += take
@@ -242,18 +245,39 @@ def _gradient(model: ChainModel, scores: np.ndarray, label: np.ndarray, bounds:
     return wrong, pairs
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_words: int = 120, seed: int = 3) -> ChainModel:
-    """A model of a bounded sample of the labelled rows: of each language equally many, or all where it has fewer; never none."""
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_words: int = 120, seed: int = 3) -> DataFrame:
+    """lang and text of a bounded sample of the labelled rows: of each language equally many, or all where it has fewer; never none.
+
+    Of a text longer than CHARS_A_WORD * max_words characters, the sample holds a stretch of that length, from a place drawn by hash.
+    """
+    text, width = F.col(text_col).cast("string"), CHARS_A_WORD * max_words
     draw = F.xxhash64(id_col, text_col, F.lit(seed))
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
+    named = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = labelled.filter(named).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), draw.alias("draw"))
     counts = {r["lang"]: r["n"] for r in rows.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     shares = shares_of(counts, max_docs)
     # a draw that almost surely holds a language's share, before the ranks are exact
     parts = [(lang, n, int(min(1.0, (n + 8 * n**0.5 + 16) / counts[lang]) * 2**53)) for lang, n in shares.items()]
     bounds = labelled.sparkSession.createDataFrame(parts, "lang string, wanted long, below long")
-    drawn = rows.join(F.broadcast(bounds), "lang").filter(F.shiftrightunsigned("draw", 11) < F.col("below")).dropDuplicates(["lang", "draw"])
-    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter("place <= wanted")
-    return train([(r[0], r[1]) for r in chosen.select("lang", "text").orderBy("draw").collect()], max_words=max_words, seed=seed)
+    first = F.pmod(F.xxhash64("draw", F.lit(seed)), F.greatest(F.length("text") - width, F.lit(0)) + 1).cast("int")
+    chosen = rows.join(bounds, "lang").filter(F.shiftrightunsigned("draw", 11) < F.col("below"))
+    drawn = chosen.select("lang", "draw", "wanted", (F.length("text") > width).alias("cut"), F.col("text").substr(first + 1, F.lit(width)).alias("text"))
+    ranked = drawn.dropDuplicates(["lang", "draw"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter("place <= wanted")
+    whole_words = F.when(F.col("cut"), F.regexp_replace("text", r"^\S*\s|\s\S*$", "")).otherwise(F.col("text"))
+    return ranked.select("lang", whole_words.alias("text"))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_words: int = 120, seed: int = 3) -> ChainModel:
+    """A model of the sample, trained in one task, as the sample is bounded; the driver gets the model alone (some MB)."""
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        model = pickle.dumps(train(texts, max_words=max_words, seed=seed))
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    found = sample(labelled, id_col, text_col, lang_col, max_docs, max_words, seed).repartition(1).mapInArrow(trained, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else ChainModel([], np.zeros(0, np.uint64))
 
 
 def shares_of(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -296,4 +320,7 @@ def identify(docs: DataFrame, model: ChainModel, text_col: str = "text") -> Data
             release_memory()
 
     found = F.arrow_udf(predict, "lang_pred string, score double")
-    return docs.drop("lang_pred", "score").withColumn("lang_found", found(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("lang_found.lang_pred"), "score": F.col("lang_found.score")}).drop("lang_found")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    whole = F.struct(F.lit(0).alias("_"), *kept).alias("input")
+    judged = docs.select(whole, found(F.col(text_col).cast("string")).alias("found"))
+    return judged.select(*[F.col("input")[c].alias(c) for c in kept], "found.lang_pred", "found.score")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain_hashes, discard, lowered, materialize, mix, release_memory, span_hashes, text_slices, words
+from .common import chain_hashes, discard, key_hashes, lowered, materialize, mix, release_memory, span_keys, text_slices, words
 from .components import connected_components
 
 #: Shingles, and classes, in a block of a cluster's members, about.
@@ -46,25 +46,22 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print
 _SETS = pa.schema([("class_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """Each document's distinct shingle hashes, ascending."""
+def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[tuple[np.ndarray, tuple[int, int]]]:
+    """Each document's distinct shingle hashes, ascending, and 128 bits that equal sets share, whatever their order."""
     data = lowered(data)
     starts, ends, bounds = words(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    chained = chain_hashes(hashes, width)
+    low, high = span_keys(data, starts, ends)
+    sides = [(key_hashes(low, high), 0xA24BAED4963EE407), (key_hashes(high, low), 0x9FB21C651E98DF25)]
+    chained = [chain_hashes(h, width, factor) for h, factor in sides]
     out = []
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        n = high - low
-        out.append(np.unique(chained[low : high - width + 1]) if n >= width else chain_hashes(hashes[low:high], n) if n else np.zeros(0, np.uint64))
+    for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n = end - first
+        both = [c[first : end - width + 1] for c in chained] if n >= width else [chain_hashes(h[first:end], max(n, 1), factor) for h, factor in sides]
+        some, at = np.unique(both[0], return_index=True)
+        out.append((some, tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (some, both[1][at]))))
     return out
 
 
-def _prints(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share, whatever their order."""
-    a, b = mix(shingles), mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
-
-
 def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, seed: int) -> Iterator[pa.RecordBatch]:
     random = np.random.default_rng(seed)
     factors = random.integers(1, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +69,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, seed:
     for batch in batches:
         names = batch.column(0)
         for low, high, data, offsets in text_slices(batch.column(1)):
-            sets = _shingles(data, offsets, width)
+            found = _shingles(data, offsets, width)
+            sets, prints = [s for s, _ in found], [p for _, p in found]
             full = [s for s in sets if len(s)]
             signatures = np.zeros((len(full), coordinates), np.int32)
             if full:
@@ -80,7 +78,6 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, seed:
                 for k in range(coordinates):
                     least = np.minimum.reduceat(flat * factors[k] + terms[k], at)
                     signatures[:, k] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            prints = [_prints(s) for s in sets]
             lengths = np.array([coordinates if len(s) else 0 for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(signatures.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
@@ -94,7 +91,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in batches:
         ids, a, b = (batch.column(k).to_pylist() for k in range(3))
         for low, _, data, offsets in text_slices(batch.column(3)):
-            kept = [(ids[low + k], s.view(np.int64)) for k, s in enumerate(_shingles(data, offsets, width)) if _prints(s) == (a[low + k], b[low + k])]
+            kept = [(ids[low + k], s.view(np.int64)) for k, (s, p) in enumerate(_shingles(data, offsets, width)) if p == (a[low + k], b[low + k])]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], schema=_SETS)
         release_memory()

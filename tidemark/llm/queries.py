@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, neardup, packing, quality, sharding, tokencount, tokenfile, topk, urlrules
-from .common import materialize, scratch_dir, word_count
+from .common import materialize, shared_folder, word_count
 
 
 def tokenizer(name: str) -> str:
@@ -120,7 +118,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/tidemark-tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, 'tokens')}/file"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 

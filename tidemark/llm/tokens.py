@@ -3,7 +3,10 @@
 A text's ids are the ids of its pieces, in order, wherever a cut is one that the tokenizer's own
 pre-tokenizer makes too. Cuts are found with numpy, equal pieces are encoded once and kept in a
 bounded table, and ids are gathered from that table. Only bytes whose neighbours leave no doubt
-are cut at; anything else stays within one piece, which the library splits itself.
+are cut at; anything else stays within one piece, which the library splits itself. The table knows a piece by
+its bytes where there are at most 15, else by 120 bits of their BLAKE2b digest.
+
+A null text is an empty one and has no ids. Equal texts have equal ids, in whatever batch they come.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ import os
 
 import numpy as np
 
-from .common import ranges, span_hashes
+from .common import key_hashes, ranges, span_keys
 
 #: Pieces kept by a worker before its table is emptied.
 MAX_PIECES = 2_000_000
+#: Pieces looked up together, so that a very long text needs no more memory than others beyond its own bytes and ids.
+_PIECES_ONCE = 1 << 18
 _GROUP, _BATCH = 256, 16
 _SLOT_BITS = 22
 _SLOT_MASK = np.uint64((1 << _SLOT_BITS) - 1)
@@ -65,82 +70,81 @@ class Encoder:
 
     def _empty(self) -> None:
         self.count = 0
-        self.keys = np.zeros(1 << 16, np.uint64)
+        self.keys = np.zeros((2, 1 << 16), np.uint64)
         self.at = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
         self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
-        self.rest = np.zeros(0, np.int32)  # entries that found no slot, by key
-
-    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes & _SLOT_MASK).astype(np.int64), ((hashes >> np.uint64(_SLOT_BITS)) & _SLOT_MASK).astype(np.int64)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        first, second = self._places(hashes)
-        found = self.slots[first]
-        missed = np.flatnonzero((found < 0) | (self.keys[found] != hashes))
-        found[missed] = self.slots[second[missed]]
-        missed = missed[(found[missed] < 0) | (self.keys[found[missed]] != hashes[missed])]
-        found[missed] = -1
-        if len(self.rest) and len(missed):
-            keys = self.keys[self.rest]
-            place = np.minimum(np.searchsorted(keys, hashes[missed]), len(keys) - 1)
-            equal = keys[place] == hashes[missed]
-            found[missed[equal]] = self.rest[place[equal]]
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1. An entry counts only where its whole key is equal."""
+        place = (key_hashes(low, high) & _SLOT_MASK).astype(np.int64)
+        found = np.full(len(low), -1, np.int64)
+        todo = np.arange(len(low))
+        while len(todo):
+            entry = self.slots[place]
+            equal = (entry >= 0) & (self.keys[0, entry] == low[todo]) & (self.keys[1, entry] == high[todo])
+            found[todo[equal]] = entry[equal]
+            further = (entry >= 0) & ~equal
+            todo, place = todo[further], (place[further] + 1) & int(_SLOT_MASK)
         return found
 
-    def _add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        end, total = self.count + len(keys), self.used + len(ids)
-        if end > len(self.keys):
-            for name in ("keys", "at", "lengths"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * end))
+    def _add(self, low: np.ndarray, high: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Enters keys that are not there yet, each once."""
+        end, total = self.count + len(low), self.used + len(ids)
+        if end > len(self.at):
+            self.keys = np.concatenate([self.keys, np.zeros((2, 2 * end - len(self.at)), np.uint64)], axis=1)
+            self.at, self.lengths = np.resize(self.at, 2 * end), np.resize(self.lengths, 2 * end)
         if total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * total)
         self.flat[self.used : total] = ids
-        self.keys[self.count : end], self.lengths[self.count : end] = keys, counts
-        self.at[self.count : end] = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        entries = np.arange(self.count, end, dtype=np.int32)
-        for place in self._places(keys):
-            left = self.slots[place[entries - self.count]] < 0
-            self.slots[place[entries[left] - self.count]] = entries[left]
-            entries = entries[self.slots[place[entries - self.count]] != entries]
-        if len(entries):
-            rest = np.concatenate([self.rest, entries])
-            self.rest = rest[np.argsort(self.keys[rest])]
+        new = slice(self.count, end)
+        self.keys[0, new], self.keys[1, new], self.lengths[new] = low, high, counts
+        self.at[new] = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
+        entries, place = np.arange(self.count, end, dtype=np.int32), (key_hashes(low, high) & _SLOT_MASK).astype(np.int64)
+        while len(entries):
+            left = self.slots[place] < 0
+            self.slots[place[left]] = entries[left]  # of several for one slot the last one stays
+            further = self.slots[place] != entries
+            entries, place = entries[further], (place[further] + 1) & int(_SLOT_MASK)
         self.count, self.used = end, total
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    def _learn(self, low: np.ndarray, high: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = memoryview(np.ascontiguousarray(data))
+        texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         groups = [texts[k : k + _GROUP] for k in range(0, len(texts), _GROUP)]
         counts, ids = [], []
-        for low in range(0, len(groups), _BATCH):  # the library's own records of a batch are many times its ids
-            some = groups[low : low + _BATCH]
+        for first in range(0, len(groups), _BATCH):  # the library's own records of a batch are many times its ids
+            some = groups[first : first + _BATCH]
             for group, e in zip(some, self.tokenizer.encode_batch(some, is_pretokenized=True, add_special_tokens=False), strict=True):
                 ids.append(np.array(e.ids, np.uint32))
                 counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
-        self._add(keys, np.concatenate(counts), np.concatenate(ids))
+        self._add(low, high, np.concatenate(counts), np.concatenate(ids))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = cut_points(data, offsets)
-        if len(starts) == 0:
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces end to end, and each piece's number of ids."""
         if self.count > MAX_PIECES:
             self._empty()
-        ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
-        entry = self._find(hashes)
+        low, high = span_keys(data, starts, ends)
+        entry = self._find(low, high)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            keys, first = np.unique(hashes[new], return_index=True)
-            self._learn(keys, data, starts[new[first]], ends[new[first]])
-            entry[new] = self._find(hashes[new])
+            order = new[np.lexsort((high[new], low[new]))]
+            one = order[np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))]
+            self._learn(low[one], high[one], data, starts[one], ends[one])
+            entry[new] = self._find(low[new], high[new])
         lengths = self.lengths[entry]
-        ids = self.flat[ranges(self.at[entry], lengths)]
-        sums = np.concatenate(([0], np.cumsum(lengths)))
-        return ids, np.diff(sums[np.searchsorted(starts, offsets)])
+        return self.flat[ranges(self.at[entry], lengths)], lengths
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = cut_points(data, offsets)
+        if len(starts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        parts = [self._pieces(data, starts[k : k + _PIECES_ONCE], ends[k : k + _PIECES_ONCE]) for k in range(0, len(starts), _PIECES_ONCE)]
+        sums = np.concatenate([[0], *[n for _, n in parts]]).cumsum()
+        return np.concatenate([ids for ids, _ in parts]), np.diff(sums[np.searchsorted(starts, offsets)])
 
 
 _encoders: dict[str, Encoder] = {}
