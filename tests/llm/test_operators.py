@@ -110,7 +110,7 @@ def test_top_k(spark, monkeypatch, blocks):
     found = {}
     for r in topk.top_k(df, df.filter("id % 10 = 0"), 4).collect():
         found.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
-    wanted = brute_top(rows, [r for r in rows if r[0] % 10 == 0], 4)
+    wanted = brute_top([*rows, rows[5]], [r for r in rows if r[0] % 10 == 0], 4)  # a repeated row is a candidate each time
     assert {q: [v[k] for k in sorted(v)] for q, v in found.items()} == {q: v for q, v in wanted.items() if v}
 
 
@@ -460,3 +460,47 @@ def test_tables_are_deleted_when_discarded(spark):
     assert there(kept) and not there(own)
     other.delete(spark)
     assert not there(kept) and there(alone) and alone.count() == 4
+
+
+def alternating(one, other, join, rounds):
+    for _ in range(rounds):
+        one, other = join(one, other), join(other, one)
+    return one, other
+
+
+def test_alternating_texts_are_neither_linked_nor_counted_together(spark):
+    glued = alternating("a", "b", lambda x, y: x + y, 11)
+    spaced = alternating("a", "b", lambda x, y: f"{x} {y}", 11)
+    rows = [(1, glued[0]), (2, glued[1]), (3, "\n".join([*spaced, spaced[0]]))]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, source string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id: r.n_dup_lines for r in quality.annotate(docs).collect()} == {1: 0, 2: 0, 3: 1}
+    lines = [(k, f"{spaced[k % 2]}\nown{k}", "h") for k in range(9)]  # five hold one line, four the other
+    judged = quality.annotate(spark.createDataFrame(lines, "doc_id long, text string, source string"), min_docs=4).collect()
+    assert {r.doc_id for r in judged if r.removed_lines} == {0, 2, 4, 6, 8}
+
+
+def test_url_rules_at_the_bounds_of_ranges(spark):
+    rules = [("net", "/", "block")] + [("net", "/" + "a" * k, "allow" if k % 2 else "block") for k in range(1, 12)] + [("x.net", "/aaa", "allow"), ("org", "", "allow")]
+    urls = [f"http://{h}/{'a' * (k % 15)}{'b' * (k % 3)}" for k in range(60) for h in ("net", "y.net", "x.net", "org", "com")]
+    rows = list(enumerate(urls)) + [(1000 + k, "http://y.net/aaaa") for k in range(80)]  # one url that no range of keys can hold alone
+    pages, table = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string")
+    for lots in (1, 2, 9, 40):
+        found = urlrules.judge(pages, table, lots=lots).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert (r.rule, r.verdict) == brute_rule(r.host, r.path, rules)
+
+
+def test_top_k_counts_repeated_rows_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(0, 1200, 4)]
+    rows += [rows[3]] * 4 + [rows[25]] * 2 + [(100, rows[7][1]), (7, None), (None, rows[0][1]), (9, [float("nan")] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    embeddings = duckdb.read_parquet(f"{tmp_path}/embeddings.parquet/*.parquet")  # noqa: F841
+    found = queries.op2_exact_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(r) for r in found) == sorted(duckdb.sql(queries.OP2_SQL).fetchall())

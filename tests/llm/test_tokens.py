@@ -97,31 +97,62 @@ def test_best_fit_emits_the_fullest():
     assert [p[1] for p in w.place(("d",), 4)] == ["a", "d"]  # full: it goes at once
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("stripe", [1, 3, 4096])
+def test_token_counts(spark, tmp_path, stripe):
     docs = spark.createDataFrame(documents(), DOCUMENTS_DDL).repartition(3)
-    blocks = tokencount.flat_token_blocks(docs, BYTE, 50256, block=64).cache()
-    rows = tokencount.count_tokens(blocks, 50256).join(tokencount.written_documents(blocks), ["file", "doc_no"]).collect()
+    written = tokencount.write_flat_files(docs, f"file://{tmp_path}/flat", BYTE, 50256).cache()
+    assert written.count() == len(documents())
+    rows = tokencount.count_tokens(tokencount.file_ends(spark, f"file://{tmp_path}/flat", 50256, block=64), stripe).join(written, ["file", "doc_no"]).collect()
     wanted = sorted((r[0] or -1, len(ids) + 1) for r, ids in zip(documents(), plain(BYTE, [r[1] for r in documents()]), strict=True))
     assert sorted((r.doc_id or -1, r.n_tokens) for r in rows) == wanted and all(r.finished for r in rows)
-    blocks.unpersist()
+    assert sum(f.stat().st_size for f in (tmp_path / "flat").glob("part-*")) == 2 * sum(n for _, n in wanted)
+    written.unpersist()
 
 
-def test_token_counts_of_raw_files(spark, tmp_path):
+@pytest.mark.parametrize("stripe", [1, 2, 4096])
+def test_token_counts_of_raw_files(spark, tmp_path, stripe):
     rng = np.random.default_rng(0)
-    streams = [rng.integers(0, 30, n).astype("<u2") for n in (1000, 1, 0, 64, 65)] + [np.full(200, 7, "<u2"), np.zeros(10, "<u2")]
+    streams = [rng.integers(0, 30, n).astype("<u2") for n in (1000, 1, 0, 64, 65)] + [np.full(200, 7, "<u2"), np.zeros(10, "<u2"), np.zeros(1000, "<u2")]
     for k, s in enumerate(streams):
-        (tmp_path / f"{k}.bin").write_bytes(s.tobytes())
-    rows = tokencount.count_tokens(tokencount.read_flat_files(spark, str(tmp_path), block=64), 7).collect()
+        (tmp_path / f"{k}.bin").write_bytes(s.tobytes() + b"x" * (k == 3))  # half an id at the end is none
+    rows = tokencount.count_tokens(tokencount.file_ends(spark, str(tmp_path), 7, block=64), stripe).collect()
     wanted = []
-    for s in streams:
+    for k, s in enumerate(streams):
         ends = [0, *(np.flatnonzero(s == 7) + 1).tolist()]
-        wanted += [(a, b - a, True) for a, b in zip(ends, ends[1:], strict=False)] + [(ends[-1], len(s) - ends[-1], False)] * (ends[-1] < len(s))
-    assert sorted((r.start, r.n_tokens, r.finished) for r in rows) == sorted(wanted)
+        wanted += [(f"{k}.bin", n, a, b - a, True) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))] + [(f"{k}.bin", len(ends) - 1, ends[-1], len(s) - ends[-1], False)] * (ends[-1] < len(s))
+    assert sorted((r.file, r.doc_no, r.start, r.n_tokens, r.finished) for r in rows) == sorted(wanted)
+
+
+def test_token_counts_of_nothing(spark, tmp_path):
+    written = tokencount.write_flat_files(spark.createDataFrame([], DOCUMENTS_DDL), f"file://{tmp_path}/flat", BYTE, 50256)
+    assert written.collect() == []
+    (tmp_path / "flat").mkdir(exist_ok=True)
+    assert tokencount.count_tokens(tokencount.file_ends(spark, f"file://{tmp_path}/flat", 50256)).collect() == []
 
 
-def test_token_counts_of_nothing(spark):
-    blocks = tokencount.flat_token_blocks(spark.createDataFrame([], DOCUMENTS_DDL), BYTE, 50256)
-    assert tokencount.count_tokens(blocks, 50256).collect() == [] and tokencount.written_documents(blocks).collect() == []
+def alternating(rounds):
+    """Two different strings on which any polynomial in powers of two agrees."""
+    one, other = "a", "b"
+    for _ in range(rounds):
+        one, other = one + other, other + one
+    return one, other
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_are_not_mistaken_for_one_another(path):
+    for rounds in (10, 11, 12):
+        one, other = alternating(rounds)
+        assert pieced(path, [one, other]) == plain(path, [one, other]) and plain(path, [one]) != plain(path, [other])
+
+
+def test_token_file_and_packing_tell_alternating_texts_apart(spark, tmp_path):
+    texts = alternating(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenfile.write_token_file(docs, str(tmp_path / "ids"), WORD, end_id=2)
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenfile.read_token_file(spark, str(tmp_path / "ids")).collect()}
+    assert [rows[k] for k in range(2)] == [ids + [2] for ids in plain(WORD, texts)]
+    packed = packing.pack(docs, BYTE).collect()
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {k: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for k, ids in enumerate(plain(BYTE, texts))}
 
 
 @settings(max_examples=200, deadline=None)

@@ -86,8 +86,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = materialize(tokencount.flat_token_blocks(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=50256))
-    return tokencount.count_tokens(blocks, end_id=50256).join(tokencount.written_documents(blocks), ["file", "doc_no"]).select("doc_id", "n_tokens", "finished", "file", "doc_no", "start")
+    folder = f"{shared_folder(spark, 'flat')}/files"
+    written = materialize(tokencount.write_flat_files(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"), end_id=50256))
+    found = materialize(tokencount.file_ends(spark, folder, end_id=50256))
+    return tokencount.count_tokens(found).join(written, ["file", "doc_no"]).select("doc_id", "n_tokens", "finished", "file", "doc_no", "start")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,19 @@
-"""Token counts (8): documents of flat, unindexed token streams, found by their end-of-document ids.
+"""Token counts (8): documents of flat, unindexed token files, found by their end-of-document ids.
 
-A flat file is a row of ids cut into blocks of equal length, without regard to documents. Each block is
-searched alone with numpy for end ids; a prefix scan over the blocks' summaries (ids, ends, place of the
-last end) then gives each end its place in the file and stitches documents that run over blocks.
+A flat file is a row of ids of fixed width and nothing else. It is read in byte ranges, many tasks to a file,
+without regard to documents. Each range (block) is searched with numpy for end ids; what leaves the task is its
+number of ids and the places of its ends. A prefix scan over the blocks' summaries (ids, ends, place of the
+last end), first within stripes of blocks, then over the stripes, gives each end its place in the file and
+stitches documents that run over blocks.
+
+Files are opened by pyarrow's file systems (local, HDFS, S3, GCS), in the task that reads or writes them. A
+task writes under a name of its own attempt and renames at the end, so one that is lost and run again leaves
+the same file.
 
 Ids after a file's last end form a last, unfinished document (finished = false); a block without ends only
-lengthens what runs through it. Empty blocks and empty tables give no rows. Null text is written as an end
-id alone. Repeated rows are counted as often as they stand.
+lengthens what runs through it. Empty files and empty tables give no rows. Null text is written as an end
+id alone. Repeated rows are counted as often as they stand. A null doc_id is carried as null. Of the input's
+columns, only the id and the text are used.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,76 +31,91 @@ from .common import release_memory, text_slices
 from .packing import with_end
 from .tokens import encoder
 
-FLAT_DDL = "file long, block long, tokens binary, doc_ids array<long>"
-_FLAT = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-
-
-def _flat(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    file, tokens = TaskContext.get().partitionId(), encoder(path)
-    held, total, number, listed = [], 0, 0, 0
-    row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(x, _FLAT, strict=True)], schema=_FLAT)
+#: Ids to a block, blocks to a stripe, bytes of files to a task about.
+BLOCK_IDS, STRIPE_BLOCKS, TASK_BYTES = 1 << 16, 4096, 1 << 26
+_LISTED_DDL = "file string, doc_no long, doc_id long"
+_LISTED = pa.schema([("file", pa.string()), ("doc_no", pa.int64()), ("doc_id", pa.int64())])
+_ENDS_DDL = "file string, block long, file_ids long, n_ids long, ends array<long>"
+_ENDS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("file_ids", pa.int64()), ("n_ids", pa.int64()), ("ends", pa.list_(pa.int64()))])
+
+
+def _opened(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a folder or file; file:/x is file:///x."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = f"file://{uri[5:]}"
+    return FileSystem.from_uri(uri)
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    task, tokens = TaskContext.get(), encoder(path)
+    name, (files, place), listed = f"part-{task.partitionId():05d}.bin", _opened(folder), 0
+    attempt = f"{place}/.{name}-{task.taskAttemptId()}"
+    files.create_dir(place, recursive=True)
+    with files.open_output_stream(attempt) as out:
+        for batch in batches:
+            for low, high, data, offsets in text_slices(batch.column(1)):
+                stream, _ = with_end(*tokens.encode(data, offsets), end_id)
+                out.write(stream.astype(dtype).tobytes())
+                numbers = pa.array(np.arange(listed, listed + high - low))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (high - low)), numbers, batch.column(0).slice(low, high - low)], schema=_LISTED)
+                listed += high - low
+            release_memory()
+    files.move(attempt, f"{place}/{name}")
+
+
+def write_flat_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
+    """Writes one flat file per partition, as the rows of the result are computed: file, doc_no (in its file) and doc_id of the documents written."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return named.mapInArrow(lambda batches: _write(batches, folder, tokenizer_path, end_id, dtype), _LISTED_DDL)
+
+
+def _ends(batches: Iterator[pa.RecordBatch], end_id: int, block: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    width, last, source = np.dtype(dtype).itemsize, None, None
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for low, high, data, offsets in text_slices(texts):
-            stream, _ = with_end(*tokens.encode(data, offsets), end_id)
-            held.append(stream.astype(dtype))
-            total += len(stream)
-            yield row(file, listed, None, ids[low:high])
-            listed += high - low
-            if total >= block:
-                whole = np.concatenate(held)
-                for k in range(0, total - block + 1, block):
-                    yield row(file, number, whole[k : k + block].tobytes(), None)
-                    number += 1
-                held = [whole[total - total % block :]]
-                total %= block
-        release_memory()
-    if total:
-        yield row(file, number, np.concatenate(held).tobytes(), None)
-
-
-def flat_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16, dtype: str = "<u2") -> DataFrame:
-    """One flat file per partition, in blocks. Rows with null tokens list the documents written: block is then the first one's number in its file."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _flat(batches, tokenizer_path, end_id, block, dtype), FLAT_DDL)
-
-
-def read_flat_files(spark: SparkSession, path: str, block: int = 1 << 16, dtype: str = "<u2") -> DataFrame:
-    """The blocks of raw binary token files of up to 2 GB each, as a store holds them."""
-    width = np.dtype(dtype).itemsize * block
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "content")
-    cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.length("content") / F.lit(width)) - 1, F.lit(0)).cast("long"))
-    return files.select("file", "path", "content", F.explode(cut).alias("block")).select(
-        "file", "block", F.substring(F.col("content"), (F.col("block") * width + 1).cast("int"), F.lit(width)).alias("tokens"), F.lit(None).cast("array<long>").alias("doc_ids")
+        out: list[list] = [[], [], [], [], []]
+        for uri, number, total in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if uri != last:
+                if source:
+                    source.close()
+                files, place = _opened(uri)
+                source, last = files.open_input_file(place), uri
+            ids = np.frombuffer(source.read_at(min(block, total - number * block) * width, number * block * width), dtype)
+            for column, value in zip(out, (uri.rsplit("/", 1)[-1], number, total, len(ids), np.flatnonzero(ids == end_id)), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _ENDS, strict=True)], schema=_ENDS)
+    if source:
+        source.close()
+
+
+def file_ends(spark: SparkSession, folder: str, end_id: int, block: int = BLOCK_IDS, dtype: str = "<u2") -> DataFrame:
+    """One row per block of the folder's files: file (its name), block, file_ids, n_ids and ends (places of end ids in the block)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(folder).select("path", "length")  # the contents are not read here
+    tasks = 1 + (files.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    sized = files.select("path", F.expr(f"length div {np.dtype(dtype).itemsize}").alias("file_ids")).filter("file_ids > 0")
+    blocks = sized.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(file_ids - 1) div {block}"))).alias("block"), "file_ids")
+    return blocks.repartitionByRange(int(tasks), "path", "block").mapInArrow(lambda batches: _ends(batches, end_id, block, dtype), _ENDS_DDL)
+
+
+def count_tokens(found: DataFrame, stripe_blocks: int | None = None) -> DataFrame:
+    """Of rows of file_ends: file, doc_no (from 0 in its file), start, n_tokens (with the end id) and finished. found is read twice."""
+    stripe = F.floor(F.col("block") / (stripe_blocks or STRIPE_BLOCKS))
+    summary = found.select("file", stripe.alias("stripe"), "block", "n_ids", F.size("ends").cast("long").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last_end"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    inner = before(["file", "stripe"], "block")
+    placed = summary.withColumns({"ids_in": earlier("n_ids", inner), "ends_in": earlier("n_ends", inner)}).withColumn("after_in", F.col("ids_in") + F.col("last_end") + 1)
+    placed = placed.withColumn("open_in", F.max("after_in").over(inner))  # the id after the last end before this block, if one is in its stripe
+    stripes = placed.groupBy("file", "stripe").agg(F.sum("n_ids").alias("stripe_ids"), F.sum("n_ends").alias("stripe_ends"), F.max("after_in").alias("stripe_after"))
+    outer = before(["file"], "stripe")
+    stripes = stripes.withColumns({"ids_before": earlier("stripe_ids", outer), "ends_before": earlier("stripe_ends", outer)}).withColumn("after", F.col("ids_before") + F.col("stripe_after"))
+    stripes = stripes.select("file", "stripe", "ids_before", "ends_before", F.coalesce(F.max("after").over(outer), F.lit(0)).alias("open_before"))
+    bases = placed.join(stripes, ["file", "stripe"]).select(
+        "file", "block", (F.col("ids_before") + F.col("ids_in")).alias("base"), (F.col("ends_before") + F.col("ends_in")).alias("first_no"), F.coalesce(F.col("ids_before") + F.col("open_in"), "open_before").alias("open_from")
     )
-
-
-def _ends(batches: Iterator[pa.RecordBatch], end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("n_ids", pa.int64()), ("ends", pa.list_(pa.int64()))])
-    for batch in batches:
-        ids = [np.frombuffer(x, dtype) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.flatnonzero(x == end_id) for x in ids], pa.list_(pa.int64()))], schema=schema)
-
-
-def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """file, doc_no (from 0 in its file), start, n_tokens (with the end id) and finished."""
-    found = blocks.filter(F.col("tokens").isNotNull()).select("file", "block", "tokens").mapInArrow(lambda batches: _ends(batches, end_id, dtype), "file long, block long, n_ids long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.select("file", "block", "n_ids", "ends", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0)).alias("ends_before"))
-    shifted = placed.withColumn("after", F.transform("ends", lambda e: e + F.col("base") + 1))
-    carried = shifted.withColumn("open_from", F.coalesce(F.max(F.try_element_at("after", F.lit(-1))).over(before), F.lit(0)))
-    ordered = Window.partitionBy("file").orderBy("block")
-    carried = carried.withColumn("is_last", F.lead("block").over(ordered).isNull()).withColumn("file_end", F.col("base") + F.col("n_ids"))
+    carried = found.join(bases, ["file", "block"]).withColumn("after", F.transform("ends", lambda e: e + F.col("base") + 1))
     starts = F.concat(F.array("open_from"), "after")
-    last_open = F.col("is_last") & (F.element_at(starts, -1) < F.col("file_end"))
-    stops = F.when(last_open, F.concat("after", F.array("file_end"))).otherwise(F.col("after"))
-    return (
-        carried.select("file", "ends_before", F.size("after").alias("n_after"), starts.alias("starts"), stops.alias("stops"))
-        .select("file", "ends_before", "n_after", "starts", F.posexplode("stops").alias("k", "stop"))
-        .select("file", (F.col("ends_before") + F.col("k")).alias("doc_no"), F.get("starts", F.col("k")).alias("start"), (F.col("stop") - F.get("starts", F.col("k"))).alias("n_tokens"), (F.col("k") < F.col("n_after")).alias("finished"))
-    )
-
-
-def written_documents(blocks: DataFrame) -> DataFrame:
-    """file, doc_no and doc_id of the documents that flat_token_blocks wrote."""
-    listed = blocks.filter(F.col("tokens").isNull()).select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
-    return listed.select("file", (F.col("block") + F.col("k")).alias("doc_no"), "doc_id")
+    open_end = (F.col("base") + F.col("n_ids") == F.col("file_ids")) & (F.element_at(starts, -1) < F.col("file_ids"))
+    stops = F.when(open_end, F.concat("after", F.array("file_ids"))).otherwise(F.col("after"))
+    each = carried.select("file", "first_no", F.size("after").alias("n_after"), starts.alias("starts"), F.posexplode(stops).alias("k", "stop"))
+    start = F.get("starts", F.col("k"))
+    return each.select("file", (F.col("first_no") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("k") < F.col("n_after")).alias("finished"))

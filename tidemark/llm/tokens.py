@@ -124,7 +124,7 @@ class Encoder:
 
     def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some pieces end to end, and each piece's number of ids."""
-        if self.count > MAX_PIECES:
+        if self.count + len(starts) > min(MAX_PIECES, (1 << _SLOT_BITS) * 3 // 4):
             self._empty()
         low, high = span_keys(data, starts, ends)
         entry = self._find(low, high)
@@ -142,7 +142,8 @@ class Encoder:
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        parts = [self._pieces(data, starts[k : k + _PIECES_ONCE], ends[k : k + _PIECES_ONCE]) for k in range(0, len(starts), _PIECES_ONCE)]
+        once = min(_PIECES_ONCE, (1 << _SLOT_BITS) // 4)
+        parts = [self._pieces(data, starts[k : k + once], ends[k : k + once]) for k in range(0, len(starts), once)]
         sums = np.concatenate([[0], *[n for _, n in parts]]).cumsum()
         return np.concatenate([ids for ids, _ in parts]), np.diff(sums[np.searchsorted(starts, offsets)])
 
