@@ -257,10 +257,101 @@ def test_nuclei_and_noise_floor():
     level = np.where(np.arange(400) % 30 < 3, 0.1, 0.01)
     found = detect.nucleus_fold(pd.DataFrame({"t_ms": t, "rms": level}))
     assert found["nucleus"].sum() == 14
-    n = 600
-    frames = pd.DataFrame({"acquired_at_ms": np.arange(n) * 10.0, "rms": [0.1] * 100 + [0.01] * 500, "cpp_db": [20.0] * 100 + [10.0] * 500, "voiced": [True] * 100 + [False] * 500, "usable": True})
-    assert detect.noise_fold(frames)["noise_floor_rms"].tolist()[:1] == [0.01]
-    assert len(detect.noise_fold(frames.assign(usable=frames.index % 150 != 149))) == 0
+
+
+def noise_frames(*parts):
+    """Rows of (kind, first ms, end ms, step ms, overrides)."""
+    kinds = {"loud": {"rms": 0.02, "cpp_db": 12.0, "f0_hz": 160.0, "f0_confidence": 0.9, "agreement": 0.9, "flux": 0.2}, "quiet": {"rms": 0.001, "cpp_db": 2.0, "f0_hz": None, "f0_confidence": 0.1, "agreement": 0.1, "flux": 0.001}}
+    rows = [{"acquired_at_ms": float(t), "usable": True, "identity": "a", **kinds[kind], **over} for kind, low, high, step, over in parts for t in range(low, high, step)]
+    return pd.DataFrame(rows)
+
+
+def floors(*parts):
+    return detect.noise_fold(noise_frames(*parts))[["at_ms", "noise_floor_rms"]].to_numpy().tolist()
+
+
+def test_noise_floor_needs_contrast_and_two_quiet_seconds():
+    contrast = ("loud", 0, 500, 10, {})
+    assert floors(contrast, ("quiet", 500, 2490, 10, {})) == [[2480, 0.001]]
+    assert floors(contrast, ("quiet", 500, 2480, 10, {})) == []
+    assert floors(("quiet", 0, 60_000, 10, {})) == [] and floors(("loud", 0, 60_000, 10, {})) == []
+    assert floors(("loud", 0, 360, 10, {}), ("quiet", 360, 4000, 10, {})) == []  # too short a contrast
+    assert floors(contrast, ("quiet", 500, 1000, 1, {})) == []  # windows that overlap add nothing
+    assert floors(contrast, ("quiet", 500, 2490, 10, {}), ("quiet", 2490, 9000, 10, {})) == [[2480, 0.001]]  # the next one needs contrast again
+    assert len(floors(contrast, ("quiet", 500, 2490, 10, {}), ("loud", 2490, 3000, 10, {}), ("quiet", 3000, 6000, 10, {}))) == 2
+
+
+@pytest.mark.parametrize("over", [{"rms": 0.003}, {"flux": 0.2}, {"cpp_db": 12.0}, {"cpp_db": 10.0}, {"f0_hz": 160.0}, {"f0_confidence": 0.5}, {"agreement": 0.5}, {"usable": False}, {"identity": "b"}])
+def test_doubtful_frames_give_no_noise_floor(over):
+    assert floors(("loud", 0, 500, 10, {}), ("quiet", 500, 4000, 10, over)) == []
+
+
+def test_noise_floor_evidence_ends():
+    contrast = ("loud", 0, 500, 10, {})
+    assert floors(contrast, ("quiet", 1000, 5000, 10, {})) == []  # a gap
+    swinging = [("quiet", t, t + 10, 10, {"rms": 0.0002 if t % 80 < 40 else 0.001}) for t in range(500, 35_000, 10)]
+    assert floors(contrast, *swinging, ("quiet", 35_000, 38_000, 10, {})) == []  # unsteady, and then the contrast is too old
+    late = [("quiet", t, t + 10, 10, {"rms": 0.0002 if t % 80 < 40 else 0.001}) for t in range(500, 20_000, 10)]
+    assert len(floors(contrast, *late, ("quiet", 20_000, 23_000, 10, {}))) == 1  # steady in time
+    rising = [("quiet", t, t + 10, 10, {"cpp_db": 11.0}) for t in range(500, 3000, 10)]
+    assert len(floors(contrast, *rising, ("quiet", 3000, 5000, 10, {}))) == 1  # slides on until the median has dropped
+
+
+def blinks_by_frame(t, aperture, bins, reference):
+    """The rules of blinks, told frame by frame."""
+    out, start, wait, seen_open, ended = [], None, False, None, -math.inf
+    for k, (x, a) in enumerate(zip(t, aperture, strict=True)):
+        if k and (x - t[k - 1] > 75 or bins[k] - bins[k - 1] not in (0, 1)):
+            start, wait, seen_open = None, False, None
+        is_open = a >= 0.8 * reference
+        if wait:
+            wait = not is_open
+        elif start is not None:
+            took = x - t[start]
+            if took > 800:
+                start, wait = None, True
+            elif is_open:
+                if took >= 50:
+                    low = min(range(start, k + 1), key=lambda j: (aperture[j], j))
+                    out.append((onset, t[low], x, sum(t[j] - t[j - 1] for j in range(start + 1, k + 1) if aperture[j] <= 0.6 * reference)))
+                    ended = x
+                start = None
+        elif a <= 0.6 * reference and x - ended >= 150:
+            start, onset = k, x if seen_open is None else seen_open
+        seen_open = x if is_open else seen_open
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blinks_equal_their_rules_told_frame_by_frame(seed):
+    r = np.random.default_rng(seed)
+    n = 3000
+    t = np.cumsum(r.choice([20.0, 33.0, 40.0, 90.0], n, p=[0.4, 0.4, 0.19, 0.01]))
+    level = np.repeat(r.choice([0.3, 0.05, 0.2, 0.26], n // 5, p=[0.6, 0.2, 0.1, 0.1]), 5) + r.normal(0, 0.01, n)
+    bins = (t // 5000).astype(int) + np.cumsum(r.random(n) < 0.001)
+    found = detect.blink_fold(pd.DataFrame({"t_ms": t, "aperture": level, "bin": bins, "reference": 0.3}))
+    assert np.allclose(found[["onset_ms", "peak_ms", "offset_ms", "closed_dwell_ms"]].to_numpy(float), np.array(blinks_by_frame(t, level, bins, 0.3))) and len(found) > 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_expressions_equal_their_rules_told_frame_by_frame(seed):
+    r = np.random.default_rng(seed)
+    n = 4000
+    t = np.cumsum(r.choice([40.0, 50.0, 250.0], n, p=[0.6, 0.395, 0.005]))
+    rise = np.repeat(r.choice([0, 0.03, 0.05, 0.08], n // 20, p=[0.4, 0.2, 0.2, 0.2]), 20)
+    rise[500:800] = 0.05  # longer than ten seconds
+    wanted, held = [], []
+    for k in range(n):
+        if k and t[k] - t[k - 1] > 200:
+            held = []
+        if held and rise[k] < 0.02:
+            wanted += [(t[held[0]], t[held[-1]])] if t[held[-1]] - t[held[0]] >= 300 else []
+            held = []
+        elif held or rise[k] >= 0.04:
+            held = [*held, k]
+            held = [] if t[k] - t[held[0]] > 10_000 else held
+    wanted += [(t[held[0]], t[held[-1]])] if held and t[held[-1]] - t[held[0]] >= 300 else []
+    assert [(t[a], t[b - 1]) for a, b in detect.expression_spans(t, rise)] == wanted and len(wanted) > 20
 
 
 # geometry and signals

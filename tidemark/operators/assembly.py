@@ -93,13 +93,13 @@ def summary_errors(claimed: DataFrame, outcomes: DataFrame) -> DataFrame:
 def report_sections(outcomes: DataFrame, sections: DataFrame, failures: DataFrame) -> DataFrame:
     """Sections (section, metric_code, position: a small table) of every session without provenance failures, their outcomes in order of position."""
     sound = outcomes.join(failures.select(*KEY).distinct(), KEY, "left_anti")
-    placed = sound.join(F.broadcast(sections), "metric_code")
+    placed = sound.join(sections, "metric_code")
     return placed.groupBy(*KEY, "section").agg(F.array_sort(F.collect_list(F.struct("position", "metric_code", "status", "value", "reason_code"))).alias("outcomes"), F.count("*").alias("n"))
 
 
 def section_errors(reported: DataFrame, sections: DataFrame) -> DataFrame:
     """Reported rows (session_id, section, metric_code) with violations: another section than the metric's, or a metric that appears twice."""
-    own = reported.join(F.broadcast(sections.select("metric_code", F.col("section").alias("own_section"))), "metric_code", "left")
+    own = reported.join(sections.select("metric_code", F.col("section").alias("own_section")), "metric_code", "left")
     times = reported.groupBy(*KEY, "metric_code").agg(F.count("*").alias("times"))
     joined = own.join(times, [*KEY, "metric_code"])
     return joined.withColumn("violations", S.reasons([(F.col("own_section").isNull(), "unregistered-metric"), (F.col("own_section") != F.col("section"), "wrong-section"), (F.col("times") > 1, "repeated-metric")])).drop("own_section", "times")

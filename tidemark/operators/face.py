@@ -19,12 +19,32 @@ BIN_MS, MIN_BIN_DATA_MS, MIN_BIN_SPAN_MS, MIN_BIN_FRAMES, MAX_GAP_MS, MAX_SIZE_R
 MIN_BINS, MIN_SPAN_MS, CALIBRATION_MS = 3, 30_000, 1_500
 DEFAULT_STEP_MS = 1000 / 30
 BLINK_EXPOSURE_MS, BLINK_CADENCE_HZ, BLINK_P95_GAP_MS, MIN_EXPRESSIONS = 60_000, 24, 75, 3
-#: metric code, name of the bin value, whether only frames that carry it make up its bins.
-BIN_METRICS = [
-    ("ambient.face.eye_aperture.left", "eye_left", False), ("ambient.face.eye_aperture.right", "eye_right", False), ("ambient.face.eye_aperture.asymmetry", "eye_asymmetry", False), ("ambient.face.mouth_width", "mouth_width", False),
-    ("ambient.face.mouth_aperture.median", "mouth_median", False), ("ambient.face.mouth_aperture.p90", "mouth_p90", False), ("ambient.face.mouth_corner_position.asymmetry", "corner_asymmetry", False),
-    ("ambient.face.landmark_speed.p90", "movement", True), ("ambient.face.brow_height.left", "brow_left", True), ("ambient.face.brow_height.right", "brow_right", True), ("ambient.face.brow_height.asymmetry", "brow_asymmetry", True),
-]
+LOW_BIN_SHARE = 0.25
+#: The metric codes in their order, each with its kind, the name of its value, and the bins that it rests on.
+METRICS = [
+    ("ambient.face.eye_aperture.left", "bins", "eye_left", "base"),
+    ("ambient.face.eye_aperture.right", "bins", "eye_right", "base"),
+    ("ambient.face.eye_aperture.asymmetry", "bins", "eye_asymmetry", "base"),
+    ("ambient.face.mouth_width", "bins", "mouth_width", "base"),
+    ("ambient.face.mouth_aperture.median", "bins", "mouth_median", "base"),
+    ("ambient.face.mouth_aperture.p90", "bins", "mouth_p90", "base"),
+    ("ambient.face.mouth_corner_position.asymmetry", "bins", "corner_asymmetry", "base"),
+    ("ambient.face.landmark_speed.p90", "bins", "movement", "movement"),
+    ("ambient.face.blink_rate.bilateral", "blinks", "blink_rate", "base"),
+    ("ambient.face.rest_mouth_corner_asymmetry.signed", "expressions", "rest_corner", "base"),
+    ("ambient.face.rest_eye_aperture_asymmetry.signed", "expressions", "rest_eye", "base"),
+    ("ambient.face.spontaneous_event_rate", "expressions", "event_rate", "base"),
+    ("ambient.face.spontaneous_excursion.p90", "expressions", "excursion_p90", "base"),
+    ("ambient.face.spontaneous_excursion_asymmetry.median", "expressions", "excursion_asymmetry", "base"),
+    ("ambient.face.oculo_oral_synkinesis_index", "expressions", "coupling", "base"),
+    ("ambient.face.brow_height.left", "bins", "brow_left", "brow_left"),
+    ("ambient.face.brow_height.right", "bins", "brow_right", "brow_right"),
+    ("ambient.face.brow_height_asymmetry.signed", "bins", "brow_asymmetry", "brow_asymmetry"),
+    ("ambient.face.lid_closure_completeness.left", "bins", "closure_left", "lid_left"),
+    ("ambient.face.lid_closure_completeness.right", "bins", "closure_right", "lid_right"),
+]
+#: Bins of their own frames: those that carry the value.
+SPECIAL = ["movement", "brow_left", "brow_right", "brow_asymmetry"]
 
 KEY = ["session_id"]
 ORDER = ["t_ms", "sequence"]
@@ -42,12 +62,24 @@ def resting_pose(frames: DataFrame) -> DataFrame:
     return medians.select(*KEY, F.when(sound, F.struct(*axes)).alias("resting"))
 
 
+def in_range(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The frames of the face task within a session's time, with session_started_at_ms, face_calibration and bin."""
+    start = F.col("session_started_at_ms")
+    timed = frames.join(sessions.select(*KEY, "session_started_at_ms", "face_calibration"), "session_id").filter(F.col("task_context").eqNullSafe(F.lit(gates.FACE_TASK)) & S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS))
+    return timed.withColumn("bin", F.floor((F.col("t_ms") - start) / float(BIN_MS)).cast("int"))
+
+
 def gated(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """Frames in range with resting, failures and bin."""
-    start = F.col("session_started_at_ms")
-    ranged = frames.join(sessions.select(*KEY, "session_started_at_ms", "face_calibration"), "session_id").filter(F.col("task_context").eqNullSafe(F.lit(gates.FACE_TASK)) & S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS))
-    posed = ranged.join(resting_pose(ranged), "session_id", "left")
-    return posed.withColumn("failures", gates.face_gate_failures(F.col("face_calibration"), F.col("resting"))).withColumn("bin", F.floor((F.col("t_ms") - start) / float(BIN_MS)).cast("int"))
+    ranged = in_range(frames, sessions)
+    return ranged.join(resting_pose(ranged), "session_id", "left").withColumn("failures", gates.face_gate_failures(F.col("face_calibration"), F.col("resting")))
+
+
+def _provenances() -> Column:
+    """Aggregate: 1 where all rows share processor, track and epoch, 2 where they do not, 0 where none has all three."""
+    own = F.struct("processor_ref", "track_segment_id", "capture_epoch")
+    known = F.when(F.col("processor_ref").isNotNull() & F.col("track_segment_id").isNotNull() & F.col("capture_epoch").isNotNull(), own)
+    return F.when(F.count(known) == 0, 0).when(F.min(known) == F.max(known), 1).otherwise(2)
 
 
 def qualify(usable: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +89,7 @@ def qualify(usable: DataFrame, keys: list[str]) -> DataFrame:
     gap = F.col("gap_ms")
     grouped = (
         usable.withColumn("gap_ms", F.col("t_ms") - F.lag("t_ms").over(w)).withColumn("face_size", size).groupBy(*keys)
-        .agg(F.count("*").alias("frames"), F.countDistinct("processor_ref", "track_segment_id", "capture_epoch").alias("provenances"), F.min(gap).alias("least_gap_ms"), F.max(gap).alias("largest_gap_ms"), F.percentile(gap, F.lit(0.95)).alias("p95_gap_ms"),
+        .agg(F.count("*").alias("frames"), _provenances().alias("provenances"), F.min(gap).alias("least_gap_ms"), F.max(gap).alias("largest_gap_ms"), F.percentile(gap, F.lit(0.95)).alias("p95_gap_ms"),
              (F.max("t_ms") - F.min("t_ms")).alias("span_ms"), F.coalesce(robust.median(F.when((gap > 0) & (gap <= MAX_GAP_MS), gap)), F.lit(DEFAULT_STEP_MS)).alias("step_ms"),
              robust.percentile("face_size", 0.1).alias("size_p10"), robust.percentile("face_size", 0.9).alias("size_p90"), F.first("processor_ref").alias("processor_ref"), F.first("track_segment_id").alias("track_segment_id"), F.first("capture_epoch").alias("capture_epoch"))
         .withColumn("data_ms", F.least(F.lit(float(BIN_MS)), F.round(F.col("frames") * F.col("step_ms"), 3)))
@@ -80,11 +112,14 @@ def _values(frames: DataFrame, keys: list[str]) -> DataFrame:
         ("brow_left", brow["left"], 0.5), ("brow_right", brow["right"], 0.5), ("brow_asymmetry", brow["left"] - brow["right"], 0.5),
     ]
     each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(p).alias("share")) for n, v, p in named])
+    if "variant" in keys:  # the special bins stand for their own value, the others for all but these
+        own = F.array(*[F.lit(x) for x in SPECIAL])
+        each = F.filter(each, lambda e: F.when(F.array_contains(own, F.col("variant")), e["name"] == F.col("variant")).otherwise(~F.array_contains(own, e["name"])))
     return frames.withColumn("each_value", each).select(*keys, *ORDER, "step_ms", F.inline("each_value")).filter(S.finite("value"))
 
 
 def bin_values(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """name and bin_value of each bin: the percentile by time, each value weighing until the next and the last one step."""
+    """name, bin_value and least of each bin: the percentile by time, each value weighing until the next and the last one step; the least value."""
     long = _values(frames, keys)
     group = [*keys, "name"]
     ordered = Window.partitionBy(*group).orderBy(*ORDER)
@@ -93,7 +128,7 @@ def bin_values(frames: DataFrame, keys: list[str]) -> DataFrame:
     running = Window.partitionBy(*group).orderBy("value", *ORDER).rowsBetween(Window.unboundedPreceding, 0)
     summed = weighted.withColumn("running", F.sum("weight_ms").over(running)).withColumn("whole", F.sum("weight_ms").over(Window.partitionBy(*group)))
     plain = F.when(F.max("share") > 0.7, robust.percentile("value", 0.9)).otherwise(robust.median("value"))
-    return summed.groupBy(*group).agg(F.when(F.max("whole") > 0, F.min(F.when(F.col("running") >= F.col("share") * F.col("whole"), F.col("value")))).otherwise(plain).alias("bin_value"))
+    return summed.groupBy(*group).agg(F.when(F.max("whole") > 0, F.min(F.when(F.col("running") >= F.col("share") * F.col("whole"), F.col("value")))).otherwise(plain).alias("bin_value"), F.min("value").alias("least"))
 
 
 def _carries(name: str) -> Column:
@@ -109,39 +144,155 @@ def accepted_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
     return bins, usable.join(bins.select(*KEY, "bin", "step_ms"), [*KEY, "bin"])
 
 
+def _with_variants(base: DataFrame) -> DataFrame:
+    """Frames of base bins, once for each variant whose bins they may make up."""
+    variants = F.array_compact(F.array(F.lit("base"), *[F.when(_carries(name), F.lit(name)) for name in SPECIAL]))
+    return base.drop("step_ms").withColumn("variant", F.explode(variants))
+
+
+def bins_and_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bins, their frames, their values) by session_id, variant and bin. Bins of special variants qualify by their own frames alone.
+
+    lid_left and lid_right are the base bins in which that eye is seen open. Tables are written in the shared folder.
+    """
+    key = [*KEY, "variant", "bin"]
+    usable = materialize(gated(frames, sessions).filter(F.size("failures") == 0))
+    base = usable.join(qualify(usable, [*KEY, "bin"]).filter("reason is null").select(*KEY, "bin"), [*KEY, "bin"])
+    candidates = _with_variants(base)
+    bins = materialize(qualify(candidates, key).filter("reason is null"))
+    kept = materialize(candidates.join(bins.select(*key, "step_ms"), key))
+    values = materialize(bin_values(kept, key))
+    seen_open = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").select(*KEY, "bin", F.replace("name", F.lit("eye"), F.lit("lid")).alias("variant"))
+    of_lids = lambda df: df.filter("variant = 'base'").drop("variant").join(seen_open, [*KEY, "bin"])
+    return bins.unionByName(of_lids(bins)), kept.unionByName(of_lids(kept)), values
+
+
+def evidence(bins: DataFrame, kept: DataFrame) -> DataFrame:
+    """What a metric rests on, by session_id and variant: amounts, the worst bin for each gate, sources, and quality in 0 to 1."""
+    by = [*KEY, "variant"]
+    start = F.first("session_started_at_ms")
+    size = F.col("size_p90") / F.col("size_p10")
+    steady = S.clamp01(1 - (size - 1) / (MAX_SIZE_RATIO - 1))
+    source = F.struct("capture_epoch", "track_segment_id")
+    started = kept.groupBy(*by, "bin").agg(start.alias("started"))
+    low = (F.col("started") + F.col("bin") * BIN_MS).cast("long")
+    ref = S.window_ref("face", "capture_epoch", "track_segment_id", low, low + BIN_MS)
+    each = bins.join(started, [*by, "bin"]).withColumns({"window": F.struct("bin", ref.alias("ref")), "steady": steady})
+    of_bins = each.groupBy(*by).agg(
+        F.count("*").alias("bins"), F.sum("data_ms").alias("eligible_ms"), F.sum("frames").alias("samples"), F.size(F.collect_set(source)).alias("segments"),
+        ((F.max("bin") - F.min("bin") + 1) * float(BIN_MS)).alias("span_ms"), F.min("cadence_hz").alias("least_cadence_hz"), F.min("data_ms").alias("least_data_ms"), F.min("frames").alias("least_frames"), F.min("span_ms").alias("least_span_ms"),
+        F.coalesce(F.max("largest_gap_ms"), F.lit(0.0)).alias("largest_gap_ms"), F.array_sort(F.collect_set("processor_ref")).alias("processor_refs"), F.array_sort(F.collect_set("track_segment_id")).alias("track_segment_ids"),
+        F.transform(F.array_sort(F.collect_list("window")), lambda w: w["ref"]).alias("window_refs"), robust.median("cadence_hz").alias("cadence"), robust.median(F.col("data_ms") / BIN_MS).alias("coverage"), robust.median("steady").alias("steadiness"),
+    )
+    pose, rest = F.col("pose"), F.col("resting")
+    turned = F.greatest(*[F.abs(pose[c] - F.coalesce(rest[c], F.lit(0.0))) / most for c, most in (("yaw_degrees", gates.MAX_YAW), ("pitch_degrees", gates.MAX_PITCH), ("roll_degrees", gates.MAX_ROLL))])
+    gap = F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*by, "bin").orderBy(*ORDER))
+    of_frames = kept.withColumn("gap_ms", gap).groupBy(*by).agg(robust.percentile("gap_ms", 0.95).alias("p95_gap_ms"), robust.median(S.clamp01(1 - turned)).alias("frontal"))
+    quality = S.clamp01(0.3 * S.clamp01(F.col("cadence") / 30) + 0.3 * S.clamp01("coverage") + 0.2 * F.col("steadiness") + 0.2 * F.col("frontal"))
+    return of_bins.join(of_frames, by).withColumn("quality", quality).drop("cadence", "coverage", "steadiness", "frontal")
+
+
+def _blink_rates(bins: DataFrame, base: DataFrame) -> DataFrame:
+    """Bilateral blinks a minute of exposure, their number, and the spread of the bins' rates."""
+    pairs = bilateral_blinks(blinks(base, KEY), KEY).groupBy(*KEY, "bin").agg(F.count("*").alias("pairs"))
+    each = bins.select(*KEY, "bin", "data_ms").join(pairs, [*KEY, "bin"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    rates = each.withColumn("rate", F.col("pairs") / (BIN_MS / 60_000))
+    whole = robust.median_and_mad(rates, KEY, "rate", F.sum("pairs").alias("blinks"), F.sum("data_ms").alias("exposure_ms"), F.count("*").alias("n"))
+    return whole.select(*KEY, F.col("blinks").cast("long"), (F.col("blinks") / (F.col("exposure_ms") / 60_000)).alias("value"), F.when(F.col("n") >= 2, F.col("mad_value")).alias("dispersion"))
+
+
+def _expression_values(base: DataFrame, exposure: DataFrame) -> DataFrame:
+    """name, value and dispersion of the six expression metrics, with events and couplings."""
+    m, eye = F.col("mouth_corners"), F.col("eye_aperture")
+    usable = base.filter(gates.expression_usable())
+    rest = usable.groupBy(*KEY).agg((robust.median(m["right"]["y"]) - robust.median(m["left"]["y"])).alias("rest_corner"), (robust.median(F.when(S.finite(eye["left"]), eye["left"])) - robust.median(F.when(S.finite(eye["right"]), eye["right"]))).alias("rest_eye"))
+    e = expressions(base, KEY).withColumns({"asymmetry": detect.excursion_asymmetry(), "coupling": detect.coupling_difference(), "excursion": F.greatest("peak_left", "peak_right")})
+    middle = lambda c: F.percentile(c, F.lit(0.5)).over(Window.partitionBy(*KEY))
+    spread = lambda c: F.when(F.count(c) >= 2, robust.median(F.abs(F.col(c) - F.col(f"middle_{c}"))))
+    shaped = e.withColumns({"middle_asymmetry": middle("asymmetry"), "middle_coupling": middle("coupling")}).groupBy(*KEY).agg(
+        F.count("*").alias("events"), F.count("coupling").alias("couplings"), robust.percentile("excursion", 0.9).alias("excursion_p90"), robust.median("asymmetry").alias("excursion_asymmetry"), robust.median("coupling").alias("coupling"),
+        spread("asymmetry").alias("spread_asymmetry"), spread("coupling").alias("spread_coupling"),
+    )
+    joined = rest.join(exposure, KEY).join(shaped, KEY, "left").fillna(0, ["events", "couplings"])
+    rate = F.when(F.col("eligible_ms") > 0, F.col("events") / (F.col("eligible_ms") / 60_000))
+    none = F.lit(None).cast("double")
+    named = [("rest_corner", F.col("rest_corner"), none), ("rest_eye", F.col("rest_eye"), none), ("event_rate", rate, none), ("excursion_p90", F.col("excursion_p90"), none), ("excursion_asymmetry", F.col("excursion_asymmetry"), F.col("spread_asymmetry")), ("coupling", F.col("coupling"), F.col("spread_coupling"))]
+    return joined.select(*KEY, "events", "couplings", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), d.alias("dispersion")) for n, v, d in named])))
+
+
 def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
-    """session_id, metric_code, status, reason_code, value, dispersion and bins, for each bin-median metric."""
-    bins, kept = (materialize(x) for x in accepted_frames(frames, sessions))
-    own = bin_values(kept, [*KEY, "bin"]).filter(~F.col("name").isin([n for _, n, special in BIN_METRICS if special]))
-    special = None
-    for _, name, carried in BIN_METRICS:
-        if carried:
-            some = kept.drop("step_ms").filter(_carries(name))
-            again = qualify(some, [*KEY, "bin"]).filter("reason is null").select(*KEY, "bin", "step_ms")
-            part = bin_values(some.join(again, [*KEY, "bin"]), [*KEY, "bin"]).filter(F.col("name") == name)
-            special = part if special is None else special.unionByName(part)
-    values = own.unionByName(special)
-    stats = robust.median_and_mad(values, [*KEY, "name"], "bin_value", F.count("*").alias("value_bins"), (F.max("bin") - F.min("bin") + 1).alias("value_bin_span"))
-    whole = bins.groupBy(*KEY).agg(F.count("*").alias("bins"), F.countDistinct("processor_ref", "capture_epoch", "track_segment_id").alias("provenances"), (F.max("bin") - F.min("bin") + 1).alias("bin_span"))
-    several = frames.groupBy(*KEY).agg(F.sum((F.coalesce("face_count", F.lit(0)) > 1).cast("long")).alias("several_faces"))
-    registry = F.array(*[F.struct(F.lit(code).alias("metric_code"), F.lit(name).alias("name")) for code, name, _ in BIN_METRICS])
-    rows = sessions.join(several, KEY, "left").join(whole, KEY, "left").withColumn("registered", registry).select("*", F.inline("registered")).join(stats, [*KEY, "name"], "left")
+    """One row per session and registered metric, measured or withheld with a reason: value, dispersion, quality (if measured) and evidence.
+
+    Tables are written in the shared folder while the result is being planned.
+    """
+    bins, kept, values = bins_and_frames(frames, sessions)
+    proof = materialize(evidence(bins, kept))
+    base, base_bins = kept.filter("variant = 'base'"), bins.filter("variant = 'base'")
+    binned = robust.median_and_mad(values, [*KEY, "name"], "bin_value", F.count("*").alias("n"))
+    lids = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").groupBy(*KEY, "name").agg(robust.median("bin_value").alias("open"), robust.percentile("least", LOW_BIN_SHARE).alias("shut"))
+    none = F.lit(None).cast("double")
+    found = (
+        binned.select(*KEY, "name", F.col("median_value").alias("value"), F.when(F.col("n") >= 2, F.col("mad_value")).alias("dispersion"))
+        .unionByName(lids.select(*KEY, F.replace("name", F.lit("eye"), F.lit("closure")).alias("name"), S.clamp01(1 - F.col("shut") / F.col("open")).alias("value"), none.alias("dispersion")))
+    )
+    blinking = _blink_rates(base_bins, base).withColumn("name", F.lit("blink_rate"))
+    expressive = _expression_values(base, proof.filter("variant = 'base'").select(*KEY, "eligible_ms"))
+    found = found.unionByName(blinking, allowMissingColumns=True).unionByName(expressive, allowMissingColumns=True)
+    whole = base_bins.groupBy(*KEY).agg(F.count("*").alias("base_bins"), F.size(F.collect_set("processor_ref")).alias("processors"), F.size(F.collect_set(F.struct("capture_epoch", "track_segment_id"))).alias("tracks"), (F.max("bin") - F.min("bin") + 1).alias("base_span"))
+    ranged = in_range(frames, sessions).groupBy(*KEY).agg(F.sum((F.coalesce("face_count", F.lit(0)) > 1).cast("long")).alias("several_faces"), F.min("t_ms").alias("observed_start_ms"), F.max("t_ms").alias("observed_end_ms"))
+    registry = F.array(*[F.struct(F.lit(k).alias("metric_no"), F.lit(code).alias("metric_code"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(variant).alias("variant")) for k, (code, kind, name, variant) in enumerate(METRICS)])
+    every = sessions.select(*KEY, "face_calibration", F.inline(registry))
+    rows = every.join(ranged, KEY, "left").join(whole, KEY, "left").join(proof, [*KEY, "variant"], "left").join(found, [*KEY, "name"], "left")
     calibration = F.col("face_calibration")
-    uncalibrated = ~F.coalesce((calibration["duration_ms"] >= CALIBRATION_MS) & (calibration["baseline_box_width_pixels"] > 0) & (calibration["baseline_box_height_pixels"] > 0), F.lit(False))
+    calibrated = (calibration["duration_ms"] >= CALIBRATION_MS) & (calibration["baseline_box_width_pixels"] > 0) & (calibration["baseline_box_height_pixels"] > 0)
+    is_kind = lambda k: F.col("kind") == k
+    few_events = F.col("name").isin("excursion_p90", "excursion_asymmetry", "coupling") & (F.coalesce("events", F.lit(0)) < MIN_EXPRESSIONS)
+    few_couplings = (F.col("name") == "coupling") & (F.coalesce("couplings", F.lit(0)) < MIN_EXPRESSIONS)
     reason = S.first_reason([
-        (uncalibrated, "quality-threshold-failed"), (F.col("bins").isNull() & (F.col("several_faces") > 0), "multiple-faces"), (F.col("bins").isNull(), "no-usable-signal"), (F.col("provenances") > 1, "quality-threshold-failed"),
-        (F.col("bins") < MIN_BINS, "insufficient-bins"), (F.col("bin_span") * BIN_MS < MIN_SPAN_MS, "insufficient-duration"),
-        (F.coalesce("value_bins", F.lit(0)) < MIN_BINS, "insufficient-bins"), (F.col("value_bin_span") * BIN_MS < MIN_SPAN_MS, "insufficient-duration"),
+        (~F.coalesce(calibrated, F.lit(False)), "quality-threshold-failed"), (F.col("base_bins").isNull() & (F.col("several_faces") > 0), "multiple-faces"), (F.col("base_bins").isNull(), "no-usable-signal"),
+        ((F.col("processors") > 1) | (F.col("tracks") > 1), "quality-threshold-failed"), (F.col("base_bins") < MIN_BINS, "insufficient-bins"), (F.col("base_span") * BIN_MS < MIN_SPAN_MS, "insufficient-duration"),
+        (is_kind("bins") & (F.coalesce("bins", F.lit(0)) < MIN_BINS), "insufficient-bins"), (is_kind("bins") & (F.col("span_ms") < MIN_SPAN_MS), "insufficient-duration"),
+        (is_kind("blinks") & (F.col("eligible_ms") < BLINK_EXPOSURE_MS), "insufficient-exposure"), (is_kind("blinks") & (F.col("least_cadence_hz") < BLINK_CADENCE_HZ), "insufficient-frame-cadence"),
+        (is_kind("blinks") & (F.col("p95_gap_ms") > BLINK_P95_GAP_MS), "quality-threshold-failed"), (few_events | few_couplings, "insufficient-events"), (~S.finite("value"), "no-usable-signal"),
     ])
-    return rows.withColumn("reason_code", reason).select(
-        "session_id", "metric_code", F.when(reason.isNull(), "measured").otherwise("withheld").alias("status"), "reason_code", F.when(reason.isNull(), F.col("median_value")).alias("value"), F.when(reason.isNull() & (F.col("value_bins") >= 2), F.col("mad_value")).alias("dispersion"), F.coalesce("value_bins", F.lit(0)).alias("bins")
-    )
+    measured = reason.isNull()
+    amounts = ["bins", "samples", "segments"]
+    return rows.select(
+        "session_id", "metric_no", "metric_code", F.when(measured, "measured").otherwise("withheld").alias("status"), reason.alias("reason_code"), F.when(measured, F.col("value")).alias("value"), F.when(measured, F.col("dispersion")).alias("dispersion"),
+        F.when(measured, F.col("quality")).alias("quality"), "observed_start_ms", "observed_end_ms", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in amounts], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("eligible_ms", "span_ms")],
+        "least_cadence_hz", "least_data_ms", "least_frames", "least_span_ms", "p95_gap_ms", "largest_gap_ms", "processor_refs", "track_segment_ids", "window_refs", F.when(is_kind("blinks"), F.col("blinks")).alias("blink_count"),
+        F.when(is_kind("expressions"), F.col("events")).alias("expression_count"), F.when(is_kind("expressions"), F.col("couplings")).alias("coupled_count"),
+    )
 
 
-def acceptance_curve(frames: DataFrame, sessions: DataFrame, shares: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """For each share of usable frames that a bin might be asked for: bins of each session that would pass."""
-    marked = gated(frames, sessions).groupBy(*KEY, "bin").agg(F.avg((F.size("failures") == 0).cast("double")).alias("usable_share"))
-    return marked.withColumn("asked", F.explode(F.array(*[F.lit(s) for s in shares]))).groupBy(*KEY, "asked").agg(F.sum((F.col("usable_share") >= F.col("asked")).cast("long")).alias("bins"), F.count("*").alias("of_bins"))
+def diagnostics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Of each session: frames, usable frames, medians and 95th percentiles of the pose angles' sizes, bins considered and accepted, and bins rejected by reason."""
+    marked = materialize(gated(frames, sessions))
+    pose = F.col("pose")
+    sizes = [(f"{axis}_p{round(100 * p)}", F.percentile(F.abs(pose[f"{axis}_degrees"]), F.lit(p))) for axis in ("yaw", "pitch", "roll") for p in (0.5, 0.95)]
+    whole = marked.groupBy(*KEY).agg(F.count("*").alias("frames"), F.sum((F.size("failures") == 0).cast("long")).alias("usable_frames"), F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes])
+    judged = qualify(marked.filter(F.size("failures") == 0), [*KEY, "bin"])
+    every = marked.select(*KEY, "bin").distinct().join(judged, [*KEY, "bin"], "left").withColumn("reason", F.when(F.col("frames").isNull(), "too-few-usable-frames").otherwise(F.col("reason")))
+    counted = every.groupBy(*KEY, "reason").agg(F.count("*").alias("n"))
+    rejected = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
+    return whole.join(counted.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("bins_accepted"), rejected.alias("bin_rejections")), KEY)
+
+
+#: Shares of usable frames that the acceptance curve asks about.
+CURVE_SHARES = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8)
+
+
+def acceptance_curve(frames: DataFrame, sessions: DataFrame, shares: tuple[float, ...] = CURVE_SHARES) -> DataFrame:
+    """For each share of usable frames that a bin might be asked for: bins of each session that would pass, and those that too few frames, a gap or a short span would lose."""
+    usable = F.size("failures") == 0
+    w = Window.partitionBy(*KEY, "bin", usable).orderBy(*ORDER)
+    stepped = gated(frames, sessions).withColumn("gap_ms", F.when(usable, F.col("t_ms") - F.lag("t_ms").over(w)))
+    at = F.when(usable, F.col("t_ms"))
+    each = stepped.groupBy(*KEY, "bin").agg(F.avg(usable.cast("double")).alias("share"), F.sum(usable.cast("long")).alias("n"), F.coalesce(F.max("gap_ms"), F.lit(0.0)).alias("gap"), F.coalesce(F.max(at) - F.min(at), F.lit(0.0)).alias("span"))
+    lost = S.first_reason([(F.col("n") < MIN_BIN_FRAMES, "samples"), (F.col("gap") > MAX_GAP_MS, "gap"), (F.col("span") < MIN_BIN_SPAN_MS, "span")], F.lit("bins"))
+    asked = each.withColumn("lost", lost).withColumn("asked", F.explode(F.array(*[F.lit(x) for x in shares])))
+    count = lambda what: F.sum(((F.col("lost") == what) & (F.col("share") >= F.col("asked"))).cast("long"))
+    return asked.groupBy(*KEY, "asked").agg(count("bins").alias("bins"), count("samples").alias("lost_to_samples"), count("gap").alias("lost_to_gap"), count("span").alias("lost_to_span"), F.count("*").alias("of_bins"))
 
 
 def gate_failure_counts(frames: DataFrame, sessions: DataFrame) -> DataFrame:

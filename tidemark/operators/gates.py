@@ -101,7 +101,7 @@ def voice_quality_tiers() -> dict[str, Column]:
     return {"timing_usable": free(TIMING_BLOCKERS), "general_usable": free(GENERAL_BLOCKERS), "fine_usable": F.coalesce(F.col("snr_db") >= FINE_SNR_DB, F.lit(False)) & free(FINE_BLOCKERS)}
 
 
-def acquisition_usable(min_rms: float = 1e-5, max_gap_ms: float = MAX_BLOCK_GAP_MS) -> Column:
+def acquisition_usable(min_rms: float = 1e-4, max_gap_ms: float = MAX_BLOCK_GAP_MS) -> Column:
     """Usable for calibrating passive noise: all measures known and in range, nothing lost or clipped, no browser processing."""
     c, b = F.col, F.col("browser_processing")
     known = F.lit(True)

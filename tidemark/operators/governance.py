@@ -72,10 +72,10 @@ def permitted_scope(rows: DataFrame, grants: DataFrame, keys: list[str]) -> Data
 def completed(present: DataFrame, owners: DataFrame, registry: DataFrame, owner: list[str], code: str) -> DataFrame:
     """One row for each owner and registered code, with problem: missing, repeated, or null. The registry is a small table of the library."""
     counted = present.groupBy(*owner, code).agg(F.count("*").alias("n"))
-    every = owners.select(*owner).distinct().crossJoin(F.broadcast(registry.select(code)))  # a fixed handful of codes
+    every = owners.select(*owner).distinct().crossJoin(registry.select(code))  # a fixed handful of codes
     joined = every.join(counted, [*owner, code], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.withColumn("problem", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "repeated"))
 
 
 def unregistered(present: DataFrame, registry: DataFrame, code: str) -> DataFrame:
-    return present.join(F.broadcast(registry.select(code)), code, "left_anti")
+    return present.join(registry.select(code), code, "left_anti")

@@ -6,10 +6,11 @@ cross, such as tenant, study and participant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import materialize
 from . import robust
 
 DAY_US = 86_400_000_000
@@ -38,7 +39,7 @@ def chain_audit(records: DataFrame, scope: list[str], identity: str, revision: s
 
     A sound chain has one root and one leaf, no revision with two successors, no predecessor that is missing,
     of another identity or recorded later, and no cycle. Only links between revisions of one time can close a
-    cycle, so chains that have such links, and no others, are followed up by pointer doubling.
+    cycle, so these, and no others, are followed up by pointer doubling; its tables are written while the result is being planned.
     """
     key = [*scope, identity]
     before = records.select(*[F.col(c).alias(f"p_{c}") for c in key], F.col(revision).alias("p_revision"), F.col(recorded).alias("p_recorded"))
@@ -60,14 +61,24 @@ def chain_audit(records: DataFrame, scope: list[str], identity: str, revision: s
 
 
 def _cyclic(links: DataFrame, key: list[str]) -> DataFrame:
-    """The identities whose links (at, up, tied) run in a circle, with cyclic = true."""
-    of_tied = links.groupBy(*key).agg(F.count("*").alias("links"), F.max("tied").alias("tied")).filter("tied")
-    longest = of_tied.agg(F.max("links")).first()[0] or 0
-    hops = links.join(of_tied.select(*key), key).select(*key, "at", "up")
-    for _ in range(int(longest).bit_length()):
-        ahead = hops.select(*key, F.col("at").alias("up"), F.col("up").alias("next"))
-        hops = hops.join(ahead, [*key, "up"], "left").select(*key, "at", F.col("next").alias("up"))
-    return hops.filter("up is not null").select(*key).distinct().withColumn("cyclic", F.lit(True))
+    """The identities whose links (at, up, tied) run in a circle, with cyclic = true.
+
+    Only tied links take part. Each round doubles the way that a hop covers and keeps the hops that still lead on; the rows of a round
+    are written, so that plans stay small. A hop that covers more links than its identity has tied ones runs in a circle.
+    """
+    tied = links.filter("tied")
+    count = tied.groupBy(*key).agg(F.count("*").alias("most"))
+    hops, covered, found = tied.join(count, key).select(*key, "at", "up", "most"), 1, None
+    while True:
+        seen = Observation()
+        hops = materialize(hops.observe(seen, F.coalesce(F.sum((F.col("most") >= covered).cast("long")), F.lit(0)).alias("open")))
+        circling = hops.filter(F.col("most") < covered).select(*key)
+        found = circling if found is None else found.union(circling)
+        if not seen.get["open"]:
+            return found.distinct().withColumn("cyclic", F.lit(True))
+        going = hops.filter(F.col("most") >= covered)
+        ahead = going.select(*key, F.col("at").alias("up"), F.col("up").alias("next"))
+        hops, covered = going.join(ahead, [*key, "up"]).select(*key, "at", F.col("next").alias("up"), "most"), 2 * covered
 
 
 def consent_reasons(modality: Column, start: Column, end: Column, as_of: Column) -> list[tuple[Column, str]]:
@@ -132,13 +143,13 @@ def baseline(candidates: DataFrame, keys: list[str], encounter: str, value: str,
 
 def phases_of(points: DataFrame, phases: DataFrame, first: str, last: str) -> DataFrame:
     """Each point with each phase that holds it: first >= start_day and last < end_day. phases is a small parameter table."""
-    return points.join(F.broadcast(phases), (F.col(first) >= F.col("start_day")) & (F.col(last) < F.col("end_day")))
+    return points.join(phases, (F.col(first) >= F.col("start_day")) & (F.col(last) < F.col("end_day")))
 
 
 def phase_coverage(points: DataFrame, rows: DataFrame, phases: DataFrame, keys: list[str], encounter: str, first: str, last: str) -> DataFrame:
     """For each row and phase: distinct encounters and missing, sparse or sufficient; phases without points too."""
     held = phases_of(points, phases, first, last).groupBy(*keys, "phase_id").agg(F.countDistinct(encounter).alias("encounters"))
-    every = rows.select(*keys).crossJoin(F.broadcast(phases.select("phase_id", "minimum_count")))  # a fixed handful of phases
+    every = rows.select(*keys).crossJoin(phases.select("phase_id", "minimum_count"))  # a fixed handful of phases
     counted = every.join(held, [*keys, "phase_id"], "left").withColumn("encounters", F.coalesce("encounters", F.lit(0)).cast("long"))
     return counted.withColumn("status", F.when(F.col("encounters") == 0, "missing").when(F.col("encounters") < F.col("minimum_count"), "sparse").otherwise("sufficient"))
 

@@ -68,7 +68,7 @@ def map_resources(resources: DataFrame, bundle_id: str, codes: DataFrame) -> tup
     typed = known.filter(r["resourceType"].isin(RESOURCE_TYPES)).withColumn("m_id", r["medicationReference"]["reference"])
     coded = typed.join(medications, [bundle_id, "m_id"], "left").withColumn("coding", F.when(r["resourceType"] == "Procedure", r["code"]["coding"]).otherwise(F.coalesce(r["medicationCodeableConcept"]["coding"], F.col("m_coding"))))
     each = coded.select(bundle_id, "resource_id", F.explode("coding").alias("c")).select(bundle_id, "resource_id", F.col("c.system").alias("system"), F.col("c.code").alias("code"))
-    mapped = each.join(F.broadcast(codes), ["system", "code"]).groupBy(bundle_id, "resource_id").agg(F.min_by(F.struct("kind", "product"), "position").alias("mapping"))
+    mapped = each.join(codes, ["system", "code"]).groupBy(bundle_id, "resource_id").agg(F.min_by(F.struct("kind", "product"), "position").alias("mapping"))
     joined = coded.join(mapped, [bundle_id, "resource_id"], "left")
     kind = r["resourceType"]
     actual = kind.isin("MedicationAdministration", "Procedure")

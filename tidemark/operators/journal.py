@@ -48,7 +48,7 @@ def sequence_audit(events: DataFrame, session: str, sequence: str, event_id: str
 
 def disallowed(events: DataFrame, kind: str, stage: str, allowed: DataFrame) -> DataFrame:
     """The events whose (type, stage) is not in the table of allowed pairs."""
-    return events.join(F.broadcast(allowed), [kind, stage], "left_anti")
+    return events.join(allowed, [kind, stage], "left_anti")
 
 
 def allowed_stages(spark: SparkSession) -> DataFrame:

@@ -26,7 +26,7 @@ def resolve_refs(refs: DataFrame, targets: DataFrame, keys: list[str], equal: li
 
 def definition_errors(outcomes: DataFrame, registry: DataFrame, code: str, fields: list[str]) -> DataFrame:
     """outcomes with violations against the registry's row of their code, field by field, null being a value."""
-    own = F.broadcast(registry.select(code, *[F.col(f).alias(f"d_{f}") for f in fields], F.lit(True).alias("registered")))  # the library's own table of a few dozen metrics
+    own = registry.select(code, *[F.col(f).alias(f"d_{f}") for f in fields], F.lit(True).alias("registered"))  # the library's own table of a few dozen metrics
     joined = outcomes.join(own, code, "left")
     known = F.coalesce("registered", F.lit(False))
     checks = [(~known, "unregistered-metric")] + [(known & ~F.col(f).eqNullSafe(F.col(f"d_{f}")), f"{f}-mismatch") for f in fields]

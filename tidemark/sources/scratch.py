@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under the machine's temporary folder only in local mode, where that is unset."""
+    """A new folder under spark.checkpoint.dir; under the machine's temporary folder only in local mode, where that is unset.
+
+    What is in it is deleted when the application ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """df written once as Parquet and read back: what several branches need is computed once, and survives lost executors."""
-    path = shared_folder(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
