@@ -257,11 +257,12 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = {r["lang"]: r["n"] for r in rows.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     shares = shares_of(counts, max_docs)
     # a draw that almost surely holds a language's share, before the ranks are exact
-    parts = [(lang, n, int(min(1.0, (n + 8 * n**0.5 + 16) / counts[lang]) * 2**53)) for lang, n in shares.items()]
-    bounds = labelled.sparkSession.createDataFrame(parts, "lang string, wanted long, below long")
+    below = [x for lang, n in shares.items() for x in (F.lit(lang), F.lit(int(min(1.0, (n + 8 * n**0.5 + 16) / counts[lang]) * 2**53)))]
+    wanted = [x for lang, n in shares.items() for x in (F.lit(lang), F.lit(n))]
+    of_lang = lambda pairs: F.try_element_at(F.create_map(*pairs), "lang") if pairs else F.lit(None)
     first = F.pmod(F.xxhash64("draw", F.lit(seed)), F.greatest(F.length("text") - width, F.lit(0)) + 1).cast("int")
-    chosen = rows.join(bounds, "lang").filter(F.shiftrightunsigned("draw", 11) < F.col("below"))
-    drawn = chosen.select("lang", "draw", "wanted", (F.length("text") > width).alias("cut"), F.col("text").substr(first + 1, F.lit(width)).alias("text"))
+    chosen = rows.filter(F.shiftrightunsigned("draw", 11) < of_lang(below))
+    drawn = chosen.select("lang", "draw", of_lang(wanted).alias("wanted"), (F.length("text") > width).alias("cut"), F.col("text").substr(first + 1, F.lit(width)).alias("text"))
     ranked = drawn.dropDuplicates(["lang", "draw"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter("place <= wanted")
     whole_words = F.when(F.col("cut"), F.regexp_replace("text", r"^\S*\s|\s\S*$", "")).otherwise(F.col("text"))
     return ranked.select("lang", whole_words.alias("text"))

@@ -61,7 +61,16 @@ def _quantiles(drawn: list[tuple[int, int]], pieces: int) -> list[tuple[int, int
 
 def shard(records: DataFrame, shards: int, size_col: str, id_col: str, key_col: str, seed: int = 11) -> DataFrame:
     """The records with shard (0 to shards - 1) and slot (gapless from 0 within a shard)."""
-    records = materialize(records.drop("shard", "slot").withColumns({"shard_key": F.coalesce(F.col(key_col).cast("long"), F.lit(_LEAST)), "shard_id": F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id() + F.lit(_LEAST)), "shard_size": F.coalesce(F.col(size_col).cast("long"), F.lit(0))}))
+    kept = [c for c in records.columns if c.lower() not in ("shard", "slot")]
+    number = F.monotonically_increasing_id() + F.lit(_LEAST)
+    records = materialize(
+        records.select(
+            F.struct(F.lit(0).alias("_"), *kept).alias("input"),
+            F.coalesce(F.col(key_col).cast("long"), F.lit(_LEAST)).alias("shard_key"),
+            F.coalesce(F.col(id_col).cast("long"), number).alias("shard_id"),
+            F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("shard_size"),
+        )
+    )
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("shard_size"), F.lit(0))).first()
     ranges = max(shards * RANGES_EACH, rows // ROWS_EACH)
     weight = (F.col("shard_size") / F.lit(float(max(total, 1))) + F.lit(1 / max(rows, 1))) * F.lit(ranges * SAMPLES_EACH / 2)
@@ -94,6 +103,5 @@ def shard(records: DataFrame, shards: int, size_col: str, id_col: str, key_col:
     return (
         ranged.withColumn("shard_rank", F.row_number().over(order))
         .join(where, "shard_range")
-        .withColumn("slot", F.col("shard_base") + F.col("shard_rank") - 1)
-        .drop("shard_key", "shard_id", "shard_size", "shard_range", "shard_rank", "shard_base")
+        .select(*[F.col("input")[c].alias(c) for c in kept], "shard", (F.col("shard_base") + F.col("shard_rank") - 1).alias("slot"))
     )
