@@ -81,10 +81,10 @@ def _cyclic(links: DataFrame, key: list[str]) -> DataFrame:
         hops, covered = going.join(ahead, [*key, "up"]).select(*key, "at", F.col("next").alias("up"), "most"), 2 * covered
 
 
-def consent_reasons(modality: Column, start: Column, end: Column, as_of: Column) -> list[tuple[Column, str]]:
+def consent_reasons(modality: Column, start: Column, end: Column, as_of: Column, capture: str = "capture") -> list[tuple[Column, str]]:
     """Over an observation left-joined with its consent (consent_id, capture, derived_analysis, derived_retention, modalities, granted_at, withdrawn_at, expires_at)."""
     given = F.col("c_consent_id").isNotNull()
-    permitted = F.col("capture") & F.col("derived_analysis") & F.col("derived_retention") & F.array_contains("modalities", modality)
+    permitted = F.col(capture) & F.col("derived_analysis") & F.col("derived_retention") & F.array_contains("modalities", modality)
     ended = (F.col("withdrawn_at") <= as_of) | (F.col("expires_at") <= F.greatest(end, as_of))
     return [(~given, "consent-missing"), (given & (~F.coalesce(permitted, F.lit(False)) | (F.col("granted_at") > start) | F.coalesce(ended, F.lit(False))), "consent-not-applicable")]
 

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import access, face_lane, histories, measures, reports, signals, streams, voice_lane  # noqa: E402, F401  (these register their queries)
+from . import access, face_lane, histories, measures, observations, reports, signals, streams, visits, voice_lane  # noqa: E402, F401  (these register their queries)
