@@ -113,6 +113,16 @@ def event_counter(code: Column) -> Column:
     ])
 
 
+#: The counts that event_counter() may name.
+EVENT_COUNTERS = ["pause_count", "speech_run_count", "nucleus_count", "blink_count", "expression_event_count", "coupled_expression_event_count"]
+
+
+def relevant_event_count(code: Column) -> Column:
+    """The count that a metric rests on, 0 where it rests on none or it is unknown; over rows with the columns EVENT_COUNTERS."""
+    name = event_counter(code)
+    return F.coalesce(*[F.when(name == c, F.col(c)) for c in EVENT_COUNTERS], F.lit(0))
+
+
 def quality_facts(names: list[str]) -> Column:
     """A map of the named numeric columns, those that are finite alone."""
     whole = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])

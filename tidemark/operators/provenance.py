@@ -82,7 +82,7 @@ def metric_rules() -> Column:
 def effective_time_rules(earliest: Column, latest: Column, precision: Column) -> Column:
     return S.reasons([
         ((precision == "unknown") & (earliest.isNotNull() | latest.isNotNull()), "unknown-with-bounds"), ((precision != "unknown") & (earliest.isNull() | latest.isNull()), "known-without-bounds"),
-        (earliest > latest, "bounds-reversed"), ((precision == "instant") & (earliest != latest), "instant-with-range"),
+        (earliest > latest, "bounds-reversed"), ((precision == "instant") & (earliest != latest), "instant-with-range"), ((precision == "day") & (earliest == latest), "day-without-range"),
     ])
 
 
@@ -91,6 +91,12 @@ def consent_rules() -> Column:
     return S.reasons([(c("expires_at") <= c("granted_at"), "expires-before-grant"), (c("withdrawn_at") < c("granted_at"), "withdrawn-before-grant")])
 
 
+def modality_rules() -> Column:
+    """Modalities are named once each, and by a consent to capture at all."""
+    m = F.col("modalities")
+    return S.reasons([((F.size(m) != F.size(F.array_distinct(m))) | (F.col("capture") & (F.size(m) == 0)), "modalities")])
+
+
 def binding_rules() -> Column:
     c = F.col
     return S.reasons([
