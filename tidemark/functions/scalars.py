@@ -143,3 +143,12 @@ def clock_calibration(received: Column | str, sent: Column | str, local_sent: Co
     ])
     kept = lambda c, name: F.when(error.isNull(), c).alias(name)
     return F.struct(kept(offset, "offset_ms"), kept(uncertainty, "uncertainty_ms"), kept(expires, "expires_at_ms"), error.alias("error"))
+
+
+def selected_calibration(source: Column | str, offset_ms: Column | str, uncertainty_ms: Column | str, expires_at_ms: Column | str, now: Column | str, identity: Column | str) -> Column:
+    """Aggregate: struct(id, error) of the least uncertain of several clock calibrations that hold now; they must share a source and their bounds must overlap."""
+    source, offset, wide, expires, now, own = (col(c) for c in (source, offset_ms, uncertainty_ms, expires_at_ms, now, identity))
+    held = expires > now
+    low, high = F.max(F.when(held, offset - wide)), F.min(F.when(held, offset + wide))
+    error = first_reason([(F.count(F.when(held, 1)) == 0, "none-valid"), (F.count_distinct(F.when(held, source)) > 1, "several-sources"), (low > high, "inconsistent")])
+    return F.struct(F.when(error.isNull(), F.min_by(own, F.when(held, F.struct(wide, own)))).alias("id"), error.alias("error"))

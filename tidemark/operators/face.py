@@ -343,3 +343,39 @@ def expression_summary(events: DataFrame, exposure: DataFrame) -> DataFrame:
     joined = exposure.join(grouped, KEY, "left").withColumn("events", F.coalesce("events", F.lit(0)))
     enough = F.col("events") >= MIN_EXPRESSIONS
     return joined.select(*KEY, "events", F.when(F.col("eligible_ms") > 0, F.col("events") / (F.col("eligible_ms") / 60_000)).alias("rate"), F.when(enough, F.col("excursion_p90")).alias("excursion_p90"), F.when(enough, F.col("asymmetry")).alias("asymmetry"), F.when(F.col("couplings") >= MIN_EXPRESSIONS, F.col("coupling")).alias("coupling"))
+
+
+# Calibration of a face before and during capture.
+
+#: A strong calibration's length in ms, share of usable frames, and analysed frames a second.
+STRONG_MS, STRONG_SHARE, STRONG_HZ = 1_500, 0.8, 20
+
+
+def calibration(frames: DataFrame) -> DataFrame:
+    """Of each session's latest capture epoch: duration_ms, frames, usable frames and share, frame rate, median baselines, and calibration strong, limited or unavailable.
+
+    Baselines are medians over usable frames, or over all that show a whole face where none is usable.
+    """
+    c = F.col
+    timed = frames.filter(S.finite("acquired_at_ms") & (c("acquired_at_ms") >= 0))
+    latest = timed.withColumn("newest", F.max("capture_epoch").over(Window.partitionBy(*KEY))).filter("capture_epoch = newest")
+    seen = F.coalesce(c("face_visible"), F.lit(False)) & c("bounding_box").isNotNull() & c("pose").isNotNull() & c("eye_aperture").isNotNull() & c("mouth_corners").isNotNull()
+    marked = latest.withColumns({"usable": F.size(gates.visual_quality_reasons()) == 0, "seen": seen})
+    marked = marked.withColumn("any_usable", F.max("usable").over(Window.partitionBy(*KEY))).withColumn("based", F.when(c("any_usable"), c("usable")).otherwise(c("seen")))
+    box, image = c("bounding_box"), c("image_quality")
+    base = lambda x: robust.median(F.when(c("based"), x))
+    grouped = marked.groupBy(*KEY).agg(
+        (F.max("acquired_at_ms") - F.min("acquired_at_ms")).alias("duration_ms"), F.count("*").alias("frames"), robust.median("analyzed_frame_rate").alias("told_rate"), F.sum(c("usable").cast("long")).alias("usable_frames"), F.max("based").alias("based"), base(box["width_pixels"]).alias("baseline_box_width_pixels"), base(box["height_pixels"]).alias("baseline_box_height_pixels"),
+        base(image["illumination_mean"]).alias("baseline_illumination"), base(image["sharpness"]).alias("baseline_sharpness"),
+    )
+    rated = grouped.withColumns({"usable_share": c("usable_frames") / c("frames"), "frame_rate": F.when(c("duration_ms") > 0, (c("frames") - 1) / (c("duration_ms") / 1000)).otherwise(c("told_rate"))})
+    strong = (c("duration_ms") >= STRONG_MS) & (c("usable_share") >= STRONG_SHARE) & (c("frame_rate") >= STRONG_HZ)
+    return rated.withColumn("calibration", F.when(~c("based"), "unavailable").when(strong, "strong").otherwise("limited")).drop("based", "told_rate")
+
+
+def calibrated(frames: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Frames with calibrated_reasons (a sharpness below half the calibrated one is blur too), usable and guidance."""
+    joined = frames.join(calibrations.select(*KEY, "baseline_sharpness"), KEY, "left")
+    reasons = gates.visual_quality_reasons(gates.sharpness_floor(F.col("baseline_sharpness")))
+    marked = joined.withColumn("calibrated_reasons", reasons)
+    return marked.withColumns({"usable": F.size("calibrated_reasons") == 0, "guidance": gates.guidance(F.col("calibrated_reasons"))}).drop("baseline_sharpness")

@@ -56,6 +56,34 @@ def spectral_flux(df: DataFrame, keys: list[str], order: list[str], bands: str,
     return marked.withColumn(name, F.when(F.col("bands_before").isNull(), 0.0).otherwise(F.sqrt(F.aggregate(rises, F.lit(0.0), lambda s, v: s + v) / F.size(bands)))).drop("bands_before")
 
 
+def rolling_cadence(df: DataFrame, keys: list[str], order: list[str], at_ms: str, kind: str, span_ms: int = 2_000) -> DataFrame:
+    """Frame events (kind presented, skipped or processed) with what the last span_ms tell: cadence_hz of processed frames, drop_fraction, and latest_gap_ms and largest_gap_ms between processed ones so far."""
+    at = F.round(F.col(at_ms)).cast("long")
+    recent = Window.partitionBy(*keys).orderBy(at).rangeBetween(-span_ms, 0)
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    is_kind = lambda k: F.col(kind) == k
+    count = lambda k: F.sum(is_kind(k).cast("long")).over(recent)
+    times = F.when(is_kind("processed"), F.col(at_ms))
+    n, span = count("processed"), F.max(times).over(recent) - F.min(times).over(recent)
+    before = F.last(times, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.withColumn("frame_gap", F.when(is_kind("processed"), F.col(at_ms) - before))
+    return marked.withColumns({
+        "cadence_hz": F.when(n < 2, 0.0).otherwise((n - 1) * 1000 / F.greatest(span, F.lit(1.0))), "drop_fraction": F.coalesce(F.try_divide(count("skipped"), count("presented")), F.lit(0.0)),
+        "latest_gap_ms": F.last("frame_gap", ignorenulls=True).over(so_far), "largest_gap_ms": F.max("frame_gap").over(so_far),
+    }).drop("frame_gap")
+
+
+def speech_active(rms: Column | str, is_periodic: Column, flux: Column | str, noise_floor: Column | str) -> Column:
+    """A level well above the noise floor that is periodic, or that changes and stands out still more."""
+    rms, flux, floor = S.col(rms), S.col(flux), S.col(noise_floor)
+    return F.coalesce((rms >= F.greatest(F.lit(0.003), floor * 2.8)) & (is_periodic | ((flux > 0.02) & (rms >= floor * 4))), F.lit(False))
+
+
+def nucleus_score(rms: Column | str, flux: Column | str) -> Column:
+    """The level, raised by up to three times where the spectrum changes."""
+    return S.col(rms) * (1 + F.least(F.lit(2.0), S.col(flux) * 20))
+
+
 def pooled(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """dimension, mean_value and sd_value (population) of each group's vectors; a vector with a value that is not finite is left out whole."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(S.INFINITY)))

@@ -304,7 +304,13 @@ def value_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("state", state).groupBy("user_id").agg(F.sum("state").alias("rows_on"), F.count("*").alias("n"))
 
 
-@query("voice_nuclei")
+@query(
+    "voice_nuclei",
+    """WITH RECURSIVE f AS (SELECT event_id // 6000 AS s, event_id % 6000 AS k, CASE WHEN ((event_id % 6000) // 60) % 4 <> 3 THEN 0.02 + (event_id % 11) / 100.0 ELSE 0.002 + (event_id % 13) / 1000.0 END AS x FROM events),
+r AS (SELECT s, k, x > 0.012 AS hit, 0.3 * x AS average, CASE WHEN x > 0.012 THEN k ELSE -1000 END AS last FROM f WHERE k = 0 UNION ALL
+  SELECT f.s, f.k, x > greatest(0.012, 1.15 * average) AND f.k - last >= 10, 0.7 * average + 0.3 * x, CASE WHEN x > greatest(0.012, 1.15 * average) AND f.k - last >= 10 THEN f.k ELSE last END FROM r JOIN f ON f.s = r.s AND f.k = r.k + 1)
+SELECT CAST(s AS VARCHAR) AS session_id, CAST(sum(hit::INT) AS BIGINT) AS nuclei, count(*) AS frames, quantile_cont(k * 10.0, 0.5) FILTER (WHERE hit) AS median_ms FROM r GROUP BY s""",
+)
 def voice_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nuclei found by the fold over the levels of voice frames, beside those that the frames came with."""
     from .voice_lane import voice_frames

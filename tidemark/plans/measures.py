@@ -60,7 +60,13 @@ def face_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("movement_speeds")
+@query(
+    "movement_speeds",
+    f"""WITH {POINTS}, s AS (SELECT *, 640 * (xs[1] + xs[2]) / 2 AS lx, 480 * (ys[1] + ys[2]) / 2 AS ly, 640 * (xs[7] + xs[8]) / 2 AS rx, 480 * (ys[7] + ys[8]) / 2 AS ry FROM p),
+t AS (SELECT *, sqrt((lx - rx) ** 2 + (ly - ry) ** 2) AS scale, atan2(ly - ry, lx - rx) AS angle, (lx + rx) / 2 AS cx, (ly + ry) / 2 AS cy FROM s), i AS (SELECT *, unnest([1, 2, 7, 8, 16, 17]) AS k FROM t),
+n AS (SELECT vec_id, label, k, (cos(angle) * (640 * xs[k] - cx) + sin(angle) * (480 * ys[k] - cy)) / scale AS x, (cos(angle) * (480 * ys[k] - cy) - sin(angle) * (640 * xs[k] - cx)) / scale AS y FROM i),
+m AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(vec_id) OVER w AS pv FROM n WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)) SELECT vec_id, label, round(avg(sqrt((x - px) ** 2 + (y - py) ** 2)) / any_value((vec_id - pv) * 10 / 1000.0), 5) AS speed FROM m GROUP BY vec_id, label""",
+)
 def movement_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movement of the normalised points from one vector of a label to the next, a time step of ten each."""
     face = geometry.Face("points", F.lit(640.0), F.lit(480.0), SMALL_LAYOUT)
@@ -87,7 +93,11 @@ def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.spectral_flux(bands, ["label"], ["vec_id"], "bands").select("vec_id", "label", F.round("spectral_flux", 6).alias("spectral_flux"))
 
 
-@query("encoded_windows")
+@query(
+    "encoded_windows",
+    """WITH e AS (SELECT label, unnest(range(0, 8)) AS d, embedding AS v FROM embeddings), c AS (SELECT label, d, CAST(list_avg(list_transform(v[8 * d + 1 : 8 * d + 8], lambda x: x::DOUBLE)) AS FLOAT) AS x FROM e WHERE v IS NOT NULL)
+SELECT label, CAST(d AS INT) AS dimension, round(avg(x::DOUBLE), 5) AS mean_value, count(*) AS n FROM c GROUP BY label, d""",
+)
 def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the stand-in encoder over embeddings as sample windows, pooled by label."""
     vectors = signals.encoded(table(spark, sf_dir, "embeddings"), "embedding", signals.deterministic_encoder)

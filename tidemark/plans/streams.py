@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import detect
 from ..sources.scratch import shared_folder
 from ..streaming import flows
 from .catalog import query, table
@@ -53,13 +54,24 @@ def stream_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.run_to_table(daily.select(F.unix_micros("window.start").alias("day_us"), "event_type", "n", F.round("total", 2).alias("total")), *scratch(spark), mode="complete")
 
 
-@query("stream_rotating_windows")
+_WINDOW = 3 * 86_400_000.0
+
+
+@query(
+    "stream_rotating_windows",
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000.0 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+w AS (SELECT user_id, k, t, 0 AS no, t AS start FROM e WHERE k = 1 UNION ALL
+  SELECT e.user_id, e.k, e.t, CASE WHEN e.t - start >= {_WINDOW} THEN no + 1 ELSE no END, CASE WHEN e.t - start < {_WINDOW} THEN start WHEN e.t - start - {_WINDOW} >= {_WINDOW} THEN e.t ELSE start + {_WINDOW} END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT CAST(w.user_id AS VARCHAR) AS key, CAST(no AS BIGINT) AS window_no, start AS start_ms, CASE WHEN no = max(no) OVER (PARTITION BY w.user_id) THEN max(w.t) ELSE start + {_WINDOW} END AS end_ms, count(*) AS rows, 0::BIGINT AS rejected, round(sum(value), 4) AS total, CASE WHEN no = max(no) OVER (PARTITION BY w.user_id) THEN 'ended' ELSE 'full' END AS reason
+FROM w JOIN e USING (user_id, k) GROUP BY w.user_id, no, start""",
+)
 def stream_rotating_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-day windows of each user's events that restart after long gaps; as the source is read to its end, the last of each user too."""
-    length = 3 * 86_400_000.0
+    length = _WINDOW
     e = event_stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1000).alias("at_ms"), "value", F.lit("one").alias("source"))
     most = int(flows.MAX_ROWS * length / flows.WINDOW_MS)
-    return flows.ended(flows.run_to_table(flows.rotating_windows(e, "user_id", "at_ms", "value", "source", length, most), *scratch(spark)))
+    found = flows.ended(flows.run_to_table(flows.rotating_windows(e, "user_id", "at_ms", "value", "source", length, most), *scratch(spark)))
+    return found.withColumn("total", F.round("total", 4))
 
 
 @query("stream_recomputed", "SELECT user_id, max(event_id) AS revision, count(*) AS n FROM events GROUP BY user_id")
@@ -67,5 +79,96 @@ def stream_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that a batch changed, computed anew from the whole table."""
     path, checkpoint = scratch(spark)
     whole = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    flows.recompute_changed(event_stream(spark, sf_dir).withColumn("revision", F.col("event_id")), "user_id", lambda changed: changed.join(whole, "user_id"), path, checkpoint)
+    latest = lambda: table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("revision"))
+    flows.recompute_changed(event_stream(spark, sf_dir).withColumn("revision", F.col("event_id")), "user_id", lambda changed: changed.join(whole, "user_id"), path, checkpoint, latest)
     return flows.current(spark.read.parquet(path), "user_id").select("user_id", "revision", "n")
+
+
+@query("stream_updated_state", "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type")
+def stream_updated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type in update mode; the last row of each type stands."""
+    counted = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    return flows.run_to_table(counted, *scratch(spark), mode="update", keys=["event_type"])
+
+
+@query(
+    "stream_lane_health",
+    """WITH e AS (SELECT event_id // 1000 AS lane, event_id % 1000 * 40.0 AS t, event_id AS e, CASE WHEN event_id % 10 = 9 THEN 'evaluate' WHEN event_id % 37 = 0 THEN 'page' WHEN event_id % 41 = 0 THEN 'camera' WHEN event_id % 43 = 0 THEN 'worker' WHEN event_id % 100 >= 60 THEN 'idle' ELSE 'processed' END AS kind, event_id % 2 = 0 AS up FROM events),
+f AS (SELECT *, last_value(CASE WHEN kind = 'page' THEN up END IGNORE NULLS) OVER w AS page, last_value(CASE WHEN kind = 'camera' THEN up END IGNORE NULLS) OVER w AS camera, last_value(CASE WHEN kind = 'worker' THEN up END IGNORE NULLS) OVER w AS worker, max(CASE WHEN kind = 'processed' THEN t END) OVER w AS last FROM e WINDOW w AS (PARTITION BY lane ORDER BY t ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, concat_ws(',', CASE WHEN NOT coalesce(page, true) THEN 'page-hidden' END, CASE WHEN NOT coalesce(camera, true) THEN 'camera-unavailable' END, CASE WHEN NOT coalesce(worker, true) THEN 'worker-unavailable' END, CASE WHEN t - last > 200 THEN 'visual-frame-gap' END) AS reasons FROM f WHERE kind = 'evaluate')
+SELECT CAST(lane AS VARCHAR) AS key, t AS at_ms, reasons = '' AS measurable, reasons FROM r""",
+)
+def stream_lane_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.when(e % 10 == 9, "evaluate").when(e % 37 == 0, "page").when(e % 41 == 0, "camera").when(e % 43 == 0, "worker").when(e % 100 >= 60, "idle").otherwise("processed")
+    rows = event_stream(spark, sf_dir).select(F.expr("event_id div 1000").alias("lane"), ((e % 1000) * 40.0).alias("at"), kind.alias("kind"), (e % 2 == 0).alias("up"))
+    return flows.run_to_table(flows.lane_health(rows, "lane", "at", "kind", "up"), *scratch(spark))
+
+
+def _noise_frames(events: DataFrame) -> DataFrame:
+    """Frames ten milliseconds apart in sessions of 2000: four seconds loud, then sixteen quiet ones, of two levels and with flaws."""
+    e, k = F.col("event_id"), F.col("event_id") % 2000
+    loud, steady = k < 400, F.expr("event_id div 2000") % 2 == 0
+    level = F.when(loud, 0.02 + (e % 7) / 1000.0).otherwise(F.when(steady, 0.001).otherwise(F.when(e % 8 < 4, 0.0002).otherwise(0.001)) + (e % 3) / 100_000.0)
+    return events.select(
+        F.expr("cast(event_id div 2000 as string)").alias("session_id"), (k * 10.0).alias("acquired_at_ms"), level.alias("rms"), F.when(loud, 12.0 + (e % 5)).otherwise(2.0 + (e % 4)).alias("cpp_db"), F.when(loud, 160.0).alias("f0_hz"), F.when(loud, 0.9).otherwise(0.1).alias("f0_confidence"),
+        F.when(loud, 0.9).otherwise(0.1).alias("agreement"), F.lit(0.001).alias("flux"), (e % 1999 != 7).alias("usable"), F.lit("a").alias("identity"),
+    )
+
+
+_NOISE_SQL = """WITH RECURSIVE f AS (SELECT event_id // 2000 AS s, event_id % 2000 AS k, event_id AS e, event_id % 2000 < 400 AS loud, (event_id // 2000) % 2 = 0 AS steady, event_id % 1999 <> 7 AS usable FROM events),
+g AS (SELECT *, CASE WHEN loud THEN 0.02 + e % 7 / 1000.0 ELSE CASE WHEN steady THEN 0.001 WHEN e % 8 < 4 THEN 0.0002 ELSE 0.001 END + e % 3 / 100000.0 END AS rms, sum((NOT usable)::INT) OVER (PARTITION BY s ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM f),
+h AS (SELECT *, k - first_value(k) OVER (PARTITION BY s, run ORDER BY k) AS place FROM g WHERE usable),
+l AS (SELECT *, count(*) OVER (PARTITION BY s, run ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS i FROM h),
+w AS (SELECT *, row_number() OVER (PARTITION BY s, run ORDER BY k) AS j FROM l WHERE i % 4 = 0), c AS (SELECT s, run, max(j) AS heard FROM w WHERE loud GROUP BY s, run HAVING count(*) >= 10),
+q AS (SELECT w.s, w.run, k, rms, row_number() OVER (PARTITION BY w.s, w.run ORDER BY k) AS m FROM w JOIN c USING (s, run) WHERE NOT loud AND steady), t AS (SELECT s, run, list_sort(list(rms ORDER BY k)) AS levels, max(k) AS k FROM q WHERE m <= 50 GROUP BY s, run HAVING count(*) = 50)
+SELECT CAST(s AS VARCHAR) AS session_id, k * 10.0 AS at_ms, round(levels[37], 9) AS noise_floor_rms, 2000.0 AS duration_ms FROM t"""
+
+
+@query("noise_floors", _NOISE_SQL)
+def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.by_group(_noise_frames(table(spark, sf_dir, "events")), ["session_id"], ["acquired_at_ms"], detect.noise_fold, detect.NOISE_SCHEMA)
+    return found.withColumn("noise_floor_rms", F.round("noise_floor_rms", 9))
+
+
+@query("stream_noise_floors", _NOISE_SQL)
+def stream_noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same floors, found while the frames stream in."""
+    frames = _noise_frames(event_stream(spark, sf_dir))
+    found = flows.run_to_table(flows.online(frames, "session_id", "acquired_at_ms", detect.noise_fold, detect.NOISE_SCHEMA, "at_ms"), *scratch(spark))
+    return found.withColumn("noise_floor_rms", F.round("noise_floor_rms", 9))
+
+
+_ONLINE_SQL = """WITH f AS (SELECT event_id // 2000 AS s, event_id % 2000 * 40.0 AS t, event_id % 60 < 4 AS shut, CASE WHEN event_id % 200 < 20 THEN 0.06 ELSE 0 END AS rise FROM events), r AS (SELECT *, sum(CASE WHEN shut AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, lag(shut) OVER (PARTITION BY s ORDER BY t) AS was FROM f))"""
+
+
+@query("stream_blinks", f"{_ONLINE_SQL}, g AS (SELECT s, no, min(t) FILTER (WHERE shut) AS first, max(t) FILTER (WHERE shut) + 40 AS over FROM r WHERE no > 0 GROUP BY s, no), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, first AS peak_ms, over AS offset_ms FROM g JOIN e USING (s) WHERE over < last")
+def stream_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blinks against a reference that calibration has fixed."""
+    e = F.col("event_id")
+    frames = event_stream(spark, sf_dir).select(F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"), F.when(e % 60 < 4, 0.05).otherwise(0.3).alias("aperture"), F.lit(0).alias("bin"), F.lit(0.3).alias("reference"))
+    return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.blink_fold, detect.BLINK_SCHEMA, "offset_ms"), *scratch(spark)).select("session_id", "peak_ms", "offset_ms")
+
+
+@query("stream_expressions", f"{_ONLINE_SQL}, i AS (SELECT *, sum((rise = 0)::INT) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no2 FROM f), g AS (SELECT s, no2, min(t) AS start_ms, max(t) AS end_ms FROM i WHERE rise > 0 GROUP BY s, no2), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, start_ms, end_ms FROM g JOIN e USING (s) WHERE end_ms - start_ms >= 300 AND end_ms < last")
+def stream_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rest = {"rest_left_y": 0.1, "rest_right_y": 0.1, "rest_left_eye": 0.3, "rest_right_eye": 0.3, "left_eye": 0.3, "right_eye": 0.3, "right_y": 0.1}
+    frames = event_stream(spark, sf_dir).select(F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"), F.when(e % 200 < 20, 0.04).otherwise(0.1).alias("left_y"), *[F.lit(v).alias(c) for c, v in rest.items()])
+    return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.expression_fold, detect.EXPRESSION_SCHEMA, "end_ms"), *scratch(spark)).select("session_id", "start_ms", "end_ms")
+
+
+@query(
+    "finalised_window_frames",
+    """WITH v AS (SELECT event_id // 6000 AS s, event_id % 6000 * 10.0 AS t FROM events), e AS (SELECT s, max(t) AS last FROM v GROUP BY s), w AS (SELECT s, unnest(range(0, CAST(floor(last / 25005) AS BIGINT) + 1)) AS no, last FROM e), x AS (SELECT s, no, no * 25005.0 AS a, CASE WHEN no = floor(last / 25005) THEN last ELSE (no + 1) * 25005.0 END AS b FROM w),
+y AS (SELECT s, no, a, least(b, a + 25005) AS b FROM x) SELECT CAST(y.s AS VARCHAR) AS session_id, CAST(no AS BIGINT) AS window_no, lane, count(*) AS frames FROM y JOIN v ON v.s = y.s CROSS JOIN (SELECT unnest(['voice', 'face']) AS lane) l WHERE t >= a AND (lane = 'voice' AND t - a + 10 <= b - a OR lane = 'face' AND t - a < floor((b - a) / 5000) * 5000) GROUP BY ALL""",
+)
+def finalised_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that closed windows of some 25 seconds hand to the metrics of either lane."""
+    e = F.col("event_id")
+    timed = lambda df: df.select(F.expr("cast(event_id div 6000 as string)").alias("session_id"), ((e % 6000) * 10.0).alias("t_ms"))
+    stream = timed(event_stream(spark, sf_dir)).withColumns({"one": F.lit(1.0), "source": F.lit("mic")})
+    windows = flows.ended(flows.run_to_table(flows.rotating_windows(stream, "session_id", "t_ms", "one", "source", 25_005.0), *scratch(spark)))
+    frames = timed(table(spark, sf_dir, "events"))
+    lanes = [flows.frames_to_finalise(frames, windows, "session_id", lane).withColumn("lane", F.lit(lane)) for lane in ("voice", "face")]
+    return lanes[0].unionByName(lanes[1]).groupBy("session_id", "window_no", "lane").agg(F.count("*").alias("frames"))

@@ -85,3 +85,15 @@ def append_once(df: DataFrame, path: str, keys: list[str], partition_by: list[st
         new.write.mode("append").partitionBy(*partition_by).parquet(path)
     new.unpersist()
     return n
+
+
+def publish_runs(runs: DataFrame, path: str, engine_version: str, revisions: DataFrame) -> int:
+    """Appends results that are still current, one for each (episode_id, input_revision, engine_version); returns how many were new. revisions: episode_id and revision as they stand."""
+    now = revisions.select("episode_id", F.col("revision").alias("input_revision"))
+    current = runs.join(now, ["episode_id", "input_revision"], "left_semi").withColumn("engine_version", F.lit(engine_version))
+    return append_once(current, path, ["episode_id", "input_revision", "engine_version"], ["engine_version"])
+
+
+def canonical(df: DataFrame, *order: str) -> DataFrame:
+    """df in the order in which an artefact lists its rows; for small results that are written for people or digests."""
+    return df.orderBy(*order)

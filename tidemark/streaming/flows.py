@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Length of a window in ms, and rows that it takes.
@@ -94,21 +96,113 @@ def live_state(df: DataFrame, session: str, sequence: str, stage: str, event_id:
     return df.groupBy(session).agg(F.max_by(stage, sequence).alias("stage"), F.count("*").alias("event_count"), F.max(sequence).alias("last_sequence"), F.max_by(event_id, sequence).alias("last_event_id"))
 
 
-def recompute_changed(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """For every batch the distinct changed keys with their newest revision are computed anew and appended, to be read through current(); runs until the source is read."""
+def recompute_changed(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, latest: Callable[[], DataFrame] | None = None) -> None:
+    """For every batch the distinct changed keys with their newest revision are computed anew; the result is to be read through current(). Runs until the source is read.
+
+    A batch that is tried again replaces what it wrote. With latest (key and revision as the source stands now), a key that has a newer
+    revision by then is not published: the batch that brings it will.
+    """
 
     def publish(batch: DataFrame, number: int) -> None:
         changed = batch.groupBy(key).agg(F.max("revision").alias("revision"))
-        recompute(changed).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        if latest is not None:
+            newer = latest().groupBy(key).agg(F.max("revision").alias("newest"))
+            changed = changed.join(newer, key, "left").filter(F.coalesce(F.col("revision") >= F.col("newest"), F.lit(True))).drop("newest")
+        recompute(changed).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     changes.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that its source holds now; the result as a batch table. Update and complete results are kept as the last batch of each run."""
-    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that its source holds now; the result as a batch table.
+
+    Complete mode: the last batch's rows. Update mode: the last row of each of keys, over all batches and runs. A batch that is tried again
+    replaces what it wrote.
+    """
+    spark, writer = df.sparkSession, df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(path)).outputMode(mode).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys whose last rows make up the result")
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).outputMode(mode).start().awaitTermination()
+    table = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if mode == "complete":
+        return table.join(table.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("last")).select("last.*")
+
+
+# Detectors over streams.
+
+_HELD_DDL = "rows binary, emitted long"
+
+
+def online(df: DataFrame, key: str, at: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, end: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A batch detector over a stream of sessions: each event is given once, when a later row has shown that it is over.
+
+    A session lasts up to five minutes, so its rows are kept (max_rows of them, the rest are left out of the detector) and folded
+    again with each batch; end names the column of schema that tells when an event ends. Rows of a batch are taken in time order, and
+    a row that is older than one of an earlier batch is left out. References and resting values must come with the rows.
+    """
+    columns = [c for c in df.columns if c != key]
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, emitted = state.get if state.exists else (None, 0)
+        before = pa.ipc.open_stream(held).read_pandas() if held else None
+        new = pd.concat(list(frames))[columns].sort_values(at, kind="stable")
+        if before is not None and len(before):
+            new = pd.concat([before, new[new[at] > before[at].iloc[-1]]])
+        new = new.iloc[:max_rows].reset_index(drop=True)
+        events = fold(new)
+        over = events[events[end] < new[at].iloc[-1]]
+        table, sink = pa.Table.from_pandas(new, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(), len(over)))
+        fresh = over.iloc[emitted:].copy()
+        fresh.insert(0, key, k[0])
+        yield fresh
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", _HELD_DDL, "append", GroupStateTimeout.NoTimeout)
+
+
+LANE_DDL = "at_ms double, measurable boolean, reasons string"
+#: Flags of a lane with the reason that each gives while it is down, and the longest wait for a frame.
+LANE_FLAGS, LANE_GAP_MS = [("page", "page-hidden"), ("camera", "camera-unavailable"), ("worker", "worker-unavailable")], 200
+
+
+def lane_state(rows: list[tuple[float, str, bool]], state: tuple | None) -> tuple[list[tuple], tuple]:
+    """(evaluations, state) after more rows (at_ms, kind, up) of one lane in time order. kind: a flag, processed (a frame was), or evaluate."""
+    *flags, last = state or (*[True] * len(LANE_FLAGS), None)
+    out = []
+    for at, kind, up in rows:
+        for k, (name, _) in enumerate(LANE_FLAGS):
+            flags[k] = bool(up) if kind == name else flags[k]
+        last = at if kind == "processed" else last
+        if kind == "evaluate":
+            reasons = [reason for (_, reason), ok in zip(LANE_FLAGS, flags, strict=True) if not ok] + ["visual-frame-gap"] * (last is not None and at - last > LANE_GAP_MS)
+            out.append((at, not reasons, ",".join(reasons)))
+    return out, (*flags, last)
+
+
+def lane_health(df: DataFrame, key: str, at_ms: str, kind: str, up: str) -> DataFrame:
+    """Each evaluation of a lane: whether it can be measured, and why not. State: the flags and the last frame's time."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("at_ms", kind="stable")
+        out, now = lane_state(list(zip(rows["at_ms"], rows["kind"], rows["up"], strict=True)), state.get if state.exists else None)
+        state.update(now)
+        yield pd.DataFrame([(k[0], *row) for row in out], columns=["key", "at_ms", "measurable", "reasons"])
+
+    narrow = df.select(F.col(key).cast("string").alias("key"), F.col(at_ms).cast("double").alias("at_ms"), F.col(kind).alias("kind"), F.col(up).alias("up"))
+    flags = ", ".join(f"{name} boolean" for name, _ in LANE_FLAGS)
+    return narrow.groupBy("key").applyInPandasWithState(run, f"key string, {LANE_DDL}", f"{flags}, last_ms double", "append", GroupStateTimeout.NoTimeout)
+
+
+def frames_to_finalise(frames: DataFrame, windows: DataFrame, key: str, lane: str) -> DataFrame:
+    """The frames of each closed window (key, window_no, start_ms, end_ms), with t_ms counted from its start: voice frames whose step of 10 ms ends in it, face frames of its whole five-second bins."""
+    own = frames.join(windows.select(F.col("key").alias(key), "window_no", "start_ms", "end_ms"), key).withColumn("t_ms", F.col("t_ms") - F.col("start_ms"))
+    length = F.col("end_ms") - F.col("start_ms")
+    kept = F.col("t_ms") + 10 <= length if lane == "voice" else F.col("t_ms") < F.floor(length / 5_000) * 5_000
+    return own.filter((F.col("t_ms") >= 0) & kept)
