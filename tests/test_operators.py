@@ -200,7 +200,12 @@ def test_face_minute_is_measured_without_its_bad_frames(spark):
     sessions = spark.createDataFrame([("s", 0.0, (2000.0, 384.0, 360.0)), ("short", 0.0, (2000.0, 384.0, 360.0))], schemas.SESSIONS.replace("protocol_version string, protocol_sha256 string, ", "").replace("noise_calibration_duration_ms double, ", ""))
     found = {(r.session_id, r.metric_code): r for r in face.metrics(spark.createDataFrame(rows, schemas.FACE_FRAMES), sessions).collect()}
     assert found["s", "ambient.face.eye_aperture.left"].value == 0.3 and found["s", "ambient.face.mouth_width"].value == pytest.approx(0.6)
-    assert {r.status for (s, _), r in found.items() if s == "s"} == {"measured"}
+    withheld = {m.split("face.")[1]: r.reason_code for (s, m), r in found.items() if s == "s" and r.status == "withheld"}
+    assert len(found) == 40 and withheld == {
+        "blink_rate.bilateral": "insufficient-exposure", "spontaneous_excursion.p90": "insufficient-events", "spontaneous_excursion_asymmetry.median": "insufficient-events", "oculo_oral_synkinesis_index": "insufficient-events",
+    }
+    assert found["s", "ambient.face.spontaneous_event_rate"].value == 0 and found["s", "ambient.face.lid_closure_completeness.left"].value == 0
+    assert found["s", "ambient.face.eye_aperture.left"].quality == pytest.approx(0.3 * 20 / 30 + 0.3 * 1.0 * 0.889 + 0.2 + 0.2, abs=0.02)
     assert {r.reason_code for (s, _), r in found.items() if s == "short"} == {"insufficient-bins"}
 
 
@@ -499,3 +504,60 @@ def test_rotation_restarts_after_a_gap():
     split, kept = flows.rotate([(0, 1.0, "a"), (50, 1.0, "a")], None, 100)
     more, _ = flows.rotate([(120, 1.0, "a")], kept, 100)
     assert split == [] and more[0][3] == 2
+
+
+# cycles, streams
+
+
+def test_a_tied_chain_of_thousands_is_followed(spark):
+    rows = [("t", "long", k, k - 1 if k else None, 1) for k in range(5000)] + [("t", "round", 10_000 + k, 10_000 + (k + 1) % 700, 1) for k in range(700)] + [("t", "round", 20_000, None, 1)]
+    found = {r.id: (r.leaf, r.problems) for r in history.chain_audit(spark.createDataFrame(rows, "scope string, id string, rev long, prev long, at int"), ["scope"], "id", "rev", "prev", "at").collect()}
+    assert found["long"] == (4999, []) and found["round"] == (None, ["revision-cycle"])
+
+
+def test_updates_of_several_batches_are_merged(spark, tmp_path):
+    rows = [[(1, 1.0), (2, 1.0)], [(1, 5.0)], [(3, 2.0)]]
+    for part in rows:
+        spark.createDataFrame(part, "k long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).groupBy("k").agg(F.sum("v").alias("v"))
+    found = flows.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "check"), mode="update", keys=["k"])
+    assert sorted(map(tuple, found.collect())) == [(1, 6.0), (2, 1.0), (3, 2.0)]
+
+
+def test_online_events_come_once_whatever_the_batches(spark, tmp_path):
+    k = np.arange(3000)
+    aperture = np.where(k % 60 < 4, 0.05, 0.3)
+    rows = pd.DataFrame({"s": "one", "t_ms": k * 40.0, "aperture": aperture, "bin": 0, "reference": 0.3})
+    for low in range(0, 3000, 611):
+        spark.createDataFrame(rows.iloc[low : low + 611]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = flows.run_to_table(flows.online(stream, "s", "t_ms", detect.blink_fold, detect.BLINK_SCHEMA, "offset_ms"), str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    assert sorted(r.peak_ms for r in found) == sorted(detect.blink_fold(rows)["peak_ms"])
+
+
+def test_lane_state_carries_over_batches():
+    rows = [(0.0, "processed", True), (100.0, "evaluate", True), (201.0, "evaluate", True), (250.0, "camera", False), (260.0, "processed", True), (270.0, "evaluate", True)]
+    whole, _ = flows.lane_state(rows, None)
+    one, state = flows.lane_state(rows[:3], None)
+    assert whole == one + flows.lane_state(rows[3:], state)[0] == [(100.0, True, ""), (201.0, False, "visual-frame-gap"), (270.0, False, "camera-unavailable")]
+
+
+def test_runs_are_published_only_if_current(spark, tmp_path):
+    runs = spark.createDataFrame([("e", 1, "a"), ("e", 2, "b"), ("f", 1, "c")], "episode_id string, input_revision int, result string")
+    now = spark.createDataFrame([("e", 2), ("f", 1)], "episode_id string, revision int")
+    assert schemas.publish_runs(runs, str(tmp_path / "runs"), "1", now) == 2 and schemas.publish_runs(runs, str(tmp_path / "runs"), "1", now) == 0
+    assert sorted(r.result for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == ["b", "c"]
+
+
+def test_json_events_are_read_with_their_schema(spark, tmp_path):
+    (tmp_path / "events.jsonl").write_text('{"event_id": "a", "sequence": 1, "type": "measurement.recorded", "payload": {"metric_code": "m"}, "unknown": 1}\n{"event_id": "b", "sequence": 2}\n')
+    rows = schemas.read(spark, str(tmp_path), schemas.WORKFLOW_EVENTS, "json").orderBy("event_id").collect()
+    assert [(r.event_id, r.sequence, r.payload and r.payload.metric_code) for r in rows] == [("a", 1, "m"), ("b", 2, None)]
+
+
+def test_frame_files_are_read_with_nan_as_null(spark, tmp_path):
+    for ddl, row in ((schemas.VOICE_FRAMES, voice_frame(rms=float("nan"))), (schemas.FACE_FRAMES, face_frame(mouth_aperture_ratio=float("nan")))):
+        spark.createDataFrame([row], ddl).write.mode("overwrite").parquet(str(tmp_path / "frames"))
+        read = schemas.read(spark, str(tmp_path / "frames"), ddl)
+        assert read.first()["rms" if "rms" in read.columns else "mouth_aperture_ratio"] is None and read.count() == 1

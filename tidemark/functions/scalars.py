@@ -60,6 +60,15 @@ def in_listed_order(values: Column | str, listed: Iterable[str]) -> Column:
     return F.array_intersect(F.array(*[F.lit(x) for x in listed]), col(values))
 
 
+def none_of(conditions: Iterable[tuple[Column, str]]) -> Column:
+    """Whether no condition holds; a null one does not. What reasons() would list does not matter here, so no list is made."""
+    out = lit_true = F.lit(True)
+    for condition, _ in conditions:
+        held = ~F.coalesce(condition, F.lit(False))
+        out = held if out is lit_true else out & held
+    return out
+
+
 def sorted_unique(c: Column | str) -> Column:
     """Aggregate: the distinct non-empty strings in ascending order."""
     c = col(c)

@@ -70,9 +70,11 @@ def in_range(frames: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def gated(frames: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Frames in range with resting, failures and bin."""
+    """Frames in range with resting, failures, bin and usable (no failures)."""
     ranged = in_range(frames, sessions)
-    return ranged.join(resting_pose(ranged), "session_id", "left").withColumn("failures", gates.face_gate_failures(F.col("face_calibration"), F.col("resting")))
+    posed = ranged.join(resting_pose(ranged), "session_id", "left")
+    calibration, resting = F.col("face_calibration"), F.col("resting")
+    return posed.withColumns({"failures": gates.face_gate_failures(calibration, resting), "usable": gates.face_usable(calibration, resting)})
 
 
 def _provenances() -> Column:
@@ -139,7 +141,7 @@ def _carries(name: str) -> Column:
 
 def accepted_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bins that qualify, their frames): usable frames only."""
-    usable = gated(frames, sessions).filter(F.size("failures") == 0)
+    usable = gated(frames, sessions).filter("usable")
     bins = qualify(usable, [*KEY, "bin"]).filter("reason is null")
     return bins, usable.join(bins.select(*KEY, "bin", "step_ms"), [*KEY, "bin"])
 
@@ -156,7 +158,7 @@ def bins_and_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
     lid_left and lid_right are the base bins in which that eye is seen open. Tables are written in the shared folder.
     """
     key = [*KEY, "variant", "bin"]
-    usable = materialize(gated(frames, sessions).filter(F.size("failures") == 0))
+    usable = materialize(gated(frames, sessions).filter("usable"))
     base = usable.join(qualify(usable, [*KEY, "bin"]).filter("reason is null").select(*KEY, "bin"), [*KEY, "bin"])
     candidates = _with_variants(base)
     bins = materialize(qualify(candidates, key).filter("reason is null"))
@@ -270,8 +272,8 @@ def diagnostics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     marked = materialize(gated(frames, sessions))
     pose = F.col("pose")
     sizes = [(f"{axis}_p{round(100 * p)}", F.percentile(F.abs(pose[f"{axis}_degrees"]), F.lit(p))) for axis in ("yaw", "pitch", "roll") for p in (0.5, 0.95)]
-    whole = marked.groupBy(*KEY).agg(F.count("*").alias("frames"), F.sum((F.size("failures") == 0).cast("long")).alias("usable_frames"), F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes])
-    judged = qualify(marked.filter(F.size("failures") == 0), [*KEY, "bin"])
+    whole = marked.groupBy(*KEY).agg(F.count("*").alias("frames"), F.sum(F.col("usable").cast("long")).alias("usable_frames"), F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes])
+    judged = qualify(marked.filter("usable"), [*KEY, "bin"])
     every = marked.select(*KEY, "bin").distinct().join(judged, [*KEY, "bin"], "left").withColumn("reason", F.when(F.col("frames").isNull(), "too-few-usable-frames").otherwise(F.col("reason")))
     counted = every.groupBy(*KEY, "reason").agg(F.count("*").alias("n"))
     rejected = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
@@ -284,7 +286,7 @@ CURVE_SHARES = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8)
 
 def acceptance_curve(frames: DataFrame, sessions: DataFrame, shares: tuple[float, ...] = CURVE_SHARES) -> DataFrame:
     """For each share of usable frames that a bin might be asked for: bins of each session that would pass, and those that too few frames, a gap or a short span would lose."""
-    usable = F.size("failures") == 0
+    usable = F.col("usable")
     w = Window.partitionBy(*KEY, "bin", usable).orderBy(*ORDER)
     stepped = gated(frames, sessions).withColumn("gap_ms", F.when(usable, F.col("t_ms") - F.lag("t_ms").over(w)))
     at = F.when(usable, F.col("t_ms"))

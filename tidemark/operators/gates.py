@@ -135,27 +135,42 @@ def sharpness_floor(baseline_sharpness: Column | None = None, policy: type[Visua
     return least if baseline_sharpness is None else F.greatest(least, F.coalesce(baseline_sharpness, F.lit(0.0)) * policy.sharpness_fraction)
 
 
-def visual_quality_reasons(floor: Column | None = None, policy: type[VisualPolicy] = VisualPolicy) -> Column:
-    """Reason codes of a facial frame in their fixed order, those it came with included."""
+def _visual_checks(floor: Column | None, policy: type[VisualPolicy]) -> list[tuple[Column, str]]:
     c, box, pose, image = F.col, F.col("bounding_box"), F.col("pose"), F.col("image_quality")
     floor = sharpness_floor(None, policy) if floor is None else floor
     seen = F.coalesce(c("face_visible"), F.lit(False)) & box.isNotNull() & pose.isNotNull() & c("eye_aperture").isNotNull() & c("mouth_corners").isNotNull()
     bad = lambda value, over: ~S.finite(value) | F.coalesce(over, F.lit(True))
     beyond = lambda axis, limit: bad(pose[axis], F.abs(pose[axis]) > limit)
     light = image["illumination_mean"]
-    own = S.reasons([
+    return [
         (~seen, "face-not-visible"),
         (seen & (bad(box["width_pixels"], box["width_pixels"] < policy.min_width_pixels) | bad(box["height_pixels"], box["height_pixels"] < policy.min_height_pixels)), "face-too-small"),
         (seen & (bad(box["width"], box["width"] > policy.max_width_fraction) | bad(box["height"], box["height"] > policy.max_height_fraction)), "face-too-large"),
         (seen & bad(box["edge_margin_fraction"], box["edge_margin_fraction"] < policy.min_edge_margin), "face-edge-margin"),
         (seen & (beyond("yaw_degrees", policy.max_yaw) | beyond("pitch_degrees", policy.max_pitch) | beyond("roll_degrees", policy.max_roll)), "pose-out-of-range"),
-        (bad(light, ~light.between(*policy.illumination)) | bad(image["dark_clipping_fraction"], image["dark_clipping_fraction"] > policy.max_dark_clipping) | bad(image["bright_clipping_fraction"], image["bright_clipping_fraction"] > policy.max_bright_clipping), "illumination-out-of-range"),
+        (
+            bad(light, ~light.between(*policy.illumination))
+            | bad(image["dark_clipping_fraction"], image["dark_clipping_fraction"] > policy.max_dark_clipping)
+            | bad(image["bright_clipping_fraction"], image["bright_clipping_fraction"] > policy.max_bright_clipping),
+            "illumination-out-of-range",
+        ),
         (bad(image["sharpness"], image["sharpness"] < floor), "blur"),
         (bad(c("analyzed_frame_rate"), c("analyzed_frame_rate") < policy.min_frame_rate), "frame-rate-below-minimum"),
         (c("inter_result_gap_ms").isNotNull() & bad(c("inter_result_gap_ms"), c("inter_result_gap_ms") > policy.max_frame_gap_ms), "visual-frame-gap"),
         (bad(c("skipped_frame_fraction"), c("skipped_frame_fraction") > policy.max_skipped_fraction), "too-many-skipped-frames"),
-    ])
-    return S.in_listed_order(F.array_union(F.coalesce(c("quality_reasons"), F.array().cast("array<string>")), own), VISUAL_ORDER)
+    ]
+
+
+def visual_quality_reasons(floor: Column | None = None, policy: type[VisualPolicy] = VisualPolicy) -> Column:
+    """Reason codes of a facial frame in their fixed order, those it came with included."""
+    own = S.reasons(_visual_checks(floor, policy))
+    return S.in_listed_order(F.array_union(F.coalesce("quality_reasons", F.array().cast("array<string>")), own), VISUAL_ORDER)
+
+
+def image_sound(floor: Column | None = None, policy: type[VisualPolicy] = VisualPolicy) -> Column:
+    """Whether visual_quality_reasons() has none but pose-out-of-range, without the list."""
+    came = F.coalesce(F.arrays_overlap("quality_reasons", F.array(*[F.lit(r) for r in VISUAL_ORDER if r != "pose-out-of-range"])), F.lit(False))
+    return ~came & S.none_of([(c, r) for c, r in _visual_checks(floor, policy) if r != "pose-out-of-range"])
 
 
 def mouth_width() -> Column:
@@ -182,21 +197,17 @@ def calibrated_size_usable(calibration: Column) -> Column:
     return F.coalesce(near(box["width_pixels"], calibration["baseline_box_width_pixels"]) & near(box["height_pixels"], calibration["baseline_box_height_pixels"]), F.lit(False))
 
 
-def _only_pose(reasons: Column) -> Column:
-    return F.forall(reasons, lambda r: r == "pose-out-of-range")
-
-
 def _attributed() -> Column:
     return F.col("task_context").eqNullSafe(F.lit(FACE_TASK)) & F.col("face_count").eqNullSafe(F.lit(1)) & (F.coalesce(F.length("track_segment_id"), F.lit(0)) > 0)
 
 
 def resting_pose_usable() -> Column:
-    return _attributed() & F.coalesce(F.col("face_visible"), F.lit(False)) & complete_geometry() & _only_pose(visual_quality_reasons())
+    return _attributed() & F.coalesce(F.col("face_visible"), F.lit(False)) & complete_geometry() & image_sound()
 
 
 def event_usable() -> Column:
     """Usable for events: attributed, complete and of sound image; pose and scale do not matter."""
-    return _attributed() & complete_geometry() & _only_pose(visual_quality_reasons())
+    return _attributed() & complete_geometry() & image_sound()
 
 
 def expression_usable() -> Column:
@@ -204,15 +215,24 @@ def expression_usable() -> Column:
     return F.coalesce(F.col("face_visible"), F.lit(False)) & S.finite(m["left"]["y"]) & S.finite(m["right"]["y"]) & S.finite("t_ms")
 
 
-def face_gate_failures(calibration: Column, resting: Column) -> Column:
-    """Every gate that a facial frame fails, in order. resting: the session's resting pose, or null for frontal."""
+def _face_checks(calibration: Column, resting: Column) -> list[tuple[Column, str]]:
     pose = F.col("pose")
     off = lambda axis, limit: pose.isNotNull() & (~S.finite(pose[axis]) | F.coalesce(F.abs(pose[axis] - F.coalesce(resting[axis], F.lit(0.0))) > limit, F.lit(True)))
-    return S.reasons([
+    return [
         (~F.col("task_context").eqNullSafe(F.lit(FACE_TASK)), "task-context"), (~F.col("face_count").eqNullSafe(F.lit(1)), "face-count"), (F.coalesce(F.length("track_segment_id"), F.lit(0)) == 0, "no-track-id"),
-        (~_only_pose(visual_quality_reasons()), "image-quality"), (pose.isNull(), "no-pose"), (off("yaw_degrees", MAX_YAW), "yaw"), (off("pitch_degrees", MAX_PITCH), "pitch"), (off("roll_degrees", MAX_ROLL), "roll"),
+        (~image_sound(), "image-quality"), (pose.isNull(), "no-pose"), (off("yaw_degrees", MAX_YAW), "yaw"), (off("pitch_degrees", MAX_PITCH), "pitch"), (off("roll_degrees", MAX_ROLL), "roll"),
         (~calibrated_size_usable(calibration), "face-scale"), (~complete_geometry(), "incomplete-geometry"),
-    ])
+    ]
+
+
+def face_gate_failures(calibration: Column, resting: Column) -> Column:
+    """Every gate that a facial frame fails, in order. resting: the session's resting pose, or null for frontal."""
+    return S.reasons(_face_checks(calibration, resting))
+
+
+def face_usable(calibration: Column, resting: Column) -> Column:
+    """Whether a facial frame fails none of its gates."""
+    return S.none_of(_face_checks(calibration, resting))
 
 
 def audio_calibration_class(reliable: Column, energy: Column) -> Column:

@@ -94,7 +94,7 @@ BINS_SQL = f"{FACE_SQL}, us AS (SELECT * FROM gu WHERE usable), {bins_sql('us',
 @query("face_bins", f"WITH {BINS_SQL} SELECT session_id, bin, frames, span_ms, round(step_ms, 4) AS step_ms, round(data_ms, 3) AS data_ms, reason FROM br")
 def face_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
-    usable = face.gated(frames, face_sessions(frames)).filter(F.size("failures") == 0)
+    usable = face.gated(frames, face_sessions(frames)).filter("usable")
     return face.qualify(usable, ["session_id", "bin"]).select("session_id", "bin", "frames", "span_ms", F.round("step_ms", 4).alias("step_ms"), F.round("data_ms", 3).alias("data_ms"), "reason")
 
 

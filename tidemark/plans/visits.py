@@ -12,7 +12,6 @@ from .observations import _LISTED
 CODES = ["m1", "m2", "m3", "m4"]
 PROFILE = [("m1", 1, "First", "primary"), ("m3", 2, "Third", "primary"), ("m2", 3, "Second", "experimental")]
 KEYS = ["reference_id", "current_id"]
-_K = F.col("o_orderkey")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +19,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = lambda n, a, b: F.when(_K % n == 0, a).otherwise(b)
+    odd = lambda n, a, b: F.when(F.col("o_orderkey") % n == 0, a).otherwise(b)
     return orders(spark, sf_dir).select(
-        _K.alias("observation_id"), F.col("o_custkey").alias("subject"), (F.col("o_custkey") + odd(101, 1, 0)).alias("observed_subject"), odd(103, "q", "p").alias("profile_id"), odd(47, "v2", "v1").alias("profile_version"), odd(53, "x", "y").alias("profile_digest"), odd(59, "left", "right").alias("side"),
+        F.col("o_orderkey").alias("observation_id"), F.col("o_custkey").alias("subject"), (F.col("o_custkey") + odd(101, 1, 0)).alias("observed_subject"), odd(103, "q", "p").alias("profile_id"), odd(47, "v2", "v1").alias("profile_version"), odd(53, "x", "y").alias("profile_digest"), odd(59, "left", "right").alias("side"),
         F.lit("pack").alias("protocol_id"), F.lit("pack").alias("observed_protocol_id"), odd(61, "2", "1").alias("protocol_version"), odd(67, "2", "1").alias("observed_protocol_version"), F.lit("d").alias("protocol_digest"), odd(69, "e", "d").alias("observed_protocol_digest"),
         odd(71, "b", "a").alias("adapter_id"), odd(73, "2", "1").alias("adapter_version"), F.col("us").alias("started_at"), (F.col("us") + 300_000_000).alias("ended_at"), (F.col("us") + odd(79, 400 * 86_400_000_000, 400_000_000)).alias("accepted_at"),
     )
@@ -30,7 +29,7 @@ def visit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("us", "o_orderkey")
-    return orders(spark, sf_dir).select(F.lag("o_orderkey").over(w).alias("reference_id"), _K.alias("current_id")).filter("reference_id is not null")
+    return orders(spark, sf_dir).select(F.lag("o_orderkey").over(w).alias("reference_id"), F.col("o_orderkey").alias("current_id")).filter("reference_id is not null")
 
 
 def outcome_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +46,11 @@ def outcome_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def processor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1 of every order, twice for some; p2 of most."""
-    refs = F.array_compact(F.array(F.lit("p1"), F.when(_K % 37 == 0, "p1"), F.when(_K % 5 != 0, "p2")))
-    o = table(spark, sf_dir, "orders").select(_K, F.explode(refs).alias("processor_ref"))
+    refs = F.array_compact(F.array(F.lit("p1"), F.when(F.col("o_orderkey") % 37 == 0, "p1"), F.when(F.col("o_orderkey") % 5 != 0, "p2")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.explode(refs).alias("processor_ref"))
     return o.select(
-        _K.alias("observation_id"), "processor_ref", F.when(F.col("processor_ref") == "p1", "face").otherwise("voice").alias("modality"), F.when(_K % 41 == 0, "wasm").otherwise("js").alias("runtime"), F.when(_K % 43 == 0, "2").otherwise("1").alias("runtime_version"),
-        F.when(_K % 83 != 0, "/asset").alias("asset_path"), F.when(_K % 89 == 0, "b").otherwise("a").alias("asset_sha256"), (_K % 91 != 0).alias("integrity_verified"),
+        F.col("o_orderkey").alias("observation_id"), "processor_ref", F.when(F.col("processor_ref") == "p1", "face").otherwise("voice").alias("modality"), F.when(F.col("o_orderkey") % 41 == 0, "wasm").otherwise("js").alias("runtime"), F.when(F.col("o_orderkey") % 43 == 0, "2").otherwise("1").alias("runtime_version"),
+        F.when(F.col("o_orderkey") % 83 != 0, "/asset").alias("asset_path"), F.when(F.col("o_orderkey") % 89 == 0, "b").otherwise("a").alias("asset_sha256"), (F.col("o_orderkey") % 91 != 0).alias("integrity_verified"),
     )
 
 
