@@ -107,7 +107,7 @@ def _score(frames_median_snr: Column, coverage: Column, clipped: Column, lost: C
     return S.clamp01(0.35 * coverage + 0.3 * snr + 0.2 * (1 - S.clamp01(clipped / gates.MAX_CLIPPED_FRACTION)) + 0.15 * (1 - S.clamp01(lost / gates.MAX_LOST_BLOCK_FRACTION)))
 
 
-def _evidence(accepted: DataFrame, frames: DataFrame) -> DataFrame:
+def evidence(accepted: DataFrame, frames: DataFrame) -> DataFrame:
     """Sums and worst cases over a session's segments, and the technical quality score."""
     snr = frames.groupBy(*KEY).agg(robust.median(F.when(F.col("speech_active"), F.col("snr_db"))).alias("median_snr"), F.min(F.when(F.col("pitched"), F.col("f0_confidence"))).alias("estimator_quality"), F.min(F.when(F.col("pitched"), F.col("estimator_agreement"))).alias("estimator_agreement"))
     sums = accepted.groupBy(*KEY).agg(
@@ -142,7 +142,7 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     cut = materialize(cut.drop("browser_processing", "quality_reasons")).join(accepted.select(*KEY, "segment_no", F.col("pitched_ms").alias("segment_pitched_ms")), [*KEY, "segment_no"])
     whole, joint = rejoined(accepted, cut.drop("segment_pitched_ms"))
     runs, whole = materialize(run_events(joint)), materialize(whole)
-    evidence = _evidence(accepted, cut)
+    proof = evidence(accepted, cut)
 
     pitch = _two_level(cut.filter("pitched and segment_pitched_ms >= 1000"), "segment_no", "f0_hz", "f0")
     bins = pitch_bins(cut.filter("segment_pitched_ms >= 1000").drop("segment_pitched_ms"))
@@ -150,7 +150,7 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     varied = bins.withColumn("tone", S.semitones(F.col("pitch"), centre)).groupBy(*KEY, "segment_no").agg(F.count("*").alias("bins"), robust.population_sd("tone").alias("sd")).filter(F.col("bins") >= MIN_PITCH_BINS)
     contributing = accepted.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])
     variability = _two_level(varied, "segment_no", "sd", "variability").join(
-        _evidence(contributing, cut.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])).select(*KEY, F.col("pitched_ms").alias("v_pitched_ms"), F.col("pitch_coverage").alias("v_coverage"), F.col("quality").alias("v_quality")), KEY
+        evidence(contributing, cut.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])).select(*KEY, F.col("pitched_ms").alias("v_pitched_ms"), F.col("pitch_coverage").alias("v_coverage"), F.col("quality").alias("v_quality")), KEY
     )
     pause = runs.filter("counted_pause").withColumn("s", F.col("duration_ms") / 1000)
     speech = runs.filter("active").withColumn("s", F.col("duration_ms") / 1000)
@@ -160,7 +160,7 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     rates = _two_level(per_joint, "joint_no", "rate", "rate_each")
     per_segment = accepted.withColumn("fraction", F.col("active_ms") / F.col("duration_ms")).withColumn("nucleus_rate", F.col("nuclei") / (F.col("active_ms") / 1000))
     fractions, nucleus = _two_level(per_segment, "segment_no", "fraction", "fraction_each"), _two_level(per_segment, "segment_no", "nucleus_rate", "nucleus_each")
-    row = sessions.select("session_id", "noise_calibration_duration_ms").join(evidence, KEY, "left")
+    row = sessions.select("session_id", "noise_calibration_duration_ms").join(proof, KEY, "left")
     for more in (pitch, variability, pauses, speeches, rates, fractions, nucleus):
         row = row.join(more, KEY, "left")
 

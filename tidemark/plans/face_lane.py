@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, face, robust
+from ..operators import detect, face, governance, robust
+from ..sources import registry
 from .catalog import query, table
 from .signals import events
 
@@ -254,6 +255,21 @@ def face_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face.metrics(frames, face_sessions(frames)).select("session_id", "metric_no", "metric_code", "status", "reason_code", r("value"), r("dispersion"), r("quality"), "bins", "samples")
 
 
+@query(
+    "face_registry_completion",
+    f"""WITH {FACE_SQL}, c AS (SELECT * FROM (VALUES {_CODES}) AS r(metric_no, metric_code, kind, name, variant)), s AS (SELECT DISTINCT session_id FROM f0)
+SELECT session_id, metric_code, CASE WHEN metric_no % 7 = 3 AND CAST(session_id AS INT) % 2 = 0 THEN 'missing' WHEN metric_no % 5 = 4 THEN 'repeated' END AS problem FROM s CROSS JOIN c""",
+)
+def face_registry_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of each session against the registry, some of them taken out and some doubled."""
+    frames = face_frames(spark, sf_dir)
+    sessions = face_sessions(frames)
+    found = face.metrics(frames, sessions).select("session_id", "metric_no", "metric_code")
+    some = found.filter(~((F.col("metric_no") % 7 == 3) & (F.col("session_id").cast("int") % 2 == 0)))
+    own = registry.metrics(spark).filter("modality = 'face'")
+    return governance.completed(some.unionByName(some.filter("metric_no % 5 = 4")), sessions, own, ["session_id"], "metric_code").select("session_id", "metric_code", "problem")
+
+
 @query(
     "face_evidence",
     f"""WITH {METRICS_SQL} SELECT session_id, metric_code, t0 AS observed_start_ms, t1 AS observed_end_ms, CAST(coalesce(segments, 0) AS BIGINT) AS segments, round(coalesce(eligible_ms, 0), 3) AS eligible_ms, coalesce(span_ms, 0) AS span_ms, round(least_cadence_hz, 6) AS least_cadence_hz, least_span_ms, p95_gap_ms, largest_gap_ms,

@@ -117,6 +117,20 @@ def voice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voice.metrics(frames, voice_sessions(frames)).select("session_id", "metric_code", "status", "reason_code", F.round("value", 6).alias("value"))
 
 
+@query(
+    "voice_evidence",
+    f"""WITH {JOINT_SQL}, n AS (SELECT session_id, count(*) AS segments, CAST(sum(n_frames) AS BIGINT) AS samples, sum(duration_ms) AS eligible_ms, sum(active_ms) AS active_ms, sum(pitched_ms) AS pitched_ms, min(coverage) AS timing_coverage, min(duration_ms) AS segment_span_ms, quantile_cont(coverage, 0.5) AS cov FROM b GROUP BY session_id),
+m AS (SELECT session_id, quantile_cont(snr, 0.5) FILTER (WHERE active) AS snr FROM w JOIN b USING (session_id, segment_no) GROUP BY session_id)
+SELECT session_id, segments, samples, round(eligible_ms, 3) AS eligible_ms, round(active_ms, 3) AS active_ms, round(pitched_ms, 3) AS pitched_ms, round(timing_coverage, 6) AS timing_coverage, round(segment_span_ms, 3) AS segment_span_ms, round(pitched_ms / active_ms, 6) AS pitch_coverage,
+  round(0.35 * cov + 0.3 * greatest(0, least(1, (snr - 15) / 15)) + 0.2 + 0.15 * (1 - 0.01 / 0.05), 6) AS quality FROM n JOIN m USING (session_id)""",
+)
+def voice_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = voice_frames(spark, sf_dir)
+    found = voice.evidence(*voice.segments(frames, voice_sessions(frames)))
+    r = lambda c, n=3: F.round(c, n).alias(c)
+    return found.select("session_id", "segments", "samples", r("eligible_ms"), r("active_ms"), r("pitched_ms"), r("timing_coverage", 6), r("segment_span_ms"), r("pitch_coverage", 6), r("quality", 6))
+
+
 @query(
     "voice_quality_tiers",
     f"""WITH {FRAMES_SQL} SELECT session_id, CAST(sum((NOT clipped AND NOT gapped AND rms >= 0.003)::INT) AS BIGINT) AS timing_frames, CAST(sum((NOT clipped AND NOT gapped AND rms >= 0.003 AND snr >= 15)::INT) AS BIGINT) AS general_frames,
