@@ -117,40 +117,57 @@ def deterministic_encoder(dimensions: int = 8) -> Callable[[np.ndarray], np.ndar
     return lambda x: np.array([c.mean() if len(c) else 0.0 for c in np.array_split(x, dimensions)], np.float32)
 
 
-def _first_peak(score: np.ndarray, enough: float) -> int:
-    """The first local maximum of at least `enough`, else the overall one."""
-    for k in range(len(score)):
-        left = k == 0 or score[k] >= score[k - 1]
-        right = k == len(score) - 1 or score[k] >= score[k + 1]
-        if score[k] >= enough and left and right:
-            return k
-    return int(score.argmax())
+def _first_peaks(score: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """Of each row: the first local maximum of at least `enough`, else the overall one."""
+    edge = np.full((len(score), 1), -np.inf)
+    padded = np.hstack([edge, score, edge])
+    peak = (score >= enough[:, None]) & (score >= padded[:, :-2]) & (score >= padded[:, 2:])
+    return np.where(peak.any(axis=1), peak.argmax(axis=1), score.argmax(axis=1))
 
 
-def pitch_estimates(samples: np.ndarray, rate: float, low_hz: float = 50, high_hz: float = 700) -> tuple[float | None, float, float | None, float, float | None, float]:
-    """(hz, confidence) of autocorrelation, of mean absolute difference and of zero crossings."""
-    x = np.asarray(samples, np.float64)
-    lags = np.arange(max(1, int(rate // high_hz)), min(len(x) - 2, int(np.ceil(rate / low_hz))) + 1)
-    if len(lags) == 0:
-        return None, 0.0, None, 0.0, None, 0.0
-    energy = np.concatenate(([0.0], np.cumsum(x * x)))
-    cross = np.array([x[: len(x) - k] @ x[k:] for k in lags])
-    alike = cross / np.maximum(1e-12, np.sqrt(energy[len(x) - lags] * (energy[-1] - energy[lags])))
-    differ = np.array([np.abs(x[: len(x) - k] - x[k:]).mean() for k in lags])
-    best = alike[_first_peak(alike, alike.max() * 0.92)]
-    auto = (rate / lags[_first_peak(alike, alike.max() * 0.92)], float(np.clip(best, 0, 1))) if best >= 0.35 else (None, float(max(0.0, best)))
-    usual = differ.mean()
-    k = _first_peak(-differ, -(differ.min() + usual * 0.08))
-    sure = 0.0 if usual <= 1e-9 else max(0.0, 1 - differ[k] / usual)
-    mean_difference = (rate / lags[k], float(sure)) if sure >= 0.2 else (None, float(sure))
+def _crossings(x: np.ndarray, rate: float) -> tuple[float | None, float]:
+    """(hz, steadiness) of one block's upward zero crossings."""
     up = np.flatnonzero((x[:-1] <= 0) & (x[1:] > 0))
     periods = np.diff(up - x[up] / (x[up + 1] - x[up])) if len(up) > 1 else np.zeros(0)
     periods = periods[periods > 0]
-    crossing: tuple[float | None, float] = (None, 0.0)
-    if len(periods):
-        hz, steady = rate / np.sort(periods)[len(periods) // 2], float(max(0.0, 1 - periods.std() / max(1, periods.mean())))
-        crossing = (float(hz), steady) if 48 <= hz <= 720 and steady >= 0.6 else (None, steady)
-    return *auto, *mean_difference, *crossing
+    if not len(periods):
+        return None, 0.0
+    hz, steady = float(rate / np.sort(periods)[len(periods) // 2]), float(max(0.0, 1 - periods.std() / max(1, periods.mean())))
+    return (hz, steady) if 48 <= hz <= 720 and steady >= 0.6 else (None, steady)
+
+
+def block_estimates(x: np.ndarray, rate: float, low_hz: float = 50, high_hz: float = 700) -> list[tuple]:
+    """pitch_estimates() of equally long blocks, one a row of x: each lag is computed for all of them at once."""
+    n = x.shape[1]
+    lags = np.arange(max(1, int(rate // high_hz)), min(n - 2, int(np.ceil(rate / low_hz))) + 1)
+    if len(lags) == 0:
+        return [(None, 0.0, None, 0.0, None, 0.0)] * len(x)
+    energy = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x * x, axis=1)], axis=1)
+    alike, differ = np.empty((len(x), len(lags))), np.empty((len(x), len(lags)))
+    for j, k in enumerate(lags):
+        ahead, behind = x[:, : n - k], x[:, k:]
+        norm = np.sqrt(energy[:, n - k] * (energy[:, -1] - energy[:, k]))
+        alike[:, j] = np.einsum("ij,ij->i", ahead, behind) / np.maximum(1e-12, norm)
+        differ[:, j] = np.abs(ahead - behind).mean(axis=1)
+    rows, usual = np.arange(len(x)), differ.mean(axis=1)
+    first, second = _first_peaks(alike, alike.max(axis=1) * 0.92), _first_peaks(-differ, -(differ.min(axis=1) + usual * 0.08))
+    best = alike[rows, first]
+    sure = np.where(usual <= 1e-9, 0.0, np.maximum(0.0, 1 - differ[rows, second] / np.maximum(usual, 1e-300)))
+    out = []
+    for k in range(len(x)):
+        auto = (rate / lags[first[k]], float(np.clip(best[k], 0, 1))) if best[k] >= 0.35 else (None, float(max(0.0, best[k])))
+        mean_difference = (rate / lags[second[k]], float(sure[k])) if sure[k] >= 0.2 else (None, float(sure[k]))
+        out.append((*auto, *mean_difference, *_crossings(x[k], rate)))
+    return out
+
+
+def pitch_estimates(samples: np.ndarray, rate: float, low_hz: float = 50, high_hz: float = 700) -> tuple[float | None, float, float | None, float, float | None, float]:
+    """(hz, confidence) of autocorrelation, of mean absolute difference and of zero crossings."""
+    return block_estimates(np.asarray(samples, np.float64)[None, :], rate, low_hz, high_hz)[0]
+
+
+#: Blocks whose estimates are computed together.
+_BLOCKS_ONCE = 256
 
 
 def with_pitch(blocks: DataFrame, samples: str, rate: str) -> DataFrame:
@@ -158,7 +175,13 @@ def with_pitch(blocks: DataFrame, samples: str, rate: str) -> DataFrame:
 
     @F.pandas_udf("a double, ac double, d double, dc double, z double, zc double")
     def estimate(x: pd.Series, r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([pitch_estimates(a, b) for a, b in zip(x, r, strict=True)], columns=["a", "ac", "d", "dc", "z", "zc"]).astype("float64")
+        found = np.full((len(x), 6), np.nan)
+        kinds = pd.DataFrame({"n": x.map(len), "rate": r})
+        for (_, own_rate), places in kinds.groupby(["n", "rate"]).indices.items():
+            for low in range(0, len(places), _BLOCKS_ONCE):
+                some = places[low : low + _BLOCKS_ONCE]
+                found[some] = np.array(block_estimates(np.array(x.iloc[some].tolist(), np.float64), own_rate), np.float64)
+        return pd.DataFrame(found, columns=["a", "ac", "d", "dc", "z", "zc"])
 
     e = F.col("estimates")
     clean = lambda c: F.when(~F.isnan(e[c]), e[c])
