@@ -200,7 +200,10 @@ def brute_rule(host, path, rules):
 
 
 def test_url_rules(spark):
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/a", "block"), ("org", "/fr/", "allow"), ("com", "", "block"), ("é.com", "/", "allow"), ("www.example.net", "/", "allow")]
+    rules = [
+        ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/a", "block"), ("org", "/fr/", "allow"), ("com", "", "block"),
+        ("é.com", "/", "allow"), ("www.example.net", "/", "allow")
+    ]
     urls = [
         "http://a.example.net/en/x?q#f", "https://EXAMPLE.net/en/abc", "http://net/", "http://net", "http://xnet/", "http://b.org/fr/", "http://b.org/frx", "ftp://É.com/", "http://é.com/z", "http://com?x", "x://y://z.net/", None, "", "no scheme",
         "http://www.example.net/en/", "http://a..net/\n/x", "http://a.example.net/en/x", "://net/a", "http:///path", "http://example.net.evil.com/en/",

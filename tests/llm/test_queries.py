@@ -72,7 +72,9 @@ def test_op6(spark, docs):
 
 def test_op7(spark, docs):
     found = rows(spark, "op7_sharding")
-    assert {(r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in found} == {(d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode()), "bytes", None) for d in docs}
+    assert {(r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in found} == {(
+        d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode()), "bytes", None
+    ) for d in docs}
     slots, held = {}, {}
     for r in found:
         slots.setdefault(r.shard, []).append(r.slot)

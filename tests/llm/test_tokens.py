@@ -119,7 +119,9 @@ def test_token_counts_of_raw_files(spark, tmp_path, stripe):
     wanted = []
     for k, s in enumerate(streams):
         ends = [0, *(np.flatnonzero(s == 7) + 1).tolist()]
-        wanted += [(f"{k}.bin", n, a, b - a, True) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))] + [(f"{k}.bin", len(ends) - 1, ends[-1], len(s) - ends[-1], False)] * (ends[-1] < len(s))
+        wanted += [
+            (f"{k}.bin", n, a, b - a, True) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
+        ] + [(f"{k}.bin", len(ends) - 1, ends[-1], len(s) - ends[-1], False)] * (ends[-1] < len(s))
     assert sorted((r.file, r.doc_no, r.start, r.n_tokens, r.finished) for r in rows) == sorted(wanted)
 
 

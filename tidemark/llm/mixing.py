@@ -98,7 +98,10 @@ def _cutter(block_words: int):
                 own = word_starts[bounds[k] : bounds[k + 1]]
                 cuts = [0, *range(block_words - start % block_words, n, block_words), n]
                 places = [int(offsets[k]), *own[cuts[1:-1]].tolist(), int(offsets[k + 1])]
-                out.append([{"block": (start + a) // block_words, "first_word": a, "n_words": b - a, "text": data[p:q].tobytes().decode()} for a, b, p, q in zip(cuts, cuts[1:], places, places[1:], strict=False)])
+                out.append([
+                    {"block": (start + a) // block_words, "first_word": a, "n_words": b - a, "text": data[p:q].tobytes().decode()} for a, b, p,
+                    q in zip(cuts, cuts[1:], places, places[1:], strict=False)
+                ])
         return pa.array(out, pa.list_(_PIECE))
 
     return cut
@@ -107,11 +110,17 @@ def _cutter(block_words: int):
 class Mix:
     """A planned mix. docs need id_col, source_col and size_col (words), and tie_col, which orders rows of equal id."""
 
-    def __init__(self, docs: DataFrame, size_col: str, tie_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, carry: tuple[str, ...] = (), weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block_words: int = 32, shards: int = 256, seed: int = 5):
+    def __init__(
+        self, docs: DataFrame, size_col: str, tie_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None,
+        carry: tuple[str, ...] = (), weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block_words: int = 32, shards: int = 256, seed: int = 5
+    ):
         self.block_words, self.seed, spark = block_words, seed, docs.sparkSession
         more = {c: F.col(c) for c in carry} | ({"text": F.col(text_col).cast("string")} if text_col else {})
         self.text = text_col is not None
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size"), F.col(tie_col).cast("long").alias("tie"), *[c.alias(k) for k, c in more.items()])
+        rows = docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size"),
+            F.col(tie_col).cast("long").alias("tie"), *[c.alias(k) for k, c in more.items()]
+        )
         buckets = max(256, docs.count() // ROWS_EACH)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
         sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -156,7 +165,10 @@ class Mix:
         each = chunks.withColumn("k", F.explode(F.sequence("low", F.least(F.col("low") + _CHUNK, F.col("n")) - 1))).withColumn("j", F.col("first") + F.col("k"))
         key = F.xxhash64("source_no", F.expr("j div n_blocks"), F.lit(self.seed))
         place = F.xxhash64("shard", F.lit(self.seed + 1))
-        return each.select("shard", _permuted(F.col("at") + F.col("k"), F.col("room"), place).alias("place"), "source_no", _permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
+        return each.select(
+            "shard", _permuted(F.col("at") + F.col("k"), F.col("room"), place).alias("place"), "source_no",
+            _permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block")
+        )
 
     def rows(self) -> DataFrame:
         """The mix: each taken block's pieces, with shard and place."""

@@ -81,7 +81,10 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, seed:
             lengths = np.array([coordinates if len(s) else 0 for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(signatures.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [names.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), lists], schema=_SIGNED
+                [
+                    names.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
+                    pa.array([p[1] for p in prints], pa.int64()), lists
+                ], schema=_SIGNED
             )
         release_memory()
 
@@ -139,7 +142,10 @@ def _cluster_links(clusters: DataFrame, short: DataFrame, sets: DataFrame, perce
     full = materialize(clusters.join(main, "cluster").join(short, "class_id"))
     outside = F.col("label") != F.col("main")
     blocks = lambda size, rows: 1 + F.greatest(F.expr(f"{size} div {BLOCK_SHINGLES}"), F.expr(f"{rows} div {BLOCK_CLASSES}"))
-    sizes = full.groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("rows"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out_size"), F.sum(outside.cast("long")).alias("out_rows"))
+    sizes = full.groupBy("cluster").agg(
+        F.sum("n").alias("size"), F.count("*").alias("rows"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out_size"),
+        F.sum(outside.cast("long")).alias("out_rows")
+    )
     sizes = sizes.select("cluster", blocks("out_size", "out_rows").alias("ones"), blocks("size", "rows").alias("others"))
     whole = full.join(sizes, "cluster").join(sets, "class_id")
     place = lambda of: F.pmod(F.xxhash64("class_id", F.lit(of)), F.col(of))
@@ -200,13 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(signatures(docs, id_col, text_col, words_each, coordinates))
     prints = ["n_shingles", "print_a", "print_b"]
     classes = materialize(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy(prints).agg(F.min("doc_id").alias("first_doc"), F.first("signature").alias("signature")).withColumn("class_id", F.monotonically_increasing_id())
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy(prints).agg(
+            F.min("doc_id").alias("first_doc"), F.first("signature").alias("signature")
+        ).withColumn("class_id", F.monotonically_increasing_id())
     )
     posts = materialize(_prefix_postings(classes, coordinates, matches))
     posted = posts.select("class_id").distinct().join(classes.select("class_id", "first_doc", "print_a", "print_b"), "class_id")
     texts = docs.select(F.col(id_col).cast("long").alias("first_doc"), F.col(text_col).alias("text"))
     sets = materialize(
-        texts.join(posted, "first_doc").select("class_id", "print_a", "print_b", "text").mapInArrow(lambda batches: _sets(batches, words_each), "class_id long, shingles array<long>").dropDuplicates(["class_id"]),
+        texts.join(posted, "first_doc").select("class_id", "print_a", "print_b", "text").mapInArrow(
+            lambda batches: _sets(batches, words_each), "class_id long, shingles array<long>"
+        ).dropDuplicates(["class_id"]),
         "none",
     )
     unshared = sets.select("class_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("owners"), F.min("class_id").alias("class_id")).filter("owners = 1")

@@ -27,7 +27,10 @@ from .common import materialize, release_memory, text_slices
 from .tokens import encoder
 
 _PIECES = pa.schema(
-    [("part", pa.int32()), ("window_no", pa.int64()), ("closed", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
+    [
+        ("part", pa.int32()), ("window_no", pa.int64()), ("closed", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
+        ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())
+    ]
 )
 _PIECES_DDL = "part int, window_no long, closed boolean, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, ids binary"
 #: Partitions whose open windows are merged together.
@@ -72,7 +75,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, en
     def rows(pieces: list[tuple], closed: bool) -> pa.RecordBatch:
         number, doc_id, start, length, crc, doc_tokens, ids, offset = zip(*pieces, strict=True)
         n = len(pieces)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([part] * n, number, [closed] * n, doc_id, start, length, crc, doc_tokens, offset, ids), _PIECES, strict=True)], schema=_PIECES)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, f.type) for x, f in zip(([part] * n, number, [closed] * n, doc_id, start, length, crc, doc_tokens, offset, ids), _PIECES, strict=True)],
+            schema=_PIECES
+        )
 
     for batch in batches:
         names, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -112,7 +118,9 @@ def _merge(size: int):
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, open_windows: int = 128, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids (little-endian unsigned 32-bit) if keep_ids."""
     pieces = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _pack(batches, tokenizer_path, window, open_windows, end_id, keep_ids), _PIECES_DDL)
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+            lambda batches: _pack(batches, tokenizer_path, window, open_windows, end_id, keep_ids), _PIECES_DDL
+        )
     )
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     own = F.col("part").cast("long") * F.lit(1 << 32) + F.col("window_no")

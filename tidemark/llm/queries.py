@@ -80,7 +80,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("text_key"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.xxhash64("text").alias("text_key")
+    )
     sharded = sharding.shard(docs, 16, "size", "doc_id", "text_key")
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -125,5 +128,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_top_k, op3_minhash_near_dedup, op4_packing, op5_url_filter, op6_language_id, op7_sharding, op8_token_counts, op9_quality_rules, op10_token_file)}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_exact_top_k, op3_minhash_near_dedup, op4_packing, op5_url_filter, op6_language_id, op7_sharding, op8_token_counts, op9_quality_rules,
+    op10_token_file
+)}
 ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL}

@@ -29,7 +29,10 @@ from .tokens import encoder
 #: base, number of values, number of exceptions, width; little-endian.
 _HEADER = struct.Struct("<IIIB")
 _SEGMENT_DDL = "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, block_starts array<long>, payload binary"
-_SEGMENT = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("block_starts", pa.list_(pa.int64())), ("payload", pa.binary())])
+_SEGMENT = pa.schema([
+    ("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
+    ("block_starts", pa.list_(pa.int64())), ("payload", pa.binary())
+])
 _READ_DDL = "part int, segment int, doc_id long, in_segment long, n_tokens long, ids_crc32 long, ids binary"
 _READ = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("in_segment", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -89,7 +92,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block:
         yield segment()
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, segment_tokens: int = 1 << 17, share: float = 0.9) -> None:
+def write_token_file(
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096,
+    segment_tokens: int = 1 << 17, share: float = 0.9
+) -> None:
     """Encodes all documents and writes them at path, ascending by id."""
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

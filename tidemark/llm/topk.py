@@ -130,7 +130,10 @@ def build_index(vectors: DataFrame, pivots: _Pivots) -> DataFrame:
 
 def _block(g: pd.DataFrame, number: int) -> pd.DataFrame:
     matrix = np.array(g["vector"].tolist(), np.int64).reshape(len(g), -1)
-    return pd.DataFrame({"block": [number], "length": g["length"].iloc[:1].to_numpy(), "pivot": g["pivot"].iloc[:1].to_numpy(), "low": [g["distance"].min()], "high": [g["distance"].max()], "ids": [g["id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+    return pd.DataFrame({
+        "block": [number], "length": g["length"].iloc[:1].to_numpy(), "pivot": g["pivot"].iloc[:1].to_numpy(), "low": [g["distance"].min()],
+        "high": [g["distance"].max()], "ids": [g["id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]
+    })
 
 
 def _read(frame: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
@@ -285,6 +288,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for row in frame.itertuples():
                 yield pd.DataFrame({"group": row.group, "query_id": np.unique(np.frombuffer(row.query_ids, np.int64))})
 
-    of_group = groups.select("group", "query_ids").mapInPandas(members, "group long, query_id long").join(bars, "query_id").groupBy("group").agg(F.collect_list("query_id").alias("bar_ids"), F.collect_list("bar").alias("bars"))
+    of_group = groups.select("group", "query_ids").mapInPandas(members, "group long, query_id long").join(bars, "query_id").groupBy("group").agg(
+        F.collect_list("query_id").alias("bar_ids"), F.collect_list("bar").alias("bars")
+    )
     demands = groups.drop("queries").join(of_group, "group", "left").mapInPandas(further, _DEMAND)
     return _ranked(seen.unionByName(scores_of(demands, True)), k).select("query_id", "rank", "id", "score")

@@ -56,7 +56,10 @@ def _events(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, depth
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("labels", _labels(F.col("host")))
         .withColumn("depth", F.explode(F.filter(F.array(*[F.lit(d) for d in sorted({1, *depths})]), lambda d: d <= F.size("labels"))))
-        .select(_key(F.slice("labels", F.lit(1), F.col("depth")), F.col("path")).alias("key"), F.lit(_URL_KIND).alias("kind"), "row", F.when(F.col("depth") == 1, F.struct("page_id", "host", "path")).alias("page"))
+        .select(
+            _key(F.slice("labels", F.lit(1), F.col("depth")), F.col("path")).alias("key"), F.lit(_URL_KIND).alias("kind"), "row",
+            F.when(F.col("depth") == 1, F.struct("page_id", "host", "path")).alias("page")
+        )
     )
     opens = rules.select(F.col("start").alias("key"), F.lit(_OPEN).alias("kind"), "start", "own")
     closes = rules.select(F.concat("start", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(_CLOSE).alias("kind"), "start", "own")
