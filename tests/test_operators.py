@@ -25,7 +25,10 @@ def test_finite_and_clamp(spark):
 
 
 def test_reasons_keep_their_order_and_null_conditions_fail_nothing(spark):
-    r = one(spark, "a int, b int", (5, None), all=S.reasons([(F.col("a") > 1, "x"), (F.col("b") > 1, "y"), (F.col("a") > 2, "z")]), first=S.first_reason([(F.col("b") > 1, "y"), (F.col("a") > 2, "z")]))
+    r = one(
+        spark, "a int, b int", (5, None), all=S.reasons([(F.col("a") > 1, "x"), (F.col("b") > 1, "y"), (F.col("a") > 2, "z")]),
+        first=S.first_reason([(F.col("b") > 1, "y"), (F.col("a") > 2, "z")])
+    )
     assert r["all"] == ["x", "z"] and r["first"] == "z"
 
 
@@ -115,7 +118,9 @@ def voice_frame(**over):
 
 
 def gate(spark, **over):
-    return spark.createDataFrame([voice_frame(**over)], schemas.VOICE_FRAMES).select(gates.voice_gate_failures().alias("f"), gates.voice_timing_usable().alias("t"), gates.valid_pitch().alias("p")).first()
+    return spark.createDataFrame([voice_frame(**over)], schemas.VOICE_FRAMES).select(
+        gates.voice_gate_failures().alias("f"), gates.voice_timing_usable().alias("t"), gates.valid_pitch().alias("p")
+    ).first()
 
 
 @pytest.mark.parametrize(
@@ -183,7 +188,10 @@ def test_a_resting_pose_moves_the_gate(spark):
 
 
 def test_clean_minute_of_voice_is_measured(spark):
-    rows = [voice_frame(t_ms=10.0 * k, sequence=k, speech_active=(k // 100) % 4 != 3, periodic=(k // 100) % 4 != 3, f0_hz=140.0 + 5 * math.sin(k / 20), syllabic_nucleus=k % 40 == 0) for k in range(6000)]
+    rows = [voice_frame(
+        t_ms=10.0 * k, sequence=k, speech_active=(k // 100) % 4 != 3, periodic=(k // 100) % 4 != 3, f0_hz=140.0 + 5 * math.sin(k / 20),
+        syllabic_nucleus=k % 40 == 0
+    ) for k in range(6000)]
     sessions = spark.createDataFrame([("s", 0.0, 2500.0), ("none", 0.0, 2500.0), ("raw", 0.0, 100.0)], "session_id string, session_started_at_ms double, noise_calibration_duration_ms double")
     found = {(r.session_id, r.metric_code.split("voice.")[1]): r for r in voice.metrics(spark.createDataFrame(rows, schemas.VOICE_FRAMES), sessions).collect()}
     assert len(found) == 21
@@ -197,7 +205,10 @@ def test_clean_minute_of_voice_is_measured(spark):
 def test_face_minute_is_measured_without_its_bad_frames(spark):
     rows = [face_frame(t_ms=50.0 * k, sequence=k, image_quality=(0.55, 0.02, 0.02, 0.0001 if k % 9 == 0 else 0.002)) for k in range(1200)]
     rows += [face_frame(session_id="short", t_ms=50.0 * k, sequence=k) for k in range(250)]
-    sessions = spark.createDataFrame([("s", 0.0, (2000.0, 384.0, 360.0)), ("short", 0.0, (2000.0, 384.0, 360.0))], schemas.SESSIONS.replace("protocol_version string, protocol_sha256 string, ", "").replace("noise_calibration_duration_ms double, ", ""))
+    sessions = spark.createDataFrame(
+        [("s", 0.0, (2000.0, 384.0, 360.0)), ("short", 0.0, (2000.0, 384.0, 360.0))],
+        schemas.SESSIONS.replace("protocol_version string, protocol_sha256 string, ", "").replace("noise_calibration_duration_ms double, ", "")
+    )
     found = {(r.session_id, r.metric_code): r for r in face.metrics(spark.createDataFrame(rows, schemas.FACE_FRAMES), sessions).collect()}
     assert found["s", "ambient.face.eye_aperture.left"].value == 0.3 and found["s", "ambient.face.mouth_width"].value == pytest.approx(0.6)
     withheld = {m.split("face.")[1]: r.reason_code for (s, m), r in found.items() if s == "s" and r.status == "withheld"}
@@ -235,7 +246,10 @@ def test_pairs_are_one_to_one():
 
 def expressions_of(rises, step=50.0):
     t, r = np.arange(len(rises)) * step, np.array(rises)
-    return detect.expression_fold(pd.DataFrame({"t_ms": t, "left_y": 0.1 - r, "right_y": 0.1 - r / 2, "left_eye": 0.3, "right_eye": 0.3, "rest_left_y": 0.1, "rest_right_y": 0.1, "rest_left_eye": 0.28, "rest_right_eye": 0.3}))
+    return detect.expression_fold(pd.DataFrame({
+        "t_ms": t, "left_y": 0.1 - r, "right_y": 0.1 - r / 2, "left_eye": 0.3, "right_eye": 0.3, "rest_left_y": 0.1, "rest_right_y": 0.1, "rest_left_eye": 0.28,
+        "rest_right_eye": 0.3
+    }))
 
 
 def test_expression_hysteresis():
@@ -266,7 +280,10 @@ def test_nuclei_and_noise_floor():
 
 def noise_frames(*parts):
     """Rows of (kind, first ms, end ms, step ms, overrides)."""
-    kinds = {"loud": {"rms": 0.02, "cpp_db": 12.0, "f0_hz": 160.0, "f0_confidence": 0.9, "agreement": 0.9, "flux": 0.2}, "quiet": {"rms": 0.001, "cpp_db": 2.0, "f0_hz": None, "f0_confidence": 0.1, "agreement": 0.1, "flux": 0.001}}
+    kinds = {
+        "loud": {"rms": 0.02, "cpp_db": 12.0, "f0_hz": 160.0, "f0_confidence": 0.9, "agreement": 0.9, "flux": 0.2},
+        "quiet": {"rms": 0.001, "cpp_db": 2.0, "f0_hz": None, "f0_confidence": 0.1, "agreement": 0.1, "flux": 0.001}
+    }
     rows = [{"acquired_at_ms": float(t), "usable": True, "identity": "a", **kinds[kind], **over} for kind, low, high, step, over in parts for t in range(low, high, step)]
     return pd.DataFrame(rows)
 
@@ -286,7 +303,10 @@ def test_noise_floor_needs_contrast_and_two_quiet_seconds():
     assert len(floors(contrast, ("quiet", 500, 2490, 10, {}), ("loud", 2490, 3000, 10, {}), ("quiet", 3000, 6000, 10, {}))) == 2
 
 
-@pytest.mark.parametrize("over", [{"rms": 0.003}, {"flux": 0.2}, {"cpp_db": 12.0}, {"cpp_db": 10.0}, {"f0_hz": 160.0}, {"f0_confidence": 0.5}, {"agreement": 0.5}, {"usable": False}, {"identity": "b"}])
+@pytest.mark.parametrize(
+    "over",
+    [{"rms": 0.003}, {"flux": 0.2}, {"cpp_db": 12.0}, {"cpp_db": 10.0}, {"f0_hz": 160.0}, {"f0_confidence": 0.5}, {"agreement": 0.5}, {"usable": False}, {"identity": "b"}]
+)
 def test_doubtful_frames_give_no_noise_floor(over):
     assert floors(("loud", 0, 500, 10, {}), ("quiet", 500, 4000, 10, over)) == []
 
@@ -372,11 +392,17 @@ def test_pose_round_trip(spark, angles):
 
 def test_level_face(spark):
     points = [(0.5, 0.5)] * 478
-    for index, p in {362: (0.6, 0.4), 263: (0.7, 0.4), 33: (0.3, 0.4), 133: (0.4, 0.4), 385: (0.63, 0.38), 380: (0.63, 0.42), 387: (0.67, 0.38), 373: (0.67, 0.42), 291: (0.6, 0.7), 61: (0.4, 0.7), 13: (0.5, 0.69), 14: (0.5, 0.73), 473: (0.65, 0.4), **{k: (0.66, 0.4) for k in (474, 475, 476, 477)}}.items():
+    for index, p in {
+        362: (0.6, 0.4), 263: (0.7, 0.4), 33: (0.3, 0.4), 133: (0.4, 0.4), 385: (0.63, 0.38), 380: (0.63, 0.42), 387: (0.67, 0.38), 373: (0.67, 0.42),
+        291: (0.6, 0.7), 61: (0.4, 0.7), 13: (0.5, 0.69), 14: (0.5, 0.73), 473: (0.65, 0.4), **{k: (0.66, 0.4) for k in (474, 475, 476, 477)}
+    }.items():
         points[index] = p
     f = geometry.Face("p", F.lit(100.0), F.lit(100.0))
     s = f.system()
-    r = one(spark, "p array<struct<x: double, y: double>>", (points,), s=s, a=f.eye_aperture("left_eye"), m=f.mouth_aperture(), o=f.mouth_midline_offset(s), i=f.iris("left", s), j=f.iris("right", s), b=f.bounding_box(), w=f.fissure("left_eye", s))
+    r = one(
+        spark, "p array<struct<x: double, y: double>>", (points,), s=s, a=f.eye_aperture("left_eye"), m=f.mouth_aperture(), o=f.mouth_midline_offset(s),
+        i=f.iris("left", s), j=f.iris("right", s), b=f.bounding_box(), w=f.fissure("left_eye", s)
+    )
     assert (r.s.scale, r.s.angle) == (pytest.approx(30), 0.0) and r.a == pytest.approx(0.4) and r.m == pytest.approx(0.2) and r.o == pytest.approx(0.0)
     assert r.i.gaze_x == pytest.approx(0.0) and r.i.diameter == pytest.approx(2 / 30) and r.j is None and r.w.width == pytest.approx(1 / 3)
     short = one(spark, "p array<struct<x: double, y: double>>", (points[:468],), i=f.iris("left", s), b=f.bounding_box())
@@ -425,7 +451,9 @@ def test_revision_chains(spark, rows, leaf, problems):
 def test_periods_are_strict(spark):
     days = [(-1.0, -0.5), (-1.0, 0.0), (0.0, 1.0), (-1.0, 0.5), (-60.0, -50.0), (100.0, 200.0), (None, None)]
     df = spark.createDataFrame(days, "a double, b double")
-    assert [r[0] for r in df.select(history.period(F.col("a"), F.col("b"), -56, 0, 112)).collect()] == ["baseline", "treatment-time-overlap", "followup", "treatment-time-overlap", "outside-analysis-window", "outside-analysis-window", None]
+    assert [r[0] for r in df.select(history.period(F.col("a"), F.col("b"), -56, 0, 112)).collect()] == [
+        "baseline", "treatment-time-overlap", "followup", "treatment-time-overlap", "outside-analysis-window", "outside-analysis-window", None
+    ]
 
 
 def test_baseline_weighs_encounters(spark):
@@ -443,13 +471,17 @@ def test_comparison_rules(spark):
     rows = [([], "measured", "measured", 1.0, 3.0), (["x"], "withheld", "measured", 1.0, 3.0), ([], "withheld", "measured", 1.0, 3.0), ([], "measured", "measured", 1.0, math.inf)]
     df = spark.createDataFrame(rows, "r array<string>, a string, b string, x double, y double")
     status, delta, reasons = compare.comparison(F.col("r"), F.col("a"), F.col("b"), F.col("x"), F.col("y"))
-    assert [tuple(r) for r in df.select(status, delta, reasons).collect()] == [("measured", 2.0, []), ("incompatible", None, ["x"]), ("withheld", None, []), ("incompatible", None, ["non-finite-delta"])]
+    assert [tuple(r) for r in df.select(status, delta, reasons).collect()] == [
+        ("measured", 2.0, []), ("incompatible", None, ["x"]), ("withheld", None, []), ("incompatible", None, ["non-finite-delta"])
+    ]
 
 
 def test_admission(spark):
     ddl = "k string, h string, o int"
     log, batch = spark.createDataFrame([("a", "1", 0)], ddl), spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "5", 1), ("b", "5", 2), ("b", "6", 3)], ddl)
-    assert sorted((r.k, r.o, r.admission) for r in ingest.classify_batch(batch, log, ["k"], "h", ["o"]).collect()) == [("a", 1, "duplicate"), ("a", 2, "conflict"), ("b", 1, "new"), ("b", 2, "duplicate"), ("b", 3, "conflict")]
+    assert sorted((r.k, r.o, r.admission) for r in ingest.classify_batch(batch, log, ["k"], "h", ["o"]).collect()) == [
+        ("a", 1, "duplicate"), ("a", 2, "conflict"), ("b", 1, "new"), ("b", 2, "duplicate"), ("b", 3, "conflict")
+    ]
 
 
 def test_source_order(spark):
@@ -477,7 +509,9 @@ def test_rules_and_claims(spark):
 def test_registry_completion(spark):
     present, owners = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "o string, c string"), spark.createDataFrame([("a",), ("b",)], "o string")
     registry = spark.createDataFrame([("x",), ("y",)], "c string")
-    assert {(r.o, r.c): r.problem for r in governance.completed(present, owners, registry, ["o"], "c").collect()} == {("a", "x"): "repeated", ("a", "y"): "missing", ("b", "x"): "missing", ("b", "y"): None}
+    assert {(r.o, r.c): r.problem for r in governance.completed(present, owners, registry, ["o"], "c").collect()} == {
+        ("a", "x"): "repeated", ("a", "y"): "missing", ("b", "x"): "missing", ("b", "y"): None
+    }
 
 
 # sources, sinks, streams
@@ -511,7 +545,9 @@ def test_rotation_restarts_after_a_gap():
 
 def test_a_tied_chain_of_thousands_is_followed(spark):
     rows = [("t", "long", k, k - 1 if k else None, 1) for k in range(5000)] + [("t", "round", 10_000 + k, 10_000 + (k + 1) % 700, 1) for k in range(700)] + [("t", "round", 20_000, None, 1)]
-    found = {r.id: (r.leaf, r.problems) for r in history.chain_audit(spark.createDataFrame(rows, "scope string, id string, rev long, prev long, at int"), ["scope"], "id", "rev", "prev", "at").collect()}
+    found = {r.id: (r.leaf, r.problems) for r in history.chain_audit(
+        spark.createDataFrame(rows, "scope string, id string, rev long, prev long, at int"), ["scope"], "id", "rev", "prev", "at"
+    ).collect()}
     assert found["long"] == (4999, []) and found["round"] == (None, ["revision-cycle"])
 
 

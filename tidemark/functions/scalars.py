@@ -136,7 +136,10 @@ def positive_dose(value: Column | str, unit: Column | str) -> Column:
     return F.when(finite(value) & (col(value) > 0) & (col(unit) != ""), F.struct(col(value).alias("value"), col(unit).alias("unit")))
 
 
-def clock_calibration(received: Column | str, sent: Column | str, local_sent: Column | str, local_received: Column | str, elapsed: Column | str, source_error_ms: Column | str, valid_until: Column | str, slack_ms: float = 10.0, longest_ms: float = 2_000.0, lifetime_ms: float = 60_000.0) -> Column:
+def clock_calibration(
+    received: Column | str, sent: Column | str, local_sent: Column | str, local_received: Column | str, elapsed: Column | str, source_error_ms: Column | str,
+    valid_until: Column | str, slack_ms: float = 10.0, longest_ms: float = 2_000.0, lifetime_ms: float = 60_000.0
+) -> Column:
     """struct(offset_ms, uncertainty_ms, expires_at_ms, error) of one probe of a clock source.
 
     elapsed is the round trip by a monotonic clock. The uncertainty is half of it (or of the wall clock's, if
@@ -148,7 +151,9 @@ def clock_calibration(received: Column | str, sent: Column | str, local_sent: Co
     uncertainty = F.ceil(F.greatest(elapsed, b - a) / 2 + own + 8).cast("double")
     expires = F.least(b + lifetime_ms, until - offset - uncertainty)
     error = first_reason([
-        (~known, "invalid-probe"), ((elapsed < 0) | (elapsed > longest_ms) | (b < a) | (F.abs((b - a) - elapsed) > slack_ms), "local-clock-discontinuity"), ((sent < received) | (sent - received > elapsed + 2), "invalid-round-trip"), (expires <= b, "source-expired"),
+        (~known, "invalid-probe"), (
+            (elapsed < 0) | (elapsed > longest_ms) | (b < a) | (F.abs((b - a) - elapsed) > slack_ms), "local-clock-discontinuity"
+        ), ((sent < received) | (sent - received > elapsed + 2), "invalid-round-trip"), (expires <= b, "source-expired"),
     ])
     kept = lambda c, name: F.when(error.isNull(), c).alias(name)
     return F.struct(kept(offset, "offset_ms"), kept(uncertainty, "uncertainty_ms"), kept(expires, "expires_at_ms"), error.alias("error"))

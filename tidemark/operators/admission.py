@@ -29,9 +29,13 @@ def frame_refusals(frames: DataFrame, authorisations: DataFrame, keys: list[str]
     """
     c = F.col
     joined = _joined(frames, authorisations, keys, "a_")
-    timed = S.finite("acquired_at_ms") & S.finite("t_ms") & F.coalesce(c("t_ms").between(0, MAX_CAPTURE_MS) & (F.abs(c("acquired_at_ms") - c("a_started_at_ms") - c("t_ms")) <= CLOCK_AGREEMENT_MS), F.lit(False))
+    timed = S.finite("acquired_at_ms") & S.finite("t_ms") & F.coalesce(
+        c("t_ms").between(0, MAX_CAPTURE_MS) & (F.abs(c("acquired_at_ms") - c("a_started_at_ms") - c("t_ms")) <= CLOCK_AGREEMENT_MS), F.lit(False)
+    )
     reason = S.first_reason([
-        (c("a_participant_id").isNull(), "not-authorised"), (~c("subject_ref").eqNullSafe(c("a_participant_id")), "wrong-subject"), (~c("platform_participant_id").eqNullSafe(c("a_platform_participant_id")), "wrong-participant"),
+        (c("a_participant_id").isNull(), "not-authorised"), (~c("subject_ref").eqNullSafe(c("a_participant_id")), "wrong-subject"), (
+            ~c("platform_participant_id").eqNullSafe(c("a_platform_participant_id")), "wrong-participant"
+        ),
         (~F.coalesce(F.array_contains("a_modalities", c("modality")), F.lit(False)), "modality-not-authorised"), (~timed, "invalid-time"),
     ])
     judged = joined.withColumn("refusal", reason)
@@ -48,7 +52,9 @@ def authorisation_failure(now: Column) -> Column:
     permitted = c("c_capture") & c("c_derived_analysis") & c("c_withdrawn_at").isNull() & (c("c_granted_at") <= now) & F.coalesce(c("c_expires_at") > now, F.lit(True)) & c("c_scope").eqNullSafe(c("b_scope"))
     covered = (F.size("modalities") > 0) & (F.size(F.array_except("modalities", "c_modalities")) == 0)
     return S.first_reason([
-        (~F.coalesce(c("encounter_active"), F.lit(False)) | c("encounter_id").isNull(), "encounter-inactive"), (~F.coalesce(bound, F.lit(False)), "participant-unresolved"), (~F.coalesce(permitted & covered, F.lit(False)), "consent-required"),
+        (
+            ~F.coalesce(c("encounter_active"), F.lit(False)) | c("encounter_id").isNull(), "encounter-inactive"
+        ), (~F.coalesce(bound, F.lit(False)), "participant-unresolved"), (~F.coalesce(permitted & covered, F.lit(False)), "consent-required"),
     ])
 
 
@@ -60,7 +66,15 @@ def packet_refusals(packets: DataFrame, authorisations: DataFrame, keys: list[st
     A packet that is not later than an earlier one of its modality is stale, whether or not that one was admitted.
     """
     c = F.col
-    joined = packets.join(authorisations.select(*keys, *[c(x).alias(x if x in ("encounter_active", "encounter_id", "modalities", "available", "started_at_ms") or x[:2] in ("b_", "c_") else f"a_{x}") for x in authorisations.columns if x not in keys]), keys, "left")
+    joined = packets.join(
+        authorisations.select(
+            *keys,
+            *[c(x).alias(x if x in (
+                "encounter_active", "encounter_id", "modalities", "available", "started_at_ms"
+            ) or x[:2] in ("b_", "c_") else f"a_{x}") for x in authorisations.columns if x not in keys]
+        ),
+        keys, "left"
+    )
     w = Window.partitionBy(*keys, "modality").orderBy(now, "sequence").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("acquired_at_ms").over(w)
     at, received = c("acquired_at_ms"), c(now)
@@ -69,8 +83,12 @@ def packet_refusals(packets: DataFrame, authorisations: DataFrame, keys: list[st
     stale = (at < F.greatest("started_at_ms", "c_granted_at")) | (received - at > PACKET_AGE_MS) | (at > received + CLOCK_AHEAD_MS) | F.coalesce(at <= c("last_at"), F.lit(False))
     judged = joined.withColumn("last_at", last).withColumn("failure", authorisation_failure(received))
     reason = S.first_reason([
-        (c("a_platform_participant_id").isNull(), "capture-stopped"), (c("failure") == "encounter-inactive", "encounter-inactive"), (c("failure") == "participant-unresolved", "participant-unresolved"), (c("failure") == "consent-required", "consent-required"),
-        (~c("packet_encounter_id").eqNullSafe(c("encounter_id")), "wrong-encounter"), (~c("attribution").eqNullSafe("individual-track"), "attribution-ambiguous"), (~c("platform_participant_id").eqNullSafe(c("a_platform_participant_id")), "wrong-participant"),
+        (c("a_platform_participant_id").isNull(), "capture-stopped"), (c("failure") == "encounter-inactive", "encounter-inactive"), (
+            c("failure") == "participant-unresolved", "participant-unresolved"
+        ), (c("failure") == "consent-required", "consent-required"),
+        (~c("packet_encounter_id").eqNullSafe(c("encounter_id")), "wrong-encounter"), (~c("attribution").eqNullSafe("individual-track"), "attribution-ambiguous"), (
+            ~c("platform_participant_id").eqNullSafe(c("a_platform_participant_id")), "wrong-participant"
+        ),
         (~listed, "modality-unavailable"), (~valid, "invalid-packet"), (stale, "stale-packet"),
     ])
     return judged.withColumn("refusal", reason).select(*packets.columns, "refusal")
@@ -82,7 +100,9 @@ def consent_refusals(consents: DataFrame, current: DataFrame, keys: list[str], g
     joined = _joined(consents, current.withColumn("known", F.lit(True)), keys)
     chronology = (c("granted_at") > now) | (c("expires_at") <= c("granted_at")) | (withdrawn < c("granted_at")) | (withdrawn > now)
     return joined.withColumn("refusal", S.first_reason([
-        (chronology, "consent-chronology"), (c("p_known") & c("p_withdrawn_at").isNotNull() & ~c("p_withdrawn_at").eqNullSafe(withdrawn), "consent-withdrawal-immutable"), (c("p_known") & _changed(granted), "consent-grant-immutable"),
+        (chronology, "consent-chronology"), (
+            c("p_known") & c("p_withdrawn_at").isNotNull() & ~c("p_withdrawn_at").eqNullSafe(withdrawn), "consent-withdrawal-immutable"
+        ), (c("p_known") & _changed(granted), "consent-grant-immutable"),
     ])).select(*consents.columns, "refusal")
 
 
@@ -93,8 +113,12 @@ def binding_refusals(bindings: DataFrame, current: DataFrame, keys: list[str], i
     revoked = c("status") == "revoked"
     agrees = F.when(revoked, F.coalesce((c("revoked_at") >= c("recorded_at")) & (c("revoked_at") <= now), F.lit(False))).otherwise(c("revoked_at").isNull())
     return joined.withColumn("refusal", S.first_reason([
-        (c("recorded_at") > now, "binding-chronology"), ((c("status") == "verified") & (c("verification_method") == "unverified"), "binding-verification"), (~agrees, "binding-revocation"), (c("p_known") & _changed(identity), "binding-identity-immutable"),
-        (c("p_known") & (c("p_status") != c("status")) & ~revoked, "binding-transition"), (c("p_known") & c("p_revoked_at").isNotNull() & ~c("p_revoked_at").eqNullSafe(c("revoked_at")), "binding-revocation-immutable"),
+        (c("recorded_at") > now, "binding-chronology"), (
+            (c("status") == "verified") & (c("verification_method") == "unverified"), "binding-verification"
+        ), (~agrees, "binding-revocation"), (c("p_known") & _changed(identity), "binding-identity-immutable"),
+        (c("p_known") & (c("p_status") != c("status")) & ~revoked, "binding-transition"), (
+            c("p_known") & c("p_revoked_at").isNotNull() & ~c("p_revoked_at").eqNullSafe(c("revoked_at")), "binding-revocation-immutable"
+        ),
     ])).select(*bindings.columns, "refusal")
 
 
@@ -122,7 +146,9 @@ def annotation_refusals(annotations: DataFrame, consents: DataFrame, clips: Data
     joined = annotations.join(able, scope, "left").join(owned, [*scope, "encounter_id", "clip_ref"], "left")
     blinded = F.col("kind") == "blinded-clip-annotation"
     return joined.withColumn("refusal", S.first_reason([
-        ((F.col("kind") == "routine-care-reference") & ~F.col("role").isin("clinician", "integration"), "clinical-authority"), (blinded & (F.col("researched").isNull() | F.col("clip_ref").isNull()), "clip-consent-required"), (blinded & F.col("owned").isNull(), "clip-access-denied"),
+        (
+            (F.col("kind") == "routine-care-reference") & ~F.col("role").isin("clinician", "integration"), "clinical-authority"
+        ), (blinded & (F.col("researched").isNull() | F.col("clip_ref").isNull()), "clip-consent-required"), (blinded & F.col("owned").isNull(), "clip-access-denied"),
     ])).select(*annotations.columns, "refusal")
 
 
@@ -145,7 +171,11 @@ def episode_refusals(episodes: DataFrame, protocols: DataFrame, registered: Data
 
 def access_audit(judged: DataFrame, actor: str, action: str, at: str, artifact: str) -> DataFrame:
     """An audit row for each judged request: actor_id, action, result (allowed or denied), reason, artifact_id and recorded_at, with an id of its own content."""
-    row = judged.select(F.col(actor).cast("string").alias("actor_id"), F.lit(action).alias("action"), F.when(F.col("refusal").isNull(), "allowed").otherwise("denied").alias("result"), F.col("refusal").alias("reason"), F.col(artifact).cast("string").alias("artifact_id"), F.col(at).alias("recorded_at"))
+    row = judged.select(
+        F.col(actor).cast("string").alias("actor_id"), F.lit(action).alias("action"),
+        F.when(F.col("refusal").isNull(), "allowed").otherwise("denied").alias("result"), F.col("refusal").alias("reason"),
+        F.col(artifact).cast("string").alias("artifact_id"), F.col(at).alias("recorded_at")
+    )
     return row.withColumn("audit_id", S.identity("audit", "actor_id", "action", "artifact_id", "recorded_at"))
 
 

@@ -74,7 +74,10 @@ class Alignment:
 
 def parameter_tables(spark: SparkSession, spec: Specification) -> tuple[DataFrame, DataFrame]:
     """(metrics, phases) of a specification as small tables, each row with the digest of its content."""
-    metrics = spark.createDataFrame([(m.metric_code, m.unit, m.modality, m.context, m.algorithm_version, float(m.least_usable_ms), float(m.least_quality)) for m in spec.metrics], "metric_code string, unit string, modality string, context string, algorithm_version string, least_usable_ms double, least_quality double")
+    metrics = spark.createDataFrame(
+        [(m.metric_code, m.unit, m.modality, m.context, m.algorithm_version, float(m.least_usable_ms), float(m.least_quality)) for m in spec.metrics],
+        "metric_code string, unit string, modality string, context string, algorithm_version string, least_usable_ms double, least_quality double"
+    )
     phases = spark.createDataFrame([(p, float(a), float(b), n) for p, a, b, n in spec.phases], "phase_id string, start_day double, end_day double, minimum_count int")
     return tuple(t.withColumn("digest", S.digest({c: c for c in t.columns})) for t in (metrics, phases))
 
@@ -90,7 +93,10 @@ def _anchors(treatments: DataFrame, wanted: DataFrame, scope: list[str]) -> Data
     joined = wanted.join(current, [*scope, "anchor_treatment_id"], "left")
     marked = joined.withColumn("reasons", history.anchor_reasons(F.col("as_of")))
     sound = F.size("reasons") == 0
-    return marked.select(*scope, "as_of", "anchor_treatment_id", F.col("revision_id").alias("anchor_revision"), F.col("course_id").alias("anchor_course"), F.when(sound, F.col("earliest")).alias("anchor_start"), F.when(sound, F.col("latest")).alias("anchor_end"), "reasons")
+    return marked.select(
+        *scope, "as_of", "anchor_treatment_id", F.col("revision_id").alias("anchor_revision"), F.col("course_id").alias("anchor_course"),
+        F.when(sound, F.col("earliest")).alias("anchor_start"), F.when(sound, F.col("latest")).alias("anchor_end"), "reasons"
+    )
 
 
 def _changes(treatments: DataFrame, contexts: DataFrame, anchors: DataFrame, scope: list[str], spec: Specification) -> tuple[DataFrame, DataFrame]:
@@ -114,10 +120,15 @@ def _all_flags(flags: DataFrame, anchors: DataFrame, histories: Sequence[DataFra
     columns = [*scope, "revision_id", "kind", "reason"]
     out = flags.select(columns)
     for records in histories:
-        out = out.unionByName(records.filter("is_current and supersedes_revision_id is not null").select(*scope, "revision_id", F.lit("source-correction").alias("kind"), F.lit("analysis-input-history-includes-corrected-source").alias("reason")))
+        out = out.unionByName(records.filter("is_current and supersedes_revision_id is not null").select(
+            *scope, "revision_id", F.lit("source-correction").alias("kind"), F.lit("analysis-input-history-includes-corrected-source").alias("reason")
+        ))
     prior = flags.filter("reason = 'prior-treatment-carryover-not-estimated'").select(*scope).distinct()
     unwashed = anchors.filter("anchor_start is not null").join(prior, scope, "left_anti")
-    return out.unionByName(unwashed.select(*scope, F.col("anchor_revision").alias("revision_id"), F.lit("treatment-history").alias("kind"), F.lit("absence-of-recorded-prior-treatment-does-not-establish-washout").alias("reason")))
+    return out.unionByName(unwashed.select(
+        *scope, F.col("anchor_revision").alias("revision_id"), F.lit("treatment-history").alias("kind"),
+        F.lit("absence-of-recorded-prior-treatment-does-not-establish-washout").alias("reason")
+    ))
 
 
 def fingerprint() -> Column:
@@ -154,13 +165,18 @@ def _judged(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bi
         (found & ~c("source_kind").isin(*spec.source_kinds), "source-kind-not-permitted"), (found & (c("measurement_protocol") != spec.measurement_protocol), "measurement-protocol-mismatch"),
         (found & ((c("clock_uncertainty_ms") > spec.most_clock_ms) | ((c("clock_kind") == "synthetic") & (c("source_kind") != "synthetic"))), "clock-uncertain"),
         (found & differs, "metric-definition-mismatch"), (found & ~measured, "metric-withheld"), (found & measured & (c("m_usable_ms") < c("least_usable_ms")), "insufficient-usable-duration"),
-        (found & measured & (c("m_quality").isNull() | (c("m_quality") < c("least_quality"))), "technical-quality-failed"), (c("period") == "treatment-time-overlap", "treatment-time-overlap"), (c("period") == "outside-analysis-window", "outside-analysis-window"),
+        (
+            found & measured & (c("m_quality").isNull() | (c("m_quality") < c("least_quality"))), "technical-quality-failed"
+        ), (c("period") == "treatment-time-overlap", "treatment-time-overlap"), (c("period") == "outside-analysis-window", "outside-analysis-window"),
         (later & F.lit(spec.exclude_after_change) & changed, "concurrent-treatment-change"), (later & (c("ended_at") + clock >= c("next_cycle")), "subsequent-treatment-cycle"),
     ])
     return each.withColumn("reasons", reasons)
 
 
-def align(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bindings: DataFrame, treatments: DataFrame, contexts: DataFrame, wanted: DataFrame, spec: Specification, scope: list[str]) -> Alignment:
+def align(
+    observations: DataFrame, metrics: DataFrame, consents: DataFrame, bindings: DataFrame, treatments: DataFrame, contexts: DataFrame, wanted: DataFrame,
+    spec: Specification, scope: list[str]
+) -> Alignment:
     """The whole run. Tables are written in the shared folder while the result is being planned."""
     cut = wanted.select(*scope, "as_of")
     known = lambda records, at="recorded_at": history.known_at(records, cut, scope, at, "as_of")
@@ -171,13 +187,19 @@ def align(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bind
     placed = observed.join(anchors.select(*scope, "as_of", "anchor_start", "anchor_end"), scope).join(changes, scope, "left").join(cycles, scope, "left")
     judged = materialize(_judged(placed, metrics, known(consents.withColumnRenamed("capture", "capture_allowed"), "granted_at"), known(bindings), spec, scope))
     row, order = [*scope, "metric_code"], ["started_at", "revision_id"]
-    candidates = history.reference_stratum(judged.filter(F.size("reasons") == 0).withColumns({"fingerprint": fingerprint(), "is_baseline": F.coalesce(F.col("period") == "baseline", F.lit(False))}), row, "fingerprint", "is_baseline", order)
+    candidates = history.reference_stratum(
+        judged.filter(F.size("reasons") == 0).withColumns({"fingerprint": fingerprint(), "is_baseline": F.coalesce(F.col("period") == "baseline", F.lit(False))}),
+        row, "fingerprint", "is_baseline", order
+    )
     alike = F.col("fingerprint") == F.col("reference_fingerprint")
     compatible = materialize(candidates.filter(alike))
     baselines = history.baseline(compatible.filter("is_baseline"), row, "encounter_id", "m_value", spec.least_observations, spec.least_encounters)
     valued = compatible.join(baselines.select(*row, "baseline_value"), row, "left").withColumn("delta", F.col("m_value") - F.col("baseline_value"))
     wild = F.col("delta").isNotNull() & ~S.finite("delta")
-    points = valued.filter(~wild).select(*row, "observation_id", "revision_id", "encounter_id", "started_at", "ended_at", "period", "is_baseline", "first_day", "last_day", F.col("m_value").alias("value"), "delta")
+    points = valued.filter(~wild).select(
+        *row, "observation_id", "revision_id", "encounter_id", "started_at", "ended_at", "period", "is_baseline", "first_day", "last_day",
+        F.col("m_value").alias("value"), "delta"
+    )
     one = lambda df, code: df.select(*row, "observation_id", "revision_id", F.array(F.lit(code)).alias("reasons"))
     exclusions = judged.filter(F.size("reasons") > 0).select(*row, "observation_id", "revision_id", "reasons").unionByName(one(candidates.filter(~alike), "source-incompatible")).unionByName(one(valued.filter(wild), "non-finite-delta"))
     codes = F.array(*[F.lit(m.metric_code) for m in spec.metrics])
@@ -185,8 +207,14 @@ def align(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bind
     counted = points.groupBy(*row).agg(F.count("*").alias("points"), F.sum((F.col("first_day") >= 0).cast("long")).alias("followups"))
     strata = candidates.groupBy(*row).agg(F.first("reference_fingerprint").alias("fingerprint"))
     joined = every.join(counted, row, "left").join(baselines, row, "left").join(strata, row, "left").fillna(0, ["points", "followups", "baseline_n", "baseline_encounters"])
-    short = S.first_reason([(F.col("anchor_start").isNull(), "anchor-unavailable"), (F.col("baseline_n") < spec.least_observations, "insufficient-baseline-observations"), (F.col("baseline_encounters") < spec.least_encounters, "insufficient-baseline-encounters")])
-    rows = joined.select(*row, "points", history.row_status(F.col("points"), F.col("baseline_value"), F.col("followups")).alias("status"), "baseline_value", "baseline_n", "baseline_encounters", short.alias("baseline_reason"), "fingerprint")
+    short = S.first_reason([
+        (F.col("anchor_start").isNull(), "anchor-unavailable"), (F.col("baseline_n") < spec.least_observations, "insufficient-baseline-observations"),
+        (F.col("baseline_encounters") < spec.least_encounters, "insufficient-baseline-encounters")
+    ])
+    rows = joined.select(
+        *row, "points", history.row_status(F.col("points"), F.col("baseline_value"), F.col("followups")).alias("status"), "baseline_value", "baseline_n",
+        "baseline_encounters", short.alias("baseline_reason"), "fingerprint"
+    )
     phases = parameter_tables(observations.sparkSession, spec)[1].drop("digest")
     coverage = history.phase_coverage(points.filter(~F.col("is_baseline") & F.col("first_day").isNotNull()), every, phases, row, "encounter_id", "first_day", "last_day")
     return Alignment(anchors, _all_flags(flags, anchors, (observed, treated, told), scope), exclusions, points, rows, coverage, scope)
@@ -208,7 +236,9 @@ def run_status(run: Alignment) -> DataFrame:
 def row_violations(rows: DataFrame, points: DataFrame, exclusions: DataFrame, coverage: DataFrame, row: list[str]) -> DataFrame:
     """What is wrong with the tables of a run, by row: baseline without value or the reverse, deltas that are not value less baseline, points that are excluded too, phases whose status belies their count."""
     part = rows.select(*row, S.reasons([
-        (F.col("baseline_value").isNotNull() & F.col("baseline_reason").isNotNull(), "baseline-with-reason"), (F.col("baseline_value").isNull() & F.col("baseline_reason").isNull(), "baseline-without-reason"),
+        (
+            F.col("baseline_value").isNotNull() & F.col("baseline_reason").isNotNull(), "baseline-with-reason"
+        ), (F.col("baseline_value").isNull() & F.col("baseline_reason").isNull(), "baseline-without-reason"),
         ((F.col("points") == 0) != (F.col("status") == "no-comparable-data"), "status-mismatch"),
     ]).alias("violations"))
     delta = points.join(rows.select(*row, "baseline_value"), row).filter(~F.col("delta").eqNullSafe(F.col("value") - F.col("baseline_value")))

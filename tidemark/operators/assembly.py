@@ -34,9 +34,18 @@ def demoted(outcomes: DataFrame, processors: DataFrame) -> DataFrame:
     """
     known = processors.groupBy(*KEY, "processor_ref").agg(F.count("*").alias("k"), F.min("processor_modality").alias("m"), F.min("integrity_verified").alias("v"))
     joined = outcomes.withColumn("processor_ref", primary(F.col("processor_refs"), F.col("modality"), "processor")).join(known, [*KEY, "processor_ref"], "left")
-    failure = F.when(F.col("status") == "measured", S.first_reason([(F.coalesce(F.size("processor_refs"), F.lit(0)) > 1, "quality-threshold-failed"), (F.coalesce((F.col("k") != 1) | (F.col("m") != F.col("modality")), F.lit(True)), "processor-unavailable"), (~F.col("v"), "asset-integrity-failed")]))
+    failure = F.when(
+        F.col("status") == "measured",
+        S.first_reason([
+            (F.coalesce(F.size("processor_refs"), F.lit(0)) > 1, "quality-threshold-failed"),
+            (F.coalesce((F.col("k") != 1) | (F.col("m") != F.col("modality")), F.lit(True)), "processor-unavailable"), (~F.col("v"), "asset-integrity-failed")
+        ])
+    )
     kept = failure.isNull()
-    return joined.withColumns({"reason_code": F.coalesce(failure, F.col("reason_code")), "status": F.when(kept, F.col("status")).otherwise("withheld"), "value": F.when(kept, F.col("value")), "technical_quality_score": F.when(kept, F.col("technical_quality_score"))}).drop("k", "m", "v")
+    return joined.withColumns({
+        "reason_code": F.coalesce(failure, F.col("reason_code")), "status": F.when(kept, F.col("status")).otherwise("withheld"),
+        "value": F.when(kept, F.col("value")), "technical_quality_score": F.when(kept, F.col("technical_quality_score"))
+    }).drop("k", "m", "v")
 
 
 def source_windows(outcomes: DataFrame) -> DataFrame:
@@ -44,7 +53,10 @@ def source_windows(outcomes: DataFrame) -> DataFrame:
     each = outcomes.select(*KEY, F.explode("window_refs").alias("window_ref")).distinct()
     low, high = S.window_ref_bounds(F.col("window_ref"))
     bounded = each.withColumns({"start_ms": low, "end_ms": high, "window_id": window_id(F.col("window_ref"))})
-    return bounded.withColumn("violations", S.reasons([(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "malformed-reference"), ((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")), "window-bounds")]))
+    return bounded.withColumn(
+        "violations",
+        S.reasons([(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "malformed-reference"), ((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")), "window-bounds")])
+    )
 
 
 def window_id(ref: Column) -> Column:
@@ -56,7 +68,9 @@ def metric_rows(outcomes: DataFrame) -> DataFrame:
     measured = F.col("status") == "measured"
     return outcomes.select(
         *KEY, "metric_code", "modality", "status", F.when(measured, F.col("value")).alias("value"), F.when(measured, F.array().cast("array<string>")).otherwise(F.array_compact(F.array("reason_code"))).alias("reason_codes"),
-        F.col("eligible_ms").alias("usable_duration_ms"), "technical_quality_score", F.coalesce(F.array_join(F.array_sort("processor_refs"), "+"), F.lit("unavailable")).alias("processor_ref"), F.transform("window_refs", window_id).alias("source_window_ids"),
+        F.col("eligible_ms").alias("usable_duration_ms"), "technical_quality_score", F.coalesce(
+            F.array_join(F.array_sort("processor_refs"), "+"), F.lit("unavailable")
+        ).alias("processor_ref"), F.transform("window_refs", window_id).alias("source_window_ids"),
     )
 
 
@@ -85,8 +99,12 @@ def summary_errors(claimed: DataFrame, outcomes: DataFrame) -> DataFrame:
     score = F.col("technical_quality_score")
     joined = claimed.join(true, [*KEY, "modality"], "left")
     return joined.withColumn("violations", S.reasons([
-        (~F.coalesce(near("eligible_ms"), F.lit(False)), "eligible-duration"), (ready & (F.col("state") != "ready"), "state-not-ready"), (~ready & (F.col("state") == "ready"), "ready-without-measurement"),
-        (ready & ~F.coalesce(near("technical_quality_score"), F.lit(False)), "score"), (~ready & score.isNotNull(), "score-without-measurement"), (F.size(F.array_except("t_reason_codes", "reason_codes")) > 0, "reason-omitted"),
+        (
+            ~F.coalesce(near("eligible_ms"), F.lit(False)), "eligible-duration"
+        ), (ready & (F.col("state") != "ready"), "state-not-ready"), (~ready & (F.col("state") == "ready"), "ready-without-measurement"),
+        (ready & ~F.coalesce(near("technical_quality_score"), F.lit(False)), "score"), (~ready & score.isNotNull(), "score-without-measurement"), (
+            F.size(F.array_except("t_reason_codes", "reason_codes")) > 0, "reason-omitted"
+        ),
     ])).select(*claimed.columns, "violations")
 
 
@@ -102,14 +120,22 @@ def section_errors(reported: DataFrame, sections: DataFrame) -> DataFrame:
     own = reported.join(sections.select("metric_code", F.col("section").alias("own_section")), "metric_code", "left")
     times = reported.groupBy(*KEY, "metric_code").agg(F.count("*").alias("times"))
     joined = own.join(times, [*KEY, "metric_code"])
-    return joined.withColumn("violations", S.reasons([(F.col("own_section").isNull(), "unregistered-metric"), (F.col("own_section") != F.col("section"), "wrong-section"), (F.col("times") > 1, "repeated-metric")])).drop("own_section", "times")
+    return joined.withColumn(
+        "violations",
+        S.reasons([(F.col("own_section").isNull(), "unregistered-metric"), (F.col("own_section") != F.col("section"), "wrong-section"), (F.col("times") > 1, "repeated-metric")])
+    ).drop("own_section", "times")
 
 
 def event_counter(code: Column) -> Column:
     """The name of the evidence count that a metric rests on, or null."""
     return S.first_reason([
-        (code.isin("ambient.voice.pause_rate", "ambient.voice.pause_duration.median"), "pause_count"), (code == "ambient.voice.speech_run_duration.median", "speech_run_count"), (code == "ambient.voice.acoustic_nucleus_rate", "nucleus_count"), (code == "ambient.face.blink_rate.bilateral", "blink_count"),
-        (code.isin("ambient.face.spontaneous_event_rate", "ambient.face.spontaneous_excursion.p90", "ambient.face.spontaneous_excursion_asymmetry.median"), "expression_event_count"), (code == "ambient.face.oculo_oral_synkinesis_index", "coupled_expression_event_count"),
+        (
+            code.isin("ambient.voice.pause_rate", "ambient.voice.pause_duration.median"), "pause_count"
+        ), (code == "ambient.voice.speech_run_duration.median", "speech_run_count"), (code == "ambient.voice.acoustic_nucleus_rate", "nucleus_count"), (code == "ambient.face.blink_rate.bilateral", "blink_count"),
+        (
+            code.isin("ambient.face.spontaneous_event_rate", "ambient.face.spontaneous_excursion.p90", "ambient.face.spontaneous_excursion_asymmetry.median"),
+            "expression_event_count"
+        ), (code == "ambient.face.oculo_oral_synkinesis_index", "coupled_expression_event_count"),
     ])
 
 

@@ -36,7 +36,9 @@ def resolved_processors(outcomes: DataFrame, processors: DataFrame, keys: list[s
     """Outcomes with processor_reason: provenance missing, ambiguous, of another modality, or null; and the one processor's columns."""
     found = processors.groupBy(*keys, ref).agg(F.count("*").alias("processor_n"), F.min(modality).alias("processor_modality"))
     reason = S.first_reason([
-        (F.col("processor_n").isNull(), "processor-provenance-missing"), (F.col("processor_n") > 1, "processor-provenance-ambiguous"), (F.col("processor_modality") != F.col(modality), "modality-mismatch"),
+        (F.col("processor_n").isNull(), "processor-provenance-missing"), (F.col("processor_n") > 1, "processor-provenance-ambiguous"), (
+            F.col("processor_modality") != F.col(modality), "modality-mismatch"
+        ),
     ])
     return outcomes.join(found, [*keys, ref], "left").withColumn("processor_reason", reason).drop("processor_n")
 
@@ -45,4 +47,7 @@ def quality_summary(rows: DataFrame, keys: list[str], status: str, reference_qua
     """Counts of each status and the least quality of the measured rows on either side."""
     count = lambda s: F.sum((F.col(status) == s).cast("long")).alias(f"{s}_rows")
     least = lambda c: F.min(F.when(F.col(status) == "measured", F.col(c)))
-    return rows.groupBy(*keys).agg(count("measured"), count("withheld"), count("incompatible"), least(reference_quality).alias("least_reference_quality"), least(current_quality).alias("least_current_quality"))
+    return rows.groupBy(*keys).agg(
+        count("measured"), count("withheld"), count("incompatible"), least(reference_quality).alias("least_reference_quality"),
+        least(current_quality).alias("least_current_quality")
+    )

@@ -65,7 +65,9 @@ def resting_pose(frames: DataFrame) -> DataFrame:
 def in_range(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """The frames of the face task within a session's time, with session_started_at_ms, face_calibration and bin."""
     start = F.col("session_started_at_ms")
-    timed = frames.join(sessions.select(*KEY, "session_started_at_ms", "face_calibration"), "session_id").filter(F.col("task_context").eqNullSafe(F.lit(gates.FACE_TASK)) & S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS))
+    timed = frames.join(
+        sessions.select(*KEY, "session_started_at_ms", "face_calibration"), "session_id"
+    ).filter(F.col("task_context").eqNullSafe(F.lit(gates.FACE_TASK)) & S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS))
     return timed.withColumn("bin", F.floor((F.col("t_ms") - start) / float(BIN_MS)).cast("int"))
 
 
@@ -97,8 +99,12 @@ def qualify(usable: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("data_ms", F.least(F.lit(float(BIN_MS)), F.round(F.col("frames") * F.col("step_ms"), 3)))
     )
     reason = S.first_reason([
-        (F.col("frames") < MIN_BIN_FRAMES, "too-few-usable-frames"), (F.col("provenances") != 1, "mixed-provenance"), ((F.col("least_gap_ms") <= 0) | (F.col("largest_gap_ms") > MAX_GAP_MS), "frame-gap"),
-        ((F.col("span_ms") < MIN_BIN_SPAN_MS) | (F.col("data_ms") < MIN_BIN_DATA_MS), "short-bin"), (~S.finite("size_p10") | (F.col("size_p10") <= 0) | (F.col("size_p90") / F.col("size_p10") > MAX_SIZE_RATIO), "scale-drift"),
+        (F.col("frames") < MIN_BIN_FRAMES, "too-few-usable-frames"), (F.col("provenances") != 1, "mixed-provenance"), (
+            (F.col("least_gap_ms") <= 0) | (F.col("largest_gap_ms") > MAX_GAP_MS), "frame-gap"
+        ),
+        ((F.col("span_ms") < MIN_BIN_SPAN_MS) | (F.col("data_ms") < MIN_BIN_DATA_MS), "short-bin"), (
+            ~S.finite("size_p10") | (F.col("size_p10") <= 0) | (F.col("size_p90") / F.col("size_p10") > MAX_SIZE_RATIO), "scale-drift"
+        ),
     ])
     return grouped.withColumn("reason", reason).withColumn("cadence_hz", F.col("frames") / (F.col("data_ms") / 1000))
 
@@ -130,7 +136,10 @@ def bin_values(frames: DataFrame, keys: list[str]) -> DataFrame:
     running = Window.partitionBy(*group).orderBy("value", *ORDER).rowsBetween(Window.unboundedPreceding, 0)
     summed = weighted.withColumn("running", F.sum("weight_ms").over(running)).withColumn("whole", F.sum("weight_ms").over(Window.partitionBy(*group)))
     plain = F.when(F.max("share") > 0.7, robust.percentile("value", 0.9)).otherwise(robust.median("value"))
-    return summed.groupBy(*group).agg(F.when(F.max("whole") > 0, F.min(F.when(F.col("running") >= F.col("share") * F.col("whole"), F.col("value")))).otherwise(plain).alias("bin_value"), F.min("value").alias("least"))
+    return summed.groupBy(*group).agg(
+        F.when(F.max("whole") > 0, F.min(F.when(F.col("running") >= F.col("share") * F.col("whole"), F.col("value")))).otherwise(plain).alias("bin_value"),
+        F.min("value").alias("least")
+    )
 
 
 def _carries(name: str) -> Column:
@@ -187,7 +196,10 @@ def evidence(bins: DataFrame, kept: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list("window")), lambda w: w["ref"]).alias("window_refs"), robust.median("cadence_hz").alias("cadence"), robust.median(F.col("data_ms") / BIN_MS).alias("coverage"), robust.median("steady").alias("steadiness"),
     )
     pose, rest = F.col("pose"), F.col("resting")
-    turned = F.greatest(*[F.abs(pose[c] - F.coalesce(rest[c], F.lit(0.0))) / most for c, most in (("yaw_degrees", gates.MAX_YAW), ("pitch_degrees", gates.MAX_PITCH), ("roll_degrees", gates.MAX_ROLL))])
+    turned = F.greatest(*[
+        F.abs(pose[c] - F.coalesce(rest[c], F.lit(0.0))) / most for c,
+        most in (("yaw_degrees", gates.MAX_YAW), ("pitch_degrees", gates.MAX_PITCH), ("roll_degrees", gates.MAX_ROLL))
+    ])
     gap = F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*by, "bin").orderBy(*ORDER))
     of_frames = kept.withColumn("gap_ms", gap).groupBy(*by).agg(robust.percentile("gap_ms", 0.95).alias("p95_gap_ms"), robust.median(S.clamp01(1 - turned)).alias("frontal"))
     quality = S.clamp01(0.3 * S.clamp01(F.col("cadence") / 30) + 0.3 * S.clamp01("coverage") + 0.2 * F.col("steadiness") + 0.2 * F.col("frontal"))
@@ -207,7 +219,10 @@ def _expression_values(base: DataFrame, exposure: DataFrame) -> DataFrame:
     """name, value and dispersion of the six expression metrics, with events and couplings."""
     m, eye = F.col("mouth_corners"), F.col("eye_aperture")
     usable = base.filter(gates.expression_usable())
-    rest = usable.groupBy(*KEY).agg((robust.median(m["right"]["y"]) - robust.median(m["left"]["y"])).alias("rest_corner"), (robust.median(F.when(S.finite(eye["left"]), eye["left"])) - robust.median(F.when(S.finite(eye["right"]), eye["right"]))).alias("rest_eye"))
+    rest = usable.groupBy(*KEY).agg(
+        (robust.median(m["right"]["y"]) - robust.median(m["left"]["y"])).alias("rest_corner"),
+        (robust.median(F.when(S.finite(eye["left"]), eye["left"])) - robust.median(F.when(S.finite(eye["right"]), eye["right"]))).alias("rest_eye")
+    )
     e = expressions(base, KEY).withColumns({"asymmetry": detect.excursion_asymmetry(), "coupling": detect.coupling_difference(), "excursion": F.greatest("peak_left", "peak_right")})
     middle = lambda c: F.percentile(c, F.lit(0.5)).over(Window.partitionBy(*KEY))
     spread = lambda c: F.when(F.count(c) >= 2, robust.median(F.abs(F.col(c) - F.col(f"middle_{c}"))))
@@ -218,7 +233,11 @@ def _expression_values(base: DataFrame, exposure: DataFrame) -> DataFrame:
     joined = rest.join(exposure, KEY).join(shaped, KEY, "left").fillna(0, ["events", "couplings"])
     rate = F.when(F.col("eligible_ms") > 0, F.col("events") / (F.col("eligible_ms") / 60_000))
     none = F.lit(None).cast("double")
-    named = [("rest_corner", F.col("rest_corner"), none), ("rest_eye", F.col("rest_eye"), none), ("event_rate", rate, none), ("excursion_p90", F.col("excursion_p90"), none), ("excursion_asymmetry", F.col("excursion_asymmetry"), F.col("spread_asymmetry")), ("coupling", F.col("coupling"), F.col("spread_coupling"))]
+    named = [
+        ("rest_corner", F.col("rest_corner"), none), ("rest_eye", F.col("rest_eye"), none), ("event_rate", rate, none),
+        ("excursion_p90", F.col("excursion_p90"), none), ("excursion_asymmetry", F.col("excursion_asymmetry"), F.col("spread_asymmetry")),
+        ("coupling", F.col("coupling"), F.col("spread_coupling"))
+    ]
     return joined.select(*KEY, "events", "couplings", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), d.alias("dispersion")) for n, v, d in named])))
 
 
@@ -231,7 +250,9 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     proof = materialize(evidence(bins, kept))
     base, base_bins = kept.filter("variant = 'base'"), bins.filter("variant = 'base'")
     binned = robust.median_and_mad(values, [*KEY, "name"], "bin_value", F.count("*").alias("n"))
-    lids = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").groupBy(*KEY, "name").agg(robust.median("bin_value").alias("open"), robust.percentile("least", LOW_BIN_SHARE).alias("shut"))
+    lids = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").groupBy(*KEY, "name").agg(
+        robust.median("bin_value").alias("open"), robust.percentile("least", LOW_BIN_SHARE).alias("shut")
+    )
     none = F.lit(None).cast("double")
     found = (
         binned.select(*KEY, "name", F.col("median_value").alias("value"), F.when(F.col("n") >= 2, F.col("mad_value")).alias("dispersion"))
@@ -240,9 +261,18 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     blinking = _blink_rates(base_bins, base).withColumn("name", F.lit("blink_rate"))
     expressive = _expression_values(base, proof.filter("variant = 'base'").select(*KEY, "eligible_ms"))
     found = found.unionByName(blinking, allowMissingColumns=True).unionByName(expressive, allowMissingColumns=True)
-    whole = base_bins.groupBy(*KEY).agg(F.count("*").alias("base_bins"), F.size(F.collect_set("processor_ref")).alias("processors"), F.size(F.collect_set(F.struct("capture_epoch", "track_segment_id"))).alias("tracks"), (F.max("bin") - F.min("bin") + 1).alias("base_span"))
-    ranged = in_range(frames, sessions).groupBy(*KEY).agg(F.sum((F.coalesce("face_count", F.lit(0)) > 1).cast("long")).alias("several_faces"), F.min("t_ms").alias("observed_start_ms"), F.max("t_ms").alias("observed_end_ms"))
-    registry = F.array(*[F.struct(F.lit(k).alias("metric_no"), F.lit(code).alias("metric_code"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(variant).alias("variant")) for k, (code, kind, name, variant) in enumerate(METRICS)])
+    whole = base_bins.groupBy(*KEY).agg(
+        F.count("*").alias("base_bins"), F.size(F.collect_set("processor_ref")).alias("processors"),
+        F.size(F.collect_set(F.struct("capture_epoch", "track_segment_id"))).alias("tracks"), (F.max("bin") - F.min("bin") + 1).alias("base_span")
+    )
+    ranged = in_range(frames, sessions).groupBy(*KEY).agg(
+        F.sum((F.coalesce("face_count", F.lit(0)) > 1).cast("long")).alias("several_faces"), F.min("t_ms").alias("observed_start_ms"),
+        F.max("t_ms").alias("observed_end_ms")
+    )
+    registry = F.array(*[
+        F.struct(F.lit(k).alias("metric_no"), F.lit(code).alias("metric_code"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(variant).alias("variant")) for k,
+        (code, kind, name, variant) in enumerate(METRICS)
+    ])
     every = sessions.select(*KEY, "face_calibration", F.inline(registry))
     rows = every.join(ranged, KEY, "left").join(whole, KEY, "left").join(proof, [*KEY, "variant"], "left").join(found, [*KEY, "name"], "left")
     calibration = F.col("face_calibration")
@@ -251,8 +281,12 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     few_events = F.col("name").isin("excursion_p90", "excursion_asymmetry", "coupling") & (F.coalesce("events", F.lit(0)) < MIN_EXPRESSIONS)
     few_couplings = (F.col("name") == "coupling") & (F.coalesce("couplings", F.lit(0)) < MIN_EXPRESSIONS)
     reason = S.first_reason([
-        (~F.coalesce(calibrated, F.lit(False)), "quality-threshold-failed"), (F.col("base_bins").isNull() & (F.col("several_faces") > 0), "multiple-faces"), (F.col("base_bins").isNull(), "no-usable-signal"),
-        ((F.col("processors") > 1) | (F.col("tracks") > 1), "quality-threshold-failed"), (F.col("base_bins") < MIN_BINS, "insufficient-bins"), (F.col("base_span") * BIN_MS < MIN_SPAN_MS, "insufficient-duration"),
+        (~F.coalesce(calibrated, F.lit(False)), "quality-threshold-failed"), (
+            F.col("base_bins").isNull() & (F.col("several_faces") > 0), "multiple-faces"
+        ), (F.col("base_bins").isNull(), "no-usable-signal"),
+        (
+            (F.col("processors") > 1) | (F.col("tracks") > 1), "quality-threshold-failed"
+        ), (F.col("base_bins") < MIN_BINS, "insufficient-bins"), (F.col("base_span") * BIN_MS < MIN_SPAN_MS, "insufficient-duration"),
         (is_kind("bins") & (F.coalesce("bins", F.lit(0)) < MIN_BINS), "insufficient-bins"), (is_kind("bins") & (F.col("span_ms") < MIN_SPAN_MS), "insufficient-duration"),
         (is_kind("blinks") & (F.col("eligible_ms") < BLINK_EXPOSURE_MS), "insufficient-exposure"), (is_kind("blinks") & (F.col("least_cadence_hz") < BLINK_CADENCE_HZ), "insufficient-frame-cadence"),
         (is_kind("blinks") & (F.col("p95_gap_ms") > BLINK_P95_GAP_MS), "quality-threshold-failed"), (few_events | few_couplings, "insufficient-events"), (~S.finite("value"), "no-usable-signal"),
@@ -272,7 +306,10 @@ def diagnostics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     marked = materialize(gated(frames, sessions))
     pose = F.col("pose")
     sizes = [(f"{axis}_p{round(100 * p)}", F.percentile(F.abs(pose[f"{axis}_degrees"]), F.lit(p))) for axis in ("yaw", "pitch", "roll") for p in (0.5, 0.95)]
-    whole = marked.groupBy(*KEY).agg(F.count("*").alias("frames"), F.sum(F.col("usable").cast("long")).alias("usable_frames"), F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes])
+    whole = marked.groupBy(*KEY).agg(
+        F.count("*").alias("frames"), F.sum(F.col("usable").cast("long")).alias("usable_frames"),
+        F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes]
+    )
     judged = qualify(marked.filter("usable"), [*KEY, "bin"])
     every = marked.select(*KEY, "bin").distinct().join(judged, [*KEY, "bin"], "left").withColumn("reason", F.when(F.col("frames").isNull(), "too-few-usable-frames").otherwise(F.col("reason")))
     counted = every.groupBy(*KEY, "reason").agg(F.count("*").alias("n"))
@@ -290,11 +327,17 @@ def acceptance_curve(frames: DataFrame, sessions: DataFrame, shares: tuple[float
     w = Window.partitionBy(*KEY, "bin", usable).orderBy(*ORDER)
     stepped = gated(frames, sessions).withColumn("gap_ms", F.when(usable, F.col("t_ms") - F.lag("t_ms").over(w)))
     at = F.when(usable, F.col("t_ms"))
-    each = stepped.groupBy(*KEY, "bin").agg(F.avg(usable.cast("double")).alias("share"), F.sum(usable.cast("long")).alias("n"), F.coalesce(F.max("gap_ms"), F.lit(0.0)).alias("gap"), F.coalesce(F.max(at) - F.min(at), F.lit(0.0)).alias("span"))
+    each = stepped.groupBy(*KEY, "bin").agg(
+        F.avg(usable.cast("double")).alias("share"), F.sum(usable.cast("long")).alias("n"), F.coalesce(F.max("gap_ms"), F.lit(0.0)).alias("gap"),
+        F.coalesce(F.max(at) - F.min(at), F.lit(0.0)).alias("span")
+    )
     lost = S.first_reason([(F.col("n") < MIN_BIN_FRAMES, "samples"), (F.col("gap") > MAX_GAP_MS, "gap"), (F.col("span") < MIN_BIN_SPAN_MS, "span")], F.lit("bins"))
     asked = each.withColumn("lost", lost).withColumn("asked", F.explode(F.array(*[F.lit(x) for x in shares])))
     count = lambda what: F.sum(((F.col("lost") == what) & (F.col("share") >= F.col("asked"))).cast("long"))
-    return asked.groupBy(*KEY, "asked").agg(count("bins").alias("bins"), count("samples").alias("lost_to_samples"), count("gap").alias("lost_to_gap"), count("span").alias("lost_to_span"), F.count("*").alias("of_bins"))
+    return asked.groupBy(*KEY, "asked").agg(
+        count("bins").alias("bins"), count("samples").alias("lost_to_samples"), count("gap").alias("lost_to_gap"), count("span").alias("lost_to_span"),
+        F.count("*").alias("of_bins")
+    )
 
 
 def gate_failure_counts(frames: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -333,7 +376,9 @@ def within_pose(events: DataFrame, frames: DataFrame, start: str, end: str, even
 def expressions(streams: DataFrame, keys: list[str]) -> DataFrame:
     """Expression events over streams of frames, against each stream's own resting medians."""
     m, eye, own = F.col("mouth_corners"), F.col("eye_aperture"), Window.partitionBy(*keys)
-    flat = streams.filter(gates.expression_usable()).select(*keys, *ORDER, m["left"]["y"].alias("left_y"), m["right"]["y"].alias("right_y"), eye["left"].alias("left_eye"), eye["right"].alias("right_eye"))
+    flat = streams.filter(gates.expression_usable()).select(
+        *keys, *ORDER, m["left"]["y"].alias("left_y"), m["right"]["y"].alias("right_y"), eye["left"].alias("left_eye"), eye["right"].alias("right_eye")
+    )
     rested = flat.withColumns({f"rest_{c}": F.percentile(c, F.lit(0.5)).over(own) for c in ("left_y", "right_y", "left_eye", "right_eye")})
     return detect.by_group(rested, keys, ORDER, detect.expression_fold, detect.EXPRESSION_SCHEMA)
 
@@ -341,10 +386,17 @@ def expressions(streams: DataFrame, keys: list[str]) -> DataFrame:
 def expression_summary(events: DataFrame, exposure: DataFrame) -> DataFrame:
     """By session, exposure giving eligible_ms: events and rate a minute (0 is measured), P90 excursion, median asymmetry and coupling (null for fewer than three)."""
     e = events.withColumn("asymmetry", detect.excursion_asymmetry()).withColumn("coupling", detect.coupling_difference()).withColumn("excursion", F.greatest("peak_left", "peak_right"))
-    grouped = e.groupBy(*KEY).agg(F.count("*").alias("events"), robust.percentile("excursion", 0.9).alias("excursion_p90"), robust.median("asymmetry").alias("asymmetry"), F.count("coupling").alias("couplings"), robust.median("coupling").alias("coupling"))
+    grouped = e.groupBy(*KEY).agg(
+        F.count("*").alias("events"), robust.percentile("excursion", 0.9).alias("excursion_p90"), robust.median("asymmetry").alias("asymmetry"),
+        F.count("coupling").alias("couplings"), robust.median("coupling").alias("coupling")
+    )
     joined = exposure.join(grouped, KEY, "left").withColumn("events", F.coalesce("events", F.lit(0)))
     enough = F.col("events") >= MIN_EXPRESSIONS
-    return joined.select(*KEY, "events", F.when(F.col("eligible_ms") > 0, F.col("events") / (F.col("eligible_ms") / 60_000)).alias("rate"), F.when(enough, F.col("excursion_p90")).alias("excursion_p90"), F.when(enough, F.col("asymmetry")).alias("asymmetry"), F.when(F.col("couplings") >= MIN_EXPRESSIONS, F.col("coupling")).alias("coupling"))
+    return joined.select(
+        *KEY, "events", F.when(F.col("eligible_ms") > 0, F.col("events") / (F.col("eligible_ms") / 60_000)).alias("rate"),
+        F.when(enough, F.col("excursion_p90")).alias("excursion_p90"), F.when(enough, F.col("asymmetry")).alias("asymmetry"),
+        F.when(F.col("couplings") >= MIN_EXPRESSIONS, F.col("coupling")).alias("coupling")
+    )
 
 
 # Calibration of a face before and during capture.

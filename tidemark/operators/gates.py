@@ -105,7 +105,10 @@ def acquisition_usable(min_rms: float = 1e-4, max_gap_ms: float = MAX_BLOCK_GAP_
     """Usable for calibrating passive noise: all measures known and in range, nothing lost or clipped, no browser processing."""
     c, b = F.col, F.col("browser_processing")
     known = F.lit(True)
-    for name in ("acquired_at_ms", "rms", "f0_confidence", "estimator_agreement", "spectral_flux", "cepstral_peak_prominence_db", "clipped_sample_fraction", "dc_offset", "block_gap_ms", "lost_block_fraction", "sample_rate_hz"):
+    for name in (
+        "acquired_at_ms", "rms", "f0_confidence", "estimator_agreement", "spectral_flux", "cepstral_peak_prominence_db", "clipped_sample_fraction", "dc_offset",
+        "block_gap_ms", "lost_block_fraction", "sample_rate_hz"
+    ):
         known = known & S.finite(name)
     sound = (
         (c("sample_rate_hz") >= 16_000) & c("rms").between(min_rms, 1) & c("f0_confidence").between(0, 1) & c("estimator_agreement").between(0, 1) & (c("spectral_flux") >= 0)
@@ -219,7 +222,9 @@ def _face_checks(calibration: Column, resting: Column) -> list[tuple[Column, str
     pose = F.col("pose")
     off = lambda axis, limit: pose.isNotNull() & (~S.finite(pose[axis]) | F.coalesce(F.abs(pose[axis] - F.coalesce(resting[axis], F.lit(0.0))) > limit, F.lit(True)))
     return [
-        (~F.col("task_context").eqNullSafe(F.lit(FACE_TASK)), "task-context"), (~F.col("face_count").eqNullSafe(F.lit(1)), "face-count"), (F.coalesce(F.length("track_segment_id"), F.lit(0)) == 0, "no-track-id"),
+        (~F.col("task_context").eqNullSafe(F.lit(FACE_TASK)), "task-context"), (~F.col("face_count").eqNullSafe(F.lit(1)), "face-count"), (
+            F.coalesce(F.length("track_segment_id"), F.lit(0)) == 0, "no-track-id"
+        ),
         (~image_sound(), "image-quality"), (pose.isNull(), "no-pose"), (off("yaw_degrees", MAX_YAW), "yaw"), (off("pitch_degrees", MAX_PITCH), "pitch"), (off("roll_degrees", MAX_ROLL), "roll"),
         (~calibrated_size_usable(calibration), "face-scale"), (~complete_geometry(), "incomplete-geometry"),
     ]
@@ -244,7 +249,11 @@ def guidance(reasons: Column) -> Column:
     """What to ask of the person in front of the camera, by the first reason that matters."""
     any_of = lambda *names: F.arrays_overlap(reasons, F.array(*[F.lit(n) for n in names]))
     return S.first_reason([
-        (any_of("face-not-visible", "camera-unavailable", "worker-unavailable", "document-hidden"), "Move into view"), (any_of("pose-out-of-range"), "Face the camera"), (any_of("face-too-small"), "Move closer"),
-        (any_of("face-too-large"), "Move farther back"), (any_of("face-edge-margin"), "Center your face"), (any_of("illumination-out-of-range"), "Please turn on a light"), (any_of("blur"), "Hold still"),
+        (
+            any_of("face-not-visible", "camera-unavailable", "worker-unavailable", "document-hidden"), "Move into view"
+        ), (any_of("pose-out-of-range"), "Face the camera"), (any_of("face-too-small"), "Move closer"),
+        (any_of("face-too-large"), "Move farther back"), (any_of("face-edge-margin"), "Center your face"), (
+            any_of("illumination-out-of-range"), "Please turn on a light"
+        ), (any_of("blur"), "Hold still"),
         (any_of("frame-rate-below-minimum", "visual-frame-gap", "too-many-skipped-frames"), "Camera needs a moment"),
     ], F.lit("Face ready"))

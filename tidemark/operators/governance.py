@@ -21,7 +21,9 @@ def binding_holds(encounter: Column) -> Column:
 
 def capture_context(consents: DataFrame, bindings: DataFrame, scope: list[str], now: Column) -> DataFrame:
     """For each encounter its verified binding with its scope's newest permitting consent; encounters without either are left out."""
-    permitting = consents.filter(consent_permits(now, now, now)).withColumn("newest", F.row_number().over(Window.partitionBy(*scope).orderBy(F.col("granted_at").desc(), "consent_id"))).filter("newest = 1").select(*scope, "consent_id")
+    permitting = consents.filter(consent_permits(now, now, now)).withColumn(
+        "newest", F.row_number().over(Window.partitionBy(*scope).orderBy(F.col("granted_at").desc(), "consent_id"))
+    ).filter("newest = 1").select(*scope, "consent_id")
     held = bindings.filter((F.col("status") == "verified") & F.col("revoked_at").isNull())
     one = held.groupBy(*scope, "encounter_id").agg(F.min("binding_id").alias("binding_id"))
     return one.join(permitting, scope)
@@ -38,7 +40,10 @@ def evidence_status(episodes: DataFrame, snapshots: DataFrame, jobs: DataFrame)
     ready = snapshots.filter("accessible").select("episode_id", F.col("input_revision").alias("revision")).distinct().withColumn("ready", F.lit(True))
     job = jobs.groupBy("episode_id", F.col("input_revision").alias("revision")).agg(F.max_by("job_status", "job_id").alias("job_status"))
     joined = episodes.join(ready, ["episode_id", "revision"], "left").join(job, ["episode_id", "revision"], "left")
-    return joined.withColumn("status", F.when(F.col("ready"), "ready").when(F.col("job_status") == "failed", "failed").when(F.col("job_status").isNotNull(), "pending").otherwise("empty")).drop("ready", "job_status")
+    return joined.withColumn(
+        "status",
+        F.when(F.col("ready"), "ready").when(F.col("job_status") == "failed", "failed").when(F.col("job_status").isNotNull(), "pending").otherwise("empty")
+    ).drop("ready", "job_status")
 
 
 def latest_review(runs: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -53,9 +58,20 @@ def clip_reasons(now: Column, retention: Column) -> Column:
     """Why a clip is not available, over a clip left-joined with its consent (k_*) and observation (o_*); empty if it is."""
     c = F.col
     return S.reasons([
-        (F.coalesce(c("status") != "available", F.lit(True)), "not-available"), (~F.coalesce((c("created_at") <= now) & (c("expires_at") > now) & (c("expires_at") <= c("created_at") + retention), F.lit(False)), "expired"),
-        (c("k_id").isNull(), "consent-missing"), (c("k_id").isNotNull() & ~F.coalesce(c("k_retain") & c("k_withdrawn_at").isNull() & (c("k_valid_from") <= now) & (c("k_valid_until") > now), F.lit(False)), "consent-not-valid"),
-        (~F.coalesce((c("captured_at") >= F.greatest("k_valid_from", "o_started_at")) & (c("ended_at") <= F.least(c("k_valid_until"), c("o_ended_at"), now)) & (c("ended_at") > c("captured_at")), F.lit(False)), "capture-outside-source"),
+        (F.coalesce(c("status") != "available", F.lit(True)), "not-available"), (
+            ~F.coalesce((c("created_at") <= now) & (c("expires_at") > now) & (c("expires_at") <= c("created_at") + retention), F.lit(False)), "expired"
+        ),
+        (c("k_id").isNull(), "consent-missing"), (
+            c("k_id").isNotNull() & ~F.coalesce(c("k_retain") & c("k_withdrawn_at").isNull() & (c("k_valid_from") <= now) & (c("k_valid_until") > now), F.lit(False)),
+            "consent-not-valid"
+        ),
+        (
+            ~F.coalesce(
+                (c("captured_at") >= F.greatest("k_valid_from", "o_started_at")) & (c("ended_at") <= F.least(c("k_valid_until"), c("o_ended_at"), now)) & (c("ended_at") > c("captured_at")),
+                F.lit(False)
+            ),
+            "capture-outside-source"
+        ),
     ])
 
 

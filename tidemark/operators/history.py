@@ -102,7 +102,9 @@ def anchor_reasons(as_of: Column) -> Column:
     given = F.col("treatment_id").isNotNull()
     return S.reasons([
         (~given, "treatment-missing"), (given & (F.col("status") != "administered"), "treatment-not-administered"), (given & (F.col("kind") != "botulinum-injection"), "treatment-kind-not-supported"),
-        (given & (F.col("verification") != "verified"), "treatment-not-verified"), (given & (F.col("precision") == "unknown"), "treatment-time-unknown"), (given & (F.col("latest") > as_of), "treatment-time-in-future"),
+        (
+            given & (F.col("verification") != "verified"), "treatment-not-verified"
+        ), (given & (F.col("precision") == "unknown"), "treatment-time-unknown"), (given & (F.col("latest") > as_of), "treatment-time-in-future"),
     ])
 
 

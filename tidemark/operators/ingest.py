@@ -52,7 +52,10 @@ BUNDLE_DDL = f"resourceType string, entry array<struct<resource: struct<{', '.jo
 
 def bundle_resources(bundles: DataFrame, bundle_id: str, payload: str) -> DataFrame:
     """One row per resource of each JSON bundle: bundle_id and resource; a bundle that does not parse gives none."""
-    parsed = bundles.select(bundle_id, F.from_json(payload, BUNDLE_DDL.replace("resourceType string, id", "resourceType: string, id").replace("struct<resourceType string", "struct<resourceType: string")).alias("bundle"))
+    parsed = bundles.select(
+        bundle_id,
+        F.from_json(payload, BUNDLE_DDL.replace("resourceType string, id", "resourceType: string, id").replace("struct<resourceType string", "struct<resourceType: string")).alias("bundle")
+    )
     return parsed.select(bundle_id, F.explode("bundle.entry.resource").alias("resource"))
 
 
@@ -66,7 +69,10 @@ def map_resources(resources: DataFrame, bundle_id: str, codes: DataFrame) -> tup
     known = resources.withColumn("resource_id", F.concat_ws("/", r["resourceType"], F.coalesce(r["id"], F.lit("missing-id"))))
     medications = known.filter(r["resourceType"] == "Medication").groupBy(bundle_id, F.col("resource_id").alias("m_id")).agg(F.first(r["code"]["coding"]).alias("m_coding"))
     typed = known.filter(r["resourceType"].isin(RESOURCE_TYPES)).withColumn("m_id", r["medicationReference"]["reference"])
-    coded = typed.join(medications, [bundle_id, "m_id"], "left").withColumn("coding", F.when(r["resourceType"] == "Procedure", r["code"]["coding"]).otherwise(F.coalesce(r["medicationCodeableConcept"]["coding"], F.col("m_coding"))))
+    coded = typed.join(medications, [bundle_id, "m_id"], "left").withColumn(
+        "coding",
+        F.when(r["resourceType"] == "Procedure", r["code"]["coding"]).otherwise(F.coalesce(r["medicationCodeableConcept"]["coding"], F.col("m_coding")))
+    )
     each = coded.select(bundle_id, "resource_id", F.explode("coding").alias("c")).select(bundle_id, "resource_id", F.col("c.system").alias("system"), F.col("c.code").alias("code"))
     mapped = each.join(codes, ["system", "code"]).groupBy(bundle_id, "resource_id").agg(F.min_by(F.struct("kind", "product"), "position").alias("mapping"))
     joined = coded.join(mapped, [bundle_id, "resource_id"], "left")
@@ -85,10 +91,15 @@ def map_resources(resources: DataFrame, bundle_id: str, codes: DataFrame) -> tup
         F.when(error, "entered-in-error").when(F.col("record") == "context", "active").when(completed, "administered").otherwise("planned").alias("status"),
         F.when(actual, "verified").otherwise("unverified").alias("verification"), F.col("mapping.kind").alias("kind"), F.col("mapping.product").alias("product"),
         S.clinical_time(F.when((F.col("record") == "treatment") & planned, None).otherwise(effective)).alias("effective"),
-        F.when(dose["comparator"].isNull(), S.positive_dose(dose["value"], unit)).alias("dose"), S.coding_label(r["dosage"]["route"]["coding"]).alias("route"), S.coding_label(r["dosage"]["site"]["coding"]).alias("site"),
+        F.when(
+            dose["comparator"].isNull(), S.positive_dose(dose["value"], unit)
+        ).alias("dose"), S.coding_label(r["dosage"]["route"]["coding"]).alias("route"), S.coding_label(r["dosage"]["site"]["coding"]).alias("site"),
     )
     unsupported = known.filter(F.coalesce(~r["resourceType"].isin(RESOURCE_TYPES), F.lit(True))).select(bundle_id, "resource_id", F.lit("unsupported-resource-type").alias("reason"))
-    left = marked.filter("record is null").select(bundle_id, "resource_id", F.when(F.col("mapping").isNull(), "unmapped-treatment-code").otherwise("administration-not-confirmed-complete").alias("reason"))
+    left = marked.filter("record is null").select(
+        bundle_id, "resource_id",
+        F.when(F.col("mapping").isNull(), "unmapped-treatment-code").otherwise("administration-not-confirmed-complete").alias("reason")
+    )
     return rows, unsupported.unionByName(left)
 
 

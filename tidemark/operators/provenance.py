@@ -61,7 +61,9 @@ def window_claims(claims: DataFrame, refs: DataFrame, windows: DataFrame, key: l
     joined = claims.join(counted, key, "left").join(union, key, "left")
     return joined.withColumn("violations", S.reasons([
         (F.coalesce("refs", F.lit(0)) != F.coalesce("unique_refs", F.lit(0)), "repeated-window"), (F.col("window_count") != F.coalesce("unique_refs", F.lit(0)), "window-count"),
-        (F.col("claimed_duration") > F.coalesce("union_length", F.lit(0)), "duration-exceeds-windows"), (F.col("claimed_span") > F.coalesce(F.col("cover_end") - F.col("cover_start"), F.lit(0)), "span-exceeds-windows"),
+        (F.col("claimed_duration") > F.coalesce("union_length", F.lit(0)), "duration-exceeds-windows"), (
+            F.col("claimed_span") > F.coalesce(F.col("cover_end") - F.col("cover_start"), F.lit(0)), "span-exceeds-windows"
+        ),
     ])).select(*claims.columns, "violations")
 
 
@@ -108,19 +110,27 @@ def binding_rules() -> Column:
 def phase_rules(phases: DataFrame, key: list[str], followup_end: str) -> DataFrame:
     """phases (start_day, end_day) with violations: forward, not overlapping the one before, inside the follow-up."""
     w = Window.partitionBy(*key).orderBy("start_day", "end_day")
-    checks = [(F.col("end_day") <= F.col("start_day"), "not-forward"), (F.lag("end_day").over(w) > F.col("start_day"), "overlaps-previous"), (F.col("end_day") > F.col(followup_end), "outside-followup")]
+    checks = [
+        (F.col("end_day") <= F.col("start_day"), "not-forward"), (F.lag("end_day").over(w) > F.col("start_day"), "overlaps-previous"),
+        (F.col("end_day") > F.col(followup_end), "outside-followup")
+    ]
     return phases.withColumn("violations", S.reasons(checks))
 
 
 def observation_rules(observations: DataFrame, windows: DataFrame, metrics: DataFrame, revision: str = "revision_id") -> DataFrame:
     """observations with violations: chronology, window bounds, repeated windows and metric codes, usable time beyond the union of eligible windows."""
     held = windows.join(observations.select(revision, (F.col("ended_at") - F.col("started_at")).alias("length")), revision)
-    bounds = held.groupBy(revision).agg(F.max((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | (F.col("end_ms") > F.col("length"))).alias("bad_bounds"), (F.count("*") != F.countDistinct("window_id")).alias("repeated_window"))
+    bounds = held.groupBy(revision).agg(
+        F.max((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | (F.col("end_ms") > F.col("length"))).alias("bad_bounds"),
+        (F.count("*") != F.countDistinct("window_id")).alias("repeated_window")
+    )
     union = robust.interval_union(windows.filter("status = 'eligible'"), [revision], "start_ms", "end_ms").select(revision, "union_length")
     measured = metrics.groupBy(revision).agg((F.count("*") != F.countDistinct("metric_code")).alias("repeated_metric"), F.max("usable_duration_ms").alias("most_usable"))
     joined = observations.join(bounds, revision, "left").join(union, revision, "left").join(measured, revision, "left")
     return joined.withColumn("violations", S.reasons([
-        (F.col("ended_at") <= F.col("started_at"), "ends-before-start"), (F.col("recorded_at") < F.col("ended_at"), "recorded-before-end"), (F.col("bad_bounds"), "window-bounds"), (F.col("repeated_window"), "repeated-window"),
+        (F.col("ended_at") <= F.col("started_at"), "ends-before-start"), (
+            F.col("recorded_at") < F.col("ended_at"), "recorded-before-end"
+        ), (F.col("bad_bounds"), "window-bounds"), (F.col("repeated_window"), "repeated-window"),
         (F.col("repeated_metric"), "repeated-metric"), (F.col("most_usable") > F.coalesce("union_length", F.lit(0)), "usable-exceeds-windows"),
     ])).drop("bad_bounds", "repeated_window", "repeated_metric", "most_usable", "union_length")
 
@@ -132,4 +142,6 @@ def scope_violations(records: DataFrame, scope: list[str], expected: DataFrame,
     for c in scope:
         crossed = crossed | ~F.col(c).eqNullSafe(F.col(f"x_{c}"))
     repeated = F.count("*").over(Window.partitionBy(*key, record_id)) > 1
-    return records.join(wanted, key).withColumn("repeated", repeated).withColumn("violations", S.reasons([(crossed, "scope-crossed"), (F.col("repeated"), "repeated-record")])).drop("repeated", *[f"x_{c}" for c in scope])
+    return records.join(wanted, key).withColumn("repeated", repeated).withColumn(
+        "violations", S.reasons([(crossed, "scope-crossed"), (F.col("repeated"), "repeated-record")])
+    ).drop("repeated", *[f"x_{c}" for c in scope])

@@ -27,7 +27,9 @@ def percentile(c: Column | str, p: float) -> Column:
 def median_and_mad(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
     """median_value and mad_value (median absolute deviation) for each group, and further aggregates. One shuffle by the keys."""
     centre = F.percentile(F.col(value), F.lit(0.5)).over(Window.partitionBy(*keys))
-    return df.withColumn("group_median", centre).groupBy(*keys).agg(F.first("group_median", ignorenulls=True).alias("median_value"), median(F.abs(F.col(value) - F.col("group_median"))).alias("mad_value"), *more)
+    return df.withColumn("group_median", centre).groupBy(*keys).agg(
+        F.first("group_median", ignorenulls=True).alias("median_value"), median(F.abs(F.col(value) - F.col("group_median"))).alias("mad_value"), *more
+    )
 
 
 def steps(df: DataFrame, keys: list[str], order: list[str], at: str) -> DataFrame:
@@ -45,7 +47,10 @@ def nominal_step(step: str, longest: float, default: float) -> Column:
 def frame_weights(df: DataFrame, keys: list[str], order: list[str], at: str, longest: float, default: float) -> DataFrame:
     """With nominal_ms and weight_ms: the time to the next row, within 0 and `longest`; the nominal step for the last."""
     own = Window.partitionBy(*keys)
-    stepped = steps(df, keys, order, at).withColumn("nominal_ms", F.coalesce(F.percentile(F.when((F.col("step_before") > 0) & (F.col("step_before") <= longest), F.col("step_before")), F.lit(0.5)).over(own), F.lit(default)))
+    stepped = steps(df, keys, order, at).withColumn(
+        "nominal_ms",
+        F.coalesce(F.percentile(F.when((F.col("step_before") > 0) & (F.col("step_before") <= longest), F.col("step_before")), F.lit(0.5)).over(own), F.lit(default))
+    )
     return stepped.withColumn("weight_ms", F.when(F.col("step_after").isNull(), F.col("nominal_ms")).otherwise(F.least(F.lit(longest), F.greatest(F.lit(0.0), F.col("step_after").cast("double")))))
 
 

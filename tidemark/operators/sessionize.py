@@ -45,7 +45,9 @@ def usable_segments(df: DataFrame, keys: list[str], order: list[str], at: str, u
     step = F.col(at) - F.lag(at).over(w)
     hard = (step <= 0) | (step > longest) | changes(keys, order, *provenance)
     marked = df.withColumn("bucket", bucket)
-    marked = marked.withColumn("hard_break", F.when(prior_usable & F.col(usable), F.coalesce(hard, F.lit(True))).otherwise(F.lit(True))).withColumn("soft_break", F.col("hard_break") | changes(keys, order, "bucket"))
+    marked = marked.withColumn(
+        "hard_break", F.when(prior_usable & F.col(usable), F.coalesce(hard, F.lit(True))).otherwise(F.lit(True))
+    ).withColumn("soft_break", F.col("hard_break") | changes(keys, order, "bucket"))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("continuity_no", F.sum(F.col("hard_break").cast("int")).over(running)).withColumn("segment_no", F.sum(F.col("soft_break").cast("int")).over(running))
     return numbered.filter(F.col(usable)).drop("hard_break", "soft_break")

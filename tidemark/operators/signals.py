@@ -95,8 +95,13 @@ def stream_diagnostics(df: DataFrame, keys: list[str], order: list[str], sequenc
     """received, lost, lost_fraction, max_gap_ms, p95_latency_ms and regressions of each stream."""
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.lag(sequence).over(w)
-    marked = df.withColumn("back", (F.col(sequence) <= before).cast("int")).withColumn("missing", F.greatest(F.col(sequence) - before - 1, F.lit(0))).withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(w))
-    out = marked.groupBy(*keys).agg(F.count("*").alias("received"), F.coalesce(F.sum("missing"), F.lit(0)).alias("lost"), F.max("gap").alias("max_gap_ms"), F.percentile(latency_ms, F.lit(0.95)).alias("p95_latency_ms"), F.coalesce(F.sum("back"), F.lit(0)).alias("regressions"))
+    marked = df.withColumn("back", (F.col(sequence) <= before).cast("int")).withColumn(
+        "missing", F.greatest(F.col(sequence) - before - 1, F.lit(0))
+    ).withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(w))
+    out = marked.groupBy(*keys).agg(
+        F.count("*").alias("received"), F.coalesce(F.sum("missing"), F.lit(0)).alias("lost"), F.max("gap").alias("max_gap_ms"),
+        F.percentile(latency_ms, F.lit(0.95)).alias("p95_latency_ms"), F.coalesce(F.sum("back"), F.lit(0)).alias("regressions")
+    )
     return out.withColumn("lost_fraction", F.col("lost") / (F.col("received") + F.col("lost")))
 
 

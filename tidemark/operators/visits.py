@@ -22,11 +22,16 @@ REASONS = [
 #: Columns that must be alike on both sides of a pair; several in one check must all be alike.
 VISIT_CHECKS = [
     (["subject", "observed_subject"], "subject-mismatch"), (["profile_id"], "profile-id-mismatch"), (["profile_version"], "profile-version-mismatch"), (["profile_digest"], "profile-digest-mismatch"), (["side"], "asserted-side-mismatch"),
-    (["protocol_id", "observed_protocol_id"], "protocol-pack-id-mismatch"), (["protocol_version", "observed_protocol_version"], "protocol-version-mismatch"), (["protocol_digest", "observed_protocol_digest"], "protocol-digest-mismatch"),
+    (["protocol_id", "observed_protocol_id"], "protocol-pack-id-mismatch"), (
+        ["protocol_version", "observed_protocol_version"], "protocol-version-mismatch"
+    ), (["protocol_digest", "observed_protocol_digest"], "protocol-digest-mismatch"),
     (["adapter_id"], "capture-adapter-id-mismatch"), (["adapter_version"], "capture-adapter-version-mismatch"),
 ]
 _DEFINED = ["context", "modality", "unit", "algorithm_version"]
-_PROCESSOR = [("runtime", "processor-runtime-mismatch"), ("runtime_version", "processor-runtime-version-mismatch"), ("asset_path", "processor-asset-path-mismatch"), ("asset_sha256", "processor-asset-digest-mismatch")]
+_PROCESSOR = [
+    ("runtime", "processor-runtime-mismatch"), ("runtime_version", "processor-runtime-version-mismatch"), ("asset_path", "processor-asset-path-mismatch"),
+    ("asset_sha256", "processor-asset-digest-mismatch")
+]
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -57,7 +62,10 @@ def resolved(outcomes: DataFrame, processors: DataFrame) -> DataFrame:
 
 def _source_reasons(side: str) -> list[tuple[Column, str]]:
     given, found = F.col(f"{side}_metric_code").isNotNull(), F.col(f"{side}_found")
-    return [(given & (found == 0), "processor-provenance-missing"), (given & (found > 1), "processor-provenance-ambiguous"), (given & (found == 1) & (F.col(f"{side}_processor.modality") != F.col(f"{side}_modality")), "modality-mismatch")]
+    return [
+        (given & (found == 0), "processor-provenance-missing"), (given & (found > 1), "processor-provenance-ambiguous"),
+        (given & (found == 1) & (F.col(f"{side}_processor.modality") != F.col(f"{side}_modality")), "modality-mismatch")
+    ]
 
 
 def compare(pairs: DataFrame, visits: DataFrame, outcomes: DataFrame, processors: DataFrame, definitions: DataFrame, codes: list[str]) -> DataFrame:
@@ -82,7 +90,9 @@ def compare(pairs: DataFrame, visits: DataFrame, outcomes: DataFrame, processors
     for s in ("r", "c"):
         loose = loose | ~F.coalesce(part(s, "integrity_verified"), F.lit(False)) | part(s, "asset_path").isNull() | part(s, "asset_sha256").isNull()
     own = S.reasons([
-        (~both, "metric-missing"), (both & (r("r_undefined") | c("c_undefined")), "metric-definition-mismatch"), (differ("modality"), "modality-mismatch"), (differ("context"), "context-mismatch"), (differ("unit"), "unit-mismatch"), (differ("algorithm_version"), "algorithm-version-mismatch"),
+        (~both, "metric-missing"), (
+            both & (r("r_undefined") | c("c_undefined")), "metric-definition-mismatch"
+        ), (differ("modality"), "modality-mismatch"), (differ("context"), "context-mismatch"), (differ("unit"), "unit-mismatch"), (differ("algorithm_version"), "algorithm-version-mismatch"),
         (known & ~r("r_processor_ref").eqNullSafe(c("c_processor_ref")), "processor-ref-mismatch"), *_source_reasons("r"), *_source_reasons("c"),
         *[(known & ~part("r", x).eqNullSafe(part("c", x)), reason) for x, reason in _PROCESSOR], (known & loose, "processor-asset-integrity-mismatch"),
     ])
@@ -103,7 +113,10 @@ def compare(pairs: DataFrame, visits: DataFrame, outcomes: DataFrame, processors
 def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by status, and the least quality of the measured ones on either side."""
     count = lambda s: F.sum((F.col("status") == s).cast("long")).alias(s)
-    return rows.groupBy(*keys).agg(count("measured"), count("withheld"), count("incompatible"), F.min("reference_quality").alias("reference_least_quality"), F.min("current_quality").alias("current_least_quality"))
+    return rows.groupBy(*keys).agg(
+        count("measured"), count("withheld"), count("incompatible"), F.min("reference_quality").alias("reference_least_quality"),
+        F.min("current_quality").alias("current_least_quality")
+    )
 
 
 def card_rows(rows: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,10 +129,18 @@ def row_violations() -> Column:
     measured, delta = F.col("status") == "measured", F.col("current_value") - F.col("reference_value")
     held = F.array_contains("reasons", "reference-withheld") | F.array_contains("reasons", "current-withheld")
     return S.reasons([
-        (~F.col("status").isin("measured", "withheld", "incompatible"), "unknown-status"), (measured & (F.col("delta").isNull() | F.col("current_value").isNull() | F.col("reference_value").isNull()), "measured-without-value"),
-        (measured & (F.col("delta") != delta), "delta-mismatch"), (~measured & (F.col("delta").isNotNull() | F.col("current_value").isNotNull() | F.col("reference_value").isNotNull()), "excluded-with-value"),
-        (measured & (F.size("reasons") > 0), "measured-with-reason"), (~measured & (F.size("reasons") == 0), "excluded-without-reason"), ((F.col("status") == "withheld") & ~held, "withheld-without-withheld-source"),
-        ((F.col("status") == "incompatible") & held, "incompatible-with-withheld-reason"), (measured & F.col("native_unit").isNull(), "measured-without-unit"), (F.col("reasons") != S.in_listed_order("reasons", REASONS), "reasons-out-of-order"),
+        (~F.col("status").isin("measured", "withheld", "incompatible"), "unknown-status"), (
+            measured & (F.col("delta").isNull() | F.col("current_value").isNull() | F.col("reference_value").isNull()), "measured-without-value"
+        ),
+        (measured & (F.col("delta") != delta), "delta-mismatch"), (
+            ~measured & (F.col("delta").isNotNull() | F.col("current_value").isNotNull() | F.col("reference_value").isNotNull()), "excluded-with-value"
+        ),
+        (measured & (F.size("reasons") > 0), "measured-with-reason"), (~measured & (F.size("reasons") == 0), "excluded-without-reason"), (
+            (F.col("status") == "withheld") & ~held, "withheld-without-withheld-source"
+        ),
+        ((F.col("status") == "incompatible") & held, "incompatible-with-withheld-reason"), (measured & F.col("native_unit").isNull(), "measured-without-unit"), (
+            F.col("reasons") != S.in_listed_order("reasons", REASONS), "reasons-out-of-order"
+        ),
     ])
 
 
@@ -128,7 +149,10 @@ def recomputed_violations(claimed: DataFrame, recomputed: DataFrame, keys: list[
     again = recomputed.select(*keys, F.col("status").alias("now_status"), F.col("reasons").alias("now_reasons"), F.lit(True).alias("expected"))
     joined = claimed.withColumn("given", F.lit(True)).join(again, keys, "full")
     own = F.when(F.col("given"), row_violations()).otherwise(F.array().cast("array<string>"))
-    other = S.reasons([(F.col("given").isNull(), "row-missing"), (F.col("expected").isNull(), "row-not-asked-for"), (F.col("given") & F.col("expected") & ((F.col("status") != F.col("now_status")) | (F.col("reasons") != F.col("now_reasons"))), "compatibility-not-recomputed")])
+    other = S.reasons([
+        (F.col("given").isNull(), "row-missing"), (F.col("expected").isNull(), "row-not-asked-for"),
+        (F.col("given") & F.col("expected") & ((F.col("status") != F.col("now_status")) | (F.col("reasons") != F.col("now_reasons"))), "compatibility-not-recomputed")
+    ])
     return joined.select(*keys, F.concat(own, other).alias("violations"))
 
 
@@ -138,24 +162,38 @@ def card_violations(cards: DataFrame, claimed: DataFrame, rows: DataFrame, profi
     expected = summary(rows.join(profile.select("metric_code"), "metric_code", "left_semi"), keys).select(*keys, *[F.col(c).alias(f"x_{c}") for c in sums])
     shown = F.struct("status", "delta", F.col("reasons").alias("reasons"))
     own = claimed.select(*keys, "place", "metric_code", shown.alias("claimed"))
-    placed = own.join(profile.select("metric_code", F.col("place").alias("own_place")), "metric_code", "left").join(rows.select(*keys, "metric_code", shown.alias("compared")), [*keys, "metric_code"], "left")
-    bad = placed.groupBy(*keys).agg(F.max(~F.col("place").eqNullSafe(F.col("own_place"))).alias("misplaced"), F.max(~F.col("claimed").eqNullSafe(F.col("compared"))).alias("altered"), F.count("*").alias("n"))
+    placed = own.join(profile.select("metric_code", F.col("place").alias("own_place")), "metric_code", "left").join(
+        rows.select(*keys, "metric_code", shown.alias("compared")), [*keys, "metric_code"], "left"
+    )
+    bad = placed.groupBy(*keys).agg(
+        F.max(~F.col("place").eqNullSafe(F.col("own_place"))).alias("misplaced"), F.max(~F.col("claimed").eqNullSafe(F.col("compared"))).alias("altered"),
+        F.count("*").alias("n")
+    )
     wrong = F.lit(False)
     for c in sums:
         wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"x_{c}"))
     joined = cards.join(expected, keys, "left").join(bad, keys, "left").withColumn("asked", F.lit(profile.count()))
     return joined.select(*keys, S.reasons([
-        (F.col("generated_at") < F.col("compared_at"), "generated-before-comparison"), (F.col("misplaced") | ~F.col("n").eqNullSafe(F.col("asked")), "profile-order"), (F.col("altered"), "row-altered"), (wrong, "summary-not-derived"),
+        (F.col("generated_at") < F.col("compared_at"), "generated-before-comparison"), (
+            F.col("misplaced") | ~F.col("n").eqNullSafe(F.col("asked")), "profile-order"
+        ), (F.col("altered"), "row-altered"), (wrong, "summary-not-derived"),
         ((F.col("review_status") != "pending") & (F.col("reviewed_at") < F.col("generated_at")), "reviewed-before-generation"),
     ]).alias("violations"))
 
 
 def reference_violations(references: DataFrame, visits: DataFrame, outcomes: DataFrame, codes: list[str]) -> DataFrame:
     """references (reference_id, subject, protocol_version, accepted_at) with violations against the observation they accept; every listed metric must be there."""
-    visit = visits.select(F.col("observation_id").alias("reference_id"), F.col("observed_subject").alias("v_subject"), F.col("observed_protocol_version").alias("v_protocol"), F.col("ended_at").alias("v_ended"))
+    visit = visits.select(
+        F.col("observation_id").alias("reference_id"), F.col("observed_subject").alias("v_subject"), F.col("observed_protocol_version").alias("v_protocol"),
+        F.col("ended_at").alias("v_ended")
+    )
     held = outcomes.filter(F.col("metric_code").isin(*codes)).groupBy(F.col("observation_id").alias("reference_id")).agg(F.collect_set("metric_code").alias("held"))
     joined = references.join(visit, "reference_id", "left").join(held, "reference_id", "left")
     missing = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in codes]), F.coalesce("held", F.array().cast("array<string>"))))
     seen = F.col("v_ended").isNotNull()
-    listed = S.reasons([(~seen, "observation-missing"), (seen & ~F.col("subject").eqNullSafe(F.col("v_subject")), "subject-mismatch"), (seen & ~F.col("protocol_version").eqNullSafe(F.col("v_protocol")), "protocol-mismatch"), (F.col("accepted_at") < F.col("v_ended"), "accepted-before-completion")])
+    listed = S.reasons([
+        (~seen, "observation-missing"), (seen & ~F.col("subject").eqNullSafe(F.col("v_subject")), "subject-mismatch"),
+        (seen & ~F.col("protocol_version").eqNullSafe(F.col("v_protocol")), "protocol-mismatch"),
+        (F.col("accepted_at") < F.col("v_ended"), "accepted-before-completion")
+    ])
     return joined.select("reference_id", F.concat(listed, F.transform(missing, lambda m: F.concat(F.lit("missing:"), m))).alias("violations"))

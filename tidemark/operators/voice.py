@@ -35,7 +35,9 @@ PROVENANCE = ["capture_epoch", "processor_ref", "track_segment_id"]
 def in_range(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """Frames with in_range: within the session's first five minutes. The others are only counted."""
     start = F.col("session_started_at_ms")
-    return frames.join(sessions.select("session_id", "session_started_at_ms"), "session_id").withColumn("in_range", S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS))
+    return frames.join(sessions.select("session_id", "session_started_at_ms"), "session_id").withColumn(
+        "in_range", S.finite("t_ms") & (F.col("t_ms") >= start) & (F.col("t_ms") < start + MAX_CAPTURE_MS)
+    )
 
 
 def _weighted(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +73,10 @@ def rejoined(accepted: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFra
     """Neighbouring segments of one continuity and provenance no further apart than a block gap, joined, weighted and accepted anew."""
     w = Window.partitionBy(*KEY).orderBy("start_ms", "segment_no")
     gap = F.col("start_ms") - F.lag("last_ms").over(w)
-    joint = sessionize.islands(accepted, KEY, ["start_ms", "segment_no"], (gap <= 0) | (gap > gates.MAX_BLOCK_GAP_MS) | sessionize.changes(KEY, ["start_ms", "segment_no"], "continuity_no", *PROVENANCE), "joint_no")
+    joint = sessionize.islands(
+        accepted, KEY, ["start_ms", "segment_no"],
+        (gap <= 0) | (gap > gates.MAX_BLOCK_GAP_MS) | sessionize.changes(KEY, ["start_ms", "segment_no"], "continuity_no", *PROVENANCE), "joint_no"
+    )
     cut = frames.drop("nominal_ms", "weight_ms", "step_before", "step_after").join(joint.select(*KEY, "segment_no", "joint_no"), [*KEY, "segment_no"])
     weighted = _weighted(cut, [*KEY, "joint_no"])
     whole = _summary(weighted, [*KEY, "joint_no"])
@@ -84,13 +89,17 @@ def run_events(frames: DataFrame) -> DataFrame:
     numbered = sessionize.runs(frames, keys, ORDER, "speech_active")
     level = F.when(S.finite("rms"), F.col("rms")).otherwise(0.0)
     grouped = numbered.groupBy(*keys, "run_no").agg(
-        F.first("speech_active").alias("active"), F.min("t_ms").alias("start_ms"), F.max_by(F.col("t_ms") + F.col("weight_ms"), F.struct("t_ms", "sequence")).alias("end_ms"), F.sum("weight_ms").alias("duration_ms"),
+        F.first("speech_active").alias("active"), F.min("t_ms").alias("start_ms"), F.max_by(
+            F.col("t_ms") + F.col("weight_ms"), F.struct("t_ms", "sequence")
+        ).alias("end_ms"), F.sum("weight_ms").alias("duration_ms"),
         F.sum(F.when(F.col("periodic"), F.col("weight_ms")).otherwise(0.0)).alias("phonated_ms"), F.sum(F.col("syllabic_nucleus").cast("long")).alias("nuclei"), F.avg(level).alias("mean_level"), F.max(level).alias("peak_level"), F.min(level).alias("floor_level"),
     )
     edge = (F.col("run_no") == 1) | (F.col("run_no") == F.max("run_no").over(Window.partitionBy(*keys)))
     breath = (F.col("duration_ms") >= BREATH_MIN_MS) & (F.col("floor_level") > 0) & (F.col("peak_level") >= BREATH_RATIO * F.col("floor_level"))
     kind = F.when(~F.col("active"), S.first_reason([(edge, "truncated"), (breath, "breath")], F.lit("hesitation")))
-    return grouped.withColumn("pause_kind", kind).withColumn("counted_pause", ~F.col("active") & ~edge & F.col("duration_ms").between(MIN_PAUSE_MS, MAX_PAUSE_MS)).withColumn("mean_level", F.least("mean_level", "peak_level"))
+    return grouped.withColumn("pause_kind", kind).withColumn(
+        "counted_pause", ~F.col("active") & ~edge & F.col("duration_ms").between(MIN_PAUSE_MS, MAX_PAUSE_MS)
+    ).withColumn("mean_level", F.least("mean_level", "peak_level"))
 
 
 def pitch_bins(frames: DataFrame) -> DataFrame:
@@ -98,7 +107,10 @@ def pitch_bins(frames: DataFrame) -> DataFrame:
     keys = [*KEY, "segment_no", "pitch_bin"]
     binned = frames.drop("nominal_ms", "weight_ms", "step_before", "step_after").withColumn("pitch_bin", F.floor((F.col("t_ms") - F.col("segment_start_ms")) / float(PITCH_BIN_MS)))
     f0 = F.when(F.col("pitched"), F.col("f0_hz"))
-    grouped = _weighted(binned, keys).groupBy(*keys).agg(F.sum("weight_ms").alias("covered_ms"), F.sum(F.when(F.col("pitched"), F.col("weight_ms")).otherwise(0.0)).alias("pitched_ms"), F.count(f0).alias("n_pitch"), robust.median(f0).alias("pitch"))
+    grouped = _weighted(binned, keys).groupBy(*keys).agg(
+        F.sum("weight_ms").alias("covered_ms"), F.sum(F.when(F.col("pitched"), F.col("weight_ms")).otherwise(0.0)).alias("pitched_ms"),
+        F.count(f0).alias("n_pitch"), robust.median(f0).alias("pitch")
+    )
     return grouped.filter((F.col("covered_ms") >= PITCH_BIN_COVERED_MS) & (F.col("pitched_ms") >= PITCH_BIN_PITCHED_MS) & (F.col("n_pitch") >= 2))
 
 
@@ -109,7 +121,11 @@ def _score(frames_median_snr: Column, coverage: Column, clipped: Column, lost: C
 
 def evidence(accepted: DataFrame, frames: DataFrame) -> DataFrame:
     """Sums and worst cases over a session's segments, and the technical quality score."""
-    snr = frames.groupBy(*KEY).agg(robust.median(F.when(F.col("speech_active"), F.col("snr_db"))).alias("median_snr"), F.min(F.when(F.col("pitched"), F.col("f0_confidence"))).alias("estimator_quality"), F.min(F.when(F.col("pitched"), F.col("estimator_agreement"))).alias("estimator_agreement"))
+    snr = frames.groupBy(*KEY).agg(
+        robust.median(F.when(F.col("speech_active"), F.col("snr_db"))).alias("median_snr"),
+        F.min(F.when(F.col("pitched"), F.col("f0_confidence"))).alias("estimator_quality"),
+        F.min(F.when(F.col("pitched"), F.col("estimator_agreement"))).alias("estimator_agreement")
+    )
     sums = accepted.groupBy(*KEY).agg(
         F.count("*").alias("segments"), F.sum("n_frames").alias("samples"), F.sum("duration_ms").alias("eligible_ms"), F.sum("active_ms").alias("active_ms"), F.sum("pitched_ms").alias("pitched_ms"), F.sum("nuclei").alias("nuclei"),
         F.min("coverage").alias("timing_coverage"), F.min("duration_ms").alias("segment_span_ms"), F.min("active_ms").alias("active_per_segment_ms"), F.countDistinct("processor_ref").alias("processors"),
@@ -117,7 +133,9 @@ def evidence(accepted: DataFrame, frames: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("window_ref")).alias("window_refs"),
     )
     joined = sums.join(snr, KEY, "left")
-    return joined.withColumn("pitch_coverage", F.when(F.col("active_ms") > 0, F.col("pitched_ms") / F.col("active_ms")).otherwise(0.0)).withColumn("quality", _score(F.col("median_snr"), F.col("median_coverage"), F.col("clipped"), F.col("lost")))
+    return joined.withColumn(
+        "pitch_coverage", F.when(F.col("active_ms") > 0, F.col("pitched_ms") / F.col("active_ms")).otherwise(0.0)
+    ).withColumn("quality", _score(F.col("median_snr"), F.col("median_coverage"), F.col("clipped"), F.col("lost")))
 
 
 def common_failure() -> Column:
@@ -125,14 +143,18 @@ def common_failure() -> Column:
     c = F.col
     return S.first_reason([
         (F.coalesce(c("noise_calibration_duration_ms"), F.lit(0.0)) < NOISE_CALIBRATION_MS, "quality-threshold-failed"), (F.coalesce(c("segments"), F.lit(0)) == 0, "no-usable-signal"),
-        ((c("processors") > 1) | (c("tracks") > 1), "quality-threshold-failed"), (c("segments") < MIN_SEGMENTS, "insufficient-segments"), (c("eligible_ms") < TIMING_MIN_MS, "insufficient-duration"), (c("active_ms") < ACTIVE_MIN_MS, "insufficient-active-speech"),
+        (
+            (c("processors") > 1) | (c("tracks") > 1), "quality-threshold-failed"
+        ), (c("segments") < MIN_SEGMENTS, "insufficient-segments"), (c("eligible_ms") < TIMING_MIN_MS, "insufficient-duration"), (c("active_ms") < ACTIVE_MIN_MS, "insufficient-active-speech"),
     ])
 
 
 def _two_level(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """median and spread of the groups' medians, by session."""
     each = df.groupBy(*KEY, group).agg(robust.median(value).alias("m"))
-    return robust.median_and_mad(each, KEY, "m", F.count("*").alias("n")).select(*KEY, F.col("median_value").alias(name), F.when(F.col("n") >= 2, F.col("mad_value")).alias(f"{name}_mad"), F.col("n").alias(f"{name}_n"))
+    return robust.median_and_mad(each, KEY, "m", F.count("*").alias("n")).select(
+        *KEY, F.col("median_value").alias(name), F.when(F.col("n") >= 2, F.col("mad_value")).alias(f"{name}_mad"), F.col("n").alias(f"{name}_n")
+    )
 
 
 def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -147,10 +169,14 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     pitch = _two_level(cut.filter("pitched and segment_pitched_ms >= 1000"), "segment_no", "f0_hz", "f0")
     bins = pitch_bins(cut.filter("segment_pitched_ms >= 1000").drop("segment_pitched_ms"))
     centre = F.percentile("pitch", F.lit(0.5)).over(Window.partitionBy(*KEY, "segment_no"))
-    varied = bins.withColumn("tone", S.semitones(F.col("pitch"), centre)).groupBy(*KEY, "segment_no").agg(F.count("*").alias("bins"), robust.population_sd("tone").alias("sd")).filter(F.col("bins") >= MIN_PITCH_BINS)
+    varied = bins.withColumn("tone", S.semitones(F.col("pitch"), centre)).groupBy(*KEY, "segment_no").agg(
+        F.count("*").alias("bins"), robust.population_sd("tone").alias("sd")
+    ).filter(F.col("bins") >= MIN_PITCH_BINS)
     contributing = accepted.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])
     variability = _two_level(varied, "segment_no", "sd", "variability").join(
-        evidence(contributing, cut.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])).select(*KEY, F.col("pitched_ms").alias("v_pitched_ms"), F.col("pitch_coverage").alias("v_coverage"), F.col("quality").alias("v_quality")), KEY
+        evidence(contributing, cut.join(varied.select(*KEY, "segment_no"), [*KEY, "segment_no"])).select(
+            *KEY, F.col("pitched_ms").alias("v_pitched_ms"), F.col("pitch_coverage").alias("v_coverage"), F.col("quality").alias("v_quality")
+        ), KEY
     )
     pause = runs.filter("counted_pause").withColumn("s", F.col("duration_ms") / 1000)
     speech = runs.filter("active").withColumn("s", F.col("duration_ms") / 1000)
@@ -168,7 +194,10 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     common = common_failure()
     pitch_failure = F.coalesce(common, F.when((F.coalesce("f0_n", zero) < MIN_SEGMENTS) | (c("pitched_ms") < PITCH_MIN_MS) | (c("pitch_coverage") < MIN_PITCH_COVERAGE), "insufficient-pitched-speech"))
     few_bins = F.coalesce("variability_n", zero) < MIN_SEGMENTS
-    varied_failure = F.coalesce(pitch_failure, F.when(~few_bins & ((c("v_pitched_ms") < PITCH_MIN_MS) | (c("v_coverage") < MIN_PITCH_COVERAGE)), "insufficient-pitched-speech"), F.when(few_bins, "insufficient-pitch-bins"))
+    varied_failure = F.coalesce(
+        pitch_failure, F.when(~few_bins & ((c("v_pitched_ms") < PITCH_MIN_MS) | (c("v_coverage") < MIN_PITCH_COVERAGE)), "insufficient-pitched-speech"),
+        F.when(few_bins, "insufficient-pitch-bins")
+    )
     few = lambda n, least, reason: F.coalesce(common, F.when(F.coalesce(n, zero) < least, reason))
     outcomes = [
         (METRICS[0], pitch_failure, c("f0"), c("f0_mad"), c("quality")),
@@ -181,7 +210,10 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     ]
     kept = lambda reason, x: F.when(reason.isNull(), x.cast("double"))
     each = [
-        F.struct(F.lit(code).alias("metric_code"), F.when(reason.isNull(), "measured").otherwise("withheld").alias("status"), reason.alias("reason_code"), kept(reason, value).alias("value"), kept(reason, quality).alias("technical_quality_score"), kept(reason, spread).alias("dispersion"))
+        F.struct(
+            F.lit(code).alias("metric_code"), F.when(reason.isNull(), "measured").otherwise("withheld").alias("status"), reason.alias("reason_code"),
+            kept(reason, value).alias("value"), kept(reason, quality).alias("technical_quality_score"), kept(reason, spread).alias("dispersion")
+        )
         for code, reason, value, spread, quality in outcomes
     ]
     return row.select("session_id", F.inline(F.array(*each)))

@@ -35,7 +35,9 @@ SELECT reasons, count(*) AS n FROM r GROUP BY reasons""",
 def correction_chain_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     last = F.struct("us", "o_orderkey")
-    current = o.filter(F.col("us") < F.unix_micros(F.lit(CUT).cast("timestamp"))).groupBy("o_custkey").agg(F.max_by("o_orderkey", last).alias("current_revision"), F.max("us").alias("current_recorded"), F.max_by("o_orderstatus", last).alias("current_class"))
+    current = o.filter(F.col("us") < F.unix_micros(F.lit(CUT).cast("timestamp"))).groupBy("o_custkey").agg(
+        F.max_by("o_orderkey", last).alias("current_revision"), F.max("us").alias("current_recorded"), F.max_by("o_orderstatus", last).alias("current_class")
+    )
     reasons = ingest.correction_chain_reasons(F.col("prev"), F.col("o_orderkey"), F.col("us"), F.col("o_orderstatus"))
     return o.join(current, "o_custkey", "left").groupBy(F.array_join(reasons, ",").alias("reasons")).agg(F.count("*").alias("n"))
 
@@ -56,7 +58,10 @@ def accessible_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN s.o_custkey IS NOT NULL THEN 'ready' WHEN j.st = 'P' THEN 'failed' WHEN j.st IS NOT NULL THEN 'pending' ELSE 'empty' END AS status, count(*) AS n FROM e LEFT JOIN s ON s.o_custkey = c_custkey AND s.revision = e.revision LEFT JOIN j ON j.o_custkey = c_custkey AND j.revision = e.revision GROUP BY ALL""",
 )
 def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 4).alias("input_revision"), (F.col("o_orderstatus") == "F").alias("accessible"), F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("running").alias("job_status"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 4).alias("input_revision"), (F.col("o_orderstatus") == "F").alias("accessible"),
+        F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("running").alias("job_status")
+    )
     episodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("episode_id"), (F.col("c_custkey") % 4).alias("revision"))
     return governance.evidence_status(episodes, o, o).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -69,9 +74,15 @@ SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'superseded' WHEN d = 'acknowledged' T
 )
 def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs, lines as reviews; a line belongs to the run's exact content where its number modulo 3 is the run's."""
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 3).alias("digest"), F.when(F.col("o_orderkey") % 31 == 0, F.col("o_orderkey") + 1).alias("superseded_by"))
+    runs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 3).alias("digest"),
+        F.when(F.col("o_orderkey") % 31 == 0, F.col("o_orderkey") + 1).alias("superseded_by")
+    )
     disposition = F.when(F.col("l_returnflag") == "R", "acknowledged").when(F.col("l_returnflag") == "A", "disputed").otherwise("noted")
-    reviews = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") % 3).cast("long").alias("digest"), disposition.alias("disposition"), F.col("l_shipdate").alias("recorded_at"), (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")).alias("review_id"))
+    reviews = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") % 3).cast("long").alias("digest"), disposition.alias("disposition"),
+        F.col("l_shipdate").alias("recorded_at"), (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")).alias("review_id")
+    )
     return governance.latest_review(runs, reviews).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -82,8 +93,14 @@ b AS (SELECT o_custkey % 50 AS scope, o_orderkey % 6 AS encounter_id, min(o_orde
 )
 def capture_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("c_custkey"), F.lit(True)
-    consents = table(spark, sf_dir, "customer").select((k % 40).alias("scope"), k.alias("consent_id"), (k % 700).alias("granted_at"), (k % 3 == 0).alias("capture"), t.alias("derived_analysis"), t.alias("derived_retention"), F.lit(None).cast("long").alias("expires_at"), F.when(k % 5 == 0, 400).alias("withdrawn_at"))
-    bindings = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("scope"), (F.col("o_orderkey") % 6).alias("encounter_id"), F.col("o_orderkey").alias("binding_id"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("pending").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, 1).alias("revoked_at"))
+    consents = table(spark, sf_dir, "customer").select(
+        (k % 40).alias("scope"), k.alias("consent_id"), (k % 700).alias("granted_at"), (k % 3 == 0).alias("capture"), t.alias("derived_analysis"),
+        t.alias("derived_retention"), F.lit(None).cast("long").alias("expires_at"), F.when(k % 5 == 0, 400).alias("withdrawn_at")
+    )
+    bindings = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 50).alias("scope"), (F.col("o_orderkey") % 6).alias("encounter_id"), F.col("o_orderkey").alias("binding_id"),
+        F.when(F.col("o_orderstatus") == "F", "verified").otherwise("pending").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, 1).alias("revoked_at")
+    )
     return governance.capture_context(consents, bindings, ["scope"], F.lit(500))
 
 

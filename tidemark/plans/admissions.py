@@ -75,7 +75,10 @@ def consent_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = k % 200
     one = lambda *more: table(spark, sf_dir, "customer").select(k.alias("consent_id"), g.alias("granted_at"), *more)
     consents = one(F.when(k % 7 == 0, g + 10).alias("withdrawn_at"), F.when(k % 11 == 0, g + k % 3 - 1).alias("expires_at"), F.lit("a").alias("permissions"))
-    current = one(F.when(k % 5 == 0, g + 5).alias("withdrawn_at"), F.when(k % 11 == 0, g + k % 3 - 1).alias("expires_at"), F.when(k % 13 == 0, "b").otherwise("a").alias("permissions")).filter("consent_id % 2 = 0")
+    current = one(
+        F.when(k % 5 == 0, g + 5).alias("withdrawn_at"), F.when(k % 11 == 0, g + k % 3 - 1).alias("expires_at"),
+        F.when(k % 13 == 0, "b").otherwise("a").alias("permissions")
+    ).filter("consent_id % 2 = 0")
     return admission.consent_refusals(consents, current, ["consent_id"], ["granted_at", "expires_at", "permissions"], F.lit(190)).select("consent_id", "refusal")
 
 
@@ -93,7 +96,10 @@ def binding_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     revoked = F.when((k % 3 == 0) & (k % 5 != 0), r + k % 4 - 1).when(k % 31 == 0, 5)
     method = F.when(k % 17 == 0, "unverified").otherwise("clinic-enrollment").alias("verification_method")
     bindings = one(status.alias("status"), revoked.alias("revoked_at"), method, F.lit("p").alias("platform_participant_id"))
-    current = one(F.when(k % 11 == 0, "revoked").otherwise("verified").alias("status"), F.when(k % 11 == 0, r).alias("revoked_at"), method, F.when(k % 19 == 0, "q").otherwise("p").alias("platform_participant_id")).filter("binding_id % 2 = 0")
+    current = one(
+        F.when(k % 11 == 0, "revoked").otherwise("verified").alias("status"), F.when(k % 11 == 0, r).alias("revoked_at"), method,
+        F.when(k % 19 == 0, "q").otherwise("p").alias("platform_participant_id")
+    ).filter("binding_id % 2 = 0")
     judged = admission.binding_refusals(bindings, current, ["binding_id"], ["recorded_at", "verification_method", "platform_participant_id"], F.lit(290))
     return judged.groupBy(F.coalesce("refusal", F.lit("admitted")).alias("refusal")).agg(F.count("*").alias("n"))
 
@@ -107,7 +113,10 @@ def review_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, ep = F.col("o_orderkey"), F.col("o_custkey")
     o = table(spark, sf_dir, "orders")
     text = lambda c: c.cast("string")
-    reviews = o.select(ep.alias("episode_id"), k.alias("idempotency_key"), F.lit("h").alias("content_hash"), text(k).alias("snapshot_id"), (k % 3).alias("input_revision"), text(k).alias("run_id"), F.when(k % 17 == 0, "x").otherwise("d").alias("run_digest"))
+    reviews = o.select(
+        ep.alias("episode_id"), k.alias("idempotency_key"), F.lit("h").alias("content_hash"), text(k).alias("snapshot_id"), (k % 3).alias("input_revision"),
+        text(k).alias("run_id"), F.when(k % 17 == 0, "x").otherwise("d").alias("run_digest")
+    )
     episodes = o.select(ep.alias("episode_id"), (ep % 3).alias("revision")).distinct().filter("episode_id % 10 <> 9")
     snapshots = o.filter("o_orderkey % 13 <> 0").select(text(k).alias("snapshot_id"), ep.alias("episode_id"), (k % 3).alias("input_revision"), text(k).alias("run_id"), F.lit("d").alias("run_digest"))
     earlier = o.filter("o_orderkey % 7 = 0").select(ep.alias("episode_id"), k.alias("idempotency_key"), text(k).alias("snapshot_id"), F.when(k % 2 == 0, "other").otherwise("h").alias("content_hash"))
@@ -123,7 +132,10 @@ SELECT coalesce({_first(("kind = 'care' AND k % 5 = 0", 'clinical-authority'), (
 def annotation_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("o_orderkey"), F.col("o_custkey") % 50
     kind = F.when(k % 3 == 0, "routine-care-reference").when(k % 3 == 1, "blinded-clip-annotation").otherwise("note")
-    a = table(spark, sf_dir, "orders").select(s.alias("scope"), kind.alias("kind"), F.when(k % 5 == 0, "patient").otherwise("clinician").alias("role"), k.alias("encounter_id"), F.when(k % 7 != 0, k).alias("clip_ref"))
+    a = table(spark, sf_dir, "orders").select(
+        s.alias("scope"), kind.alias("kind"), F.when(k % 5 == 0, "patient").otherwise("clinician").alias("role"), k.alias("encounter_id"),
+        F.when(k % 7 != 0, k).alias("clip_ref")
+    )
     consents = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("scope"), (F.col("c_custkey") % 2 == 0).alias("research_clips"), (F.col("c_custkey") % 50).alias("place"))
     clips = a.filter("clip_ref % 11 <> 0").select("scope", "encounter_id", "clip_ref")
     judged = admission.annotation_refusals(a, consents, clips, ["scope"], F.col("place") < 20)
@@ -149,12 +161,18 @@ def episode_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _episodes(spark, sf_dir).select("episode_id", "refusal")
 
 
-@query("access_audit", f"WITH e AS ({_EPISODES}) SELECT CASE WHEN refusal IS NULL THEN 'allowed' ELSE 'denied' END AS result, coalesce(refusal, '') AS reason, count(*) AS n, count(DISTINCT k) AS ids FROM e GROUP BY ALL")
+@query(
+    "access_audit",
+    f"WITH e AS ({_EPISODES}) SELECT CASE WHEN refusal IS NULL THEN 'allowed' ELSE 'denied' END AS result, coalesce(refusal, '') AS reason, count(*) AS n, count(DISTINCT k) AS ids FROM e GROUP BY ALL"
+)
 def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = admission.access_audit(_episodes(spark, sf_dir).withColumn("recorded_at", F.lit(7)), "participant", "episode-create", "recorded_at", "episode_id")
     return rows.groupBy("result", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("audit_id").alias("ids"))
 
 
-@query("source_counts", "SELECT o_custkey, CAST(sum((o_orderstatus = 'F')::INT) AS BIGINT) AS f, CAST(sum((o_orderstatus = 'O')::INT) AS BIGINT) AS o, CAST(sum((o_orderstatus = 'x-y')::INT) AS BIGINT) AS x_y FROM orders GROUP BY o_custkey")
+@query(
+    "source_counts",
+    "SELECT o_custkey, CAST(sum((o_orderstatus = 'F')::INT) AS BIGINT) AS f, CAST(sum((o_orderstatus = 'O')::INT) AS BIGINT) AS o, CAST(sum((o_orderstatus = 'x-y')::INT) AS BIGINT) AS x_y FROM orders GROUP BY o_custkey"
+)
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.source_counts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "x-y"]).select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), "x_y")

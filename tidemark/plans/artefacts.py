@@ -17,7 +17,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each order and line number: k, n, price, discount, tax, quantity and part."""
     line = F.max(F.struct("l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_partkey")).alias("l")
     one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(line)
-    return one.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l.l_extendedprice").alias("price"), F.col("l.l_discount").alias("discount"), F.col("l.l_tax").alias("tax"), F.col("l.l_quantity").cast("long").alias("quantity"), F.col("l.l_partkey").alias("part"))
+    return one.select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l.l_extendedprice").alias("price"), F.col("l.l_discount").alias("discount"),
+        F.col("l.l_tax").alias("tax"), F.col("l.l_quantity").cast("long").alias("quantity"), F.col("l.l_partkey").alias("part")
+    )
 
 
 LINES = f"li AS (SELECT k, n, l.a AS price, l.b AS discount, l.c AS tax, CAST(l.d AS BIGINT) AS quantity, l.e AS part FROM (SELECT l_orderkey AS k, l_linenumber AS n, {_DEAR} AS l FROM lineitem GROUP BY ALL))"
@@ -41,24 +44,43 @@ def durable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line a window, and a metric that rests on its own and the next one; samples of every other metric."""
     k = F.col("o_orderkey")
     end = F.when(k % 71 == 0, -5.0).otherwise(10_000.0)
-    observations = table(spark, sf_dir, "orders").select(k.alias("revision_id"), F.when(k % 79 == 0, k).alias("supersedes_revision_id"), F.lit(0.0).alias("started_at_ms"), end.alias("ended_at_ms"), F.when(k % 73 == 0, end - 1).otherwise(end).alias("recorded_at_ms"))
+    observations = table(spark, sf_dir, "orders").select(
+        k.alias("revision_id"), F.when(k % 79 == 0, k).alias("supersedes_revision_id"), F.lit(0.0).alias("started_at_ms"), end.alias("ended_at_ms"),
+        F.when(k % 73 == 0, end - 1).otherwise(end).alias("recorded_at_ms")
+    )
     li, part = lines(spark, sf_dir), F.col("part")
     start = F.col("n") * 1000.0
     length = F.when(part % 37 == 0, 0).when(part % 41 == 0, 20_000).otherwise(F.col("quantity") * 30.0)
     eligible = F.col("discount") > 0.01
-    windows = li.select(F.col("k").alias("revision_id"), F.concat(F.lit("w"), _text(F.col("n"))).alias("window_id"), start.alias("start_ms"), (start + length).alias("end_ms"), F.when(eligible, "eligible").otherwise("withheld").alias("status"), F.when(part % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("reason_codes"))
+    windows = li.select(
+        F.col("k").alias("revision_id"), F.concat(F.lit("w"), _text(F.col("n"))).alias("window_id"), start.alias("start_ms"), (start + length).alias("end_ms"),
+        F.when(eligible, "eligible").otherwise("withheld").alias("status"),
+        F.when(part % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("reason_codes")
+    )
     last = li.groupBy("k").agg(F.collect_set("n").alias("numbers"))
     name = lambda n: F.concat(F.lit("w"), _text(n))
-    ids = F.array_compact(F.array(name(F.col("n")), F.when(F.array_contains("numbers", F.col("n") + 1), name(F.col("n") + 1)), F.when(part % 53 == 0, name(F.col("n"))), F.when(part % 59 == 0, "lost")))
-    metrics = li.join(last, "k").select(F.col("k").alias("revision_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"), F.when(F.col("tax") > 0.02, "measured").otherwise("withheld").alias("status"), (F.col("quantity") * 40.0).alias("usable_ms"), ids.alias("window_ids"), start.alias("s"), (F.col("n") % 2 == 1).alias("sampled"))
+    ids = F.array_compact(F.array(
+        name(F.col("n")), F.when(F.array_contains("numbers", F.col("n") + 1), name(F.col("n") + 1)), F.when(part % 53 == 0, name(F.col("n"))),
+        F.when(part % 59 == 0, "lost")
+    ))
+    metrics = li.join(last, "k").select(
+        F.col("k").alias("revision_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"),
+        F.when(F.col("tax") > 0.02, "measured").otherwise("withheld").alias("status"), (F.col("quantity") * 40.0).alias("usable_ms"), ids.alias("window_ids"),
+        start.alias("s"), (F.col("n") % 2 == 1).alias("sampled")
+    )
     plain = F.array_distinct(F.filter("window_ids", lambda x: x != "lost"))
-    samples = metrics.filter("sampled").select("revision_id", "metric_code", F.lit("s1").alias("sample_id"), F.col("s").alias("start_ms"), (F.col("s") + 1500.0).alias("end_ms"), plain.alias("window_ids"))
+    samples = metrics.filter("sampled").select(
+        "revision_id", "metric_code", F.lit("s1").alias("sample_id"), F.col("s").alias("start_ms"), (F.col("s") + 1500.0).alias("end_ms"),
+        plain.alias("window_ids")
+    )
     found = artefacts.durable_violations(observations, windows, metrics.drop("s", "sampled"), samples)
     return found.select("revision_id", F.array_join("violations", ",").alias("violations"))
 
 
 _IDENTITY = {"protocol_id": "pack", "protocol_version": "1", "context": "c", "unit": "u", "algorithm_version": "1", "track_segment_id": "t"}
-_SQL_ID = lambda session, code, proc: "'aggregate-' || substr(sha256(" + " || '|' || ".join(f"octet_length(encode({x})) || ':' || {x}" for x in ("'pack'", "'1'", session, code, "'c'", "'u'", "'1'", proc, "'t'")) + "), 1, 24)"
+_SQL_ID = lambda session, code, proc: "'aggregate-' || substr(sha256(" + " || '|' || ".join(f"octet_length(encode({x})) || ':' || {x}" for x in (
+    "'pack'", "'1'", session, code, "'c'", "'u'", "'1'", proc, "'t'"
+)) + "), 1, 24)"
 
 
 @query(
@@ -78,8 +100,15 @@ def session_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("observation_id"), _text(k).alias("session_id"), F.lit("pack").alias("protocol_id"), F.lit("1").alias("protocol_version"), start.alias("started_at_ms"), odd(43, start - 1, start + length).alias("ended_at_ms"), F.lit(6000.0).alias("duration_ms"), odd(53, F.lit("x"), _text(k)).alias("consent_session"),
         odd(59, start + 1, start).alias("consent_recorded_at_ms"), odd(61, F.lit("x"), _text(k)).alias("source_session"), (F.col("all") + F.when((k % 67 == 0) & (F.col("all") > 0), 1).otherwise(0)).alias("total_windows"), F.col("ok").alias("eligible_windows"), (F.col("all") - F.col("ok")).alias("withheld_windows"),
     )
-    windows = li.select(F.col("k").alias("observation_id"), F.concat(F.lit("w"), _text(F.col("n"))).alias("window_id"), F.when(part % 83 == 0, "x").otherwise(_text(F.col("k"))).alias("session_id"), (F.col("n") * 1000.0).alias("end_ms"), F.when(F.col("discount") > 0.01, "eligible").otherwise("withheld").alias("status"))
-    bare = li.select(F.col("k").alias("observation_id"), F.col("n").alias("n"), "part", _text(F.col("k")).alias("session_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"), F.lit("p").alias("processor_ref"), *[F.lit(v).alias(c) for c, v in _IDENTITY.items()])
+    windows = li.select(
+        F.col("k").alias("observation_id"), F.concat(F.lit("w"), _text(F.col("n"))).alias("window_id"),
+        F.when(part % 83 == 0, "x").otherwise(_text(F.col("k"))).alias("session_id"), (F.col("n") * 1000.0).alias("end_ms"),
+        F.when(F.col("discount") > 0.01, "eligible").otherwise("withheld").alias("status")
+    )
+    bare = li.select(
+        F.col("k").alias("observation_id"), F.col("n").alias("n"), "part", _text(F.col("k")).alias("session_id"),
+        F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"), F.lit("p").alias("processor_ref"), *[F.lit(v).alias(c) for c, v in _IDENTITY.items()]
+    )
     own = artefacts.aggregate_id()
     outcomes = bare.withColumns({"aggregate_id": F.when(part % 89 == 0, F.concat(F.lit("x"), own)).otherwise(own), "outcome_id": F.concat(F.lit("o"), _text(F.col("n")))})
     window = F.concat(F.lit("w"), _text(F.col("n")))
@@ -93,7 +122,10 @@ def session_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("aggregate_identities", f"WITH {LINES} SELECT k AS session, n AS line, {_SQL_ID('CAST(k AS VARCHAR)', chr(39) + 'm' + chr(39) + ' || n', chr(39) + 'p' + chr(39))} AS aggregate_id FROM li")
 def aggregate_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = lines(spark, sf_dir).select("k", "n", _text(F.col("k")).alias("session_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"), F.lit("p").alias("processor_ref"), *[F.lit(v).alias(c) for c, v in _IDENTITY.items()])
+    bare = lines(spark, sf_dir).select(
+        "k", "n", _text(F.col("k")).alias("session_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"), F.lit("p").alias("processor_ref"),
+        *[F.lit(v).alias(c) for c, v in _IDENTITY.items()]
+    )
     return bare.select(F.col("k").alias("session"), F.col("n").alias("line"), artefacts.aggregate_id().alias("aggregate_id"))
 
 
@@ -105,9 +137,18 @@ def measurement_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = lines(spark, sf_dir), F.col("part")
     same = lambda **odd: [odd.get(c, F.lit(c)).alias(c) for c in ("label", "modality", "context", "unit", "algorithm_version", "processor_ref", "track_segment_id")]
     number = lambda p: F.concat(F.lit(p), _text(F.col("n")))
-    measurements = li.select(F.col("k").alias("session_id"), number("x").alias("measurement_id"), number("a").alias("aggregate_id"), F.array(F.when(part % 43 == 0, "lost").otherwise(number("w"))).alias("source_window_ids"), number("m").alias("metric_code"), *same())
-    outcomes = li.filter("part % 41 <> 0").select(F.col("k").alias("session_id"), number("a").alias("aggregate_id"), F.when(F.col("discount") > 0.01, "measured").otherwise("withheld").alias("status"), number("m").alias("metric_code"), *same(unit=F.when(part % 37 == 0, "other").otherwise("unit")))
-    windows = li.select(F.col("k").alias("session_id"), number("w").alias("window_id"), F.when(F.col("tax") > 0.01, "eligible").otherwise("withheld").alias("status"), *[x for x in same(context=F.when(part % 47 == 0, "other").otherwise("context"))])
+    measurements = li.select(
+        F.col("k").alias("session_id"), number("x").alias("measurement_id"), number("a").alias("aggregate_id"),
+        F.array(F.when(part % 43 == 0, "lost").otherwise(number("w"))).alias("source_window_ids"), number("m").alias("metric_code"), *same()
+    )
+    outcomes = li.filter("part % 41 <> 0").select(
+        F.col("k").alias("session_id"), number("a").alias("aggregate_id"), F.when(F.col("discount") > 0.01, "measured").otherwise("withheld").alias("status"),
+        number("m").alias("metric_code"), *same(unit=F.when(part % 37 == 0, "other").otherwise("unit"))
+    )
+    windows = li.select(
+        F.col("k").alias("session_id"), number("w").alias("window_id"), F.when(F.col("tax") > 0.01, "eligible").otherwise("withheld").alias("status"),
+        *[x for x in same(context=F.when(part % 47 == 0, "other").otherwise("context"))]
+    )
     refs = li.filter("part % 31 <> 0").select(F.col("k").alias("session_id"), number("x").alias("measurement_id"))
     found = artefacts.measurement_violations(measurements, outcomes, windows, refs)
     return found.select("session_id", "measurement_id", F.array_join("violations", ",").alias("violations"))
@@ -123,10 +164,15 @@ def source_evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda p: F.concat(F.lit(p), _text(F.col("n")))
     extra = lambda n, value: F.when(part % n == 0, value)
     outcomes = li.select(
-        F.col("k").alias("session_id"), number("m").alias("metric_code"), F.when(F.col("discount") > 0.01, "measured").otherwise("withheld").alias("status"), F.array_compact(F.array(F.when(part % 43 != 0, number("w")), extra(47, F.lit("more")))).alias("window_ids"),
+        F.col("k").alias("session_id"), number("m").alias("metric_code"), F.when(F.col("discount") > 0.01, "measured").otherwise("withheld").alias("status"), F.array_compact(F.array(
+            F.when(part % 43 != 0, number("w")), extra(47, F.lit("more"))
+        )).alias("window_ids"),
         F.array_compact(F.array(number("x"), extra(31, number("x")))).alias("measurement_ids"),
     )
-    measurements = li.select(F.col("k").alias("session_id"), number("x").alias("measurement_id"), F.array_compact(F.array(number("w"), extra(37, number("w")), extra(41, F.lit("lost")))).alias("source_window_ids"))
+    measurements = li.select(
+        F.col("k").alias("session_id"), number("x").alias("measurement_id"),
+        F.array_compact(F.array(number("w"), extra(37, number("w")), extra(41, F.lit("lost")))).alias("source_window_ids")
+    )
     windows = li.select(F.col("k").alias("session_id"), number("w").alias("window_id"), F.when(F.col("tax") > 0.01, "eligible").otherwise("withheld").alias("status"))
     found = artefacts.source_evidence_violations(outcomes, measurements, windows)
     return found.select("session_id", "metric_code", F.array_join("violations", ",").alias("violations"))
@@ -151,7 +197,10 @@ def source_binding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k AS pack_id, concat_ws(',', CASE WHEN c <> codes THEN 'repeated-metric' END, CASE WHEN c <> places THEN 'repeated-report-order' END, CASE WHEN k % 7 = 0 THEN 'digest-mismatch' END) AS violations FROM g""",
 )
 def pack_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pack_id"), F.concat(F.lit("m"), _text(F.col("l_linenumber"))).alias("metric_code"), F.lit("pitch").alias("report_section"), (F.col("l_partkey") % 3).alias("report_order"), _text(F.col("l_suppkey")).alias("definition"))
+    metrics = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pack_id"), F.concat(F.lit("m"), _text(F.col("l_linenumber"))).alias("metric_code"), F.lit("pitch").alias("report_section"),
+        (F.col("l_partkey") % 3).alias("report_order"), _text(F.col("l_suppkey")).alias("definition")
+    )
     packs = metrics.groupBy("pack_id").agg(artefacts.pack_digest().alias("sealed")).select("pack_id", F.when(F.col("pack_id") % 7 == 0, "0").otherwise(F.col("sealed")).alias("content_sha256"))
     return artefacts.pack_violations(packs, metrics, ["pack_id"]).select("pack_id", F.array_join("violations", ",").alias("violations"))
 
@@ -179,9 +228,14 @@ def consent_and_binding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array(F.lit("face"), F.lit("voice"))
     rows = table(spark, sf_dir, "customer").select(
         k, (k % 5 + 9).alias("expires_at"), F.lit(10).alias("granted_at"), F.when(k % 7 == 0, 9).alias("withdrawn_at"), F.lit(True).alias("capture"), F.when(k % 22 == 0, F.array().cast("array<string>")).when(k % 11 == 0, F.array(F.lit("face"), F.lit("face"))).otherwise(both).alias("modalities"),
-        F.when(k % 3 == 0, "revoked").when(k % 3 == 1, "verified").otherwise("unverified").alias("status"), F.when(k % 13 == 0, "unverified").otherwise("portal").alias("verification_method"), F.when((k % 17 != 0) & ((k % 3 == 0) | (k % 19 == 0)), F.when(k % 2 == 0, 4).otherwise(6)).alias("revoked_at"), F.lit(5).alias("recorded_at"),
+        F.when(k % 3 == 0, "revoked").when(k % 3 == 1, "verified").otherwise("unverified").alias("status"), F.when(k % 13 == 0, "unverified").otherwise("portal").alias("verification_method"), F.when(
+            (k % 17 != 0) & ((k % 3 == 0) | (k % 19 == 0)), F.when(k % 2 == 0, 4).otherwise(6)
+        ).alias("revoked_at"), F.lit(5).alias("recorded_at"),
     )
-    return rows.select("c_custkey", F.array_join(F.concat(provenance.consent_rules(), provenance.modality_rules()), ",").alias("consent"), F.array_join(provenance.binding_rules(), ",").alias("binding"))
+    return rows.select(
+        "c_custkey", F.array_join(F.concat(provenance.consent_rules(), provenance.modality_rules()), ",").alias("consent"),
+        F.array_join(provenance.binding_rules(), ",").alias("binding")
+    )
 
 
 @query(
@@ -211,5 +265,8 @@ def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 1 to 3 as a blink rate, an expression rate and a metric without events."""
     code = F.when(F.col("n") == 1, "ambient.face.blink_rate.bilateral").when(F.col("n") == 2, "ambient.face.spontaneous_event_rate").otherwise("ambient.face.mouth_width")
-    rows = lines(spark, sf_dir).filter("n <= 3").select("k", "n", code.alias("metric_code"), F.col("quantity").alias("blink_count"), (F.col("part") % 5).alias("expression_event_count"), *[F.lit(None).cast("long").alias(c) for c in assembly.EVENT_COUNTERS if c not in ("blink_count", "expression_event_count")])
+    rows = lines(spark, sf_dir).filter("n <= 3").select(
+        "k", "n", code.alias("metric_code"), F.col("quantity").alias("blink_count"), (F.col("part") % 5).alias("expression_event_count"),
+        *[F.lit(None).cast("long").alias(c) for c in assembly.EVENT_COUNTERS if c not in ("blink_count", "expression_event_count")]
+    )
     return rows.select("k", "n", assembly.relevant_event_count(F.col("metric_code")).cast("long").alias("events"))

@@ -26,7 +26,10 @@ def history_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     metric = F.struct(F.concat(F.lit("m"), _text(F.col("l_linenumber"))).alias("metricCode"), F.col("l_extendedprice").alias("value"), F.lit("measured").alias("status"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(metric).alias("metrics"))
-    observation = F.struct(_text(k).alias("observationId"), _text(k).alias("revisionId"), F.col("o_orderdate").cast("timestamp").alias("startedAt"), F.coalesce("metrics", F.array().cast("array<struct<metricCode: string, value: double, status: string>>")).alias("metrics"))
+    observation = F.struct(
+        _text(k).alias("observationId"), _text(k).alias("revisionId"), F.col("o_orderdate").cast("timestamp").alias("startedAt"),
+        F.coalesce("metrics", F.array().cast("array<struct<metricCode: string, value: double, status: string>>")).alias("metrics")
+    )
     owned = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").groupBy("o_custkey").agg(F.collect_list(observation).alias("observations"))
     scope = F.struct(F.lit("t").alias("tenantId"), F.lit("s").alias("studyId"), _text(F.col("o_custkey")).alias("participantId"))
     documents = owned.select("o_custkey", F.when(F.col("o_custkey") % 10 == 3, "{broken").otherwise(F.to_json(F.struct(scope.alias("scope"), "observations"))).alias("payload"))
@@ -36,14 +39,19 @@ def history_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(metrics, "participantId", "left").select(F.col("participantId").cast("long").alias("participant"), "observations", F.coalesce("metrics", F.lit(0)).alias("metrics"), "total")
 
 
-@query("log_kinds", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'session' WHEN o_orderstatus = 'O' THEN 'consent' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(CASE o_orderstatus WHEN 'F' THEN o_orderkey WHEN 'O' THEN o_custkey END) AS BIGINT) AS total FROM orders GROUP BY ALL")
+@query(
+    "log_kinds",
+    "SELECT CASE WHEN o_orderstatus = 'F' THEN 'session' WHEN o_orderstatus = 'O' THEN 'consent' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(CASE o_orderstatus WHEN 'F' THEN o_orderkey WHEN 'O' THEN o_custkey END) AS BIGINT) AS total FROM orders GROUP BY ALL"
+)
 def log_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a log of two known kinds with JSON payloads, and others."""
     status = F.col("o_orderstatus")
     kind = F.when(status == "F", "session").when(status == "O", "consent").otherwise("annotation")
     payload = F.when(status == "F", F.to_json(F.struct(F.col("o_orderkey").alias("key")))).otherwise(F.to_json(F.struct(F.col("o_custkey").alias("owner"))))
     parts = histories.split_log(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), payload.alias("payload")), {"session": "key long", "consent": "owner long"})
-    rows = parts["session"].select(F.lit("session").alias("kind"), F.col("key").alias("x")).unionByName(parts["consent"].select(F.lit("consent").alias("kind"), F.col("owner").alias("x"))).unionByName(parts["other"].select(F.lit("other").alias("kind"), F.lit(None).cast("long").alias("x")))
+    rows = parts["session"].select(F.lit("session").alias("kind"), F.col("key").alias("x")).unionByName(parts["consent"].select(F.lit("consent").alias("kind"), F.col("owner").alias("x"))).unionByName(parts["other"].select(
+        F.lit("other").alias("kind"), F.lit(None).cast("long").alias("x")
+    ))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
@@ -75,7 +83,10 @@ SELECT event_id, round(CASE WHEN n < 2 THEN 0 ELSE (n - 1) * 1000.0 / greatest(s
 )
 def frame_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(e, F.expr("event_id div 1000").alias("stream"), ((e % 1000) * 30.0).alias("at_ms"), F.when(e % 3 == 0, "processed").when(e % 7 == 1, "skipped").otherwise("presented").alias("kind"))
+    rows = table(spark, sf_dir, "events").select(
+        e, F.expr("event_id div 1000").alias("stream"), ((e % 1000) * 30.0).alias("at_ms"),
+        F.when(e % 3 == 0, "processed").when(e % 7 == 1, "skipped").otherwise("presented").alias("kind")
+    )
     found = signals.rolling_cadence(rows, ["stream"], ["at_ms", "event_id"], "at_ms", "kind")
     return found.select("event_id", F.round("cadence_hz", 6).alias("cadence_hz"), F.round("drop_fraction", 6).alias("drop_fraction"))
 
@@ -87,7 +98,10 @@ SELECT e AS event_id, periodic, rms >= greatest(0.003, floor * 2.8) AND (periodi
 )
 def speech_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    f = table(spark, sf_dir, "events").select(e, (e % 40 / 1000.0).alias("rms"), F.when(e % 3 != 0, 120.0).alias("f0"), (0.4 + e % 5 / 10.0).alias("conf"), (e % 6 / 100.0).alias("flux"), (0.002 + e % 7 / 1000.0).alias("floor"))
+    f = table(spark, sf_dir, "events").select(
+        e, (e % 40 / 1000.0).alias("rms"), F.when(e % 3 != 0, 120.0).alias("f0"), (0.4 + e % 5 / 10.0).alias("conf"), (e % 6 / 100.0).alias("flux"),
+        (0.002 + e % 7 / 1000.0).alias("floor")
+    )
     periodic = signals.periodic("f0", "conf", F.lit(0.9))
     return f.select("event_id", periodic.alias("periodic"), signals.speech_active("rms", periodic, "flux", "floor").alias("active"), F.round(signals.nucleus_score("rms", "flux"), 9).alias("score"))
 
@@ -139,7 +153,10 @@ SELECT e AS event_id, error, CASE WHEN error IS NULL THEN off END AS offset_ms,
 def clock_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     received = 1000.0 + e % 50
-    probe = S.clock_calibration(received, received + e % 9 - 1, F.lit(0.0), (e % 60).cast("double"), (e % 60 + F.when(e % 31 == 0, 20).otherwise(0)).cast("double"), F.when(e % 37 != 0, 1.5), F.when(e % 41 == 0, 900.0).otherwise(1e9))
+    probe = S.clock_calibration(
+        received, received + e % 9 - 1, F.lit(0.0), (e % 60).cast("double"), (e % 60 + F.when(e % 31 == 0, 20).otherwise(0)).cast("double"),
+        F.when(e % 37 != 0, 1.5), F.when(e % 41 == 0, 900.0).otherwise(1e9)
+    )
     return table(spark, sf_dir, "events").select(e, probe.alias("p")).select("event_id", "p.error", "p.offset_ms", "p.uncertainty_ms")
 
 
@@ -183,7 +200,9 @@ SELECT k AS session_id, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'repeated-window
 def window_claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min(F.col("l_partkey") % 50) * 1.0).alias("s"))
     windows = one.select(F.concat_ws("-", _text(F.col("l_orderkey")), _text(F.col("l_linenumber"))).alias("window_id"), F.col("l_orderkey").alias("session_id"), "s", (F.col("s") + 20).alias("e"))
-    claims = windows.groupBy("session_id").agg((F.count("*") + F.max(F.when(F.col("session_id") % 5 == 0, 1).otherwise(0))).alias("window_count")).withColumns({"claimed_duration": F.lit(40.0), "claimed_span": F.lit(45.0)})
+    claims = windows.groupBy("session_id").agg((F.count("*") + F.max(F.when(F.col("session_id") % 5 == 0, 1).otherwise(0))).alias("window_count")).withColumns({
+        "claimed_duration": F.lit(40.0), "claimed_span": F.lit(45.0)
+    })
     refs = windows.select("session_id", "window_id")
     refs = refs.unionByName(refs.filter("session_id % 3 = 0"))
     found = provenance.window_claims(claims, refs, windows.drop("session_id"), ["session_id"], "window_id", "s", "e")
@@ -197,12 +216,17 @@ def window_claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def definition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = histories.definition_table(spark, [(str(n), "u", None) for n in range(1, 5)], "metric_code string, unit string, context string").drop("digest", "place")
     p = F.col("l_partkey")
-    outcomes = table(spark, sf_dir, "lineitem").select(_text(F.col("l_linenumber")).alias("metric_code"), F.when(p % 31 == 0, "v").otherwise("u").alias("unit"), F.when(p % 37 == 0, "c").alias("context"))
+    outcomes = table(spark, sf_dir, "lineitem").select(
+        _text(F.col("l_linenumber")).alias("metric_code"), F.when(p % 31 == 0, "v").otherwise("u").alias("unit"), F.when(p % 37 == 0, "c").alias("context")
+    )
     found = provenance.definition_errors(outcomes, registry, "metric_code", ["unit", "context"])
     return found.groupBy(F.col("metric_code").cast("long").alias("n"), F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("rows"))
 
 
-@query("registered_reasons", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'lane-down' WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'r' || o_orderkey % 4 END AS reason_code, count(*) AS n, CAST(sum((o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 4 = 3)::INT) AS BIGINT) AS unregistered FROM orders GROUP BY ALL")
+@query(
+    "registered_reasons",
+    "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'lane-down' WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'r' || o_orderkey % 4 END AS reason_code, count(*) AS n, CAST(sum((o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 4 = 3)::INT) AS BIGINT) AS unregistered FROM orders GROUP BY ALL"
+)
 def registered_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     reason = F.when(k % 3 != 0, F.concat(F.lit("r"), _text(k % 4)))
@@ -218,7 +242,9 @@ def registered_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disallowed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by parity as event types: even ones belong to two roles, odd ones to none."""
     allowed = spark.createDataFrame([("even", "user"), ("even", "system")], "type string, stage string")
-    turns = table(spark, sf_dir, "conversations").filter("role is not null").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("type"), F.col("role").alias("stage"))
+    turns = table(spark, sf_dir, "conversations").filter("role is not null").select(
+        "conv_id", "turn", F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("type"), F.col("role").alias("stage")
+    )
     return journal.disallowed(turns, "type", "stage", allowed).select("conv_id", "turn")
 
 
@@ -231,7 +257,10 @@ def block_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     blocks = table(spark, sf_dir, "events").select("user_id", e, (e % 50).alias("seq"), (e * 100).alias("idx"), F.lit(90).alias("len"))
     found = sessionize.block_continuity(blocks, ["user_id"], ["event_id"], "seq", "idx", "len")
-    return found.groupBy("user_id").agg(F.count("*").alias("blocks"), F.sum(F.col("regressed").cast("long")).alias("regressed"), F.sum("lost_before").cast("long").alias("lost"), F.sum("gap_samples").cast("long").alias("gap_samples"), F.max("restart_no").cast("long").alias("restarts"))
+    return found.groupBy("user_id").agg(
+        F.count("*").alias("blocks"), F.sum(F.col("regressed").cast("long")).alias("regressed"), F.sum("lost_before").cast("long").alias("lost"),
+        F.sum("gap_samples").cast("long").alias("gap_samples"), F.max("restart_no").cast("long").alias("restarts")
+    )
 
 
 @query("permitted_orders", "SELECT o_orderkey FROM orders WHERE o_custkey % 9 IN (SELECT c_custkey % 9 FROM customer WHERE c_custkey % 9 < 3)")

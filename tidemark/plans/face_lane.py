@@ -33,19 +33,30 @@ def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         session.cast("string").alias("session_id"), (k * float(STEP)).alias("t_ms"), (k * float(STEP)).alias("acquired_at_ms"), k.alias("sequence"), F.when((session % 4 == 2) & (k >= 1200), 2).otherwise(1).cast("long").alias("capture_epoch"),
         F.when(e % 701 == 0, "other").otherwise("ambient-frontal").alias("task_context"), F.lit("face@1").alias("processor_ref"), F.when(e % 509 == 0, "").otherwise("track-1").alias("track_segment_id"), F.when(e % 997 == 0, 2).otherwise(1).alias("face_count"), F.lit(True).alias("face_visible"),
-        F.struct(F.lit(0.35).alias("x"), F.lit(0.2).alias("y"), F.lit(0.3).alias("width"), F.lit(0.5).alias("height"), (384.0 * size).alias("width_pixels"), (360.0 * size).alias("height_pixels"), F.lit(0.1).alias("edge_margin_fraction")).alias("bounding_box"),
+        F.struct(
+            F.lit(0.35).alias("x"), F.lit(0.2).alias("y"), F.lit(0.3).alias("width"), F.lit(0.5).alias("height"), (384.0 * size).alias("width_pixels"),
+            (360.0 * size).alias("height_pixels"), F.lit(0.1).alias("edge_margin_fraction")
+        ).alias("bounding_box"),
         F.when(e % 653 != 0, pose).alias("pose"), pair(eye, F.when(e % 120 < 3, 0.05).otherwise(0.29 + wave / 10)).alias("eye_aperture"), F.when(e % 53 != 0, brow).alias("brow_height"),
         *[F.lit(None).cast("struct<left: double, right: double>").alias(c) for c in ("fissure_width", "fissure_height", "iris_diameter")],
-        pair(point(F.lit(0.3), 0.1 - rise), point(F.lit(-0.3), 0.102 - rise * (0.4 + (smile % 3) / 10.0))).alias("mouth_corners"), F.lit(None).cast("struct<left: struct<x: double, y: double>, right: struct<x: double, y: double>>").alias("gaze_offset"),
+        pair(
+            point(F.lit(0.3), 0.1 - rise), point(F.lit(-0.3), 0.102 - rise * (0.4 + (smile % 3) / 10.0))
+        ).alias("mouth_corners"), F.lit(None).cast("struct<left: struct<x: double, y: double>, right: struct<x: double, y: double>>").alias("gaze_offset"),
         F.when(e % 601 != 0, 0.08 + wave).alias("mouth_aperture_ratio"), F.lit(None).cast("double").alias("mouth_midline_offset"), F.when(e % 59 != 0, 0.02 + wave / 10).alias("regional_movement_speed"), F.when(k == 0, None).otherwise(float(STEP)).alias("inter_result_gap_ms"),
-        F.struct(F.lit(0.55).alias("illumination_mean"), F.lit(0.02).alias("dark_clipping_fraction"), F.lit(0.02).alias("bright_clipping_fraction"), F.when((e % 83 == 0) | (e % 1543 < 8), 0.0001).otherwise(0.002).alias("sharpness")).alias("image_quality"),
+        F.struct(
+            F.lit(0.55).alias("illumination_mean"), F.lit(0.02).alias("dark_clipping_fraction"), F.lit(0.02).alias("bright_clipping_fraction"),
+            F.when((e % 83 == 0) | (e % 1543 < 8), 0.0001).otherwise(0.002).alias("sharpness")
+        ).alias("image_quality"),
         F.lit(30.0).alias("analyzed_frame_rate"), F.lit(0.0).alias("skipped_frame_fraction"), F.lit(8.0).alias("processing_latency_ms"), F.array().cast("array<string>").alias("quality_reasons"),
     )
 
 
 def face_sessions(frames: DataFrame) -> DataFrame:
     """The sessions of the frames; each fourth one is not calibrated."""
-    calibration = F.struct(F.when(F.col("session_id").cast("int") % 4 == 3, 900.0).otherwise(2000.0).alias("duration_ms"), F.lit(384.0).alias("baseline_box_width_pixels"), F.lit(360.0).alias("baseline_box_height_pixels"))
+    calibration = F.struct(
+        F.when(F.col("session_id").cast("int") % 4 == 3, 900.0).otherwise(2000.0).alias("duration_ms"), F.lit(384.0).alias("baseline_box_width_pixels"),
+        F.lit(360.0).alias("baseline_box_height_pixels")
+    )
     return frames.select("session_id").distinct().select("session_id", F.lit(0.0).alias("session_started_at_ms"), calibration.alias("face_calibration"))
 
 
@@ -74,7 +85,10 @@ def face_gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face.gate_failure_counts(frames, face_sessions(frames))
 
 
-@query("face_resting_pose", f"WITH {FACE_SQL}, a AS (SELECT DISTINCT session_id FROM f0) SELECT session_id, round(ry, 6) AS yaw, round(rpi, 6) AS pitch, rr AS roll FROM a LEFT JOIN rp USING (session_id)")
+@query(
+    "face_resting_pose",
+    f"WITH {FACE_SQL}, a AS (SELECT DISTINCT session_id FROM f0) SELECT session_id, round(ry, 6) AS yaw, round(rpi, 6) AS pitch, rr AS roll FROM a LEFT JOIN rp USING (session_id)"
+)
 def face_resting_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("resting")
     return face.resting_pose(face_frames(spark, sf_dir)).select("session_id", F.round(r["yaw_degrees"], 6).alias("yaw"), F.round(r["pitch_degrees"], 6).alias("pitch"), r["roll_degrees"].alias("roll"))
@@ -144,7 +158,10 @@ def _blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("face_blinks", f"WITH {STREAMS_SQL}, {blinks_sql('st', 'session_id, stream_no', 'bl')} SELECT session_id, stream_no, side, {_BLINK_COLUMNS} FROM bl")
 def face_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c, n: F.round(c, n).alias(c)
-    return _blinks(spark, sf_dir).select(*STREAM, "side", "bin", "onset_ms", "peak_ms", "offset_ms", r("lid_minimum", 6), r("depth", 6), r("closing_velocity", 5), r("opening_velocity", 5), "closed_dwell_ms", F.col("frame_count").cast("long").alias("frame_count"))
+    return _blinks(spark, sf_dir).select(
+        *STREAM, "side", "bin", "onset_ms", "peak_ms", "offset_ms", r("lid_minimum", 6), r("depth", 6), r("closing_velocity", 5), r("opening_velocity", 5),
+        "closed_dwell_ms", F.col("frame_count").cast("long").alias("frame_count")
+    )
 
 
 def pairs_sql(blinks: str, key: str, out: str) -> str:
@@ -180,11 +197,17 @@ def expressions_sql(frames: str, key: str, out: str) -> str:
 {out} AS (SELECT *, (peak_left - peak_right) / (peak_left + peak_right) AS asymmetry, CASE WHEN peak_left >= 0.02 AND peak_right >= 0.02 THEN lid_left / peak_left - lid_right / peak_right END AS coupling FROM {out}_p WHERE end_ms - start_ms >= 300 AND (after IS NULL OR after <= 200))"""
 
 
-@query("face_expressions", f"WITH {STREAMS_SQL}, {expressions_sql('st', 'session_id, stream_no', 'ex')} SELECT session_id, stream_no, start_ms, end_ms, peak_ms, frame_count, round(peak_left, 6) AS peak_left, round(peak_right, 6) AS peak_right, peak_ms - start_ms AS rise_ms, round(lid_left, 6) AS lid_delta_left, round(lid_right, 6) AS lid_delta_right FROM ex")
+@query(
+    "face_expressions",
+    f"WITH {STREAMS_SQL}, {expressions_sql('st', 'session_id, stream_no', 'ex')} SELECT session_id, stream_no, start_ms, end_ms, peak_ms, frame_count, round(peak_left, 6) AS peak_left, round(peak_right, 6) AS peak_right, peak_ms - start_ms AS rise_ms, round(lid_left, 6) AS lid_delta_left, round(lid_right, 6) AS lid_delta_right FROM ex"
+)
 def face_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c: F.round(c, 6).alias(c)
     found = face.expressions(streams_of(spark, sf_dir), STREAM)
-    return found.select(*STREAM, "start_ms", "end_ms", "peak_ms", F.col("frame_count").cast("long").alias("frame_count"), r("peak_left"), r("peak_right"), "rise_ms", r("lid_delta_left"), r("lid_delta_right"))
+    return found.select(
+        *STREAM, "start_ms", "end_ms", "peak_ms", F.col("frame_count").cast("long").alias("frame_count"), r("peak_left"), r("peak_right"), "rise_ms",
+        r("lid_delta_left"), r("lid_delta_right")
+    )
 
 
 @query(
@@ -204,7 +227,9 @@ _TIMED = " UNION ALL ".join(
     f"SELECT session_id, variant, bin, t, step_ms, '{name}' AS name, CAST({value} AS DOUBLE) AS v, {share} AS share FROM vk WHERE variant = '{variant}'"
     for name, value, share, variant in [
         ("eye_left", "eye_left", 0.9, "base"), ("eye_right", "eye_right", 0.9, "base"), ("eye_asymmetry", "abs(eye_left - eye_right)", 0.5, "base"), ("mouth_width", "mouth_width", 0.5, "base"), ("mouth_median", "mouth", 0.5, "base"), ("mouth_p90", "mouth", 0.9, "base"),
-        ("corner_asymmetry", "corners", 0.5, "base"), ("movement", "CASE WHEN t > first_t THEN speed END", 0.9, "movement"), ("brow_left", "brow_left", 0.5, "brow_left"), ("brow_right", "brow_right", 0.5, "brow_right"), ("brow_asymmetry", "brow_left - brow_right", 0.5, "brow_asymmetry"),
+        ("corner_asymmetry", "corners", 0.5, "base"), (
+            "movement", "CASE WHEN t > first_t THEN speed END", 0.9, "movement"
+        ), ("brow_left", "brow_left", 0.5, "brow_left"), ("brow_right", "brow_right", 0.5, "brow_right"), ("brow_asymmetry", "brow_left - brow_right", 0.5, "brow_asymmetry"),
     ]
 )
 _CODES = ", ".join(f"({k}, '{code}', '{kind}', '{name}', '{variant}')" for k, (code, kind, name, variant) in enumerate(face.METRICS))
@@ -294,7 +319,9 @@ SELECT w.*, bins_accepted, coalesce(bin_rejections, '') AS bin_rejections FROM w
 def face_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
     told = F.array_join(F.transform("bin_rejections", lambda x: F.concat_ws(":", x["reason"], x["n"].cast("string"))), ",")
-    return face.diagnostics(frames, face_sessions(frames)).select("session_id", "frames", "usable_frames", "bins_considered", "yaw_p50", "yaw_p95", "pitch_p95", "roll_p50", "bins_accepted", told.alias("bin_rejections"))
+    return face.diagnostics(frames, face_sessions(frames)).select(
+        "session_id", "frames", "usable_frames", "bins_considered", "yaw_p50", "yaw_p95", "pitch_p95", "roll_p50", "bins_accepted", told.alias("bin_rejections")
+    )
 
 
 @query(
@@ -332,4 +359,7 @@ def voice_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .voice_lane import voice_frames
 
     found = detect.by_group(voice_frames(spark, sf_dir).select("session_id", "t_ms", "sequence", "rms"), ["session_id"], ["t_ms", "sequence"], detect.nucleus_fold, "t_ms double, nucleus boolean")
-    return found.groupBy("session_id").agg(F.sum(F.col("nucleus").cast("long")).alias("nuclei"), F.count("*").alias("frames"), robust.median(F.when(F.col("nucleus"), F.col("t_ms"))).alias("median_ms"))
+    return found.groupBy("session_id").agg(
+        F.sum(F.col("nucleus").cast("long")).alias("nuclei"), F.count("*").alias("frames"),
+        robust.median(F.when(F.col("nucleus"), F.col("t_ms"))).alias("median_ms")
+    )

@@ -22,7 +22,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS = "o AS (SELECT *, epoch_us(o_orderdate) AS us, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders)"
 
 
-@query("latest_order_by_customer", f"WITH {ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY us DESC, o_orderkey DESC) AS k FROM o) SELECT o_custkey, o_orderkey, us, o_totalprice FROM r WHERE k = 1")
+@query(
+    "latest_order_by_customer",
+    f"WITH {ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY us DESC, o_orderkey DESC) AS k FROM o) SELECT o_custkey, o_orderkey, us, o_totalprice FROM r WHERE k = 1"
+)
 def latest_order_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.latest_version(orders(spark, sf_dir), ["o_custkey"], ["us", "o_orderkey"]).select("o_custkey", "o_orderkey", "us", "o_totalprice")
 
@@ -39,7 +42,9 @@ SELECT o_custkey, n, CASE WHEN problems = '' THEN leaf END AS leaf, problems FRO
 )
 def revision_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of which some revisions name a missing predecessor and some none."""
-    broken = orders(spark, sf_dir).withColumn("prev", F.when(F.col("o_orderkey") % 97 == 0, F.lit(-1)).when(F.col("o_orderkey") % 89 == 0, None).otherwise(F.col("prev"))).withColumn("chain", F.col("o_custkey"))
+    broken = orders(spark, sf_dir).withColumn(
+        "prev", F.when(F.col("o_orderkey") % 97 == 0, F.lit(-1)).when(F.col("o_orderkey") % 89 == 0, None).otherwise(F.col("prev"))
+    ).withColumn("chain", F.col("o_custkey"))
     return history.chain_audit(broken, ["o_custkey"], "chain", "o_orderkey", "prev", "us").select("o_custkey", "n", "leaf", F.array_join("problems", ",").alias("problems"))
 
 
@@ -76,7 +81,9 @@ b AS (SELECT o_custkey, CAST(sum(n) AS BIGINT) AS baseline_n, count(*) AS baseli
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders around each customer's first finished one, an hour of clock uncertainty either way; urgent orders are changes after which nothing is compared."""
     o = orders(spark, sf_dir)
-    anchors = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min(F.struct("us", "o_orderkey")).alias("a")).select("o_custkey", F.col("a.us").alias("anchor_us"), F.col("a.o_orderkey").alias("anchor_key"))
+    anchors = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min(F.struct("us", "o_orderkey")).alias("a")).select(
+        "o_custkey", F.col("a.us").alias("anchor_us"), F.col("a.o_orderkey").alias("anchor_key")
+    )
     with_anchor = o.join(anchors, "o_custkey")
     urgent = with_anchor.filter((F.col("us") > F.col("anchor_us")) & (F.col("o_orderpriority") == "1-URGENT"))
     changes = history.first_change(urgent, ["o_custkey"], "us")
@@ -84,7 +91,10 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = with_anchor.filter("o_orderkey <> anchor_key").join(changes, "o_custkey", "left").withColumns({"first_day": first, "last_day": last})
     placed = placed.withColumn("period", history.period(F.col("first_day"), F.col("last_day"), -365, 0, 730))
     late = (F.col("period") != "baseline") & (F.col("us") + 3_600_000_000 >= F.col("first_change"))
-    listed = S.reasons([(F.col("o_totalprice") < 20000, "metric-withheld"), (F.col("period") == "treatment-time-overlap", "treatment-time-overlap"), (F.col("period") == "outside-analysis-window", "outside-analysis-window"), (late, "concurrent-treatment-change")])
+    listed = S.reasons([
+        (F.col("o_totalprice") < 20000, "metric-withheld"), (F.col("period") == "treatment-time-overlap", "treatment-time-overlap"),
+        (F.col("period") == "outside-analysis-window", "outside-analysis-window"), (late, "concurrent-treatment-change")
+    ])
     return placed.withColumn("reasons", listed)
 
 
@@ -115,7 +125,10 @@ def alignment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = aligned(spark, sf_dir).filter(F.size("reasons") == 0)
     joined = points.join(baselines(points), "o_custkey", "left")
     r = lambda c, n: F.round(c, n)
-    return joined.select("o_custkey", "o_orderkey", "period", r("first_day", 6).alias("first_day"), r("last_day", 6).alias("last_day"), r("o_totalprice", 4).alias("value"), r(F.col("o_totalprice") - F.col("baseline_value"), 4).alias("delta"))
+    return joined.select(
+        "o_custkey", "o_orderkey", "period", r("first_day", 6).alias("first_day"), r("last_day", 6).alias("last_day"), r("o_totalprice", 4).alias("value"),
+        r(F.col("o_totalprice") - F.col("baseline_value"), 4).alias("delta")
+    )
 
 
 _PHASES_SQL = ", ".join(f"('{p}', {a}, {b}, {n})" for p, a, b, n in PHASES)
@@ -160,7 +173,10 @@ def previous_order_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = compare.with_previous(o, ["o_custkey"], ["us", "o_orderkey"], ["o_totalprice", "state", "o_orderpriority", "us"]).filter("prev_us is not null")
     reasons = S.reasons([*compare.mismatch_reasons([("o_orderpriority", "priority-mismatch")]), (F.col("prev_us") >= F.col("us"), "reference-not-before-current")])
     status, delta, listed = compare.comparison(reasons, F.col("prev_state"), F.col("state"), F.col("prev_o_totalprice"), F.col("o_totalprice"))
-    return pairs.select("o_custkey", "o_orderkey", status.alias("status"), F.array_join(listed, ",").alias("reasons"), F.round(delta, 4).alias("delta"), F.round(compare.redacted(["prev_o_totalprice"], status)["prev_o_totalprice"], 4).alias("reference_value"))
+    return pairs.select(
+        "o_custkey", "o_orderkey", status.alias("status"), F.array_join(listed, ",").alias("reasons"), F.round(delta, 4).alias("delta"),
+        F.round(compare.redacted(["prev_o_totalprice"], status)["prev_o_totalprice"], 4).alias("reference_value")
+    )
 
 
 @query(
@@ -172,7 +188,10 @@ SELECT l_orderkey, CAST(sum((turn = 1)::INT) AS BIGINT) AS new_rows, CAST(sum((t
 def idempotent_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")]))
     batch = table(spark, sf_dir, "lineitem").withColumn("content_hash", content)
-    judged = ingest.classify_batch(batch, batch.limit(0), ["l_orderkey", "l_linenumber"], "content_hash", ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "content_hash"])
+    judged = ingest.classify_batch(
+        batch, batch.limit(0), ["l_orderkey", "l_linenumber"], "content_hash",
+        ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "content_hash"]
+    )
     count = lambda kind: F.sum((F.col("admission") == kind).cast("long"))
     return judged.groupBy("l_orderkey").agg(count("new").alias("new_rows"), count("duplicate").alias("duplicates"), count("conflict").alias("conflicts"))
 
@@ -195,6 +214,10 @@ def conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT conv_id, count(*) AS event_count, max(turn) AS last_sequence, max_by(role, turn) AS stage, count(DISTINCT role) AS roles, coalesce(string_agg(DISTINCT role, ',' ORDER BY role), '') AS role_list FROM conversations GROUP BY conv_id""",
 )
 def conversation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("stage"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"), F.lit("measurement.recorded").alias("kind"), F.col("role").alias("metric"), F.lit(None).cast("string").alias("observation"), F.lit(None).cast("string").alias("report"))
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("stage"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"),
+        F.lit("measurement.recorded").alias("kind"), F.col("role").alias("metric"), F.lit(None).cast("string").alias("observation"),
+        F.lit(None).cast("string").alias("report")
+    )
     state = journal.replay(turns, "conv_id", "turn", "stage", "event_id", "kind", "metric", "observation", "report")
     return state.select("conv_id", "event_count", "last_sequence", "stage", F.size("recorded_metric_codes").cast("long").alias("roles"), F.array_join("recorded_metric_codes", ",").alias("role_list"))

@@ -17,7 +17,9 @@ from .signals import events
     "WITH l AS (SELECT label, unnest(range(0, len(embedding))) AS dimension, unnest(embedding) AS x FROM embeddings) SELECT label, CAST(dimension AS INT) AS dimension, count(*) AS n, round(avg(x::DOUBLE), 6) AS mean_value, round(stddev_pop(x::DOUBLE), 6) AS sd_value FROM l GROUP BY label, dimension",
 )
 def pooled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.pooled(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", "dimension", "n", F.round("mean_value", 6).alias("mean_value"), F.round("sd_value", 6).alias("sd_value"))
+    return signals.pooled(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select(
+        "label", "dimension", "n", F.round("mean_value", 6).alias("mean_value"), F.round("sd_value", 6).alias("sd_value")
+    )
 
 
 def landmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +31,23 @@ def landmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = "p AS (SELECT vec_id, label, list_transform(range(0, 32), lambda k: (embedding[2 * k + 1]::DOUBLE + 1) / 2) AS xs, list_transform(range(0, 32), lambda k: (embedding[2 * k + 2]::DOUBLE + 1) / 2) AS ys FROM embeddings)"
 #: A layout of the few landmarks of landmark_rows.
-SMALL_LAYOUT = {"left_eye": {"canthi": (0, 1), "lids": ((2, 3), (4, 5))}, "right_eye": {"canthi": (6, 7), "lids": ((8, 9), (10, 11))}, "left_brow": (12, 13, 14), "left_corner": 15, "right_corner": 16, "upper_lip": 17, "lower_lip": 18, "movement": (0, 1, 6, 7, 15, 16)}
+SMALL_LAYOUT = {
+    "left_eye": {"canthi": (0, 1), "lids": ((2, 3), (4, 5))}, "right_eye": {"canthi": (6, 7), "lids": ((8, 9), (10, 11))}, "left_brow": (12, 13, 14),
+    "left_corner": 15, "right_corner": 16, "upper_lip": 17, "lower_lip": 18, "movement": (0, 1, 6, 7, 15, 16)
+}
 
 
-@query("landmark_boxes", f"WITH {POINTS} SELECT vec_id, round(list_min(xs), 6) AS x, round(list_min(ys), 6) AS y, round((list_max(xs) - list_min(xs)) * 640, 4) AS width_pixels, round((list_max(ys) - list_min(ys)) * 480, 4) AS height_pixels, round(least(list_min(xs), list_min(ys), 1 - list_max(xs), 1 - list_max(ys)), 6) AS edge_margin FROM p")
+@query(
+    "landmark_boxes",
+    f"WITH {POINTS} SELECT vec_id, round(list_min(xs), 6) AS x, round(list_min(ys), 6) AS y, round((list_max(xs) - list_min(xs)) * 640, 4) AS width_pixels, round((list_max(ys) - list_min(ys)) * 480, 4) AS height_pixels, round(least(list_min(xs), list_min(ys), 1 - list_max(xs), 1 - list_max(ys)), 6) AS edge_margin FROM p"
+)
 def landmark_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("box")
     boxed = landmark_rows(spark, sf_dir).withColumn("box", geometry.Face("points", F.lit(640.0), F.lit(480.0)).bounding_box())
-    return boxed.select("vec_id", F.round(b["x"], 6).alias("x"), F.round(b["y"], 6).alias("y"), F.round(b["width_pixels"], 4).alias("width_pixels"), F.round(b["height_pixels"], 4).alias("height_pixels"), F.round(b["edge_margin_fraction"], 6).alias("edge_margin"))
+    return boxed.select(
+        "vec_id", F.round(b["x"], 6).alias("x"), F.round(b["y"], 6).alias("y"), F.round(b["width_pixels"], 4).alias("width_pixels"),
+        F.round(b["height_pixels"], 4).alias("height_pixels"), F.round(b["edge_margin_fraction"], 6).alias("edge_margin")
+    )
 
 
 def _d(a: int, b: int) -> str:
@@ -108,7 +119,10 @@ def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pitch_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pitch of 800-sample tones whose frequency each event's value sets."""
     hz = 80 + F.col("value") % 300
-    tones = events(spark, sf_dir).select("event_id", F.transform(F.sequence(F.lit(0), F.lit(799)), lambda k: F.sin(2 * 3.141592653589793 * hz * k / 8000)).alias("samples"), F.lit(8000.0).alias("rate"))
+    tones = events(spark, sf_dir).select(
+        "event_id", F.transform(F.sequence(F.lit(0), F.lit(799)), lambda k: F.sin(2 * 3.141592653589793 * hz * k / 8000)).alias("samples"),
+        F.lit(8000.0).alias("rate")
+    )
     p = F.col("pitch")
     return signals.with_pitch(tones, "samples", "rate").select("event_id", F.round(p["hz"], 3).alias("hz"), F.round(p["agreement"], 4).alias("agreement"))
 
@@ -161,7 +175,9 @@ def consent_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = lambda d: F.unix_micros(F.lit(d).cast("timestamp"))
     consents = table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0").select(
         key.alias("c_consent_id"), *[F.lit(True).alias(p) for p in ("capture", "derived_analysis", "derived_retention")], (start("1993-01-01") + key % 900 * DAY).alias("granted_at"),
-        F.when(key % 7 == 0, start("1997-01-01")).alias("withdrawn_at"), F.when(key % 5 == 0, start("1999-01-01")).alias("expires_at"), F.when(F.col("c_acctbal") > 0, F.array(F.lit("face"), F.lit("voice"))).otherwise(F.array(F.lit("voice"))).alias("modalities"),
+        F.when(key % 7 == 0, start("1997-01-01")).alias("withdrawn_at"), F.when(key % 5 == 0, start("1999-01-01")).alias("expires_at"), F.when(
+            F.col("c_acctbal") > 0, F.array(F.lit("face"), F.lit("voice"))
+        ).otherwise(F.array(F.lit("voice"))).alias("modalities"),
     )
     joined = orders(spark, sf_dir).withColumn("modality", F.when(F.col("o_orderstatus") == "F", "face").otherwise("voice")).join(consents, F.col("o_custkey") == F.col("c_consent_id"), "left")
     listed = S.reasons(history.consent_reasons(F.col("modality"), F.col("us"), F.col("us") + DAY, F.lit(AS_OF)))
@@ -176,8 +192,14 @@ FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR NOT
 def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as clips, labels as their consents: quality grants, toxicity withdraws."""
     f = F.lit
-    docs = table(spark, sf_dir, "documents").select("doc_id", f("available").alias("status"), f(0).alias("created_at"), f(1000).alias("expires_at"), f(10).alias("captured_at"), F.when(F.col("n_chars") % 10 == 0, 5).otherwise(20).alias("ended_at"), f(0).alias("o_started_at"), f(100).alias("o_ended_at"))
-    consents = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k_id"), (F.col("quality") == 1).alias("k_retain"), F.when(F.col("toxic") == 1, 50).alias("k_withdrawn_at"), f(0).alias("k_valid_from"), f(2000).alias("k_valid_until"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", f("available").alias("status"), f(0).alias("created_at"), f(1000).alias("expires_at"), f(10).alias("captured_at"),
+        F.when(F.col("n_chars") % 10 == 0, 5).otherwise(20).alias("ended_at"), f(0).alias("o_started_at"), f(100).alias("o_ended_at")
+    )
+    consents = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("k_id"), (F.col("quality") == 1).alias("k_retain"), F.when(F.col("toxic") == 1, 50).alias("k_withdrawn_at"),
+        f(0).alias("k_valid_from"), f(2000).alias("k_valid_until")
+    )
     swept = governance.to_delete(docs.join(consents, F.col("doc_id") == F.col("k_id"), "left"), F.lit(500), F.lit(5000))
     return swept.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
@@ -197,7 +219,9 @@ def clinical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, date = F.col("o_orderkey") % 4, lambda p: F.date_format("o_orderdate", p)
     text = F.when(k == 0, date("yyyy-MM-dd")).when(k == 1, F.concat(date("yyyy-MM-dd"), F.lit("T10:30:00Z"))).when(k == 2, date("yyyy-MM"))
     t = F.col("t")
-    return table(spark, sf_dir, "orders").withColumn("t", S.clinical_time(text)).select("o_orderkey", t["precision"].alias("precision"), F.unix_micros(t["earliest"]).alias("earliest_us"), F.unix_micros(t["latest"]).alias("latest_us"))
+    return table(spark, sf_dir, "orders").withColumn("t", S.clinical_time(text)).select(
+        "o_orderkey", t["precision"].alias("precision"), F.unix_micros(t["earliest"]).alias("earliest_us"), F.unix_micros(t["latest"]).alias("latest_us")
+    )
 
 
 @query(
@@ -208,7 +232,10 @@ SELECT user_id, CASE WHEN lo > hi THEN 'inconsistent' ELSE 'selected' END AS res
 def clock_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as clock calibrations: overlapping bounds, then the least uncertain."""
     c = events(spark, sf_dir).withColumns({"offset_ms": F.col("value") % 10, "uncertainty_ms": 5 + F.col("value") % 7})
-    g = c.groupBy("user_id").agg(F.max(F.col("offset_ms") - F.col("uncertainty_ms")).alias("low"), F.min(F.col("offset_ms") + F.col("uncertainty_ms")).alias("high"), F.min_by("event_id", F.struct("uncertainty_ms", "event_id")).alias("best"))
+    g = c.groupBy("user_id").agg(
+        F.max(F.col("offset_ms") - F.col("uncertainty_ms")).alias("low"), F.min(F.col("offset_ms") + F.col("uncertainty_ms")).alias("high"),
+        F.min_by("event_id", F.struct("uncertainty_ms", "event_id")).alias("best")
+    )
     sound = F.col("low") <= F.col("high")
     return g.select("user_id", F.when(sound, "selected").otherwise("inconsistent").alias("result"), F.when(sound, F.col("best")).alias("best_event"))
 
@@ -229,8 +256,14 @@ def coded_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(t) for t in ("MedicationAdministration", "MedicationRequest", "MedicationStatement", "Procedure", "Observation")])
     concept = F.struct(F.array(F.struct(F.lit("urn:p").alias("system"), F.col("o_orderpriority").alias("code"))).alias("coding"))
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(k % 13 == 0, "entered-in-error").otherwise("in-progress")
-    resource = F.struct(F.get(kinds, (k % 5).cast("int")).alias("resourceType"), k.cast("string").alias("id"), status.alias("status"), concept.alias("code"), concept.alias("medicationCodeableConcept"))
-    bundles = table(spark, sf_dir, "orders").select(k.alias("bundle_id"), F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.array(F.struct(resource.alias("resource"))).alias("entry"))).alias("payload"))
+    resource = F.struct(
+        F.get(kinds, (k % 5).cast("int")).alias("resourceType"), k.cast("string").alias("id"), status.alias("status"), concept.alias("code"),
+        concept.alias("medicationCodeableConcept")
+    )
+    bundles = table(spark, sf_dir, "orders").select(
+        k.alias("bundle_id"),
+        F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.array(F.struct(resource.alias("resource"))).alias("entry"))).alias("payload")
+    )
     codes = spark.createDataFrame([("urn:p", "1-URGENT", "a", "injection", 0), ("urn:p", "2-HIGH", "b", "injection", 1)], "system string, code string, product string, kind string, position int")
     rows, excluded = ingest.map_resources(ingest.bundle_resources(bundles, "bundle_id", "payload"), "bundle_id", codes)
     both = rows.select("record", "status").unionByName(excluded.select(F.lit("excluded").alias("record"), F.col("reason").alias("status")))
@@ -255,7 +288,13 @@ SELECT violations, count(*) AS n FROM v GROUP BY violations""",
 )
 def threshold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda k, v: [F.lit(k), v.cast("double")]
-    facts = F.map_filter(F.create_map(*entry("minimumQuantity", F.col("l_quantity")), *entry("minimumPrice", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_extendedprice"))), *entry("maximumDiscount", F.col("l_discount"))), lambda k, v: v.isNotNull())
+    facts = F.map_filter(
+        F.create_map(
+            *entry("minimumQuantity", F.col("l_quantity")), *entry("minimumPrice", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_extendedprice"))),
+            *entry("maximumDiscount", F.col("l_discount"))
+        ),
+        lambda k, v: v.isNotNull()
+    )
     needs = F.create_map(*entry("minimumQuantity", F.lit(5)), *entry("minimumPrice", F.lit(5000)), *entry("maximumDiscount", F.lit(0.07)))
     judged = provenance.threshold_errors(table(spark, sf_dir, "lineitem").select(facts.alias("facts"), needs.alias("needs")), "needs", "facts")
     return judged.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))

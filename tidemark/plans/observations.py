@@ -148,12 +148,18 @@ def history_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_of(spark, sf_dir).flags
 
 
-@query("history_exclusions", f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, oid AS observation_id, rev AS revision_id, reasons FROM dr WHERE reasons <> '' UNION ALL SELECT p, 'm' || ln, oid, rev, 'source-incompatible' FROM cs WHERE fp <> rfp")
+@query(
+    "history_exclusions",
+    f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, oid AS observation_id, rev AS revision_id, reasons FROM dr WHERE reasons <> '' UNION ALL SELECT p, 'm' || ln, oid, rev, 'source-incompatible' FROM cs WHERE fp <> rfp"
+)
 def history_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_of(spark, sf_dir).exclusions.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("history_points", f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, rev AS revision_id, period, round(d0, 6) AS first_day, round(d1, 6) AS last_day, v AS value, round(v - bv, 4) AS delta FROM po")
+@query(
+    "history_points",
+    f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, rev AS revision_id, period, round(d0, 6) AS first_day, round(d1, 6) AS last_day, v AS value, round(v - bv, 4) AS delta FROM po"
+)
 def history_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c, n: F.round(c, n).alias(c)
     return run_of(spark, sf_dir).points.select("participant", "metric_code", "revision_id", "period", r("first_day", 6), r("last_day", 6), "value", r("delta", 4))
@@ -190,7 +196,10 @@ def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.run_status(run_of(spark, sf_dir)).select("participant", "status")
 
 
-@query("history_latest_points", f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, max_by(rev, struct_pack(a := ended, b := rev)) AS revision_id, max_by(v, struct_pack(a := ended, b := rev)) AS value FROM po GROUP BY p, ln")
+@query(
+    "history_latest_points",
+    f"WITH {HISTORY_SQL} SELECT p AS participant, 'm' || ln AS metric_code, max_by(rev, struct_pack(a := ended, b := rev)) AS revision_id, max_by(v, struct_pack(a := ended, b := rev)) AS value FROM po GROUP BY p, ln"
+)
 def history_latest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.latest_points(run_of(spark, sf_dir).points, [*SCOPE, "metric_code"]).select("participant", "metric_code", "revision_id", "value")
 

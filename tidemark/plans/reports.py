@@ -16,7 +16,9 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat_ws(":", F.lit("face"), F.lit("1"), F.lit("t"), (F.col("l_partkey") % 5).cast("string"), (F.col("l_partkey") % 5 + quantity % 3).cast("string"))
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("string").alias("metric_code"), F.when(F.col("l_returnflag") == "R", "voice").otherwise("face").alias("modality"), F.when(measured, "measured").otherwise("withheld").alias("status"),
-        F.when(~measured, F.concat(F.lit("reason-"), (F.col("l_suppkey") % 4).cast("string"))).alias("reason_code"), F.when(measured, F.col("l_extendedprice")).alias("value"), F.when(measured, F.col("l_tax")).alias("technical_quality_score"), F.col("l_quantity").alias("eligible_ms"),
+        F.when(
+            ~measured, F.concat(F.lit("reason-"), (F.col("l_suppkey") % 4).cast("string"))
+        ).alias("reason_code"), F.when(measured, F.col("l_extendedprice")).alias("value"), F.when(measured, F.col("l_tax")).alias("technical_quality_score"), F.col("l_quantity").alias("eligible_ms"),
         F.array(ref).alias("window_refs"), F.when(F.col("l_suppkey") % 9 == 0, F.array(F.lit("p1"), F.lit("p2"))).otherwise(F.array(F.lit("p1"))).alias("processor_refs"),
     )
 
@@ -30,7 +32,10 @@ OUTCOMES = """o AS (SELECT l_orderkey AS session_id, l_linenumber::VARCHAR AS me
     f"""WITH {OUTCOMES} SELECT session_id, modality, CASE WHEN bool_or(m) THEN 'ready' ELSE 'withheld' END AS state, max(e) AS eligible_ms, round(avg(q) FILTER (WHERE m), 6) AS technical_quality_score, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reason_codes FROM o GROUP BY session_id, modality""",
 )
 def lane_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.lane_summaries(outcomes(spark, sf_dir)).select("session_id", "modality", "state", "eligible_ms", F.round("technical_quality_score", 6).alias("technical_quality_score"), F.array_join("reason_codes", ",").alias("reason_codes"))
+    return assembly.lane_summaries(outcomes(spark, sf_dir)).select(
+        "session_id", "modality", "state", "eligible_ms", F.round("technical_quality_score", 6).alias("technical_quality_score"),
+        F.array_join("reason_codes", ",").alias("reason_codes")
+    )
 
 
 @query(
@@ -48,11 +53,16 @@ def source_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(reason_code, 'measured') AS result, count(*) AS n FROM d GROUP BY ALL""",
 )
 def demoted_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    processors = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id")).distinct().select("session_id", F.lit("p1").alias("processor_ref"), F.lit("face").alias("processor_modality"), (F.col("session_id") % 10 != 0).alias("integrity_verified"))
+    processors = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id")).distinct().select(
+        "session_id", F.lit("p1").alias("processor_ref"), F.lit("face").alias("processor_modality"), (F.col("session_id") % 10 != 0).alias("integrity_verified")
+    )
     return assembly.demoted(outcomes(spark, sf_dir), processors).groupBy(F.when(F.col("status") == "measured", "measured").otherwise(F.col("reason_code")).alias("result")).agg(F.count("*").alias("n"))
 
 
-@query("durable_observations", f"WITH {OUTCOMES} SELECT session_id, count(*) AS metrics, count(DISTINCT ref) AS windows, sha256(CASE WHEN bool_or(mixed) THEN 'p1|p2' ELSE 'p1' END) AS processor_fingerprint FROM o GROUP BY session_id")
+@query(
+    "durable_observations",
+    f"WITH {OUTCOMES} SELECT session_id, count(*) AS metrics, count(DISTINCT ref) AS windows, sha256(CASE WHEN bool_or(mixed) THEN 'p1|p2' ELSE 'p1' END) AS processor_fingerprint FROM o GROUP BY session_id"
+)
 def durable_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = assembly.durable_observations(outcomes(spark, sf_dir))
     return d.select("session_id", F.size("metrics").cast("long").alias("metrics"), F.size("windows").cast("long").alias("windows"), "processor_fingerprint")

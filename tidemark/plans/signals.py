@@ -54,7 +54,9 @@ def robust_session_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(value) END, 6) AS sd_value FROM events GROUP BY user_id, event_type",
 )
 def mean_sd_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(robust.population_sd("value"), 6).alias("sd_value"))
+    return events(spark, sf_dir).groupBy("user_id", "event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(robust.population_sd("value"), 6).alias("sd_value")
+    )
 
 
 @query(
@@ -96,7 +98,10 @@ SELECT user_id, run_no, event_type, n, length_us, CASE WHEN edge THEN 'truncated
 )
 def type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = sessionize.runs(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "event_type")
-    grouped = numbered.groupBy("user_id", "run_no").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("length_us"), F.max("value").alias("peak"), F.min("value").alias("floor"))
+    grouped = numbered.groupBy("user_id", "run_no").agg(
+        F.min("event_type").alias("event_type"), F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("length_us"), F.max("value").alias("peak"),
+        F.min("value").alias("floor")
+    )
     edge = (F.col("run_no") == 1) | (F.col("run_no") == F.max("run_no").over(Window.partitionBy("user_id")))
     kind = S.first_reason([(edge, "truncated"), ((F.col("n") >= 2) & (F.col("floor") > 0) & (F.col("peak") >= 2.5 * F.col("floor")), "breath")], F.lit("hesitation"))
     return grouped.withColumn("kind", kind).drop("peak", "floor")
@@ -123,4 +128,6 @@ def shipping_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", day.alias("start_day"), (day + F.col("l_quantity").cast("long")).alias("end_day"))
     span = F.col("cover_end") - F.col("cover_start")
-    return robust.interval_union(lines, ["l_orderkey"], "start_day", "end_day").select("l_orderkey", F.col("union_length").alias("union_days"), "islands", span.alias("span_days"), (F.col("union_length") == span).alias("continuous"))
+    return robust.interval_union(lines, ["l_orderkey"], "start_day", "end_day").select(
+        "l_orderkey", F.col("union_length").alias("union_days"), "islands", span.alias("span_days"), (F.col("union_length") == span).alias("continuous")
+    )

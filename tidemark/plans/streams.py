@@ -22,7 +22,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_live_state", "SELECT user_id, max_by(event_type, event_id) AS stage, count(*) AS event_count, max(event_id) AS last_sequence, max(event_id) AS last_event_id FROM events GROUP BY user_id")
+@query(
+    "stream_live_state",
+    "SELECT user_id, max_by(event_type, event_id) AS stage, count(*) AS event_count, max(event_id) AS last_sequence, max(event_id) AS last_event_id FROM events GROUP BY user_id"
+)
 def stream_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.run_to_table(flows.live_state(event_stream(spark, sf_dir), "user_id", "event_id", "event_type", "event_id"), *scratch(spark), mode="complete")
 
@@ -41,7 +44,10 @@ SELECT event_id, user_id FROM events JOIN g USING (user_id) WHERE ts >= granted_
 )
 def stream_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit("2024-01-01").cast("timestamp")
-    grants = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (start + F.make_dt_interval(days=(F.col("c_custkey") % 20).cast("int"))).alias("granted_at"), F.when(F.col("c_custkey") % 3 == 0, F.lit("2024-01-25").cast("timestamp")).alias("ended_at"))
+    grants = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), (start + F.make_dt_interval(days=(F.col("c_custkey") % 20).cast("int"))).alias("granted_at"),
+        F.when(F.col("c_custkey") % 3 == 0, F.lit("2024-01-25").cast("timestamp")).alias("ended_at")
+    )
     return flows.run_to_table(flows.permitted(event_stream(spark, sf_dir), grants, ["user_id"], "ts").select("event_id", "user_id"), *scratch(spark))
 
 
@@ -142,19 +148,31 @@ def stream_noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONLINE_SQL = """WITH f AS (SELECT event_id // 2000 AS s, event_id % 2000 * 40.0 AS t, event_id % 60 < 4 AS shut, CASE WHEN event_id % 200 < 20 THEN 0.06 ELSE 0 END AS rise FROM events), r AS (SELECT *, sum(CASE WHEN shut AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, lag(shut) OVER (PARTITION BY s ORDER BY t) AS was FROM f))"""
 
 
-@query("stream_blinks", f"{_ONLINE_SQL}, g AS (SELECT s, no, min(t) FILTER (WHERE shut) AS first, max(t) FILTER (WHERE shut) + 40 AS over FROM r WHERE no > 0 GROUP BY s, no), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, first AS peak_ms, over AS offset_ms FROM g JOIN e USING (s) WHERE over < last")
+@query(
+    "stream_blinks",
+    f"{_ONLINE_SQL}, g AS (SELECT s, no, min(t) FILTER (WHERE shut) AS first, max(t) FILTER (WHERE shut) + 40 AS over FROM r WHERE no > 0 GROUP BY s, no), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, first AS peak_ms, over AS offset_ms FROM g JOIN e USING (s) WHERE over < last"
+)
 def stream_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blinks against a reference that calibration has fixed."""
     e = F.col("event_id")
-    frames = event_stream(spark, sf_dir).select(F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"), F.when(e % 60 < 4, 0.05).otherwise(0.3).alias("aperture"), F.lit(0).alias("bin"), F.lit(0.3).alias("reference"))
+    frames = event_stream(spark, sf_dir).select(
+        F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"),
+        F.when(e % 60 < 4, 0.05).otherwise(0.3).alias("aperture"), F.lit(0).alias("bin"), F.lit(0.3).alias("reference")
+    )
     return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.blink_fold, detect.BLINK_SCHEMA, "offset_ms"), *scratch(spark)).select("session_id", "peak_ms", "offset_ms")
 
 
-@query("stream_expressions", f"{_ONLINE_SQL}, i AS (SELECT *, sum((rise = 0)::INT) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no2 FROM f), g AS (SELECT s, no2, min(t) AS start_ms, max(t) AS end_ms FROM i WHERE rise > 0 GROUP BY s, no2), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, start_ms, end_ms FROM g JOIN e USING (s) WHERE end_ms - start_ms >= 300 AND end_ms < last")
+@query(
+    "stream_expressions",
+    f"{_ONLINE_SQL}, i AS (SELECT *, sum((rise = 0)::INT) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no2 FROM f), g AS (SELECT s, no2, min(t) AS start_ms, max(t) AS end_ms FROM i WHERE rise > 0 GROUP BY s, no2), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, start_ms, end_ms FROM g JOIN e USING (s) WHERE end_ms - start_ms >= 300 AND end_ms < last"
+)
 def stream_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rest = {"rest_left_y": 0.1, "rest_right_y": 0.1, "rest_left_eye": 0.3, "rest_right_eye": 0.3, "left_eye": 0.3, "right_eye": 0.3, "right_y": 0.1}
-    frames = event_stream(spark, sf_dir).select(F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"), F.when(e % 200 < 20, 0.04).otherwise(0.1).alias("left_y"), *[F.lit(v).alias(c) for c, v in rest.items()])
+    frames = event_stream(spark, sf_dir).select(
+        F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"),
+        F.when(e % 200 < 20, 0.04).otherwise(0.1).alias("left_y"), *[F.lit(v).alias(c) for c, v in rest.items()]
+    )
     return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.expression_fold, detect.EXPRESSION_SCHEMA, "end_ms"), *scratch(spark)).select("session_id", "start_ms", "end_ms")
 
 

@@ -90,9 +90,15 @@ cm AS (SELECT rk AS reference_id, ck AS current_id, n - 1 AS position, 'm' || n
   CASE WHEN NOT hasr AND NOT hasc THEN NULL WHEN two AND runit = cunit THEN CASE WHEN runit THEN 'v' ELSE 'u' END END AS native_unit, cv - rv AS delta, rv, cv, rq, cq FROM js)"""
 
 
-@query("visit_comparison", f"WITH {VISITS_SQL} SELECT reference_id, current_id, CAST(position AS INT) AS position, metric_code, status, reasons, native_unit, CASE WHEN status = 'measured' THEN round(delta, 4) END AS delta, CASE WHEN status = 'measured' THEN rv END AS reference_value, CASE WHEN status = 'measured' THEN cv END AS current_value FROM cm")
+@query(
+    "visit_comparison",
+    f"WITH {VISITS_SQL} SELECT reference_id, current_id, CAST(position AS INT) AS position, metric_code, status, reasons, native_unit, CASE WHEN status = 'measured' THEN round(delta, 4) END AS delta, CASE WHEN status = 'measured' THEN rv END AS reference_value, CASE WHEN status = 'measured' THEN cv END AS current_value FROM cm"
+)
 def visit_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir).select(*KEYS, "position", "metric_code", "status", F.array_join("reasons", ",").alias("reasons"), "native_unit", F.round("delta", 4).alias("delta"), "reference_value", "current_value")
+    return compared(spark, sf_dir).select(
+        *KEYS, "position", "metric_code", "status", F.array_join("reasons", ",").alias("reasons"), "native_unit", F.round("delta", 4).alias("delta"),
+        "reference_value", "current_value"
+    )
 
 
 @query(
@@ -104,7 +110,10 @@ def visit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("reference_least_quality", "current_least_quality")})
 
 
-@query("visit_cards", f"WITH {VISITS_SQL} SELECT reference_id, current_id, CASE metric_code WHEN 'm1' THEN 1 WHEN 'm3' THEN 2 ELSE 3 END AS place, CASE metric_code WHEN 'm1' THEN 'First' WHEN 'm3' THEN 'Third' ELSE 'Second' END AS label, metric_code, status FROM cm WHERE metric_code <> 'm4'")
+@query(
+    "visit_cards",
+    f"WITH {VISITS_SQL} SELECT reference_id, current_id, CASE metric_code WHEN 'm1' THEN 1 WHEN 'm3' THEN 2 ELSE 3 END AS place, CASE metric_code WHEN 'm1' THEN 'First' WHEN 'm3' THEN 'Third' ELSE 'Second' END AS label, metric_code, status FROM cm WHERE metric_code <> 'm4'"
+)
 def visit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visits.card_rows(compared(spark, sf_dir), profile_table(spark), KEYS).select(*KEYS, "place", "label", "metric_code", "status")
 
@@ -118,7 +127,9 @@ def visit_row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison rows of which some have another delta, some no reasons, and some are missing, against those recomputed."""
     rows = compared(spark, sf_dir)
     claimed = rows.filter(~((F.col("current_id") % 13 == 0) & (F.col("metric_code") == "m4"))).withColumns({
-        "delta": F.when(F.col("current_id") % 7 == 0, F.col("delta") + 1).otherwise(F.col("delta")), "reasons": F.when(F.col("current_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.col("reasons")),
+        "delta": F.when(F.col("current_id") % 7 == 0, F.col("delta") + 1).otherwise(F.col("delta")), "reasons": F.when(
+            F.col("current_id") % 11 == 0, F.array().cast("array<string>")
+        ).otherwise(F.col("reasons")),
     })
     found = visits.recomputed_violations(claimed, rows, [*KEYS, "metric_code"])
     return found.select(*KEYS, "metric_code", F.array_join("violations", ",").alias("violations"))
@@ -135,7 +146,10 @@ def visit_card_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = visits.card_rows(rows, profile, KEYS)
     claimed = own.withColumns({"place": F.when(k % 7 == 0, F.col("place") % 3 + 1).otherwise(F.col("place")), "delta": F.when(k % 11 == 0, F.col("delta") + 1).otherwise(F.col("delta"))})
     sums = visits.summary(own, KEYS).withColumn("measured", F.col("measured") + F.when(k % 13 == 0, 1).otherwise(0))
-    cards = sums.withColumns({"compared_at": F.lit(100), "generated_at": F.when(k % 5 == 0, 99).otherwise(100), "review_status": F.when(k % 2 == 0, "acknowledged").otherwise("pending"), "reviewed_at": F.when(k % 3 == 0, 50).otherwise(200)})
+    cards = sums.withColumns({
+        "compared_at": F.lit(100), "generated_at": F.when(k % 5 == 0, 99).otherwise(100),
+        "review_status": F.when(k % 2 == 0, "acknowledged").otherwise("pending"), "reviewed_at": F.when(k % 3 == 0, 50).otherwise(200)
+    })
     found = visits.card_violations(cards, claimed, rows, profile, KEYS)
     return found.select(*KEYS, F.array_join("violations", ",").alias("violations"))
 
@@ -148,6 +162,9 @@ SELECT o_orderkey AS reference_id, concat_ws(',', CASE WHEN o_orderkey % 101 = 0
 )
 def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = visit_table(spark, sf_dir)
-    references = v.select(F.col("observation_id").alias("reference_id"), "subject", "protocol_version", F.when(F.col("observation_id") % 77 == 0, F.col("started_at")).otherwise(F.col("ended_at")).alias("accepted_at"))
+    references = v.select(
+        F.col("observation_id").alias("reference_id"), "subject", "protocol_version",
+        F.when(F.col("observation_id") % 77 == 0, F.col("started_at")).otherwise(F.col("ended_at")).alias("accepted_at")
+    )
     found = visits.reference_violations(references, v, outcome_table(spark, sf_dir), CODES)
     return found.select("reference_id", F.array_join("violations", ",").alias("violations"))

@@ -22,7 +22,9 @@ def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ambient-speech-turn").alias("task_context"), F.lit("mic-1").alias("track_segment_id"), F.lit("dsp@1").alias("processor_ref"), active.alias("speech_active"), (e % 7 != 0).alias("periodic"), (e % 23 == 0).alias("syllabic_nucleus"),
         F.when(active, 0.02 + (e % 11) / 100.0).otherwise(0.002 + (e % 13) / 1000.0).alias("rms"), F.when(active, 100.0 + whole % 60).alias("f0_hz"), (0.6 + (e % 40) / 100.0).alias("f0_confidence"), (0.72 + (e % 25) / 100.0).alias("estimator_agreement"),
         (14.0 + whole % 20).alias("snr_db"), F.lit(0.001).alias("dc_offset"), F.lit(0.0).alias("spectral_flux"), F.lit(10.0).alias("cepstral_peak_prominence_db"), F.when(e % 1403 == 0, 0.02).otherwise(0.0).alias("clipped_sample_fraction"), F.lit(0.01).alias("lost_block_fraction"),
-        F.lit(10.0).alias("block_gap_ms"), F.lit(48000.0).alias("sample_rate_hz"), F.struct(*[F.lit(False).alias(x) for x in ("echo_cancellation", "noise_suppression", "auto_gain_control")]).alias("browser_processing"),
+        F.lit(10.0).alias("block_gap_ms"), F.lit(48000.0).alias("sample_rate_hz"), F.struct(*[F.lit(False).alias(x) for x in (
+            "echo_cancellation", "noise_suppression", "auto_gain_control"
+        )]).alias("browser_processing"),
         F.when(e % 2801 == 0, F.array(F.lit("audio-frame-gap"))).otherwise(F.array().cast("array<string>")).alias("quality_reasons"),
     )
 
@@ -42,7 +44,10 @@ g AS (SELECT session_id, segment_no, min(continuity_no) AS continuity_no, count(
 a AS (SELECT *, least(1.0, n_frames / (floor((last_ms - start_ms) / 10) + 1), 0.99) AS coverage FROM g WHERE n_frames >= 2 AND duration_ms >= 2000 AND active_ms >= 1000)"""
 
 
-@query("voice_segments", f"WITH {FRAMES_SQL} SELECT session_id, CAST(n_frames AS BIGINT) AS n_frames, start_ms, round(duration_ms, 4) AS duration_ms, round(active_ms, 4) AS active_ms, round(pitched_ms, 4) AS pitched_ms, round(coverage, 6) AS coverage FROM a WHERE coverage >= 0.9")
+@query(
+    "voice_segments",
+    f"WITH {FRAMES_SQL} SELECT session_id, CAST(n_frames AS BIGINT) AS n_frames, start_ms, round(duration_ms, 4) AS duration_ms, round(active_ms, 4) AS active_ms, round(pitched_ms, 4) AS pitched_ms, round(coverage, 6) AS coverage FROM a WHERE coverage >= 0.9"
+)
 def voice_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = voice_frames(spark, sf_dir)
     accepted, _ = voice.segments(frames, voice_sessions(frames))
@@ -80,7 +85,10 @@ e AS (SELECT *, run_no = 1 OR run_no = max(run_no) OVER (PARTITION BY session_id
 ev AS (SELECT *, CASE WHEN active THEN NULL WHEN edge THEN 'truncated' WHEN duration_ms >= 150 AND floor > 0 AND peak >= 2.5 * floor THEN 'breath' ELSE 'hesitation' END AS pause_kind, NOT active AND NOT edge AND duration_ms BETWEEN 200 AND 1999 AS counted FROM e)"""
 
 
-@query("voice_runs", f"WITH {JOINT_SQL} SELECT session_id, start_ms, active, round(duration_ms, 4) AS duration_ms, round(phonated_ms, 4) AS phonated_ms, round(peak, 6) AS peak_level, pause_kind, counted AS counted_pause FROM ev")
+@query(
+    "voice_runs",
+    f"WITH {JOINT_SQL} SELECT session_id, start_ms, active, round(duration_ms, 4) AS duration_ms, round(phonated_ms, 4) AS phonated_ms, round(peak, 6) AS peak_level, pause_kind, counted AS counted_pause FROM ev"
+)
 def voice_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = voice_frames(spark, sf_dir)
     accepted, cut = voice.segments(frames, voice_sessions(frames))

@@ -93,7 +93,10 @@ def permitted(df: DataFrame, grants: DataFrame, keys: list[str], at: str) -> Dat
 
 def live_state(df: DataFrame, session: str, sequence: str, stage: str, event_id: str) -> DataFrame:
     """Each session's last stage, number of events and last event; for update or complete mode."""
-    return df.groupBy(session).agg(F.max_by(stage, sequence).alias("stage"), F.count("*").alias("event_count"), F.max(sequence).alias("last_sequence"), F.max_by(event_id, sequence).alias("last_event_id"))
+    return df.groupBy(session).agg(
+        F.max_by(stage, sequence).alias("stage"), F.count("*").alias("event_count"), F.max(sequence).alias("last_sequence"),
+        F.max_by(event_id, sequence).alias("last_event_id")
+    )
 
 
 def recompute_changed(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, latest: Callable[[], DataFrame] | None = None) -> None:
