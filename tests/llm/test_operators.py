@@ -478,7 +478,7 @@ def test_alternating_texts_are_neither_linked_nor_counted_together(spark):
     docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, source string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
     assert {r.doc_id: r.n_dup_lines for r in quality.annotate(docs).collect()} == {1: 0, 2: 0, 3: 1}
-    lines = [(k, f"{spaced[k % 2]}\nown{k}", "h") for k in range(9)]  # five hold one line, four the other
+    lines = [(k, f"{spaced[k % 2]}\nown{'abcdefghi'[k]}", "h") for k in range(9)]  # five hold one line, four the other
     judged = quality.annotate(spark.createDataFrame(lines, "doc_id long, text string, source string"), min_docs=4).collect()
     assert {r.doc_id for r in judged if r.removed_lines} == {0, 2, 4, 6, 8}
 
