@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, sharding, tokencount, tokenfile, topk, urlrules
+from . import importance, langid, mixing, neardup, packing, pieces, quality, sharding, tokencount, tokenfile, topk, urlrules
 from .common import materialize, shared_folder, word_count
 
 
@@ -128,8 +128,43 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), share=(5, 100))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 byte by byte over the distinct features, then counts, gains, noise and the draw.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (SELECT i AS b, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (SELECT side, r, unnest(ws) AS f FROM w
+  UNION ALL SELECT side, r, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT side, r, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+c AS (SELECT f, hex(encode(f)) AS h, CAST(octet_length(encode(f)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS crc FROM (SELECT DISTINCT f FROM f)
+  UNION ALL SELECT c.f, c.h, c.n, c.i + 1, xor(tab.v, c.crc >> 8) FROM c JOIN tab ON tab.b = xor(c.crc & 255, CAST('0x' || substr(c.h, 2 * c.i + 1, 2) AS BIGINT)) WHERE c.i < c.n),
+k AS (SELECT f.side, f.r, xor(c.crc, 4294967295) % 10000 AS bucket FROM f JOIN c ON f.f = c.f AND c.i = c.n),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM k GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM n)::DOUBLE + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM n)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM n),
+x AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight, count(*) AS n_features FROM k JOIN g USING (bucket) WHERE side = 'd' GROUP BY r),
+y AS (SELECT w.r, doc_id, len(ws) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN x USING (r) WHERE side = 'd'),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * (SELECT count(*) FROM z WHERE able) // 100 THEN place END AS rank FROM o
+"""
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    both = encoded.withColumn("decoded", pieces.decoded(F.col("ids"), model))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_exact_top_k, op3_minhash_near_dedup, op4_packing, op5_url_filter, op6_language_id, op7_sharding, op8_token_counts, op9_quality_rules,
-    op10_token_file
+    op10_token_file, op12_importance_resampling, op13_sentence_pieces
 )}
-ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL, "op12_importance_resampling": OP12_SQL}
