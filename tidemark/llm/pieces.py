@@ -2,9 +2,10 @@
 
 Where no piece of a model crosses a white space marker, a text's ids are those of its chunks, in order. A chunk
 is a run of markers with what follows up to the next one; as long as no piece holds a line end, a run of line ends
-begins a chunk too. Texts are read in blocks: a block keeps its distinct chunks once and, for each place of a chunk
-in its documents, the number of the chunk there. The distinct chunks of all blocks are segmented once each by the
-sentencepiece library; the ids go back to the blocks by a join, and to the places by their numbers.
+begins a chunk too. The chunks of a batch are found with numpy and known by 128 bits; the sentencepiece library segments
+each distinct one that the table does not hold yet, once, and the ids of all places are gathered from the table. Each
+worker has a table of its own, which lasts over tasks and is emptied when it is full, so memory is bounded and nothing is
+shuffled: a lost executor costs its tasks only.
 
 Decoding is the library's own, in slices that begin at a marked piece, as bytes of characters outside of the
 vocabulary never go on across one.
@@ -22,21 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranges, release_memory, span_keys, text_slices
+from .common import release_memory, text_slices
+from .tokens import Encoder
 
-#: Bytes of text to a block, unless one text has more; ids decoded together, at least.
-BLOCK_BYTES, SLICE_IDS = 1 << 22, 1 << 18
-#: Places of chunks looked up together.
-_PLACES_ONCE = 1 << 20
+#: Ids decoded together, at least; places of chunks looked up, and new chunks segmented, together.
+SLICE_IDS, PLACES_ONCE, CHUNKS_ONCE = 1 << 18, 1 << 18, 4096
 _MARK = "▁"
 
 
-class Pieces:
-    """A model whose texts can be cut before runs of markers and, where lines is true, of line ends."""
+class Pieces(Encoder):
+    """The table of chunks of a model, and the model. encode() takes texts end to end, each that is not empty with a space before it."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -53,9 +52,30 @@ class Pieces:
         self.marked = np.array([p.startswith(_MARK) for p in pieces])
         #: Before a chunk, a line end keeps the library's own first marker off it: both are ids of their own.
         self.before = self.model.encode("\n")
-
-    def segment(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(ids[len(self.before) :], np.int32) for ids in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
+        self._empty()
+
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        return [ids[len(self.before) :] for ids in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
+
+    def _learn(self, low: np.ndarray, high: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = memoryview(np.ascontiguousarray(data))
+        texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        counts, ids = [], []
+        for k in range(0, len(texts), CHUNKS_ONCE):
+            found = self.segment(texts[k : k + CHUNKS_ONCE])
+            counts.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.array([i for x in found for i in x], np.uint32))
+        self._add(low, high, np.concatenate(counts), np.concatenate(ids))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and each text's number of ids."""
+        starts = chunk_starts(data, offsets)
+        if len(starts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        parts = [self._pieces(data, starts[k : k + PLACES_ONCE], ends[k : k + PLACES_ONCE]) for k in range(0, len(starts), PLACES_ONCE)]
+        sums = np.concatenate([[0], *[n for _, n in parts]]).cumsum()
+        return np.concatenate([ids for ids, _ in parts]), np.diff(sums[np.searchsorted(starts, offsets)])
 
     def decode(self, ids: np.ndarray) -> str:
         if len(ids) <= SLICE_IDS:
@@ -71,7 +91,7 @@ _models: dict[str, Pieces] = {}
 
 
 def pieces_of(path: str) -> Pieces:
-    """One a worker and file."""
+    """One a worker and file; its table lasts over tasks."""
     if path not in _models:
         _models[path] = Pieces(path)
     return _models[path]
@@ -86,93 +106,22 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each key, and for each place the number of its key."""
-    order = np.lexsort((high, low))
-    new = np.ones(len(order), bool)
-    new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
-    codes = np.empty(len(order), np.uint32)
-    codes[order] = np.cumsum(new) - 1
-    return order[new], codes
-
-
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[ranges(starts, lengths)]))
-
-
-def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a block: block, ids (of its documents), counts (of chunks, 64 bits each), codes (of all places), wide (codes of 32 bits, else 16), chunks (by code)."""
-    text = F.translate(F.col(text_col), _MARK, " ")
-    marked = F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise(F.lit("")).alias("text")
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for low, high, data, offsets in text_slices(batch.column(1), BLOCK_BYTES):
-                starts = chunk_starts(data, offsets)
-                ends = np.append(starts[1:], len(data)).astype(np.int64)
-                one, codes = _distinct(*span_keys(data, starts, ends)) if len(starts) else (starts, np.zeros(0, np.uint32))
-                wide = len(one) > 1 << 16
-                counts = np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
-                ids = batch.column(0).slice(low, high - low)
-                chunks = _strings(data, starts[one], ends[one]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts.tobytes()]),
-                    pa.array([(codes if wide else codes.astype(np.uint16)).tobytes()]), pa.array([wide]), pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
-                ], ["block", "ids", "counts", "codes", "wide", "chunks"])
-                number += 1
-        release_memory()
-
-    return docs.select(F.col(id_col).alias("id"), marked).mapInArrow(cut, f"block long, ids array<{kind}>, counts binary, codes binary, wide boolean, chunks array<string>")
-
-
-def segmented(chunks: DataFrame, model: str) -> DataFrame:
-    """chunk (each once) and its pieces."""
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pieces_of(model).segment(batch.column(0).to_pylist())
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["chunk", "pieces"])
-
-    return chunks.mapInArrow(segment, "chunk string, pieces array<int>")
-
-
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and ids (array<int>) of whole texts, as the library's encode() gives them. The blocks are written in the shared folder."""
+    """id_col and ids (array<int>) of whole texts, as the library's encode() gives them."""
+    text = F.translate(F.col(text_col), _MARK, " ")
+    marked = F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise(F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = materialize(read_blocks(docs, id_col, text_col))
-    places = blocks.select("block", F.posexplode("chunks").alias("code", "chunk"))
-    table = segmented(places.select("chunk").distinct(), model)
-    of_block = places.join(table, "chunk").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "pieces"))).alias("found"))
-    tables = of_block.select("block", F.transform("found", lambda x: F.size(x["pieces"])).alias("sizes"), F.flatten(F.transform("found", lambda x: x["pieces"])).alias("flat"))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces_of(model)
         for batch in batches:
-            for r in range(len(batch)):
-                ids, counts, codes, wide, sizes, flat = (batch.column(c)[r] for c in range(6))
-                counts = np.frombuffer(counts.as_py(), np.int64)
-                codes = np.frombuffer(codes.as_py(), np.uint32 if wide.as_py() else np.uint16)
-                sizes = np.zeros(0, np.int64) if sizes.values is None else sizes.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = np.zeros(0, np.int32) if flat.values is None else flat.values.to_numpy(zero_copy_only=False)
-                begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                parts, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-                for low in range(0, len(codes), _PLACES_ONCE):
-                    some = codes[low : low + _PLACES_ONCE]
-                    lengths.append(sizes[some])
-                    parts.append(flat[ranges(begins[some], sizes[some])])
-                before = np.cumsum(np.concatenate(lengths))  # ids before each place
-                offsets = before[np.concatenate([[0], np.cumsum(counts)])]
-                rows = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([ids.values, rows], [id_col, "ids"])
+            for low, high, data, offsets in text_slices(batch.column(1)):
+                ids, counts = own.encode(data, offsets)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
         release_memory()
 
-    joined = blocks.drop("chunks").join(tables, "block", "left").select("ids", "counts", "codes", "wide", "sizes", "flat")
-    return joined.mapInArrow(gather, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), marked.alias("text")).mapInArrow(read, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decoded(ids, model: str):
