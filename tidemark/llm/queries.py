@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, langid, mixing, neardup, packing, pieces, quality, sharding, tokencount, tokenfile, topk, urlrules
+from . import importance, langid, mixing, neardup, negatives, packing, pieces, quality, sharding, tokencount, tokenfile, topk, urlrules
 from .common import materialize, shared_folder, word_count
 
 
@@ -24,11 +24,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(docs, "size", "tie").taken().select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def quantized(vector):
-    """floor(1024 x) of each component as double; null for a vector that is null or holds a null or non-finite component."""
+def quantized(vector, scale: int = 1024):
+    """floor(scale x) of each component as double; null for a vector that is null or holds a null or non-finite component."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * 1024)))
+    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * scale)))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +128,26 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, keep_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), label, quantized(F.col("embedding"), 256).alias("vector"))
+    return negatives.hard_negatives(rows, rows.filter("id % 100 = 0"), positives=5, negatives=5, least=(80, 100))
+
+
+OP11_SQL = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT row_number() OVER () AS r, * FROM v WHERE id % 100 = 0),
+s AS (SELECT a.r, a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM a JOIN v c ON a.id <> c.id AND len(a.e) = len(c.e)),
+p AS (SELECT r, anchor_id, id AS positive_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), share=(5, 100))
     return scored.select("doc_id", "n_features", "weight", "score", "rank")
@@ -165,6 +185,6 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_exact_top_k, op3_minhash_near_dedup, op4_packing, op5_url_filter, op6_language_id, op7_sharding, op8_token_counts, op9_quality_rules,
-    op10_token_file, op12_importance_resampling, op13_sentence_pieces
+    op10_token_file, op11_hard_negatives, op12_importance_resampling, op13_sentence_pieces
 )}
-ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL, "op12_importance_resampling": OP12_SQL}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance_resampling": OP12_SQL}
