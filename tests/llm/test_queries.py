@@ -1,5 +1,6 @@
 """The registered queries over whole given tables, against plain versions of their contracts."""
 
+import hashlib
 import os
 import zlib
 
@@ -28,7 +29,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("benchmark", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     df = q.QUERIES[name](spark, SF_DIR)
     found = con.execute(q.ORACLE_SQL[name])
@@ -102,3 +103,12 @@ def test_op10(spark, docs):
     for r in found:
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]), zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()))
         at += r.n_tokens
+
+
+def test_op13(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=q.tokenizer("piece_bpe_32k.model"))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(d.doc_id, ids) for d in docs for ids in [library.encode(d.text or "")]]
+    assert sorted(map(tuple, rows(spark, "op13_sentence_pieces"))) == sorted((i, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))) for i, ids in want)
