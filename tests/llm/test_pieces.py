@@ -53,7 +53,7 @@ def test_slices_and_a_full_table_change_nothing(own, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE_IDS", 50)
     monkeypatch.setattr(pieces, "PLACES_ONCE", 100)
     monkeypatch.setattr(pieces, "CHUNKS_ONCE", 7)
-    monkeypatch.setattr("tidemark.llm.tokens.MAX_PIECES", 500)
+    monkeypatch.setattr(pieces, "MAX_CHUNKS", 500)
     data = np.frombuffer((" " + text).encode(), np.uint8)
     found, counts = pieces.Pieces(MODEL).encode(data, np.array([0, len(data)]))
     assert found.tolist() == ids and counts.tolist() == [len(ids)] and own.decode(np.array(ids)) == own.model.decode(ids)

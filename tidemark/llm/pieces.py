@@ -30,7 +30,9 @@ from .common import release_memory, text_slices
 from .tokens import Encoder
 
 #: Ids decoded together, at least; places of chunks looked up, and new chunks segmented, together.
-SLICE_IDS, PLACES_ONCE, CHUNKS_ONCE = 1 << 18, 1 << 18, 4096
+SLICE_IDS, PLACES_ONCE, CHUNKS_ONCE = 1 << 18, 1 << 17, 4096
+#: Chunks kept by a worker before its table is emptied.
+MAX_CHUNKS = 500_000
 _MARK = "▁"
 
 
@@ -67,6 +69,11 @@ class Pieces(Encoder):
             ids.append(np.array([i for x in found for i in x], np.uint32))
         self._add(low, high, np.concatenate(counts), np.concatenate(ids))
 
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.count + len(starts) > MAX_CHUNKS:
+            self._empty()
+        return super()._pieces(data, starts, ends)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and each text's number of ids."""
         starts = chunk_starts(data, offsets)
