@@ -531,15 +531,6 @@ def test_append_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_rotation_restarts_after_a_gap():
-    closed, state = flows.rotate([(0, 1.0, "a"), (50, 1.0, "a"), (40, 1.0, "a"), (120, 1.0, "a"), (500, 1.0, "a"), (510, 1.0, "b")], None, window_ms=100, max_rows=2)
-    assert [(c[0], c[1], c[2], c[3], c[4], c[6]) for c in closed] == [(0, 0, 100, 2, 1, "full"), (1, 100, 200, 1, 0, "full"), (2, 500, 510, 1, 0, "source-changed")]
-    assert state[0] == 3 and state[1] == 510
-    split, kept = flows.rotate([(0, 1.0, "a"), (50, 1.0, "a")], None, 100)
-    more, _ = flows.rotate([(120, 1.0, "a")], kept, 100)
-    assert split == [] and more[0][3] == 2
-
-
 # cycles, streams
 
 
@@ -560,25 +551,6 @@ def test_updates_of_several_batches_are_merged(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 6.0), (2, 1.0), (3, 2.0)]
 
 
-def test_online_events_come_once_whatever_the_batches(spark, tmp_path):
-    k = np.arange(3000)
-    aperture = np.where(k % 60 < 4, 0.05, 0.3)
-    rows = pd.DataFrame({"s": "one", "t_ms": k * 40.0, "aperture": aperture, "bin": 0, "reference": 0.3})
-    for low in range(0, 3000, 611):
-        spark.createDataFrame(rows.iloc[low : low + 611]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = flows.run_to_table(flows.online(stream, "s", "t_ms", detect.blink_fold, detect.BLINK_SCHEMA, "offset_ms"), str(tmp_path / "out"), str(tmp_path / "check")).collect()
-    assert sorted(r.peak_ms for r in found) == sorted(detect.blink_fold(rows)["peak_ms"])
-
-
-def test_lane_state_carries_over_batches():
-    rows = [(0.0, "processed", True), (100.0, "evaluate", True), (201.0, "evaluate", True), (250.0, "camera", False), (260.0, "processed", True), (270.0, "evaluate", True)]
-    whole, _ = flows.lane_state(rows, None)
-    one, state = flows.lane_state(rows[:3], None)
-    assert whole == one + flows.lane_state(rows[3:], state)[0] == [(100.0, True, ""), (201.0, False, "visual-frame-gap"), (270.0, False, "camera-unavailable")]
-
-
 def test_runs_are_published_only_if_current(spark, tmp_path):
     runs = spark.createDataFrame([("e", 1, "a"), ("e", 2, "b"), ("f", 1, "c")], "episode_id string, input_revision int, result string")
     now = spark.createDataFrame([("e", 2), ("f", 1)], "episode_id string, revision int")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import streams
 from tidemark.streaming import flows
 
 DDL = "user_id long, event_id long, at_ms double, value double"
@@ -14,21 +13,6 @@ def files(spark, path, batches):
     return spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_every_row_is_in_a_window(spark, tmp_path):
-    stream = files(spark, str(tmp_path / "in"), [[(1, 1, 0.0, 1.0), (2, 2, 5.0, 1.0)], [(1, 3, 60.0, 2.0)], [(1, 4, 130.0, 4.0), (1, 5, 140.0, 8.0)]])
-    found = flows.ended(flows.run_to_table(flows.rotating_windows(stream.withColumn("s", F.lit("one")), "user_id", "at_ms", "value", "s", 100.0), str(tmp_path / "out"), str(tmp_path / "check")))
-    wanted = {("1", 0, 0.0, 100.0, 2, 3.0, "full"), ("1", 1, 100.0, 140.0, 2, 12.0, "ended"), ("2", 0, 5.0, 5.0, 1, 1.0, "ended")}
-    rows = [(r["key"], r["window_no"], r["start_ms"], r["end_ms"], r["rows"], r["total"], r["reason"]) for r in found.collect()]
-    assert set(rows) == wanted and len(rows) == 3
-
-
-def test_the_query_keeps_every_row(spark, tmp_path):
-    start = F.lit("2024-01-01").cast("timestamp")
-    hot = spark.range(70_000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("e").alias("event_type"), F.lit(1.0).alias("value"), start.alias("ts"))
-    hot.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
-    assert [(r["rows"], r["rejected"]) for r in streams.stream_rotating_windows(spark, str(tmp_path)).collect()] == [(70_000, 0)]
-
-
 def test_a_new_revision_supersedes(spark, tmp_path):
     stream = files(spark, str(tmp_path / "in"), [[(1, 1, 0.0, 1.0), (2, 2, 0.0, 1.0)], [(1, 3, 0.0, 1.0)]]).withColumn("revision", F.col("event_id"))
     flows.recompute_changed(stream, "user_id", lambda changed: changed, str(tmp_path / "out"), str(tmp_path / "check"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect
+from ..operators import detect, voice
 from ..sources.scratch import shared_folder
-from ..streaming import flows
+from ..streaming import flows, folds, ordered
+from . import voice_lane
 from .catalog import query, table
 
 
@@ -60,24 +61,45 @@ def stream_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.run_to_table(daily.select(F.unix_micros("window.start").alias("day_us"), "event_type", "n", F.round("total", 2).alias("total")), *scratch(spark), mode="complete")
 
 
-_WINDOW = 3 * 86_400_000.0
+_WINDOW, _ROOM = 3 * 86_400_000.0, 3
+_WINDOWS_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000.0 AS t, value, event_id // 700 % 3 AS src, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, k, t, src, 0 AS no, t AS start, 1 AS n, true AS took FROM e WHERE k = 1 UNION ALL
+  SELECT e.user_id, e.k, e.t, e.src, CASE WHEN e.src <> w.src OR e.t - start >= {_WINDOW} THEN no + 1 ELSE no END,
+    CASE WHEN e.src <> w.src THEN e.t WHEN e.t - start < {_WINDOW} THEN start WHEN e.t - start - {_WINDOW} >= {_WINDOW} THEN e.t ELSE start + {_WINDOW} END,
+    CASE WHEN e.src <> w.src OR e.t - start >= {_WINDOW} THEN 1 WHEN n < {_ROOM} THEN n + 1 ELSE n END, e.src <> w.src OR e.t - start >= {_WINDOW} OR n < {_ROOM} FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1),
+g AS (SELECT w.user_id, no, start, min(w.t) AS first_t, max(w.t) AS last_t, min(w.src) AS src, count(*) FILTER (took) AS rows, count(*) FILTER (NOT took) AS rejected, round(sum(value) FILTER (took), 4) AS total
+  FROM w JOIN e USING (user_id, k) GROUP BY w.user_id, no, start),
+h AS (SELECT *, lead(first_t) OVER v AS next_t, lead(src) OVER v AS next_src FROM g WINDOW v AS (PARTITION BY user_id ORDER BY no))"""
+
+
+def _user_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-day windows of each user's events, with room for three, that restart after long gaps and where the source changes."""
+    source = F.expr("cast(event_id div 700 % 3 as string)").alias("source")
+    e = event_stream(spark, sf_dir).select("user_id", "event_id", (F.unix_micros("ts") / 1000).alias("at_ms"), "value", source)
+    fold = folds.Windows(window_ms=_WINDOW, max_rows=_ROOM)
+    path, checkpoint = scratch(spark)
+    return ordered.run_to_end(flows.rotating_windows(e, "user_id", fold, 3_600_000, order=("event_id",)), path, checkpoint, "user_id", "at_ms", fold, order=("event_id",))
 
 
 @query(
     "stream_rotating_windows",
-    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000.0 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
-w AS (SELECT user_id, k, t, 0 AS no, t AS start FROM e WHERE k = 1 UNION ALL
-  SELECT e.user_id, e.k, e.t, CASE WHEN e.t - start >= {_WINDOW} THEN no + 1 ELSE no END, CASE WHEN e.t - start < {_WINDOW} THEN start WHEN e.t - start - {_WINDOW} >= {_WINDOW} THEN e.t ELSE start + {_WINDOW} END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
-SELECT CAST(w.user_id AS VARCHAR) AS key, CAST(no AS BIGINT) AS window_no, start AS start_ms, CASE WHEN no = max(no) OVER (PARTITION BY w.user_id) THEN max(w.t) ELSE start + {_WINDOW} END AS end_ms, count(*) AS rows, 0::BIGINT AS rejected, round(sum(value), 4) AS total, CASE WHEN no = max(no) OVER (PARTITION BY w.user_id) THEN 'ended' ELSE 'full' END AS reason
-FROM w JOIN e USING (user_id, k) GROUP BY w.user_id, no, start""",
+    f"""{_WINDOWS_SQL} SELECT user_id, CAST(no AS BIGINT) AS window_no, start AS start_ms, CASE WHEN next_t IS NULL THEN last_t WHEN next_src <> src THEN next_t ELSE start + {_WINDOW} END AS end_ms, rows, rejected, total,
+  CASE WHEN next_t IS NULL THEN 'ended' WHEN next_src <> src THEN 'source-changed' ELSE 'full' END AS ended_by FROM h""",
 )
 def stream_rotating_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-day windows of each user's events that restart after long gaps; as the source is read to its end, the last of each user too."""
-    length = _WINDOW
-    e = event_stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1000).alias("at_ms"), "value", F.lit("one").alias("source"))
-    most = int(flows.MAX_ROWS * length / flows.WINDOW_MS)
-    found = flows.ended(flows.run_to_table(flows.rotating_windows(e, "user_id", "at_ms", "value", "source", length, most), *scratch(spark)))
-    return found.withColumn("total", F.round("total", 4))
+    return ordered.results(_user_windows(spark, sf_dir), "user_id", folds.Windows()).withColumn("total", F.round("total", 4))
+
+
+@query("stream_refused_rows", f"{_WINDOWS_SQL} SELECT user_id, t AS row_at_ms, 'no-room' AS reason FROM w WHERE NOT took")
+def stream_refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of the same stream: rows that their window had no room for."""
+    return ordered.refused(_user_windows(spark, sf_dir), "user_id").drop("row")
+
+
+@query("stream_closed_keys", f"{_WINDOWS_SQL} SELECT user_id, count(*) FILTER (took) AS accepted, count(*) FILTER (NOT took) AS refused FROM w GROUP BY user_id")
+def stream_closed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of each user's rows: accepted and refused ones are all that came in."""
+    return ordered.closed(_user_windows(spark, sf_dir), "user_id")
 
 
 @query("stream_recomputed", "SELECT user_id, max(event_id) AS revision, count(*) AS n FROM events GROUP BY user_id")
@@ -108,7 +130,9 @@ def stream_lane_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     kind = F.when(e % 10 == 9, "evaluate").when(e % 37 == 0, "page").when(e % 41 == 0, "camera").when(e % 43 == 0, "worker").when(e % 100 >= 60, "idle").otherwise("processed")
     rows = event_stream(spark, sf_dir).select(F.expr("event_id div 1000").alias("lane"), ((e % 1000) * 40.0).alias("at"), kind.alias("kind"), (e % 2 == 0).alias("up"))
-    return flows.run_to_table(flows.lane_health(rows, "lane", "at", "kind", "up"), *scratch(spark))
+    with ordered.data_only(spark):
+        told = flows.run_to_table(ordered.lane_health(rows, "lane", "at", "kind", "up"), *scratch(spark))
+    return told.filter("by = 'row'").drop("by")  # timers fall due by the clock
 
 
 def _noise_frames(events: DataFrame) -> DataFrame:
@@ -137,43 +161,58 @@ def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("noise_floor_rms", F.round("noise_floor_rms", 9))
 
 
+def _streamed(stream: DataFrame, at: str, fold: ordered.Fold) -> DataFrame:
+    """What the fold tells of a stream of sessions that is read to its end."""
+    path, checkpoint = scratch(stream.sparkSession)
+    tagged = ordered.ordered(stream, "session_id", at, fold, 200.0)
+    return ordered.results(ordered.run_to_end(tagged, path, checkpoint, "session_id", at, fold), "session_id", fold)
+
+
 @query("stream_noise_floors", _NOISE_SQL)
 def stream_noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same floors, found while the frames stream in."""
-    frames = _noise_frames(event_stream(spark, sf_dir))
-    found = flows.run_to_table(flows.online(frames, "session_id", "acquired_at_ms", detect.noise_fold, detect.NOISE_SCHEMA, "at_ms"), *scratch(spark))
-    return found.withColumn("noise_floor_rms", F.round("noise_floor_rms", 9))
+    return _streamed(_noise_frames(event_stream(spark, sf_dir)), "acquired_at_ms", folds.Noise()).withColumn("noise_floor_rms", F.round("noise_floor_rms", 9))
 
 
-_ONLINE_SQL = """WITH f AS (SELECT event_id // 2000 AS s, event_id % 2000 * 40.0 AS t, event_id % 60 < 4 AS shut, CASE WHEN event_id % 200 < 20 THEN 0.06 ELSE 0 END AS rise FROM events), r AS (SELECT *, sum(CASE WHEN shut AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, lag(shut) OVER (PARTITION BY s ORDER BY t) AS was FROM f))"""
+#: The rules of blinks told row by row: mode is what the eye is in (idle, shut, or void after too long a closure).
+_BLINKS_SQL = """WITH RECURSIVE f AS (SELECT event_id // 500 AS s, event_id % 500 * 40.0 AS t, CASE WHEN floor(value) % 9 = 0 THEN 0.2 WHEN event_id // 4 * 7919 % 11 < 3 OR event_id % 250 BETWEEN 40 AND 70 THEN 0.05 + floor(value) % 5 / 100.0 ELSE 0.3 END AS a FROM events WHERE event_id % 97 >= 2),
+e AS (SELECT *, row_number() OVER v AS k, coalesce(t - lag(t) OVER v > 75, true) AS breaks, a <= 0.18 AS shut, a >= 0.24 AS opened FROM f WINDOW v AS (PARTITION BY s ORDER BY t)),
+m AS (SELECT s, k, CASE WHEN shut THEN 'shut' ELSE 'idle' END AS mode, CASE WHEN shut THEN t END AS start, -1e9::DOUBLE AS ended, NULL::DOUBLE AS blink FROM e WHERE k = 1 UNION ALL
+  SELECT e.s, e.k, CASE WHEN before = 'shut' AND opened AND e.t - m.start <= 800 THEN 'idle' WHEN before = 'shut' AND e.t - m.start > 800 THEN 'void' WHEN before = 'void' AND opened THEN 'idle' WHEN before = 'idle' AND shut AND e.t - ended >= 150 THEN 'shut' ELSE before END,
+    CASE WHEN before = 'shut' THEN m.start WHEN before = 'idle' AND shut AND e.t - ended >= 150 THEN e.t END,
+    CASE WHEN before = 'shut' AND opened AND e.t - m.start BETWEEN 50 AND 800 THEN e.t ELSE ended END, CASE WHEN before = 'shut' AND opened AND e.t - m.start BETWEEN 50 AND 800 THEN m.start END
+  FROM m JOIN e ON e.s = m.s AND e.k = m.k + 1, LATERAL (SELECT CASE WHEN e.breaks THEN 'idle' ELSE m.mode END AS before) b)
+SELECT CAST(m.s AS VARCHAR) AS session_id, t AS offset_ms, blink AS shut_ms, (SELECT round(min(a), 4) FROM e x WHERE x.s = m.s AND x.t BETWEEN blink AND e.t) AS lid_minimum FROM m JOIN e USING (s, k) WHERE blink IS NOT NULL"""
 
 
-@query(
-    "stream_blinks",
-    f"{_ONLINE_SQL}, g AS (SELECT s, no, min(t) FILTER (WHERE shut) AS first, max(t) FILTER (WHERE shut) + 40 AS over FROM r WHERE no > 0 GROUP BY s, no), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, first AS peak_ms, over AS offset_ms FROM g JOIN e USING (s) WHERE over < last"
-)
+@query("stream_blinks", _BLINKS_SQL)
 def stream_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blinks against a reference that calibration has fixed."""
-    e = F.col("event_id")
-    frames = event_stream(spark, sf_dir).select(
-        F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"),
-        F.when(e % 60 < 4, 0.05).otherwise(0.3).alias("aperture"), F.lit(0).alias("bin"), F.lit(0.3).alias("reference")
-    )
-    return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.blink_fold, detect.BLINK_SCHEMA, "offset_ms"), *scratch(spark)).select("session_id", "peak_ms", "offset_ms")
+    e, whole = F.col("event_id"), F.floor("value")
+    shut = (F.expr("event_id div 4 * 7919 % 11") < 3) | (e % 250).between(40, 70)
+    frames = event_stream(spark, sf_dir).filter(e % 97 >= 2).select(
+        F.expr("cast(event_id div 500 as string)").alias("session_id"), ((e % 500) * 40.0).alias("t_ms"), F.when(whole % 9 == 0, 0.2).when(shut, 0.05 + (whole % 5) / 100.0).otherwise(0.3).alias("aperture"),
+        F.lit(0).alias("bin"), F.lit(0.3).alias("reference"),
+    )
+    took = F.col("frame_count")  # the closed frame that began it is as many frames of 40 ms before its end, as no frame is missing in it
+    return _streamed(frames, "t_ms", folds.Blinks()).select("session_id", "offset_ms", (F.col("offset_ms") - (took - 1) * 40.0).alias("shut_ms"), F.round("lid_minimum", 4).alias("lid_minimum"))
 
 
 @query(
     "stream_expressions",
-    f"{_ONLINE_SQL}, i AS (SELECT *, sum((rise = 0)::INT) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no2 FROM f), g AS (SELECT s, no2, min(t) AS start_ms, max(t) AS end_ms FROM i WHERE rise > 0 GROUP BY s, no2), e AS (SELECT s, max(t) AS last FROM f GROUP BY s) SELECT CAST(s AS VARCHAR) AS session_id, start_ms, end_ms FROM g JOIN e USING (s) WHERE end_ms - start_ms >= 300 AND end_ms < last"
+    """WITH f AS (SELECT event_id // 2000 AS s, event_id % 2000 * 40.0 AS t, event_id % 200 < 6 + (event_id // 200) % 12 AS up, value FROM events), i AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM f),
+g AS (SELECT s, no, min(t) AS start_ms, max(t) AS end_ms, max(0.041 + floor(value) % 20 / 1000.0) AS peak_left FROM i WHERE up GROUP BY s, no) SELECT CAST(s AS VARCHAR) AS session_id, start_ms, end_ms, round(peak_left, 6) AS peak_left FROM g WHERE end_ms - start_ms >= 300""",
 )
 def stream_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rises of the left corner, some too short, of a height that values set."""
     e = F.col("event_id")
     rest = {"rest_left_y": 0.1, "rest_right_y": 0.1, "rest_left_eye": 0.3, "rest_right_eye": 0.3, "left_eye": 0.3, "right_eye": 0.3, "right_y": 0.1}
+    up = e % 200 < 6 + F.expr("event_id div 200 % 12")
     frames = event_stream(spark, sf_dir).select(
         F.expr("cast(event_id div 2000 as string)").alias("session_id"), ((e % 2000) * 40.0).alias("t_ms"),
-        F.when(e % 200 < 20, 0.04).otherwise(0.1).alias("left_y"), *[F.lit(v).alias(c) for c, v in rest.items()]
-    )
-    return flows.run_to_table(flows.online(frames, "session_id", "t_ms", detect.expression_fold, detect.EXPRESSION_SCHEMA, "end_ms"), *scratch(spark)).select("session_id", "start_ms", "end_ms")
+        F.when(up, 0.1 - 0.041 - (F.floor("value") % 20) / 1000.0).otherwise(0.1).alias("left_y"), *[F.lit(v).alias(c) for c, v in rest.items()]
+    )
+    return _streamed(frames, "t_ms", folds.Expressions()).select("session_id", "start_ms", "end_ms", F.round("peak_left", 6).alias("peak_left"))
 
 
 @query(
@@ -186,7 +225,29 @@ def finalised_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     timed = lambda df: df.select(F.expr("cast(event_id div 6000 as string)").alias("session_id"), ((e % 6000) * 10.0).alias("t_ms"))
     stream = timed(event_stream(spark, sf_dir)).withColumns({"one": F.lit(1.0), "source": F.lit("mic")})
-    windows = flows.ended(flows.run_to_table(flows.rotating_windows(stream, "session_id", "t_ms", "one", "source", 25_005.0), *scratch(spark)))
+    windows = _streamed(stream, "t_ms", folds.Windows("t_ms", "one", "source", 25_005.0)).withColumnRenamed("session_id", "key")
     frames = timed(table(spark, sf_dir, "events"))
     lanes = [flows.frames_to_finalise(frames, windows, "session_id", lane).withColumn("lane", F.lit(lane)) for lane in ("voice", "face")]
     return lanes[0].unionByName(lanes[1]).groupBy("session_id", "window_no", "lane").agg(F.count("*").alias("frames"))
+
+
+_LENGTH = 40_000.0
+#: The batch metrics' SQL over frames that belong to windows: those whose step of ten milliseconds ends in theirs, timed from its start.
+_WINDOW_METRICS_SQL = voice_lane.METRICS_SQL.replace("WITH f AS (", "WITH f0 AS (", 1).replace(
+    " FROM events),",
+    f""" FROM events), fl AS (SELECT session_id, max(t) AS last_t FROM f0 GROUP BY session_id),
+f AS (SELECT f0.* REPLACE (f0.session_id || '/' || CAST(floor(t / {_LENGTH}) AS BIGINT) AS session_id, t - floor(t / {_LENGTH}) * {_LENGTH} AS t) FROM f0 JOIN fl USING (session_id)
+  WHERE t % {_LENGTH} + 10 <= CASE WHEN floor(t / {_LENGTH}) = floor(last_t / {_LENGTH}) THEN last_t % {_LENGTH} ELSE {_LENGTH} END),""",
+    1,
+)
+
+
+@query("stream_window_metrics", f"SELECT split_part(session_id, '/', 1) AS session_id, CAST(split_part(session_id, '/', 2) AS BIGINT) AS window_no, metric_code, status, reason_code, value FROM ({_WINDOW_METRICS_SQL}) x")
+def stream_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voice metrics of each window of 40 seconds, published as it closes: those of the batch form over the same windows."""
+    stream = voice_lane.voice_frames_of(event_stream(spark, sf_dir)).select("session_id", "t_ms", "rms", "track_segment_id")
+    fold = folds.Windows("t_ms", "rms", "track_segment_id", _LENGTH)
+    path, checkpoint = scratch(spark)
+    tagged = flows.rotating_windows(stream, "session_id", fold, 200.0)
+    found = flows.window_metrics(tagged, "session_id", fold, lambda: voice_lane.voice_frames(spark, sf_dir), "voice", voice.metrics, path, checkpoint, 2500.0)
+    return found.select("session_id", "window_no", "metric_code", "status", "reason_code", F.round("value", 6).alias("value"))

@@ -13,11 +13,15 @@ FRAMES = 6000
 
 
 def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voice_frames_of(table(spark, sf_dir, "events"))
+
+
+def voice_frames_of(events: DataFrame) -> DataFrame:
     """A frame for each event: its place by event_id, its measures from event_id and value."""
     e, k = F.col("event_id"), F.col("event_id") % FRAMES
     whole = F.floor("value")
     active = (F.expr(f"(event_id % {FRAMES}) div 60") % 4) != 3
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.expr(f"cast(event_id div {FRAMES} as string)").alias("session_id"), (k * 10.0).alias("t_ms"), (k * 10.0).alias("acquired_at_ms"), F.lit(1).cast("long").alias("capture_epoch"), k.alias("sequence"), (k * 480).alias("absolute_sample_index"),
         F.lit("ambient-speech-turn").alias("task_context"), F.lit("mic-1").alias("track_segment_id"), F.lit("dsp@1").alias("processor_ref"), active.alias("speech_active"), (e % 7 != 0).alias("periodic"), (e % 23 == 0).alias("syllabic_nucleus"),
         F.when(active, 0.02 + (e % 11) / 100.0).otherwise(0.002 + (e % 13) / 1000.0).alias("rms"), F.when(active, 100.0 + whole % 60).alias("f0_hz"), (0.6 + (e % 40) / 100.0).alias("f0_confidence"), (0.72 + (e % 25) / 100.0).alias("estimator_agreement"),
@@ -97,9 +101,7 @@ def voice_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voice.run_events(joint).select("session_id", "start_ms", "active", r("duration_ms"), r("phonated_ms"), r("peak_level", 6), "pause_kind", "counted_pause")
 
 
-@query(
-    "voice_metrics",
-    f"""WITH {JOINT_SQL}, n AS (SELECT session_id, count(*) AS segments, sum(duration_ms) AS eligible, sum(active_ms) AS active, sum(pitched_ms) AS pitched, sum(nuclei) AS nuclei FROM b GROUP BY session_id),
+METRICS_SQL = f"""WITH {JOINT_SQL}, n AS (SELECT session_id, count(*) AS segments, sum(duration_ms) AS eligible, sum(active_ms) AS active, sum(pitched_ms) AS pitched, sum(nuclei) AS nuclei FROM b GROUP BY session_id),
 m AS (SELECT session_id, segment_no, quantile_cont(f0, 0.5) AS m FROM w JOIN b USING (session_id, segment_no) WHERE pitched AND b.pitched_ms >= 1000 GROUP BY ALL),
 p AS (SELECT session_id, count(*) AS f0_n, quantile_cont(m, 0.5) AS f0 FROM m GROUP BY session_id),
 q AS (SELECT session_id, count(*) FILTER (WHERE counted) AS pauses, quantile_cont(duration_ms / 1000, 0.5) FILTER (WHERE counted) AS pause_s, count(*) FILTER (WHERE active) AS runs, quantile_cont(duration_ms / 1000, 0.5) FILTER (WHERE active) AS run_s FROM ev GROUP BY session_id),
@@ -118,8 +120,10 @@ o AS (SELECT session_id, 'ambient.voice.f0.median' AS metric_code, pf AS reason_
   SELECT session_id, 'ambient.voice.pause_duration.median', coalesce(common, CASE WHEN coalesce(pauses, 0) < 5 THEN 'insufficient-events' END), pause_s FROM y UNION ALL
   SELECT session_id, 'ambient.voice.speech_run_duration.median', coalesce(common, CASE WHEN coalesce(runs, 0) < 5 THEN 'insufficient-events' END), run_s FROM y UNION ALL
   SELECT session_id, 'ambient.voice.acoustic_nucleus_rate', coalesce(common, CASE WHEN coalesce(nuclei, 0) < 30 THEN 'insufficient-nuclei' END), nuclei / (active / 1000) FROM y)
-SELECT session_id, metric_code, CASE WHEN reason_code IS NULL THEN 'measured' ELSE 'withheld' END AS status, reason_code, CASE WHEN reason_code IS NULL THEN round(value, 6) END AS value FROM o""",
-)
+SELECT session_id, metric_code, CASE WHEN reason_code IS NULL THEN 'measured' ELSE 'withheld' END AS status, reason_code, CASE WHEN reason_code IS NULL THEN round(value, 6) END AS value FROM o"""
+
+
+@query("voice_metrics", METRICS_SQL)
 def voice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = voice_frames(spark, sf_dir)
     return voice.metrics(frames, voice_sessions(frames)).select("session_id", "metric_code", "status", "reason_code", F.round("value", 6).alias("value"))

@@ -1,75 +1,18 @@
-"""Structured Streaming forms: rotating windows, idempotent ingestion, live state, validity, online detectors.
+"""Structured Streaming forms: idempotent ingestion, live state, validity, recomputation, metrics of closed windows.
 
-Stateful folds share their logic with the batch detectors. State per key is bounded: a window holds counters
-and at most `max_rows` rows are taken into it; the rest are counted as rejected.
+Stateful folds are in `ordered` and `folds`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: Length of a window in ms, and rows that it takes.
-WINDOW_MS, MAX_ROWS = 300_000, 60_000
-
-ROTATED_DDL = "key string, window_no long, start_ms double, end_ms double, rows long, rejected long, total double, reason string"
-_STATE_DDL = "window_no long, start_ms double, last_ms double, rows long, rejected long, total double, source string"
-
-
-def rotate(rows: list[tuple[float, float, str]], state: tuple | None, window_ms: float = WINDOW_MS, max_rows: int = MAX_ROWS) -> tuple[list[tuple], tuple | None]:
-    """(closed windows, state) after more rows (at_ms, value, source) of one key in time order.
-
-    A window lasts window_ms from its first row's start. The next starts where it ends; after a gap of a whole
-    window it starts at the row, and nothing is filled in. Another source closes the window early. A row older
-    than the last, or beyond max_rows, is rejected and counted.
-    """
-    closed = []
-    for at, value, source in rows:
-        if state is None:
-            state = (0, at, at, 0, 0, 0.0, source)
-        number, start, last, n, rejected, total, own = state
-        if at < last:
-            state = (number, start, last, n, rejected + 1, total, own)
-            continue
-        if source != own:
-            closed.append((number, start, at, n, rejected, total, "source-changed"))
-            number, start, n, rejected, total = number + 1, at, 0, 0, 0.0
-        elif at - start >= window_ms:
-            end = start + window_ms
-            closed.append((number, start, end, n, rejected, total, "full"))
-            number, n, rejected, total = number + 1, 0, 0, 0.0
-            start = at if at - end >= window_ms else end
-        state = (number, start, at, n + 1, rejected, total + value, source) if n < max_rows else (number, start, at, n, rejected + 1, total, source)
-    return closed, state
-
-
-def rotating_windows(df: DataFrame, key: str, at_ms: str, value: str, source: str, window_ms: float = WINDOW_MS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Closed windows of each key, and after each batch the open one as it stands (reason "open"), for ended(). Rows of a batch are taken in time order."""
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("at_ms", kind="stable")
-        closed, state = rotate(list(zip(rows["at_ms"], rows["value"], rows["source"], strict=True)), held.get if held.exists else None, window_ms, max_rows)
-        if state is not None:
-            held.update(state)
-            closed.append((*state[:6], "open"))
-        yield pd.DataFrame([(str(k[0]), *c) for c in closed], columns=[c.split()[0] for c in ROTATED_DDL.split(", ")])
-
-    narrow = df.select(F.col(key).cast("string").alias("key"), F.col(at_ms).cast("double").alias("at_ms"), F.col(value).cast("double").alias("value"), F.col(source).cast("string").alias("source"))
-    return narrow.groupBy("key").applyInPandasWithState(fold, ROTATED_DDL, _STATE_DDL, "append", GroupStateTimeout.NoTimeout)
-
-
-def ended(windows: DataFrame) -> DataFrame:
-    """Windows of a stream whose input has ended: the closed ones, and each key's last, which ends at its last row (reason "ended")."""
-    closed = windows.filter("reason <> 'open'")
-    last = windows.groupBy("key").agg(F.max_by(F.struct(*windows.columns), F.struct("window_no", F.col("reason") == "open", F.col("rows") + F.col("rejected"))).alias("last")).select("last.*")
-    return closed.unionByName(last.filter("reason = 'open'").withColumn("reason", F.lit("ended")))
 
+from ..sources.scratch import materialize
+from . import folds, ordered
 
 def current(published: DataFrame, key: str) -> DataFrame:
     """The newest revision of each key; earlier ones are superseded."""
@@ -135,77 +78,44 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return table.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("last")).select("last.*")
 
 
-# Detectors over streams.
-
-_HELD_DDL = "rows binary, emitted long"
-
-
-def online(df: DataFrame, key: str, at: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, end: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """A batch detector over a stream of sessions: each event is given once, when a later row has shown that it is over.
-
-    A session lasts up to five minutes, so its rows are kept (max_rows of them, the rest are left out of the detector) and folded
-    again with each batch; end names the column of schema that tells when an event ends. Rows of a batch are taken in time order, and
-    a row that is older than one of an earlier batch is left out. References and resting values must come with the rows.
-    """
-    columns = [c for c in df.columns if c != key]
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, emitted = state.get if state.exists else (None, 0)
-        before = pa.ipc.open_stream(held).read_pandas() if held else None
-        new = pd.concat(list(frames))[columns].sort_values(at, kind="stable")
-        if before is not None and len(before):
-            new = pd.concat([before, new[new[at] > before[at].iloc[-1]]])
-        new = new.iloc[:max_rows].reset_index(drop=True)
-        events = fold(new)
-        over = events[events[end] < new[at].iloc[-1]]
-        table, sink = pa.Table.from_pandas(new, preserve_index=False), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        state.update((sink.getvalue().to_pybytes(), len(over)))
-        fresh = over.iloc[emitted:].copy()
-        fresh.insert(0, key, k[0])
-        yield fresh
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", _HELD_DDL, "append", GroupStateTimeout.NoTimeout)
-
-
-LANE_DDL = "at_ms double, measurable boolean, reasons string"
-#: Flags of a lane with the reason that each gives while it is down, and the longest wait for a frame.
-LANE_FLAGS, LANE_GAP_MS = [("page", "page-hidden"), ("camera", "camera-unavailable"), ("worker", "worker-unavailable")], 200
-
-
-def lane_state(rows: list[tuple[float, str, bool]], state: tuple | None) -> tuple[list[tuple], tuple]:
-    """(evaluations, state) after more rows (at_ms, kind, up) of one lane in time order. kind: a flag, processed (a frame was), or evaluate."""
-    *flags, last = state or (*[True] * len(LANE_FLAGS), None)
-    out = []
-    for at, kind, up in rows:
-        for k, (name, _) in enumerate(LANE_FLAGS):
-            flags[k] = bool(up) if kind == name else flags[k]
-        last = at if kind == "processed" else last
-        if kind == "evaluate":
-            reasons = [reason for (_, reason), ok in zip(LANE_FLAGS, flags, strict=True) if not ok] + ["visual-frame-gap"] * (last is not None and at - last > LANE_GAP_MS)
-            out.append((at, not reasons, ",".join(reasons)))
-    return out, (*flags, last)
-
-
-def lane_health(df: DataFrame, key: str, at_ms: str, kind: str, up: str) -> DataFrame:
-    """Each evaluation of a lane: whether it can be measured, and why not. State: the flags and the last frame's time."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("at_ms", kind="stable")
-        out, now = lane_state(list(zip(rows["at_ms"], rows["kind"], rows["up"], strict=True)), state.get if state.exists else None)
-        state.update(now)
-        yield pd.DataFrame([(k[0], *row) for row in out], columns=["key", "at_ms", "measurable", "reasons"])
-
-    narrow = df.select(F.col(key).cast("string").alias("key"), F.col(at_ms).cast("double").alias("at_ms"), F.col(kind).alias("kind"), F.col(up).alias("up"))
-    flags = ", ".join(f"{name} boolean" for name, _ in LANE_FLAGS)
-    return narrow.groupBy("key").applyInPandasWithState(run, f"key string, {LANE_DDL}", f"{flags}, last_ms double", "append", GroupStateTimeout.NoTimeout)
-
-
 def frames_to_finalise(frames: DataFrame, windows: DataFrame, key: str, lane: str) -> DataFrame:
     """The frames of each closed window (key, window_no, start_ms, end_ms), with t_ms counted from its start: voice frames whose step of 10 ms ends in it, face frames of its whole five-second bins."""
     own = frames.join(windows.select(F.col("key").alias(key), "window_no", "start_ms", "end_ms"), key).withColumn("t_ms", F.col("t_ms") - F.col("start_ms"))
     length = F.col("end_ms") - F.col("start_ms")
     kept = F.col("t_ms") + 10 <= length if lane == "voice" else F.col("t_ms") < F.floor(length / 5_000) * 5_000
     return own.filter((F.col("t_ms") >= 0) & kept)
+
+
+def rotating_windows(df: DataFrame, key: str, fold: folds.Windows, lateness_ms: float, **more) -> DataFrame:
+    """Each key's windows as ordered.ordered() tells them; the rows that a window has no room for are refused."""
+    return ordered.ordered(df, key, fold.at, fold, lateness_ms, **more)
+
+
+def window_metrics(
+    tagged: DataFrame, key: str, fold: folds.Windows, frames: Callable[[], DataFrame], lane: str, metrics: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str,
+    calibration_ms: float | None = None,
+) -> DataFrame:
+    """Metrics of each window of rotating_windows(), computed when it closes and published once; with key and window_no instead of session_id.
+
+    frames: the frames so far, with key as session_id and t_ms on the clock of the windows; only those of windows that a batch has closed
+    are used. metrics: voice.metrics or face.metrics. A batch that is tried again replaces what it wrote. Runs until the source is read,
+    then for the windows that its end closes.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        windows = materialize(ordered.results(batch, key, fold).select(F.col(key).alias("key"), "window_no", "start_ms", "end_ms"))
+        if windows.isEmpty():
+            return
+        own = frames_to_finalise(frames(), windows.withColumn("key", F.col("key").cast("string")), "session_id", lane)
+        own = own.withColumn("session_id", F.concat_ws("/", "session_id", "window_no")).drop("window_no", "start_ms", "end_ms")
+        named = windows.select(F.concat_ws("/", F.col("key").cast("string"), "window_no").alias("session_id"), "key", "window_no")
+        sessions = named.select("session_id", F.lit(0.0).alias("session_started_at_ms"), F.lit(calibration_ms).cast("double").alias("noise_calibration_duration_ms"))
+        found = metrics(own, sessions).join(named, "session_id").drop("session_id").withColumnRenamed("key", key)
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    with ordered.data_only(tagged.sparkSession):
+        query = tagged.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark, kind = tagged.sparkSession, tagged.schema[key].dataType.simpleString()
+    publish(ordered.finish(spark, checkpoint, key, kind, fold.at, fold), -1)
+    return spark.read.parquet(path).drop("batch")
