@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 #: Vectors and bytes to a block at most; anchors to a group; dimensions to a run.
-BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS, RUN = 4096, 1 << 21, 512, 8
+BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS, RUN = 4096, 1 << 21, 512, 16
 #: Blocks to a lane, once each block has had a lane of its own up to so many.
 LANE_BLOCKS, LANES = 16, 64
 #: Thresholds of positives, as shares of the anchor's norm times the root mean square of the norms of its length; the last round has none.
@@ -137,19 +137,26 @@ def scores_above(queries: np.ndarray, thresholds: np.ndarray, wanted: np.ndarray
     partial = np.zeros(alive.shape, exact)
     seen = np.zeros(len(matrix), np.int64)  # runs that are in a vector's partial scores
     for run in range(len(left) - 1):
-        own, some = np.flatnonzero(alive.any(axis=1)), alive.any(axis=0)
-        if not len(own) or alive.sum() * 32 < alive.size:
+        own, some = alive.any(axis=1), alive.any(axis=0)
+        if alive.sum() * 32 < alive.size:
             break
         need = (bar[own, 0] / np.maximum(mine[run][own], 1e-300)).min()
         head = lists[run, : len(matrix) if need <= 0 else np.searchsorted(-bounds[run], -need, "right")]
-        head = head[some[head]]
-        head = head[seen[head] == run]  # what was omitted before stays so
+        head = np.sort(head[some[head] & (seen[head] == run)])  # what was omitted before stays so
         at = slice(run * RUN, run * RUN + RUN)
-        partial[np.ix_(own, head)] += queries[own, at].astype(exact) @ matrix[head, at].astype(exact).T
+        if 2 * len(head) > len(matrix):  # most vectors: those that are left out are put back
+            rest = np.setdiff1d(np.arange(len(matrix)), head)
+            kept = partial[:, rest]
+            partial += queries[:, at].astype(exact) @ matrix[:, at].astype(exact).T
+            partial[:, rest] = kept
+        else:
+            partial[:, head] += queries[:, at].astype(exact) @ matrix[head, at].astype(exact).T
         seen[head] = run + 1
-        alive[:, head] &= partial[:, head] + mine[run + 1][:, None] * left[run + 1][head] >= bar
-        rest = np.flatnonzero(some & (seen == run))
-        alive[:, rest] &= partial[:, rest] + mine[run][:, None] * left[run][rest] >= bar
+        reach = partial + np.multiply.outer(mine[run + 1], left[run + 1])
+        rest = np.flatnonzero(seen < run + 1)
+        if len(rest):
+            reach[:, rest] = partial[:, rest] + mine[seen[rest]].T * left[seen[rest], rest]
+        alive &= reach >= bar
     q, v = np.nonzero(alive)
     scores = partial[q, v].astype(np.int64)
     for low in range(0, len(q), 1 << 16):
