@@ -99,12 +99,6 @@ def test_rejected_rows_are_boundaries(spark):
     assert len({c for c, _ in by}) == 3
 
 
-def test_block_continuity(spark):
-    df = spark.createDataFrame([(0, 1, 0, 10), (1, 2, 10, 10), (2, 5, 60, 10), (3, 1, 0, 10), (4, 2, 10, 10)], "i int, seq int, at int, n int").withColumn("k", F.lit(1))
-    r = sessionize.block_continuity(df, ["k"], ["i"], "seq", "at", "n").orderBy("i").collect()
-    assert [x.lost_before for x in r] == [0, 0, 2, 0, 0] and [x.gap_samples for x in r] == [0, 0, 40, 0, 0] and [x.restart_no for x in r] == [1, 1, 1, 2, 2]
-
-
 # gates
 
 

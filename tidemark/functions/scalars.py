@@ -110,18 +110,21 @@ def window_ref_bounds(ref: Column | str) -> tuple[Column, Column]:
     return number(-2), number(-1)
 
 
-def clinical_time(text: Column | str) -> Column:
-    """struct(earliest, latest, precision): an instant with an offset, a whole day, or unknown."""
+def clinical_time(text: Column | str, date_offset: Column | str | None = None) -> Column:
+    """struct(earliest, latest, precision): an instant that names its offset, a whole day at date_offset (like -07:00, up to 14 hours), or unknown.
+
+    date_offset is a column, or null. Without one, a day is unknown: no zone is taken from the session.
+    """
     text = col(text)
-    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    offset = F.lit(None).cast("string") if date_offset is None else col(date_offset)
+    offset = F.when(offset.rlike(r"^[+-](0\d|1[0-4]):[0-5]\d$"), offset)
     instant = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
-    at = F.try_to_timestamp(text)
-    known_day, known_instant = day & at.isNotNull(), instant & at.isNotNull()
+    at = F.when(instant, F.try_to_timestamp(text))
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(text, F.lit("T00:00:00"), offset)))
     return F.struct(
-        F.when(known_day | known_instant, at).alias("earliest"),
-        F.when(known_day, at + F.expr("interval 1 day") - F.expr("interval 1 millisecond")).when(known_instant, at).alias("latest"),
-        F.when(known_day, "day").when(known_instant, "instant").otherwise("unknown").alias("precision"),
-    )
+        F.coalesce(at, day).alias("earliest"), F.coalesce(at, day + F.expr("interval 1 day") - F.expr("interval 1 millisecond")).alias("latest"),
+        F.when(day.isNotNull(), "day").when(at.isNotNull(), "instant").otherwise("unknown").alias("precision"),
+    )
 
 
 def coding_label(codings: Column | str) -> Column:

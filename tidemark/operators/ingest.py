@@ -38,69 +38,111 @@ def without_duplicates(admitted: DataFrame) -> DataFrame:
     return admitted.filter("admission = 'new'").drop("admission")
 
 
-#: Resource types that are taken in.
+#: Resource types that are taken in, and why a resource is not.
 RESOURCE_TYPES = ["MedicationAdministration", "MedicationRequest", "MedicationStatement", "Procedure"]
+UNSUPPORTED, NO_ID, OTHER_PATIENT, MODIFIER = "unsupported-resource-type", "fhir-resource-id", "fhir-patient-mismatch", "fhir-unsupported-modifier"
+UNMAPPED, NOT_COMPLETE = "unmapped-treatment-code", "administration-not-confirmed-complete"
+#: Why nothing can be read.
+NO_JSON, NO_OBJECT, NO_ENTRIES, NO_RESOURCE = "not-json", "not-an-object", "entry-is-not-a-list", "entry-without-resource"
+_ID = r"^[A-Za-z0-9.-]{1,64}$"
 
 _CODING = "array<struct<system: string, code: string>>"
 RESOURCE_DDL = (
-    f"resourceType string, id string, status string, subject struct<reference: string>, meta struct<versionId: string, lastUpdated: string>, code struct<coding: {_CODING}>, "
-    f"medicationCodeableConcept struct<coding: {_CODING}>, medicationReference struct<reference: string>, effectiveDateTime string, performedDateTime string, "
+    "resourceType string, id string, status string, subject struct<reference: string>, meta struct<versionId: string, lastUpdated: string>, modifierExtension array<string>, "
+    f"code struct<coding: {_CODING}>, medicationCodeableConcept struct<coding: {_CODING}>, medicationReference struct<reference: string>, effectiveDateTime string, performedDateTime string, "
     f"dosage struct<dose: struct<value: double, unit: string, code: string, comparator: string>, route: struct<coding: {_CODING}>, site: struct<coding: {_CODING}>>"
 )
-BUNDLE_DDL = f"resourceType string, entry array<struct<resource: struct<{', '.join(x.strip() for x in [RESOURCE_DDL])}>>>"
 
 
-def bundle_resources(bundles: DataFrame, bundle_id: str, payload: str) -> DataFrame:
-    """One row per resource of each JSON bundle: bundle_id and resource; a bundle that does not parse gives none."""
-    parsed = bundles.select(
-        bundle_id,
-        F.from_json(payload, BUNDLE_DDL.replace("resourceType string, id", "resourceType: string, id").replace("struct<resourceType string", "struct<resourceType: string")).alias("bundle")
+def _kind(json: Column) -> Column:
+    """What a variant is: OBJECT<...>, ARRAY<...>, a simple type, or null."""
+    return F.schema_of_variant(json)
+
+
+def read_resources(documents: DataFrame, document_id: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """(resources, unread) of JSON documents, each a bundle of resources or one resource.
+
+    resources: document_id, position (0 for a single one), resource (RESOURCE_DDL; fields of another type are null) and content_sha256, which the
+    order of keys does not change. unread: document_id, position (null for a whole document), reason and raw. A bundle without
+    entries has none of either.
+    """
+    json = F.col("json")
+    parsed = documents.select(F.col(document_id), F.col(payload).alias("raw"), F.try_parse_json(payload).alias("json"))
+    is_object = F.coalesce(_kind(json).startswith("OBJECT"), F.lit(False))
+    bundle = is_object & F.coalesce(F.try_variant_get(json, "$.resourceType", "string") == "Bundle", F.lit(False))
+    entry = F.try_variant_get(json, "$.entry", "variant")
+    absent = entry.isNull() | (_kind(entry) == "VOID")
+    entries = F.try_variant_get(json, "$.entry", "array<variant>")
+    whole = parsed.withColumn("reason", F.when(json.isNull(), NO_JSON).when(~is_object, NO_OBJECT).when(bundle & ~absent & entries.isNull(), NO_ENTRIES))
+    each = F.when(~bundle, F.array(F.struct(json.alias("entry"), json.alias("resource")))).otherwise(
+        F.transform(F.coalesce(entries, F.array().cast("array<variant>")), lambda e: F.struct(e.alias("entry"), F.try_variant_get(e, "$.resource", "variant").alias("resource")))
     )
-    return parsed.select(bundle_id, F.explode("bundle.entry.resource").alias("resource"))
+    listed = whole.filter("reason is null").select(document_id, F.posexplode(each).alias("position", "e"))
+    sound = F.coalesce(_kind(F.col("e.resource")).startswith("OBJECT"), F.lit(False))
+    text = F.to_json("e.resource")
+    resources = listed.filter(sound).select(document_id, "position", F.from_json(text, RESOURCE_DDL).alias("resource"), F.sha2(text, 256).alias("content_sha256"))
+    missing = listed.filter(~sound).select(document_id, "position", F.lit(NO_RESOURCE).alias("reason"), F.to_json("e.entry").alias("raw"))
+    lost = whole.filter("reason is not null").select(document_id, F.lit(None).cast("int").alias("position"), "reason", "raw")
+    return resources, lost.unionByName(missing)
 
 
-def map_resources(resources: DataFrame, bundle_id: str, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, excluded). rows: resource_id, record (treatment or context), status, verification, kind, product, effective, dose, route, site.
+def map_resources(resources: DataFrame, document_id: str, codes: DataFrame, patient: Column | None = None, date_offset: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, excluded, sources) of read_resources(): each resource is in one of the first two, known by document_id and position.
 
-    codes: system, code, product, kind, position; of several that fit, the first. A medication is looked up by
-    reference within its bundle. An order is never an administration.
+    rows: resource_id, record (treatment or context), status, verification, kind, product, effective, dose, route, site. excluded: resource_id and
+    reason. sources: version_id (a digest of the content where none is given), last_updated, content_sha256 and original_effective of
+    every resource of a type that is taken in, of the right patient.
+
+    codes: system, code, product, kind, position; of several that fit, the first. A medication is looked up by reference within its
+    document. An order is never an administration. patient: the reference that a resource must have; null or left out: any.
     """
-    r = F.col("resource")
+    r, place = F.col("resource"), [document_id, "position"]
     known = resources.withColumn("resource_id", F.concat_ws("/", r["resourceType"], F.coalesce(r["id"], F.lit("missing-id"))))
-    medications = known.filter(r["resourceType"] == "Medication").groupBy(bundle_id, F.col("resource_id").alias("m_id")).agg(F.first(r["code"]["coding"]).alias("m_coding"))
-    typed = known.filter(r["resourceType"].isin(RESOURCE_TYPES)).withColumn("m_id", r["medicationReference"]["reference"])
-    coded = typed.join(medications, [bundle_id, "m_id"], "left").withColumn(
+    if "content_sha256" not in known.columns:
+        known = known.withColumn("content_sha256", F.sha2(F.to_json(r), 256))
+    of_type = F.coalesce(r["resourceType"].isin(RESOURCE_TYPES), F.lit(False))
+    wanted = F.lit(None).cast("string") if patient is None else patient
+    refused = S.first_reason([
+        (~of_type, UNSUPPORTED), (~F.coalesce(r["id"].rlike(_ID), F.lit(False)), NO_ID), (wanted.isNotNull() & ~r["subject"]["reference"].eqNullSafe(wanted), OTHER_PATIENT),
+        (F.coalesce(F.size(r["modifierExtension"]) > 0, F.lit(False)), MODIFIER),
+    ])
+    judged = known.withColumn("refused", refused)
+    medications = known.filter(r["resourceType"] == "Medication").groupBy(document_id, F.col("resource_id").alias("m_id")).agg(F.max_by(r["code"]["coding"], "position").alias("m_coding"))
+    typed = judged.filter("refused is null").withColumn("m_id", r["medicationReference"]["reference"])
+    coded = typed.join(medications, [document_id, "m_id"], "left").withColumn(
         "coding",
         F.when(r["resourceType"] == "Procedure", r["code"]["coding"]).otherwise(F.coalesce(r["medicationCodeableConcept"]["coding"], F.col("m_coding")))
     )
-    each = coded.select(bundle_id, "resource_id", F.explode("coding").alias("c")).select(bundle_id, "resource_id", F.col("c.system").alias("system"), F.col("c.code").alias("code"))
-    mapped = each.join(codes, ["system", "code"]).groupBy(bundle_id, "resource_id").agg(F.min_by(F.struct("kind", "product"), "position").alias("mapping"))
-    joined = coded.join(mapped, [bundle_id, "resource_id"], "left")
+    each = coded.select(*place, F.explode("coding").alias("c")).select(*place, F.col("c.system").alias("system"), F.col("c.code").alias("code"))
+    ranked = codes.withColumnRenamed("position", "rank")
+    mapped = each.join(ranked, ["system", "code"]).groupBy(*place).agg(F.min_by(F.struct("kind", "product"), "rank").alias("mapping"))
+    joined = coded.join(mapped, place, "left")
     kind = r["resourceType"]
     actual = kind.isin("MedicationAdministration", "Procedure")
     completed, error = F.coalesce(actual & (r["status"] == "completed"), F.lit(False)), F.coalesce(r["status"] == "entered-in-error", F.lit(False))
     treatment = F.col("mapping").isNotNull() & (completed | error | (kind == "MedicationRequest"))
     context = (kind == "MedicationStatement") | ((kind == "Procedure") & (completed | error))
-    record = F.when(treatment, "treatment").when(context, "context")
     planned = ~error & ~completed
     effective = F.when(kind == "Procedure", r["performedDateTime"]).otherwise(r["effectiveDateTime"])
     dose, unit = r["dosage"]["dose"], F.coalesce(r["dosage"]["dose"]["unit"], r["dosage"]["dose"]["code"])
-    marked = joined.withColumn("record", record)
+    marked = joined.withColumn("record", F.when(treatment, "treatment").when(context, "context"))
     rows = marked.filter("record is not null").select(
-        bundle_id, "resource_id", "record",
+        *place, "resource_id", "record",
         F.when(error, "entered-in-error").when(F.col("record") == "context", "active").when(completed, "administered").otherwise("planned").alias("status"),
         F.when(actual, "verified").otherwise("unverified").alias("verification"), F.col("mapping.kind").alias("kind"), F.col("mapping.product").alias("product"),
-        S.clinical_time(F.when((F.col("record") == "treatment") & planned, None).otherwise(effective)).alias("effective"),
+        S.clinical_time(F.when((F.col("record") == "treatment") & planned, None).otherwise(effective), date_offset).alias("effective"),
         F.when(
             dose["comparator"].isNull(), S.positive_dose(dose["value"], unit)
         ).alias("dose"), S.coding_label(r["dosage"]["route"]["coding"]).alias("route"), S.coding_label(r["dosage"]["site"]["coding"]).alias("site"),
     )
-    unsupported = known.filter(F.coalesce(~r["resourceType"].isin(RESOURCE_TYPES), F.lit(True))).select(bundle_id, "resource_id", F.lit("unsupported-resource-type").alias("reason"))
-    left = marked.filter("record is null").select(
-        bundle_id, "resource_id",
-        F.when(F.col("mapping").isNull(), "unmapped-treatment-code").otherwise("administration-not-confirmed-complete").alias("reason")
-    )
-    return rows, unsupported.unionByName(left)
+    left = marked.filter("record is null").select(*place, "resource_id", F.when(F.col("mapping").isNull(), UNMAPPED).otherwise(NOT_COMPLETE).alias("reason"))
+    excluded = judged.filter("refused is not null").select(*place, "resource_id", F.col("refused").alias("reason")).unionByName(left)
+    updated = r["meta"]["lastUpdated"]
+    sources = typed.select(
+        *place, "resource_id", F.coalesce(r["meta"]["versionId"], F.concat(F.lit("content-sha256:"), F.col("content_sha256"))).alias("version_id"),
+        F.when(S.clinical_time(updated)["precision"] == "instant", updated).alias("last_updated"), "content_sha256", effective.alias("original_effective"),
+    )
+    return rows, excluded, sources
 
 
 def source_order_reason(version: Column, updated: Column, current_version: Column, current_updated: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import sessionize
 
 #: Fixed values of pitch consensus.
 PITCH_TOLERANCE, OCTAVE_SLACK, TIE_AGREEMENT = 0.12, 0.12, 0.8
@@ -91,18 +92,24 @@ def pooled(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return long.groupBy(*keys, "dimension").agg(F.avg(F.col("x").cast("double")).alias("mean_value"), F.stddev_pop(F.col("x").cast("double")).alias("sd_value"), F.count("*").alias("n"))
 
 
-def stream_diagnostics(df: DataFrame, keys: list[str], order: list[str], sequence: str, at_ms: str, latency_ms: str) -> DataFrame:
-    """received, lost, lost_fraction, max_gap_ms, p95_latency_ms and regressions of each stream."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.lag(sequence).over(w)
-    marked = df.withColumn("back", (F.col(sequence) <= before).cast("int")).withColumn(
-        "missing", F.greatest(F.col(sequence) - before - 1, F.lit(0))
-    ).withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(w))
+#: Fixed value: so many of the latest latencies count.
+LATENCIES = 500
+
+
+def stream_diagnostics(df: DataFrame, keys: list[str], order: list[str], sequence: str, index: str, length: str, at_ms: str, rate: str, latency_ms: str) -> DataFrame:
+    """received, lost, lost_fraction, max_gap_ms, regressions (blocks refused, and accepted ones that are earlier than the one before) and p95_latency_ms (of the latest accepted blocks) of each stream."""
+    told = sessionize.block_continuity(df, keys, order, sequence, index, length, at_ms, rate)
+    taken = F.col("accepted")
+    latest = Window.partitionBy(*keys, "accepted").orderBy(*[F.col(c).desc() for c in order])
+    marked = told.withColumn("late_ms", F.when(taken & (F.row_number().over(latest) <= LATENCIES), F.col(latency_ms)))
     out = marked.groupBy(*keys).agg(
-        F.count("*").alias("received"), F.coalesce(F.sum("missing"), F.lit(0)).alias("lost"), F.max("gap").alias("max_gap_ms"),
-        F.percentile(latency_ms, F.lit(0.95)).alias("p95_latency_ms"), F.coalesce(F.sum("back"), F.lit(0)).alias("regressions")
-    )
-    return out.withColumn("lost_fraction", F.col("lost") / (F.col("received") + F.col("lost")))
+        F.sum(taken.cast("long")).alias("received"), F.sum("lost_before").alias("lost"), F.max("gap_ms").alias("max_gap_ms"), F.sum((~taken | F.col("time_back")).cast("long")).alias("regressions"),
+        F.array_sort(F.collect_list("late_ms")).alias("latencies"),
+    )
+    n = F.size("latencies")
+    place = F.least(n - 1, F.floor(n * 0.95)).cast("int")
+    p95 = F.when(n == 0, F.lit(0.0)).otherwise(F.get("latencies", F.greatest(place, F.lit(0))).cast("double"))
+    return out.withColumn("p95_latency_ms", p95).withColumn("lost_fraction", F.col("lost") / F.greatest(F.lit(1), F.col("received") + F.col("lost"))).drop("latencies")
 
 
 def encoded(df: DataFrame, samples: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], name: str = "vector") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import assembly, face, gates, governance, ingest, journal, provenance, sessionize, signals
 from ..sources import histories
+from . import measures
 from .catalog import query, table
 from .face_lane import FACE_SQL, face_frames
 from .observations import _LISTED
@@ -250,17 +251,11 @@ def disallowed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "block_continuity",
-    """WITH b AS (SELECT user_id, event_id, event_id % 50 AS seq, event_id * 100 AS idx FROM events), w AS (SELECT *, lag(seq) OVER v AS before, idx - lag(idx) OVER v - 90 AS gap FROM b WINDOW v AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, count(*) AS blocks, CAST(sum((seq <= before)::INT) AS BIGINT) AS regressed, CAST(sum(CASE WHEN before IS NULL OR seq <= before THEN 0 ELSE seq - before - 1 END) AS BIGINT) AS lost, CAST(sum(greatest(coalesce(gap, 0), 0)) AS BIGINT) AS gap_samples, CAST(1 + sum((seq <= before)::INT) AS BIGINT) AS restarts FROM w GROUP BY user_id""",
+    f"{measures.BLOCKS_SQL} SELECT c.user_id, event_id, ok AS accepted, lost AS lost_before, gap AS gap_ms, jump AS discontinuous, back AS time_back, restart AS restart_no FROM c JOIN e USING (user_id, k)",
 )
 def block_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    blocks = table(spark, sf_dir, "events").select("user_id", e, (e % 50).alias("seq"), (e * 100).alias("idx"), F.lit(90).alias("len"))
-    found = sessionize.block_continuity(blocks, ["user_id"], ["event_id"], "seq", "idx", "len")
-    return found.groupBy("user_id").agg(
-        F.count("*").alias("blocks"), F.sum(F.col("regressed").cast("long")).alias("regressed"), F.sum("lost_before").cast("long").alias("lost"),
-        F.sum("gap_samples").cast("long").alias("gap_samples"), F.max("restart_no").cast("long").alias("restarts")
-    )
+    found = sessionize.block_continuity(measures.audio_blocks(spark, sf_dir), ["user_id"], ["event_id"], "seq", "idx", "len", "at_ms", "rate")
+    return found.select("user_id", "event_id", "accepted", "lost_before", "gap_ms", "discontinuous", "time_back", "restart_no")
 
 
 @query("permitted_orders", "SELECT o_orderkey FROM orders WHERE o_custkey % 9 IN (SELECT c_custkey % 9 FROM customer WHERE c_custkey % 9 < 3)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -127,15 +127,39 @@ def pitch_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.with_pitch(tones, "samples", "rate").select("event_id", F.round(p["hz"], 3).alias("hz"), F.round(p["agreement"], 4).alias("agreement"))
 
 
+_HZ, _BLOCK = 48_000, 480
+
+
+def audio_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as ten-millisecond blocks of samples: some lost, some back in number or samples, some with a jump or a gap in time."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    whole, at = F.floor("value"), F.col("k")
+    return events(spark, sf_dir).withColumn("k", k).select(
+        "user_id", "event_id", "value", (at + F.expr("k div 10") - F.when(whole % 7 == 0, 3).otherwise(0)).cast("long").alias("seq"),
+        (at * _BLOCK + F.when(whole % 11 == 0, 100).otherwise(0) - F.when(whole % 13 == 0, 2 * _BLOCK).otherwise(0)).cast("long").alias("idx"), F.lit(_BLOCK).cast("long").alias("len"),
+        (at * 10.0 + F.when(whole % 17 == 0, 60.0).otherwise(0.0)).alias("at_ms"), F.lit(_HZ).cast("long").alias("rate"),
+    )
+
+
+#: The rule told block by block: what counts is the last accepted block.
+BLOCKS_SQL = f"""WITH RECURSIVE b AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CAST(floor(value) AS BIGINT) AS w FROM events),
+e AS (SELECT user_id, event_id, value, k, k + k // 10 - CASE WHEN w % 7 = 0 THEN 3 ELSE 0 END AS seq, k * {_BLOCK} + CASE WHEN w % 11 = 0 THEN 100 ELSE 0 END - CASE WHEN w % 13 = 0 THEN {2 * _BLOCK} ELSE 0 END AS idx, k * 10.0::DOUBLE + CASE WHEN w % 17 = 0 THEN 60 ELSE 0 END AS t FROM b),
+c AS (SELECT user_id, k, true AS ok, seq AS last_seq, idx + {_BLOCK} AS last_end, t AS last_at, 0::BIGINT AS lost, 0::DOUBLE AS gap, false AS jump, false AS back, 1::BIGINT AS restart FROM e WHERE k = 1 UNION ALL
+  SELECT e.user_id, e.k, o.ok, CASE WHEN o.ok THEN e.seq ELSE last_seq END, CASE WHEN o.ok THEN e.idx + {_BLOCK} ELSE last_end END, CASE WHEN o.ok THEN e.t ELSE last_at END,
+    CASE WHEN o.ok AND last_seq > 0 THEN greatest(0, e.seq - last_seq - 1) ELSE 0 END, CASE WHEN o.ok THEN greatest(0, e.t - last_at - 10) ELSE 0 END, o.ok AND last_end > 0 AND e.idx <> last_end, o.ok AND e.t < last_at,
+    restart + CASE WHEN o.ok AND ((last_seq > 0 AND e.seq - last_seq > 1) OR (last_end > 0 AND e.idx <> last_end) OR e.t - last_at - 10 > 40) THEN 1 ELSE 0 END
+  FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1, LATERAL (SELECT NOT (last_seq > 0 AND e.seq <= last_seq) AND NOT (last_end > 0 AND e.idx < last_end) AS ok) o)"""
+
+
 @query(
     "stream_diagnostics",
-    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1000.0 AS ms, value FROM events), w AS (SELECT *, lag(event_id) OVER v AS b, ms - lag(ms) OVER v AS gap FROM e WINDOW v AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, count(*) AS received, CAST(coalesce(sum(CASE WHEN b IS NULL THEN 0 ELSE greatest(event_id - b - 1, 0) END), 0) AS BIGINT) AS lost, round(max(gap), 3) AS max_gap_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, CAST(coalesce(sum((event_id <= b)::INT), 0) AS BIGINT) AS regressions FROM w GROUP BY user_id""",
+    f"""{BLOCKS_SQL}, l AS (SELECT c.user_id, value, row_number() OVER (PARTITION BY c.user_id ORDER BY c.k DESC) AS n FROM c JOIN e USING (user_id, k) WHERE ok),
+p AS (SELECT user_id, list_sort(list(value)) AS v FROM l WHERE n <= 500 GROUP BY user_id), d AS (SELECT user_id, count(*) FILTER (ok) AS received, CAST(sum(lost) AS BIGINT) AS lost, max(gap) AS max_gap_ms, count(*) FILTER (NOT ok OR back) AS regressions FROM c GROUP BY user_id)
+SELECT user_id, received, lost, round(lost / greatest(1, received + lost), 9) AS lost_fraction, max_gap_ms, regressions, v[1 + least(len(v) - 1, CAST(floor(len(v) * 0.95) AS BIGINT))] AS p95_latency_ms FROM d JOIN p USING (user_id)""",
 )
 def stream_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("ms", F.col("us") / 1000)
-    d = signals.stream_diagnostics(e, ["user_id"], ["event_id"], "event_id", "ms", "value")
-    return d.select("user_id", "received", "lost", F.round("max_gap_ms", 3).alias("max_gap_ms"), F.round("p95_latency_ms", 6).alias("p95_latency_ms"), "regressions")
+    d = signals.stream_diagnostics(audio_blocks(spark, sf_dir), ["user_id"], ["event_id"], "seq", "idx", "len", "at_ms", "rate", "value")
+    return d.withColumn("lost_fraction", F.round("lost_fraction", 9))
 
 
 TYPES = ["click", "view", "purchase", "signup", "error"]
@@ -211,15 +235,18 @@ def order_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clinical_times",
-    """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT10:30:00Z') WHEN 2 THEN strftime(o_orderdate, '%Y-%m') END AS s, o_orderdate AS d FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'instant' ELSE 'unknown' END AS precision, CASE o_orderkey % 4 WHEN 0 THEN epoch_us(date_trunc('day', d)) WHEN 1 THEN epoch_us(date_trunc('day', d)) + 37800000000 END AS earliest_us,
-  CASE o_orderkey % 4 WHEN 0 THEN epoch_us(date_trunc('day', d)) + 86399999000 WHEN 1 THEN epoch_us(date_trunc('day', d)) + 37800000000 END AS latest_us FROM t""",
+    """WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 3 AS z, epoch_us(date_trunc('day', o_orderdate)) AS day FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 AND z < 2 THEN 'day' WHEN k IN (1, 3) THEN 'instant' ELSE 'unknown' END AS precision, CASE WHEN k = 0 AND z < 2 THEN day + CASE z WHEN 0 THEN 7 ELSE -5 END * 3600000000 WHEN k = 1 THEN day + 37800000000 WHEN k = 3 THEN day + 30600000000 END AS earliest_us,
+  CASE WHEN k = 0 AND z < 2 THEN day + CASE z WHEN 0 THEN 7 ELSE -5 END * 3600000000 + 86399999000 WHEN k = 1 THEN day + 37800000000 WHEN k = 3 THEN day + 30600000000 END AS latest_us FROM t""",
 )
 def clinical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, date = F.col("o_orderkey") % 4, lambda p: F.date_format("o_orderdate", p)
-    text = F.when(k == 0, date("yyyy-MM-dd")).when(k == 1, F.concat(date("yyyy-MM-dd"), F.lit("T10:30:00Z"))).when(k == 2, date("yyyy-MM"))
+    """Days at offsets that some rows give, instants, months and nulls."""
+    k, date = F.col("o_orderkey") % 5, lambda p: F.date_format("o_orderdate", p)
+    at = lambda time: F.concat(date("yyyy-MM-dd"), F.lit(time))
+    text = F.when(k == 0, date("yyyy-MM-dd")).when(k == 1, at("T10:30:00Z")).when(k == 2, date("yyyy-MM")).when(k == 3, at("T10:30:00.000+02:00"))
+    offset = F.when(F.col("o_orderkey") % 3 == 0, "-07:00").when(F.col("o_orderkey") % 3 == 1, "+05:00")
     t = F.col("t")
-    return table(spark, sf_dir, "orders").withColumn("t", S.clinical_time(text)).select(
+    return table(spark, sf_dir, "orders").withColumn("t", S.clinical_time(text, offset)).select(
         "o_orderkey", t["precision"].alias("precision"), F.unix_micros(t["earliest"]).alias("earliest_us"), F.unix_micros(t["latest"]).alias("latest_us")
     )
 
@@ -241,35 +268,63 @@ def clock_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPES_SQL = "['MedicationAdministration', 'MedicationRequest', 'MedicationStatement', 'Procedure', 'Observation']"
+_CODED_SQL = f"""WITH r AS (SELECT o_orderkey, o_custkey, {_TYPES_SQL}[1 + o_orderkey % 5] AS type, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 13 = 0 THEN 'entered-in-error' ELSE 'in-progress' END AS status, o_orderpriority IN ('1-URGENT', '2-HIGH') AS mapped FROM orders),
+j AS (SELECT *, type IN ('MedicationAdministration', 'Procedure') AND status = 'completed' AS done, status = 'entered-in-error' AS err,
+  CASE WHEN o_orderkey % 29 = 1 THEN 'not-json' WHEN o_orderkey % 31 = 1 THEN 'entry-without-resource' WHEN o_orderkey % 37 = 1 THEN 'not-an-object' WHEN o_orderkey % 43 = 1 THEN 'entry-is-not-a-list' END AS unread FROM r),
+k AS (SELECT *, CASE WHEN type = 'Observation' THEN 'unsupported-resource-type' WHEN o_orderkey % 47 = 1 THEN 'fhir-resource-id' WHEN o_custkey % 19 = 0 THEN 'fhir-patient-mismatch' WHEN o_orderkey % 41 = 1 THEN 'fhir-unsupported-modifier' END AS refused,
+  CASE WHEN mapped AND (done OR err OR type = 'MedicationRequest') THEN 'treatment' WHEN type = 'MedicationStatement' OR (type = 'Procedure' AND (done OR err)) THEN 'context' END AS kept FROM j),
+o AS (SELECT *, CASE WHEN unread IS NOT NULL THEN 'unread' WHEN refused IS NOT NULL OR kept IS NULL THEN 'excluded' ELSE kept END AS record FROM k)"""
 
 
-@query(
-    "coded_resources",
-    f"""WITH r AS (SELECT o_orderkey, {_TYPES_SQL}[1 + o_orderkey % 5] AS type, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 13 = 0 THEN 'entered-in-error' ELSE 'in-progress' END AS status, o_orderpriority IN ('1-URGENT', '2-HIGH') AS mapped FROM orders),
-j AS (SELECT *, type IN ('MedicationAdministration', 'Procedure') AND status = 'completed' AS done, status = 'entered-in-error' AS err FROM r),
-k AS (SELECT *, CASE WHEN type = 'Observation' THEN 'excluded' WHEN mapped AND (done OR err OR type = 'MedicationRequest') THEN 'treatment' WHEN type = 'MedicationStatement' OR (type = 'Procedure' AND (done OR err)) THEN 'context' ELSE 'excluded' END AS record FROM j)
-SELECT record, CASE WHEN type = 'Observation' THEN 'unsupported-resource-type' WHEN record = 'excluded' AND NOT mapped THEN 'unmapped-treatment-code' WHEN record = 'excluded' THEN 'administration-not-confirmed-complete' WHEN err THEN 'entered-in-error' WHEN record = 'context' THEN 'active' WHEN done THEN 'administered' ELSE 'planned' END AS status, count(*) AS n FROM k GROUP BY ALL""",
-)
-def coded_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as JSON bundles of one coded resource each, taken in and counted."""
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON documents of one coded resource each, some in bundles, some alone, some that cannot be read."""
     k = F.col("o_orderkey")
     kinds = F.array(*[F.lit(t) for t in ("MedicationAdministration", "MedicationRequest", "MedicationStatement", "Procedure", "Observation")])
     concept = F.struct(F.array(F.struct(F.lit("urn:p").alias("system"), F.col("o_orderpriority").alias("code"))).alias("coding"))
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(k % 13 == 0, "entered-in-error").otherwise("in-progress")
     resource = F.struct(
-        F.get(kinds, (k % 5).cast("int")).alias("resourceType"), k.cast("string").alias("id"), status.alias("status"), concept.alias("code"),
-        concept.alias("medicationCodeableConcept")
-    )
-    bundles = table(spark, sf_dir, "orders").select(
-        k.alias("bundle_id"),
-        F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.array(F.struct(resource.alias("resource"))).alias("entry"))).alias("payload")
-    )
+        F.get(kinds, (k % 5).cast("int")).alias("resourceType"), F.when(k % 47 == 1, F.lit("no id!")).otherwise(k.cast("string")).alias("id"), status.alias("status"), concept.alias("code"), concept.alias("medicationCodeableConcept"),
+        F.struct(F.concat(F.lit("Patient/"), F.when(F.col("o_custkey") % 19 == 0, "b").otherwise("a")).alias("reference")).alias("subject"), F.when(k % 41 == 1, F.array(F.struct(F.lit("x").alias("url")))).alias("modifierExtension"),
+        F.struct(F.when(k % 2 == 0, (k % 9).cast("string")).alias("versionId")).alias("meta"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effectiveDateTime"),
+    )
+    bundle = F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.array(F.struct(resource.alias("resource"))).alias("entry")))
+    payload = (
+        F.when(k % 29 == 1, F.lit('{"resourceType": "Bundle", "entry": [')).when(k % 31 == 1, F.lit('{"resourceType": "Bundle", "entry": [{"fullUrl": "x"}]}')).when(k % 37 == 1, F.lit("[1, 2]"))
+        .when(k % 43 == 1, F.lit('{"resourceType": "Bundle", "entry": 5}')).when(k % 3 == 0, F.to_json(resource)).otherwise(bundle)
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("document_id"), payload.alias("payload"))
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     codes = spark.createDataFrame([("urn:p", "1-URGENT", "a", "injection", 0), ("urn:p", "2-HIGH", "b", "injection", 1)], "system string, code string, product string, kind string, position int")
-    rows, excluded = ingest.map_resources(ingest.bundle_resources(bundles, "bundle_id", "payload"), "bundle_id", codes)
-    both = rows.select("record", "status").unionByName(excluded.select(F.lit("excluded").alias("record"), F.col("reason").alias("status")))
+    resources, unread = ingest.read_resources(_documents(spark, sf_dir), "document_id", "payload")
+    return *ingest.map_resources(resources, "document_id", codes, F.lit("Patient/a"), F.lit("-07:00")), unread
+
+
+@query(
+    "coded_resources",
+    f"""{_CODED_SQL} SELECT record, CASE WHEN record = 'unread' THEN unread WHEN refused IS NOT NULL THEN refused WHEN record = 'excluded' AND NOT mapped THEN 'unmapped-treatment-code' WHEN record = 'excluded' THEN 'administration-not-confirmed-complete'
+  WHEN err THEN 'entered-in-error' WHEN record = 'context' THEN 'active' WHEN done THEN 'administered' ELSE 'planned' END AS status, count(*) AS n FROM o GROUP BY ALL""",
+)
+def coded_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's resource is taken in, excluded or unread, and counted."""
+    rows, excluded, _, unread = _mapped(spark, sf_dir)
+    told = lambda df, record: df.select(F.lit(record).alias("record"), F.col("reason").alias("status"))
+    both = rows.select("record", "status").unionByName(told(excluded, "excluded")).unionByName(told(unread, "unread"))
     return both.groupBy("record", "status").agg(F.count("*").alias("n"))
 
 
+@query(
+    "resource_sources",
+    f"""{_CODED_SQL} SELECT o_orderkey AS document_id, type || '/' || o_orderkey AS resource_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 AS VARCHAR) ELSE 'content-sha256' END AS version, CASE WHEN type <> 'Procedure' THEN strftime(d.o_orderdate, '%Y-%m-%d') END AS original_effective
+  FROM o JOIN orders d USING (o_orderkey) WHERE unread IS NULL AND refused IS NULL""",
+)
+def resource_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each resource that is looked at came from."""
+    sources = _mapped(spark, sf_dir)[2]
+    return sources.select("document_id", "resource_id", F.split_part("version_id", F.lit(":"), F.lit(1)).alias("version"), "original_effective")
+
+
 @query(
     "reference_audit",
     """WITH t AS (SELECT o_orderkey AS k, o_custkey % 10 AS grp FROM orders WHERE o_orderkey % 17 <> 0), r AS (SELECT l_orderkey AS k, l_suppkey % 10 AS grp FROM lineitem),
