@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -25,8 +27,12 @@ ALLOWED_STAGES = {
 }
 
 
-def sequence_audit(events: DataFrame, session: str, sequence: str, event_id: str, at: str, cause: str | None = None, same: list[str] | None = None, first: int = 1) -> DataFrame:
-    """Events with problems: a gap in the numbers, a repeated id, a time before the last, another subject or protocol than the first event's, a cause that is not earlier."""
+def sequence_audit(events: DataFrame, session: str, sequence: str, event_id: str, at: str, cause: str | None = None, same: list[str] | None = None, first: int = 1, evidence: str | None = None) -> DataFrame:
+    """Events with problems: a gap in the numbers, a repeated id, a time before the last, another subject or protocol than the first event's, a cause that is not earlier.
+
+    evidence: an array of structs, references whose fields are named like the event's own columns; one that differs in any of these crosses the
+    event's scope.
+    """
     ordered = Window.partitionBy(session).orderBy(sequence, event_id)
     by_id = Window.partitionBy(session, event_id).orderBy(sequence)
     checks = [
@@ -37,6 +43,10 @@ def sequence_audit(events: DataFrame, session: str, sequence: str, event_id: str
     if same:
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         checks.append((~F.struct(*same).eqNullSafe(F.first(F.struct(*same)).over(whole)), "foreign-event"))
+    if evidence:
+        fields = events.schema[evidence].dataType.elementType.names
+        unlike = lambda ref: functools.reduce(Column.__or__, [~ref[f].eqNullSafe(F.col(f)) for f in fields])
+        checks.append((F.exists(evidence, unlike), "evidence-crosses-scope"))
     marked = events.withColumn("problems", S.reasons(checks))
     if cause is None:
         return marked

@@ -5,6 +5,8 @@ Each audit gives rows with an array column `violations`, empty where nothing is
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,24 @@ def resolve_refs(refs: DataFrame, targets: DataFrame, keys: list[str], equal: li
     return joined.withColumn("violations", S.reasons(checks)).drop("target_n", *[f"t_{c}" for c in equal])
 
 
+def resolve_typed_refs(refs: DataFrame, targets: dict[str, DataFrame], scope: str, position: str) -> DataFrame:
+    """refs (kind, target_id, scope, position) with violations, by one join against the targets of all kinds.
+
+    targets, by kind: target_id, the scope that they belong to and the position at which they were recorded; a null scope is any, a null
+    position always. A reference must name a known kind and exactly one target of it, in its own scope and recorded before its
+    own position.
+    """
+    each = [df.select(F.lit(kind).alias("kind"), F.col("target_id").cast("string").alias("target_id"), F.col(scope).alias("t_scope"), F.col(position).alias("t_position")) for kind, df in targets.items()]
+    counted = functools.reduce(DataFrame.unionByName, each).groupBy("kind", "target_id").agg(F.count("*").alias("t_n"), F.max("t_scope").alias("t_scope"), F.max("t_position").alias("t_position"))
+    joined = refs.withColumn("target_id", F.col("target_id").cast("string")).join(counted, ["kind", "target_id"], "left")
+    known, one = F.coalesce(F.col("kind").isin(*targets), F.lit(False)), F.col("t_n") == 1
+    same = F.coalesce(F.col("t_scope").eqNullSafe(F.col(scope)) | F.col("t_scope").isNull(), F.lit(True))
+    return joined.withColumn("violations", S.reasons([
+        (~known, "unknown-kind"), (known & F.col("t_n").isNull(), "dangling-reference"), (F.col("t_n") > 1, "ambiguous-reference"), (one & ~same, "crosses-scope"),
+        (one & same & ~F.coalesce(F.col("t_position") < F.col(position), F.lit(False)) & F.col("t_position").isNotNull(), "recorded-later"),
+    ])).drop("t_n", "t_scope", "t_position")
+
+
 def definition_errors(outcomes: DataFrame, registry: DataFrame, code: str, fields: list[str]) -> DataFrame:
     """outcomes with violations against the registry's row of their code, field by field, null being a value."""
     own = registry.select(code, *[F.col(f).alias(f"d_{f}") for f in fields], F.lit(True).alias("registered"))  # the library's own table of a few dozen metrics

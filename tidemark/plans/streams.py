@@ -185,17 +185,22 @@ m AS (SELECT s, k, CASE WHEN shut THEN 'shut' ELSE 'idle' END AS mode, CASE WHEN
 SELECT CAST(m.s AS VARCHAR) AS session_id, t AS offset_ms, blink AS shut_ms, (SELECT round(min(a), 4) FROM e x WHERE x.s = m.s AND x.t BETWEEN blink AND e.t) AS lid_minimum FROM m JOIN e USING (s, k) WHERE blink IS NOT NULL"""
 
 
-@query("stream_blinks", _BLINKS_SQL)
-def stream_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blinks against a reference that calibration has fixed."""
+def blink_frames(events: DataFrame) -> DataFrame:
+    """Frames of an eye every 40 ms, 500 to a session, some missing; blocks of it are shut, values set how far and disturb it."""
     e, whole = F.col("event_id"), F.floor("value")
     shut = (F.expr("event_id div 4 * 7919 % 11") < 3) | (e % 250).between(40, 70)
-    frames = event_stream(spark, sf_dir).filter(e % 97 >= 2).select(
+    return events.filter(e % 97 >= 2).select(
         F.expr("cast(event_id div 500 as string)").alias("session_id"), ((e % 500) * 40.0).alias("t_ms"), F.when(whole % 9 == 0, 0.2).when(shut, 0.05 + (whole % 5) / 100.0).otherwise(0.3).alias("aperture"),
         F.lit(0).alias("bin"), F.lit(0.3).alias("reference"),
     )
+
+
+@query("stream_blinks", _BLINKS_SQL)
+def stream_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blinks against a reference that calibration has fixed."""
     took = F.col("frame_count")  # the closed frame that began it is as many frames of 40 ms before its end, as no frame is missing in it
-    return _streamed(frames, "t_ms", folds.Blinks()).select("session_id", "offset_ms", (F.col("offset_ms") - (took - 1) * 40.0).alias("shut_ms"), F.round("lid_minimum", 4).alias("lid_minimum"))
+    found = _streamed(blink_frames(event_stream(spark, sf_dir)), "t_ms", folds.Blinks())
+    return found.select("session_id", "offset_ms", (F.col("offset_ms") - (took - 1) * 40.0).alias("shut_ms"), F.round("lid_minimum", 4).alias("lid_minimum"))
 
 
 @query(
