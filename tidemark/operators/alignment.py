@@ -16,6 +16,7 @@ Nothing that was recorded after as_of is used. An identity whose revision chain
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -82,10 +83,21 @@ def parameter_tables(spark: SparkSession, spec: Specification) -> tuple[DataFram
     return tuple(t.withColumn("digest", S.digest({c: c for c in t.columns})) for t in (metrics, phases))
 
 
-def _current(records: DataFrame, scope: list[str], identity: str) -> DataFrame:
-    """With is_current: whether a record is its identity's current revision."""
-    leaves = history.chain_audit(records, scope, identity, "revision_id", "supersedes_revision_id", "recorded_at").select(*scope, identity, F.col("leaf").alias("current_revision"))
-    return records.join(leaves, [*scope, identity], "left").withColumn("is_current", F.col("revision_id").eqNullSafe(F.col("current_revision"))).drop("current_revision")
+def _current(histories: dict[str, DataFrame], scope: list[str]) -> tuple[DataFrame, ...]:
+    """Each history (by the column of its identities) with is_current: whether a record is its identity's current revision. One audit for all of them."""
+    links = [
+        records.select(*scope, F.lit(identity).alias("history"), F.col(identity).cast("string").alias("record"), "revision_id", "supersedes_revision_id", "recorded_at")
+        for identity, records in histories.items()
+    ]
+    audit = history.chain_audit(functools.reduce(DataFrame.unionByName, links), [*scope, "history"], "record", "revision_id", "supersedes_revision_id", "recorded_at")
+    leaves = materialize(audit.select(*scope, "history", "record", F.col("leaf").alias("current_revision")))
+
+    def marked(identity: str, records: DataFrame) -> DataFrame:
+        own = leaves.filter(F.col("history") == identity).drop("history")
+        joined = records.withColumn("record", F.col(identity).cast("string")).join(own, [*scope, "record"], "left")
+        return materialize(joined.withColumn("is_current", F.col("revision_id").eqNullSafe(F.col("current_revision"))).drop("current_revision", "record"))
+
+    return tuple(marked(i, r) for i, r in histories.items())
 
 
 def _anchors(treatments: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
@@ -180,7 +192,7 @@ def align(
     """The whole run. Tables are written in the shared folder while the result is being planned."""
     cut = wanted.select(*scope, "as_of")
     known = lambda records, at="recorded_at": history.known_at(records, cut, scope, at, "as_of")
-    observed, treated, told = (_current(known(r).drop("as_of"), scope, i) for r, i in ((observations, "observation_id"), (treatments, "treatment_id"), (contexts, "context_id")))
+    observed, treated, told = _current({i: known(r).drop("as_of") for r, i in ((observations, "observation_id"), (treatments, "treatment_id"), (contexts, "context_id"))}, scope)
     anchors = materialize(_anchors(treated, wanted, scope))
     flags, cycles = _changes(treated, told, anchors, scope, spec)
     changes = history.first_change(flags.filter("relevant"), scope, "at")

@@ -39,20 +39,23 @@ def chain_audit(records: DataFrame, scope: list[str], identity: str, revision: s
 
     A sound chain has one root and one leaf, no revision with two successors, no predecessor that is missing,
     of another identity or recorded later, and no cycle. Only links between revisions of one time can close a
-    cycle, so these, and no others, are followed up by pointer doubling; its tables are written while the result is being planned.
+    cycle, so these, and no others, are followed up by pointer doubling. The links, and the tables of the doubling where there are tied ones, are
+    written while the result is being planned.
     """
     key = [*scope, identity]
     before = records.select(*[F.col(c).alias(f"p_{c}") for c in key], F.col(revision).alias("p_revision"), F.col(recorded).alias("p_recorded"))
     linked = records.join(before, [*[F.col(c) == F.col(f"p_{c}") for c in scope], F.col(supersedes) == F.col("p_revision")], "left")
     sound = F.col("p_revision").isNotNull() & (F.col(identity) == F.col(f"p_{identity}")) & (F.col("p_recorded") <= F.col(recorded))
     linked = linked.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("tied", F.col("sound") & (F.col("p_recorded") == F.col(recorded)))
+    linked = materialize(linked.select(*key, revision, supersedes, "p_revision", "sound", "tied"))
     successors = linked.filter("sound").groupBy(*scope, F.col("p_revision").alias(revision)).agg(F.count("*").alias("successors"))
     marked = linked.select(*key, revision, supersedes, "sound").join(successors, [*scope, revision], "left")
     grouped = marked.groupBy(*key).agg(
         F.count("*").alias("n"), F.sum(F.col(supersedes).isNull().cast("int")).alias("roots"), F.sum(F.col("successors").isNull().cast("int")).alias("leaves"),
         F.sum(F.col("sound").cast("int")).alias("links"), (F.max(F.coalesce("successors", F.lit(0))) > 1).alias("forked"), F.max(F.when(F.col("successors").isNull(), F.col(revision))).alias("leaf"),
     )
-    grouped = grouped.join(_cyclic(linked.filter("sound").select(*key, F.col(revision).alias("at"), F.col("p_revision").alias("up"), "tied"), key), key, "left")
+    tied = linked.filter("tied").select(*key, F.col(revision).alias("at"), F.col("p_revision").alias("up"))
+    grouped = grouped.withColumn("cyclic", F.lit(False)) if tied.isEmpty() else grouped.join(_cyclic(tied, key), key, "left")
     problems = S.reasons([
         (F.col("roots") != 1, "no-single-root"), (F.col("leaves") != 1, "no-single-leaf"), (F.col("forked"), "revision-fork"),
         (F.col("links") != F.col("n") - F.col("roots"), "invalid-link"), (F.col("cyclic"), "revision-cycle"),
@@ -60,13 +63,12 @@ def chain_audit(records: DataFrame, scope: list[str], identity: str, revision: s
     return grouped.select(*key, "n", F.when(F.size(problems) == 0, F.col("leaf")).alias("leaf"), problems.alias("problems"))
 
 
-def _cyclic(links: DataFrame, key: list[str]) -> DataFrame:
-    """The identities whose links (at, up, tied) run in a circle, with cyclic = true.
+def _cyclic(tied: DataFrame, key: list[str]) -> DataFrame:
+    """The identities whose tied links (at, up) run in a circle, with cyclic = true.
 
-    Only tied links take part. Each round doubles the way that a hop covers and keeps the hops that still lead on; the rows of a round
+    Each round doubles the way that a hop covers and keeps the hops that still lead on; the rows of a round
     are written, so that plans stay small. A hop that covers more links than its identity has tied ones runs in a circle.
     """
-    tied = links.filter("tied")
     count = tied.groupBy(*key).agg(F.count("*").alias("most"))
     hops, covered, found = tied.join(count, key).select(*key, "at", "up", "most"), 1, None
     while True:

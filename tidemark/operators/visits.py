@@ -172,7 +172,7 @@ def card_violations(cards: DataFrame, claimed: DataFrame, rows: DataFrame, profi
     wrong = F.lit(False)
     for c in sums:
         wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"x_{c}"))
-    joined = cards.join(expected, keys, "left").join(bad, keys, "left").withColumn("asked", F.lit(profile.count()))
+    joined = cards.join(expected, keys, "left").join(bad, keys, "left").crossJoin(profile.agg(F.count("*").alias("asked")))  # one row
     return joined.select(*keys, S.reasons([
         (F.col("generated_at") < F.col("compared_at"), "generated-before-comparison"), (
             F.col("misplaced") | ~F.col("n").eqNullSafe(F.col("asked")), "profile-order"

@@ -68,7 +68,10 @@ def assert_no_private_columns(df: DataFrame) -> DataFrame:
 
 
 def append_once(df: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> int:
-    """Appends the rows whose key is not there yet, never changing what is; returns how many keys were new."""
+    """Appends the rows whose key is not there yet, never changing what is; returns how many keys were new.
+
+    A path has one writer at a time: what is there is read before what is new is written, so two at once could both write a key.
+    """
     spark = df.sparkSession
     new = assert_no_private_columns(df).dropDuplicates(keys)
     try:
