@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import registry
 from ..sources.scratch import materialize
 from . import detect, gates, robust, sessionize
 
@@ -20,29 +21,30 @@ MIN_BINS, MIN_SPAN_MS, CALIBRATION_MS = 3, 30_000, 1_500
 DEFAULT_STEP_MS = 1000 / 30
 BLINK_EXPOSURE_MS, BLINK_CADENCE_HZ, BLINK_P95_GAP_MS, MIN_EXPRESSIONS = 60_000, 24, 75, 3
 LOW_BIN_SHARE = 0.25
-#: The metric codes in their order, each with its kind, the name of its value, and the bins that it rests on.
-METRICS = [
-    ("ambient.face.eye_aperture.left", "bins", "eye_left", "base"),
-    ("ambient.face.eye_aperture.right", "bins", "eye_right", "base"),
-    ("ambient.face.eye_aperture.asymmetry", "bins", "eye_asymmetry", "base"),
-    ("ambient.face.mouth_width", "bins", "mouth_width", "base"),
-    ("ambient.face.mouth_aperture.median", "bins", "mouth_median", "base"),
-    ("ambient.face.mouth_aperture.p90", "bins", "mouth_p90", "base"),
-    ("ambient.face.mouth_corner_position.asymmetry", "bins", "corner_asymmetry", "base"),
-    ("ambient.face.landmark_speed.p90", "bins", "movement", "movement"),
-    ("ambient.face.blink_rate.bilateral", "blinks", "blink_rate", "base"),
-    ("ambient.face.rest_mouth_corner_asymmetry.signed", "expressions", "rest_corner", "base"),
-    ("ambient.face.rest_eye_aperture_asymmetry.signed", "expressions", "rest_eye", "base"),
-    ("ambient.face.spontaneous_event_rate", "expressions", "event_rate", "base"),
-    ("ambient.face.spontaneous_excursion.p90", "expressions", "excursion_p90", "base"),
-    ("ambient.face.spontaneous_excursion_asymmetry.median", "expressions", "excursion_asymmetry", "base"),
-    ("ambient.face.oculo_oral_synkinesis_index", "expressions", "coupling", "base"),
-    ("ambient.face.brow_height.left", "bins", "brow_left", "brow_left"),
-    ("ambient.face.brow_height.right", "bins", "brow_right", "brow_right"),
-    ("ambient.face.brow_height_asymmetry.signed", "bins", "brow_asymmetry", "brow_asymmetry"),
-    ("ambient.face.lid_closure_completeness.left", "bins", "closure_left", "lid_left"),
-    ("ambient.face.lid_closure_completeness.right", "bins", "closure_right", "lid_right"),
+#: Of each registered face metric, in their order: its kind, the name of its value, and the bins that it rests on.
+_HOW = [
+    ("bins", "eye_left", "base"),
+    ("bins", "eye_right", "base"),
+    ("bins", "eye_asymmetry", "base"),
+    ("bins", "mouth_width", "base"),
+    ("bins", "mouth_median", "base"),
+    ("bins", "mouth_p90", "base"),
+    ("bins", "corner_asymmetry", "base"),
+    ("bins", "movement", "movement"),
+    ("blinks", "blink_rate", "base"),
+    ("expressions", "rest_corner", "base"),
+    ("expressions", "rest_eye", "base"),
+    ("expressions", "event_rate", "base"),
+    ("expressions", "excursion_p90", "base"),
+    ("expressions", "excursion_asymmetry", "base"),
+    ("expressions", "coupling", "base"),
+    ("bins", "brow_left", "brow_left"),
+    ("bins", "brow_right", "brow_right"),
+    ("bins", "brow_asymmetry", "brow_asymmetry"),
+    ("bins", "closure_left", "lid_left"),
+    ("bins", "closure_right", "lid_right"),
 ]
+METRICS = [(code, *how) for code, how in zip(registry.codes("face"), _HOW, strict=True)]
 #: Bins of their own frames: those that carry the value.
 SPECIAL = ["movement", "brow_left", "brow_right", "brow_asymmetry"]
 
@@ -269,11 +271,11 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
         F.sum((F.coalesce("face_count", F.lit(0)) > 1).cast("long")).alias("several_faces"), F.min("t_ms").alias("observed_start_ms"),
         F.max("t_ms").alias("observed_end_ms")
     )
-    registry = F.array(*[
+    listed = F.array(*[
         F.struct(F.lit(k).alias("metric_no"), F.lit(code).alias("metric_code"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(variant).alias("variant")) for k,
         (code, kind, name, variant) in enumerate(METRICS)
     ])
-    every = sessions.select(*KEY, "face_calibration", F.inline(registry))
+    every = sessions.select(*KEY, "face_calibration", F.inline(listed))
     rows = every.join(ranged, KEY, "left").join(whole, KEY, "left").join(proof, [*KEY, "variant"], "left").join(found, [*KEY, "name"], "left")
     calibration = F.col("face_calibration")
     calibrated = (calibration["duration_ms"] >= CALIBRATION_MS) & (calibration["baseline_box_width_pixels"] > 0) & (calibration["baseline_box_height_pixels"] > 0)

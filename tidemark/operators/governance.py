@@ -35,15 +35,32 @@ def accessible_snapshots(used: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.groupBy("snapshot_id").agg(F.min(F.coalesce("permitted", F.lit(False))).alias("accessible"))
 
 
-def evidence_status(episodes: DataFrame, snapshots: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Episodes with status: ready (an accessible snapshot of the current revision), failed, pending or empty."""
-    ready = snapshots.filter("accessible").select("episode_id", F.col("input_revision").alias("revision")).distinct().withColumn("ready", F.lit(True))
+#: Fixed value: why evidence that rests on captured data is not shown.
+CONSENT_INACTIVE = "analysis-consent-inactive"
+
+
+def evidence_status(episodes: DataFrame, snapshots: DataFrame, jobs: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Episodes with status: ready (an accessible snapshot of the current revision), failed, pending or empty; with snapshot_id where ready, and with refusal.
+
+    snapshots: episode_id, input_revision, accessible and, where reviews are given, snapshot_id. Where episodes have has_capture and consented, one with captured data and without
+    consent to its analysis has a refusal, and neither status nor more. reviews: snapshot_id and review_id; visible_reviews lists those
+    of all accessible snapshots of the episode, whatever their revision, in order.
+    """
+    named = "snapshot_id" in snapshots.columns
+    seen = snapshots.filter("accessible")
+    ready = seen.groupBy("episode_id", F.col("input_revision").alias("revision")).agg((F.max("snapshot_id") if named else F.lit(None).cast("string")).alias("snapshot_id"), F.lit(True).alias("ready"))
     job = jobs.groupBy("episode_id", F.col("input_revision").alias("revision")).agg(F.max_by("job_status", "job_id").alias("job_status"))
     joined = episodes.join(ready, ["episode_id", "revision"], "left").join(job, ["episode_id", "revision"], "left")
-    return joined.withColumn(
-        "status",
-        F.when(F.col("ready"), "ready").when(F.col("job_status") == "failed", "failed").when(F.col("job_status").isNotNull(), "pending").otherwise("empty")
-    ).drop("ready", "job_status")
+    gated = {"has_capture", "consented"} <= set(episodes.columns)
+    refused = F.col("has_capture") & ~F.coalesce("consented", F.lit(False)) if gated else F.lit(False)
+    shown = lambda c: F.when(~F.coalesce(refused, F.lit(False)), c)
+    status = F.when(F.col("ready"), "ready").when(F.col("job_status") == "failed", "failed").when(F.col("job_status").isNotNull(), "pending").otherwise("empty")
+    out = joined.withColumns({"status": shown(status), "snapshot_id": shown(F.col("snapshot_id")), "refusal": F.when(refused, CONSENT_INACTIVE)}).drop("ready", "job_status")
+    if reviews is None:
+        return out
+    visible = seen.select("episode_id", "snapshot_id").distinct().join(reviews, "snapshot_id").groupBy("episode_id").agg(F.array_sort(F.collect_set("review_id")).alias("visible_reviews"))
+    listed = F.coalesce("visible_reviews", F.array().cast(visible.schema["visible_reviews"].dataType))
+    return out.join(visible, "episode_id", "left").withColumn("visible_reviews", shown(listed))
 
 
 def latest_review(runs: DataFrame, reviews: DataFrame) -> DataFrame:

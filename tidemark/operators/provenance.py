@@ -74,16 +74,29 @@ def rate_holds(value: Column, count: Column, denominator: Column) -> Column:
 
 
 def window_claims(claims: DataFrame, refs: DataFrame, windows: DataFrame, key: list[str], window: str, start: str, end: str) -> DataFrame:
-    """claims (window_count, claimed_duration, claimed_span) against the windows that they refer to: distinct references, their union and their extent."""
-    resolved = refs.select(*key, window).distinct().join(windows.select(window, start, end), window)
+    """claims with violations against the eligible ones of the windows that they refer to: distinct references, their union and their extent.
+
+    claims: key, window_count, claimed_duration, and, each null where nothing is asked or said: minimum_span and claimed_span, minimum_exposure and
+    claimed_exposure. A span or an exposure is held against the windows only where a minimum is asked. windows: window, start, end, and
+    status where not all are eligible.
+    """
+    asked = {c: F.col(c) if c in claims.columns else F.lit(None).cast("double") for c in ("minimum_span", "claimed_span", "minimum_exposure", "claimed_exposure")}
+    eligible = F.col("status") == "eligible" if "status" in windows.columns else F.lit(True)
+    known = windows.select(window, F.when(eligible, F.col(start)).alias(start), F.when(eligible, F.col(end)).alias(end))
+    resolved = refs.select(*key, window).distinct().join(known.withColumn("there", F.lit(True)), window, "left")
     union = robust.interval_union(resolved, key, start, end)
-    counted = refs.groupBy(*key).agg(F.count("*").alias("refs"), F.countDistinct(window).alias("unique_refs"))
+    counted = resolved.groupBy(*key).agg(F.count("*").alias("unique_refs"), F.count("there").alias("resolved"))
+    counted = counted.join(refs.groupBy(*key).agg(F.count("*").alias("refs")), key)
     joined = claims.join(counted, key, "left").join(union, key, "left")
+    zero = F.lit(0)
+    unique, duration = F.coalesce("unique_refs", zero), F.coalesce("union_length", zero)
+    span = F.coalesce(F.col("cover_end") - F.col("cover_start"), zero)
+    beyond = lambda minimum, claimed, found: asked[minimum].isNotNull() & F.coalesce(asked[claimed] > found, F.lit(True))
     return joined.withColumn("violations", S.reasons([
-        (F.coalesce("refs", F.lit(0)) != F.coalesce("unique_refs", F.lit(0)), "repeated-window"), (F.col("window_count") != F.coalesce("unique_refs", F.lit(0)), "window-count"),
-        (F.col("claimed_duration") > F.coalesce("union_length", F.lit(0)), "duration-exceeds-windows"), (
-            F.col("claimed_span") > F.coalesce(F.col("cover_end") - F.col("cover_start"), F.lit(0)), "span-exceeds-windows"
-        ),
+        (F.coalesce("refs", zero) != unique, "repeated-window"), (F.col("window_count") != unique, "window-count"),
+        ((F.col("claimed_duration") > duration) | (F.coalesce("resolved", zero) != unique), "duration-exceeds-windows"),
+        (beyond("minimum_span", "claimed_span", span), "span-exceeds-windows"), (span < asked["minimum_span"], "span-below-minimum"),
+        (beyond("minimum_exposure", "claimed_exposure", duration), "exposure-exceeds-windows"), (duration < asked["minimum_exposure"], "exposure-below-minimum"),
     ])).select(*claims.columns, "violations")
 
 

@@ -112,21 +112,36 @@ def stream_diagnostics(df: DataFrame, keys: list[str], order: list[str], sequenc
     return out.withColumn("p95_latency_ms", p95).withColumn("lost_fraction", F.col("lost") / F.greatest(F.lit(1), F.col("received") + F.col("lost"))).drop("latencies")
 
 
-def encoded(df: DataFrame, samples: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], name: str = "vector") -> DataFrame:
-    """With vectors of a pluggable encoder: `load` runs once a worker task and gives a function of one window's samples."""
+def encoded(df: DataFrame, samples: str, load: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]], name: str = "vector") -> DataFrame:
+    """With vectors of a pluggable encoder: `load` runs once a worker task and gives a function of a batch of windows' samples. A null window has a null vector."""
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield batch.map(lambda x: None if x is None else np.asarray(model(np.asarray(x, np.float32)), np.float32))
+            given = batch.dropna()
+            found = pd.Series([np.asarray(v, np.float32) for v in model([np.asarray(x, np.float64) for x in given])], index=given.index, dtype=object)
+            yield found.reindex(batch.index).where(batch.notna(), None)
 
     return df.withColumn(name, encode(samples))
 
 
-def deterministic_encoder(dimensions: int = 8) -> Callable[[np.ndarray], np.ndarray]:
-    """A stand-in for a model: chunk means of the window, always alike."""
-    return lambda x: np.array([c.mean() if len(c) else 0.0 for c in np.array_split(x, dimensions)], np.float32)
+def band_encoder(bands: int = 8) -> Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]]:
+    """An encoder of spectra: the log1p of a window's mean power in equal bands of its frequencies, 0 in a band without any; windows of one length at once."""
+
+    def encode(windows: list[np.ndarray]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(bands)] * len(windows)
+        lengths = np.array([len(x) for x in windows])
+        for n in np.unique(lengths[lengths > 0]):
+            places = np.flatnonzero(lengths == n)
+            power = np.abs(np.fft.rfft(np.stack([windows[k] for k in places]), axis=1)) ** 2 / n
+            parts = np.array_split(power, bands, axis=1)
+            found = np.log1p(np.stack([p.mean(axis=1) if p.shape[1] else np.zeros(len(places)) for p in parts], axis=1))
+            for row, k in enumerate(places):
+                out[k] = found[row]
+        return out
+
+    return lambda: encode
 
 
 def _first_peaks(score: np.ndarray, enough: np.ndarray) -> np.ndarray:

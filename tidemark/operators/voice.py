@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import registry
 from ..sources.scratch import materialize
 from . import gates, robust, sessionize
 
@@ -22,10 +23,7 @@ PITCH_BIN_MS, PITCH_BIN_COVERED_MS, PITCH_BIN_PITCHED_MS, MIN_PITCH_BINS = 500,
 MIN_PAUSE_MS, MAX_PAUSE_MS, MIN_EVENTS, MIN_NUCLEI = 200, 1_999, 5, 30
 BREATH_RATIO, BREATH_MIN_MS = 2.5, 150
 NOISE_CALIBRATION_MS = 2_000
-METRICS = [
-    "ambient.voice.f0.median", "ambient.voice.f0.variability", "ambient.voice.speech_activity_fraction", "ambient.voice.pause_rate",
-    "ambient.voice.pause_duration.median", "ambient.voice.speech_run_duration.median", "ambient.voice.acoustic_nucleus_rate",
-]
+METRICS = registry.codes("voice")
 
 KEY = ["session_id"]
 ORDER = ["t_ms", "sequence"]

@@ -54,16 +54,23 @@ def accessible_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evidence_status",
-    """WITH e AS (SELECT c_custkey, c_custkey % 4 AS revision FROM customer), s AS (SELECT DISTINCT o_custkey, o_orderkey % 4 AS revision FROM orders WHERE o_orderstatus = 'F'), j AS (SELECT o_custkey, o_orderkey % 4 AS revision, max_by(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY ALL)
-SELECT CASE WHEN s.o_custkey IS NOT NULL THEN 'ready' WHEN j.st = 'P' THEN 'failed' WHEN j.st IS NOT NULL THEN 'pending' ELSE 'empty' END AS status, count(*) AS n FROM e LEFT JOIN s ON s.o_custkey = c_custkey AND s.revision = e.revision LEFT JOIN j ON j.o_custkey = c_custkey AND j.revision = e.revision GROUP BY ALL""",
+    """WITH e AS (SELECT c_custkey, c_custkey % 4 AS revision, c_custkey % 3 <> 0 AS captured, c_custkey % 5 <> 0 AS consented FROM customer), s AS (SELECT o_custkey, o_orderkey % 4 AS revision, max(o_orderkey) AS snapshot_id FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+j AS (SELECT o_custkey, o_orderkey % 4 AS revision, max_by(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY ALL), r AS (SELECT o_custkey, count(DISTINCT l_orderkey * 10 + l_linenumber) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag = 'A' GROUP BY o_custkey),
+x AS (SELECT e.*, CASE WHEN s.o_custkey IS NOT NULL THEN 'ready' WHEN j.st = 'P' THEN 'failed' WHEN j.st IS NOT NULL THEN 'pending' ELSE 'empty' END AS st, snapshot_id, coalesce(n, 0) AS n, captured AND NOT consented AS refused
+  FROM e LEFT JOIN s ON s.o_custkey = c_custkey AND s.revision = e.revision LEFT JOIN j ON j.o_custkey = c_custkey AND j.revision = e.revision LEFT JOIN r ON r.o_custkey = c_custkey)
+SELECT c_custkey AS episode_id, CASE WHEN NOT refused THEN st END AS status, CASE WHEN NOT refused THEN snapshot_id END AS snapshot_id, CASE WHEN refused THEN 'analysis-consent-inactive' END AS refusal, CASE WHEN NOT refused THEN n END AS reviews FROM x""",
 )
 def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as episodes, some with captured data and without consent; orders as snapshots and jobs, lines as reviews."""
     o = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 4).alias("input_revision"), (F.col("o_orderstatus") == "F").alias("accessible"),
+        F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 4).alias("input_revision"), (F.col("o_orderstatus") == "F").alias("accessible"), F.col("o_orderkey").alias("snapshot_id"),
         F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("running").alias("job_status")
     )
-    episodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("episode_id"), (F.col("c_custkey") % 4).alias("revision"))
-    return governance.evidence_status(episodes, o, o).groupBy("status").agg(F.count("*").alias("n"))
+    k = F.col("c_custkey")
+    episodes = table(spark, sf_dir, "customer").select(k.alias("episode_id"), (k % 4).alias("revision"), (k % 3 != 0).alias("has_capture"), (k % 5 != 0).alias("consented"))
+    reviews = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("snapshot_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"))
+    found = governance.evidence_status(episodes, o, o, reviews)
+    return found.select("episode_id", "status", "snapshot_id", "refusal", F.when(F.col("visible_reviews").isNotNull(), F.size("visible_reviews").cast("long")).alias("reviews"))
 
 
 @query(

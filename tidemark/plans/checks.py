@@ -194,18 +194,26 @@ def rate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "window_claim_audit",
-    """WITH w AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey % 50) * 1.0 AS s FROM lineitem GROUP BY ALL), x AS (SELECT *, s + 20 AS e FROM w), o AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
-g AS (SELECT k, count(*) AS c, sum(e - greatest(s, coalesce(before, s))) AS u, max(e) - min(s) AS span FROM o GROUP BY k)
-SELECT k AS session_id, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'repeated-window' END, CASE WHEN k % 5 = 0 THEN 'window-count' END, CASE WHEN 40 > u THEN 'duration-exceeds-windows' END, CASE WHEN 45 > span THEN 'span-exceeds-windows' END) AS violations FROM g""",
+    f"""WITH w AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey % 50) * 1.0 AS s, bool_or(l_returnflag <> 'R') AS good FROM lineitem GROUP BY ALL), x AS (SELECT *, s + 20 AS e FROM w WHERE good), o AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+h AS (SELECT k, sum(greatest(0, e - greatest(s, coalesce(before, s)))) AS u, max(e) - min(s) AS span FROM o GROUP BY k), g AS (SELECT DISTINCT w.k AS k, coalesce(u, 0) AS u, coalesce(span, 0) AS span FROM w LEFT JOIN h ON h.k = w.k)
+SELECT k AS session_id, {_LISTED(
+    ('k % 3 = 0', 'repeated-window'), ('k % 5 = 0', 'window-count'), ('40 > u OR k % 11 = 0', 'duration-exceeds-windows'), ('k % 2 = 0 AND (k % 4 = 0 OR 45 > span)', 'span-exceeds-windows'), ('k % 2 = 0 AND span < 30', 'span-below-minimum'),
+    ('k % 7 = 0 AND 35 > u', 'exposure-exceeds-windows'), ('k % 7 = 0 AND u < 25', 'exposure-below-minimum')
+)} AS violations FROM g""",
 )
 def window_claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min(F.col("l_partkey") % 50) * 1.0).alias("s"))
-    windows = one.select(F.concat_ws("-", _text(F.col("l_orderkey")), _text(F.col("l_linenumber"))).alias("window_id"), F.col("l_orderkey").alias("session_id"), "s", (F.col("s") + 20).alias("e"))
-    claims = windows.groupBy("session_id").agg((F.count("*") + F.max(F.when(F.col("session_id") % 5 == 0, 1).otherwise(0))).alias("window_count")).withColumns({
-        "claimed_duration": F.lit(40.0), "claimed_span": F.lit(45.0)
-    })
+    """Lines as windows, eligible unless all were returned; each order claims amounts, some ask for a span or an exposure, some name a window that is not there."""
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min(F.col("l_partkey") % 50) * 1.0).alias("s"), F.max((F.col("l_returnflag") != "R").cast("int")).alias("good"))
+    windows = one.select(
+        F.concat_ws("-", _text(F.col("l_orderkey")), _text(F.col("l_linenumber"))).alias("window_id"), F.col("l_orderkey").alias("session_id"), "s", (F.col("s") + 20).alias("e"), F.when(F.col("good") == 1, "eligible").otherwise("withheld").alias("status")
+    )
+    k = F.col("session_id")
+    lost = (k % 11 == 0).cast("long")
+    claims = windows.groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", (F.col("n") + lost + (k % 5 == 0).cast("long")).alias("window_count"), F.lit(40.0).alias("claimed_duration"),
+        F.when(k % 2 == 0, 30.0).alias("minimum_span"), F.when(k % 4 != 0, 45.0).alias("claimed_span"), F.when(k % 7 == 0, 25.0).alias("minimum_exposure"), F.lit(35.0).alias("claimed_exposure"))
     refs = windows.select("session_id", "window_id")
-    refs = refs.unionByName(refs.filter("session_id % 3 = 0"))
+    gone = claims.filter("session_id % 11 = 0").select("session_id", F.concat(F.lit("gone-"), _text(k)).alias("window_id"))
+    refs = refs.unionByName(refs.filter("session_id % 3 = 0")).unionByName(gone)
     found = provenance.window_claims(claims, refs, windows.drop("session_id"), ["session_id"], "window_id", "s", "e")
     return found.select("session_id", F.array_join("violations", ",").alias("violations"))
 

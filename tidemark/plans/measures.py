@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import geometry, governance, history, ingest, provenance, signals
+from ..operators import assembly, geometry, governance, history, ingest, provenance, signals
+from ..sources import schemas
+from ..sources.scratch import shared_folder
 from .catalog import query, table
 from .histories import ORDERS, orders
 from .signals import events
@@ -106,13 +108,111 @@ def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "encoded_windows",
-    """WITH e AS (SELECT label, unnest(range(0, 8)) AS d, embedding AS v FROM embeddings), c AS (SELECT label, d, CAST(list_avg(list_transform(v[8 * d + 1 : 8 * d + 8], lambda x: x::DOUBLE)) AS FLOAT) AS x FROM e WHERE v IS NOT NULL)
-SELECT label, CAST(d AS INT) AS dimension, round(avg(x::DOUBLE), 5) AS mean_value, count(*) AS n FROM c GROUP BY label, d""",
+    """WITH k AS (SELECT unnest(range(0, 33)) AS k), p AS (SELECT vec_id, label, k,
+  (list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * cos(2 * pi() * k * i / 64))) ** 2 + list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * sin(2 * pi() * k * i / 64))) ** 2) / 64 AS power FROM embeddings CROSS JOIN k WHERE embedding IS NOT NULL),
+b AS (SELECT vec_id, label, CASE WHEN k < 5 THEN 0 ELSE 1 + (k - 5) // 4 END AS d, ln(1 + avg(power)) AS x FROM p GROUP BY ALL) SELECT label, CAST(d AS INT) AS dimension, round(avg(x), 4) AS mean_value, count(*) AS n FROM b GROUP BY label, d""",
 )
 def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the stand-in encoder over embeddings as sample windows, pooled by label."""
-    vectors = signals.encoded(table(spark, sf_dir, "embeddings"), "embedding", signals.deterministic_encoder)
-    return signals.pooled(vectors, ["label"], "vector").select("label", "dimension", F.round("mean_value", 5).alias("mean_value"), "n")
+    """Embeddings as windows of 64 samples, encoded by the power of eight bands and pooled by label."""
+    vectors = signals.encoded(table(spark, sf_dir, "embeddings"), "embedding", signals.band_encoder(8))
+    return signals.pooled(vectors, ["label"], "vector").select("label", "dimension", F.round("mean_value", 4).alias("mean_value"), "n")
+
+
+@query(
+    "signal_to_noise",
+    "SELECT event_id, round(CASE WHEN event_id % 9 = 0 THEN NULL ELSE greatest(20 * log10(greatest(value / 1000, 1e-12) / greatest(0.0001, event_id % 7 / 1000.0)), 0) END, 6) AS snr_db FROM events",
+)
+def signal_to_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels over noise floors, some of them 0, some not known."""
+    e = F.col("event_id")
+    floor = F.when(e % 9 == 0, F.lit(float("nan"))).otherwise((e % 7) / 1000.0)
+    return events(spark, sf_dir).select("event_id", F.round(S.decibels_over(F.col("value") / 1000, floor), 6).alias("snr_db"))
+
+
+_EYES = {**SMALL_LAYOUT, "left_iris": {"centre": 19, "ring": (20, 21, 22, 23)}}
+_AXES = f"""s AS (SELECT *, 640 * (xs[1] + xs[2]) / 2 AS lx, 480 * (ys[1] + ys[2]) / 2 AS ly, 640 * (xs[7] + xs[8]) / 2 AS rx, 480 * (ys[7] + ys[8]) / 2 AS ry FROM p),
+t AS (SELECT *, sqrt((lx - rx) ** 2 + (ly - ry) ** 2) AS scale, atan2(ly - ry, lx - rx) AS angle, (lx + rx) / 2 AS cx, (ly + ry) / 2 AS cy, ({_d(2, 3)} + {_d(4, 5)}) / 2 AS lid FROM s)"""
+
+
+def _nx(k: int) -> str:
+    return f"(cos(angle) * (640 * xs[{k + 1}] - cx) + sin(angle) * (480 * ys[{k + 1}] - cy)) / scale"
+
+
+def _ny(k: int) -> str:
+    return f"(cos(angle) * (480 * ys[{k + 1}] - cy) - sin(angle) * (640 * xs[{k + 1}] - cx)) / scale"
+
+
+@query(
+    "eye_openings",
+    f"""WITH {POINTS}, {_AXES} SELECT vec_id, round({_d(0, 1)} / scale, 5) AS width, round(lid / scale, 5) AS height, round(2 * ({_d(19, 20)} + {_d(19, 21)} + {_d(19, 22)} + {_d(19, 23)}) / 4 / scale, 5) AS iris_diameter,
+  round({_nx(19)} - ({_nx(0)} + {_nx(1)}) / 2, 5) AS gaze_x, round({_ny(19)} - ({_ny(0)} + {_ny(1)}) / 2, 5) AS gaze_y FROM t""",
+)
+def eye_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left eye's opening, and its iris by diameter and place."""
+    face, s = geometry.Face("points", F.lit(640.0), F.lit(480.0), _EYES), F.col("system")
+    f, i = F.col("fissure"), F.col("iris")
+    rows = landmark_rows(spark, sf_dir).withColumn("system", face.system()).withColumns({"fissure": face.fissure("left_eye", s), "iris": face.iris("left", s)})
+    named = {"width": f["width"], "height": f["height"], "iris_diameter": i["diameter"], "gaze_x": i["gaze_x"], "gaze_y": i["gaze_y"]}
+    return rows.select("vec_id", *[F.round(c, 5).alias(n) for n, c in named.items()])
+
+
+@query(
+    "head_poses",
+    "SELECT event_id, round(value % 160 - 80, 4) AS yaw, round(value * 7 % 170 - 85, 4) AS pitch, round(value * 13 % 170 - 85, 4) AS roll FROM events",
+)
+def head_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms that values set, scaled, taken back to their angles."""
+    v = F.col("value")
+    a, b, c = (F.radians(x) for x in (v * 7 % 170 - 85, v % 160 - 80, v * 13 % 170 - 85))
+    cos, sin = F.cos, F.sin
+    rows = [
+        [cos(c) * cos(b), cos(c) * sin(b) * sin(a) - sin(c) * cos(a), cos(c) * sin(b) * cos(a) + sin(c) * sin(a)], [sin(c) * cos(b), sin(c) * sin(b) * sin(a) + cos(c) * cos(a), sin(c) * sin(b) * cos(a) - cos(c) * sin(a)],
+        [-sin(b), cos(b) * sin(a), cos(b) * cos(a)],
+    ]
+    size, none = 1 + F.col("event_id") % 3, F.lit(0.0)
+    matrix = F.array(*[x for k in range(3) for x in (*[rows[r][k] * size for r in range(3)], none)], none, none, none, F.lit(1.0))
+    posed = events(spark, sf_dir).select("event_id", matrix.alias("m")).withColumn("pose", geometry.pose("m"))
+    return posed.select("event_id", *[F.round(F.col("pose")[f"{n}_degrees"], 4).alias(n) for n in ("yaw", "pitch", "roll")])
+
+
+@query(
+    "finite_facts",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END + 1 AS facts, CASE WHEN event_id % 3 <> 0 THEN value END AS level FROM events",
+)
+def finite_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a record, those that are finite alone."""
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select("event_id", F.when(e % 3 != 0, F.col("value")).otherwise(F.lit(float("nan"))).alias("level"), F.when(e % 4 != 0, e).alias("count"), F.lit(1.0).alias("one"))
+    facts = assembly.quality_facts(["level", "count", "one"])
+    return rows.select("event_id", F.size(facts).alias("facts"), F.try_element_at(facts, F.lit("level")).alias("level"))
+
+
+@query(
+    "appended_once",
+    "SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_id % 10 < 8 GROUP BY event_type",
+)
+def appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping appends to one path, each twice; every key is there once."""
+    path = f"{shared_folder(spark)}/log"
+    rows = events(spark, sf_dir).select("event_id", F.col("event_type").alias("kind"))
+    for part in ("event_id % 10 < 5", "event_id % 10 BETWEEN 3 AND 7", "event_id % 10 < 5"):
+        schemas.append_once(rows.filter(part), path, ["event_id"], ["kind"])
+    return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "published_runs",
+    "SELECT c_custkey::VARCHAR AS episode_id, c_custkey % 3 AS input_revision, '2' AS engine_version FROM customer UNION ALL SELECT c_custkey::VARCHAR, c_custkey % 3, '1' FROM customer WHERE c_custkey % 2 = 0",
+)
+def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of three revisions by two engines, some published again: those that are current, once an engine."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    runs = customers.select(k.cast("string").alias("episode_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("input_revision"))
+    now, path = customers.select(k.cast("string").alias("episode_id"), (k % 3).alias("revision")), f"{shared_folder(spark)}/runs"
+    for engine, part in (("1", runs.filter("cast(episode_id AS long) % 2 = 0")), ("2", runs), ("1", runs.filter("cast(episode_id AS long) % 4 = 0"))):
+        schemas.publish_runs(part, path, engine, now)
+    return spark.read.schema("episode_id string, input_revision long, engine_version string").parquet(path)
 
 
 @query("pitch_of_blocks")

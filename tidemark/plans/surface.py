@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, tables
-from ..operators import documents, journal, provenance
+from ..operators import assembly, documents, journal, provenance
+from ..sources import registry
 from . import reports, streams, voice_lane
 from .catalog import QUERIES, query, table
 
@@ -34,6 +35,26 @@ def sql_withheld_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT metric_code, coalesce(reason_code, 'measured') AS result, count(*) AS sessions FROM {view} GROUP BY metric_code, reason_code")
 
 
+_REASONS_SQL = ", ".join(f"('{code}', {[*registry.ANY_REASONS, *registry.MODALITY_REASONS[modality], *registry.OWN_REASONS.get(code, [])]})" for code, modality, *_ in registry.METRICS)
+
+
+@query(
+    "metric_reason_audit",
+    f"""WITH a AS (SELECT * FROM (VALUES {_REASONS_SQL}) t(metric_code, allowed)), o AS (SELECT l_linenumber, l_suppkey % 6 AS lane, l_discount > 0.05 AS there, list_extract(['insufficient-duration', 'insufficient-events', 'multiple-faces', 'insufficient-nuclei', 'unheard-of'], CAST(1 + l_partkey % 5 AS INT)) AS reason,
+  (SELECT list(metric_code ORDER BY metric_code) FROM a)[1 + l_orderkey % 27] AS metric_code FROM lineitem),
+c AS (SELECT metric_code, CASE WHEN there THEN reason ELSE 'modality-unavailable' END AS reason FROM o) SELECT metric_code, reason AS reason_code, CASE WHEN NOT list_contains(allowed, reason) THEN 'reason-not-registered' END AS problem, count(*) AS n FROM c JOIN a USING (metric_code) GROUP BY ALL""",
+)
+def metric_reason_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as withheld outcomes of all registered metrics, each with a reason that its metric may have or not."""
+    codes = sorted(m[0] for m in registry.METRICS)
+    given = F.array(*[F.lit(r) for r in ("insufficient-duration", "insufficient-events", "multiple-faces", "insufficient-nuclei", "unheard-of")])
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.get(F.array(*[F.lit(c) for c in codes]), (F.col("l_orderkey") % len(codes)).cast("int")).alias("metric_code"), F.get(given, (F.col("l_partkey") % 5).cast("int")).alias("reason"), (F.col("l_discount") > 0.05).alias("there")
+    )
+    judged = lines.join(registry.allowed_reasons(spark), "metric_code").withColumn("judged", assembly.registered_reason(F.col("reason"), F.col("allowed_reasons"), F.col("there"), F.lit("modality-unavailable")))
+    return judged.groupBy("metric_code", F.col("judged.reason_code").alias("reason_code"), F.col("judged.problem").alias("problem")).agg(F.count("*").alias("n"))
+
+
 @query(
     "nested_digests",
     """WITH l AS (SELECT l_orderkey, string_agg('{"flag":"' || l_returnflag || '","no":' || l_linenumber || ',"quantity":' || regexp_replace(l_quantity::DOUBLE::VARCHAR, '\\.0$', '') || '}', ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem GROUP BY l_orderkey)

@@ -40,6 +40,38 @@ METRICS = [
 ]
 
 
+# Why a metric may be withheld: reasons of all, of a modality, and of single metrics.
+ANY_REASONS = ["modality-unavailable", "processor-unavailable", "asset-integrity-failed", "quality-threshold-failed", "insufficient-duration", "session-ended-early"]
+MODALITY_REASONS = {
+    "voice": ["no-usable-signal", "insufficient-segments", "insufficient-active-speech"],
+    "face": ["no-usable-signal", "multiple-faces", "insufficient-bins", "pose-out-of-range", "face-scale-out-of-range"],
+}
+OWN_REASONS = {
+    "ambient.voice.f0.median": ["insufficient-pitched-speech", "pitch-estimator-disagreement"],
+    "ambient.voice.f0.variability": ["insufficient-pitched-speech", "insufficient-pitch-bins"],
+    "ambient.voice.speech_activity_fraction": ["insufficient-events"],
+    "ambient.voice.pause_rate": ["insufficient-events"],
+    "ambient.voice.pause_duration.median": ["insufficient-events"],
+    "ambient.voice.speech_run_duration.median": ["insufficient-events"],
+    "ambient.voice.acoustic_nucleus_rate": ["insufficient-nuclei"],
+    "ambient.face.blink_rate.bilateral": ["insufficient-exposure", "insufficient-frame-cadence"],
+    "ambient.face.spontaneous_excursion.p90": ["insufficient-events"],
+    "ambient.face.spontaneous_excursion_asymmetry.median": ["insufficient-events"],
+    "ambient.face.oculo_oral_synkinesis_index": ["insufficient-events"],
+}
+
+
+def codes(modality: str) -> list[str]:
+    """The metric codes of a modality, in their order."""
+    return [m[0] for m in METRICS if m[1] == modality]
+
+
+def allowed_reasons(spark: SparkSession) -> DataFrame:
+    """metric_code and allowed_reasons."""
+    rows = [(code, [*ANY_REASONS, *MODALITY_REASONS[modality], *OWN_REASONS.get(code, [])]) for code, modality, *_ in METRICS]
+    return spark.createDataFrame(rows, "metric_code string, allowed_reasons array<string>")
+
+
 def metrics(spark: SparkSession) -> DataFrame:
     """place, metric_code, modality, context, unit, metric_group and digest."""
     return definition_table(spark, METRICS, "metric_code string, modality string, context string, unit string, metric_group string")
