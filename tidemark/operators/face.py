@@ -6,6 +6,8 @@ face_calibration. All windows are within a session.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,37 +113,64 @@ def qualify(usable: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.withColumn("reason", reason).withColumn("cadence_hz", F.col("frames") / (F.col("data_ms") / 1000))
 
 
-def _values(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form: name, value and share (the percentile that sums a bin up), for each frame of an accepted bin."""
+#: What a bin is summed up by: the name of a value and the percentile that is taken of it.
+SHARES = {
+    "eye_left": 0.9, "eye_right": 0.9, "eye_asymmetry": 0.5, "mouth_width": 0.5, "mouth_median": 0.5, "mouth_p90": 0.9, "corner_asymmetry": 0.5, "movement": 0.9, "brow_left": 0.5, "brow_right": 0.5, "brow_asymmetry": 0.5,
+}
+
+
+def _values() -> dict[str, Column]:
+    """The values of SHARES of a frame; the movement of one that follows another in its bin."""
     eye, brow = F.col("eye_aperture"), F.col("brow_height")
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) == 1
-    moves = ~first & (F.col("inter_result_gap_ms") > 0) & (F.col("inter_result_gap_ms") <= MAX_GAP_MS) & (F.col("regional_movement_speed") >= 0)
-    named = [
-        ("eye_left", eye["left"], 0.9), ("eye_right", eye["right"], 0.9), ("eye_asymmetry", F.abs(eye["left"] - eye["right"]), 0.5), ("mouth_width", gates.mouth_width(), 0.5), ("mouth_median", F.col("mouth_aperture_ratio"), 0.5),
-        ("mouth_p90", F.col("mouth_aperture_ratio"), 0.9), ("corner_asymmetry", gates.mouth_corner_asymmetry(), 0.5), ("movement", F.when(moves, F.col("regional_movement_speed")), 0.9),
-        ("brow_left", brow["left"], 0.5), ("brow_right", brow["right"], 0.5), ("brow_asymmetry", brow["left"] - brow["right"], 0.5),
-    ]
-    each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(p).alias("share")) for n, v, p in named])
-    if "variant" in keys:  # the special bins stand for their own value, the others for all but these
-        own = F.array(*[F.lit(x) for x in SPECIAL])
-        each = F.filter(each, lambda e: F.when(F.array_contains(own, F.col("variant")), e["name"] == F.col("variant")).otherwise(~F.array_contains(own, e["name"])))
-    return frames.withColumn("each_value", each).select(*keys, *ORDER, "step_ms", F.inline("each_value")).filter(S.finite("value"))
+    moves = (F.col("inter_result_gap_ms") > 0) & (F.col("inter_result_gap_ms") <= MAX_GAP_MS) & (F.col("regional_movement_speed") >= 0)
+    return {
+        "eye_left": eye["left"], "eye_right": eye["right"], "eye_asymmetry": F.abs(eye["left"] - eye["right"]), "mouth_width": gates.mouth_width(), "mouth_median": F.col("mouth_aperture_ratio"),
+        "mouth_p90": F.col("mouth_aperture_ratio"), "corner_asymmetry": gates.mouth_corner_asymmetry(), "movement": F.when(moves, F.col("regional_movement_speed")),
+        "brow_left": brow["left"], "brow_right": brow["right"], "brow_asymmetry": brow["left"] - brow["right"],
+    }
+
+
+def _summed_up(t: np.ndarray, sequence: np.ndarray, value: np.ndarray, step: float, share: float) -> tuple[float, float] | None:
+    """(percentile by time, least value) of one bin's values in order; each weighs until the next one, the last one step."""
+    known = np.isfinite(value)
+    if not known.any():
+        return None
+    t, sequence, value = t[known], sequence[known], value[known]
+    weight = np.append(np.maximum(np.diff(t), 0.0), step)
+    order = np.lexsort((sequence, t, value))
+    running = np.cumsum(weight[order])
+    least = float(value[order[0]])
+    if running[-1] > 0:
+        return float(value[order[np.flatnonzero(running >= share * running[-1])[0]]]), least
+    return float(np.percentile(value, 90 if share > 0.7 else 50)), least
 
 
 def bin_values(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """name, bin_value and least of each bin: the percentile by time, each value weighing until the next and the last one step; the least value."""
-    long = _values(frames, keys)
-    group = [*keys, "name"]
-    ordered = Window.partitionBy(*group).orderBy(*ORDER)
-    after = F.lead("t_ms").over(ordered) - F.col("t_ms")
-    weighted = long.withColumn("weight_ms", F.when(after.isNull(), F.col("step_ms")).otherwise(F.greatest(after, F.lit(0.0))))
-    running = Window.partitionBy(*group).orderBy("value", *ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    summed = weighted.withColumn("running", F.sum("weight_ms").over(running)).withColumn("whole", F.sum("weight_ms").over(Window.partitionBy(*group)))
-    plain = F.when(F.max("share") > 0.7, robust.percentile("value", 0.9)).otherwise(robust.median("value"))
-    return summed.groupBy(*group).agg(
-        F.when(F.max("whole") > 0, F.min(F.when(F.col("running") >= F.col("share") * F.col("whole"), F.col("value")))).otherwise(plain).alias("bin_value"),
-        F.min("value").alias("least")
-    )
+    """name, bin_value and least of each bin: the percentile by time, each value weighing until the next and the last one step; the least value.
+
+    keys: the session first. A session's frames come together once, and all of its bins are summed up there; a session lasts five minutes.
+    Bins of special variants stand for their own value, the others for all but these.
+    """
+    inner, fields = keys[1:], {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    wide = frames.select(*keys, *ORDER, F.col("step_ms").cast("double").alias("step_ms"), *[v.cast("double").alias(n) for n, v in _values().items()])
+
+    def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values([*inner, *ORDER], kind="stable")
+        t, sequence, step = (own[c].to_numpy() for c in (*ORDER, "step_ms"))
+        columns, groups = {n: own[n].to_numpy(float, copy=True) for n in SHARES}, own[inner]
+        starts = np.flatnonzero(np.append(True, (groups.to_numpy(object)[1:] != groups.to_numpy(object)[:-1]).any(axis=1)))
+        columns["movement"][starts] = np.nan
+        out = []
+        for low, high in zip(starts, [*starts[1:], len(own)], strict=True):
+            place = tuple(groups.iloc[low])
+            variant = place[inner.index("variant")] if "variant" in inner else None
+            for name, share in SHARES.items():
+                if variant is None or (name == variant if variant in SPECIAL else name not in SPECIAL):
+                    found = _summed_up(t[low:high], sequence[low:high], columns[name][low:high], float(step[low]), share)
+                    out += [(*key, *place, name, *found)] if found else []
+        return pd.DataFrame(out, columns=[*keys, "name", "bin_value", "least"])
+
+    return wide.groupBy(keys[0]).applyInPandas(fold, ", ".join(f"{k} {fields[k]}" for k in keys) + ", name string, bin_value double, least double")
 
 
 def _carries(name: str) -> Column:
