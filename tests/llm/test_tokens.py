@@ -186,3 +186,22 @@ def test_token_file(spark, tmp_path):
 def test_token_file_of_nothing(spark, tmp_path):
     tokenfile.write_token_file(spark.createDataFrame([], DOCUMENTS_DDL), str(tmp_path / "ids"), WORD, end_id=2)
     assert tokenfile.read_token_file(spark, str(tmp_path / "ids")).collect() == []
+
+
+def test_single_documents_are_read_from_their_blocks(spark, tmp_path, monkeypatch):
+    rows = [(k, " ".join(f"word{k} {j}" for j in range(40 * k)) if k != 3 else None) for k in range(12)] + [(5, "again")]
+    path = str(tmp_path / "file")
+    tokenfile.write_token_file(spark.createDataFrame(rows, "doc_id long, text string"), path, WORD, end_id=2, block=64, segment_tokens=1000)
+    whole = sorted((r.doc_id, r.ids) for r in tokenfile.read_token_file(spark, path).collect())
+    by = lambda df: sorted((r.doc_id, r.ids) for r in df.collect())
+    assert by(tokenfile.read_tokens(spark, path, [5, 3, 11, 99])) == [x for x in whole if x[0] in (3, 5, 11)]
+    part = tokenfile.read_tokens(spark, path, [11, 3], 100, 70).collect()
+    assert {r.doc_id: (r.first, np.frombuffer(r.ids, "<u4").tolist()) for r in part} == {
+        11: (100, np.frombuffer(dict(whole)[11], "<u4")[100:170].tolist()), 3: (1, [])
+    }
+    assert tokenfile.read_tokens(spark, path, []).collect() == []
+    decoded, decode = [], tokenfile.decode_block
+    monkeypatch.setattr(tokenfile, "decode_block", lambda raw, at=0: decoded.append(at) or decode(raw, at))
+    file = spark.read.parquet(path).filter("array_contains(doc_ids, 11L)").first()
+    tokenfile._piece(bytes(file.payload), list(file.block_starts), 100, 170)
+    assert len(decoded) == 2

@@ -4,7 +4,7 @@ The file format is a Parquet table of segments in ascending document order. A se
 documents: their ids and lengths, and the token stream cut into blocks. A block subtracts its minimum and
 packs what is left at the width that a given share of its values needs; values beyond that width stand in
 an exception list of positions and values. block_starts indexes the byte at which each block starts, so a
-reader can take any block alone.
+reader can take any block alone; read_tokens() does.
 
 Null or empty text: the end id alone. Rows with a null doc_id come first. Rows with equal doc_id are
 ordered by a hash of their text. Empty table: an empty file and no rows. Other columns are left out.
@@ -28,6 +28,8 @@ from .tokens import encoder
 
 #: base, number of values, number of exceptions, width; little-endian.
 _HEADER = struct.Struct("<IIIB")
+#: Bytes of text to a range of documents, as sampled bounds have it.
+RANGE_BYTES = 1 << 27
 _SEGMENT_DDL = "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, block_starts array<long>, payload binary"
 _SEGMENT = pa.schema([
     ("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
@@ -96,11 +98,13 @@ def write_token_file(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = 4096,
     segment_tokens: int = 1 << 17, share: float = 0.9
 ) -> None:
-    """Encodes all documents and writes them at path, ascending by id."""
+    """Encodes all documents and writes them at path, ascending by id. There are as many ranges as the session's shuffles have, or more: one for RANGE_BYTES of text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
+        rows.withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(ranges, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
         .mapInArrow(lambda batches: _segments(batches, tokenizer_path, end_id, block, segment_tokens, share), _SEGMENT_DDL)
@@ -134,3 +138,47 @@ def read_token_file(spark: SparkSession, path: str, keep_ids: bool = True) -> Da
         .join(starts, ["part", "segment"])
         .select("doc_id", (F.col("part_base") + F.col("base") + F.col("in_segment")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
     )
+
+
+_PIECE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("ids", pa.binary())])
+
+
+def _piece(raw: bytes, starts: list[int], low: int, high: int) -> np.ndarray:
+    """The ids [low, high) of a segment, from the blocks that hold them and no others; all blocks but the last are of one length."""
+    if high <= low:
+        return np.zeros(0, "<u4")
+    block = _HEADER.unpack_from(raw, 0)[1]
+    some = starts[low // block : (high - 1) // block + 1]
+    return np.concatenate([decode_block(raw, at) for at in some])[low % block : low % block + high - low].astype("<u4")
+
+
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int], first: int = 0, count: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, first and ids: ids [first, first + count) of the named documents, decoded from their blocks alone.
+
+    Their segments are found by a scan of the document ids; of the payloads only those segments' are read. doc_ids: a list that fits a
+    plan. A document that stands several times is given as often; one that is not there is not given; beyond a document's end there are no ids.
+    """
+    wanted = sorted({int(d) for d in doc_ids})
+    listed = F.array(*[F.lit(d).cast("long") for d in wanted]) if wanted else F.array().cast("array<long>")
+    file = spark.read.schema(_SEGMENT_DDL).parquet(path)
+    places = file.filter(F.arrays_overlap("doc_ids", listed)).select("part", "segment").collect()  # at most a few for each named document
+    held = F.lit(False)
+    for part in {p for p, _ in places}:
+        held |= (F.col("part") == part) & F.col("segment").isin([s for p, s in places if p == part])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(wanted)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                begin = 0
+                for doc, n in zip(row["doc_ids"], row["doc_tokens"], strict=True):
+                    if doc in known:
+                        low = min(first, n)
+                        high = n if count is None else min(n, low + count)
+                        out.append((doc, n, low, _piece(row["payload"], row["block_starts"], begin + low, begin + high).tobytes()))
+                    begin += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _PIECE, strict=True)], schema=_PIECE)
+
+    rows = file.filter(held).select("doc_ids", "doc_tokens", "block_starts", "payload")
+    return rows.mapInArrow(read, "doc_id long, n_tokens long, first long, ids binary")
