@@ -98,7 +98,7 @@ def voice_quality_tiers() -> dict[str, Column]:
     """timing_usable, general_usable and fine_usable."""
     reasons = voice_quality_reasons()
     free = lambda names: F.size(_listed(reasons, names)) == 0
-    return {"timing_usable": free(TIMING_BLOCKERS), "general_usable": free(GENERAL_BLOCKERS), "fine_usable": F.coalesce(F.col("snr_db") >= FINE_SNR_DB, F.lit(False)) & free(FINE_BLOCKERS)}
+    return {"timing_usable": free(TIMING_BLOCKERS), "general_usable": free(GENERAL_BLOCKERS), "fine_usable": S.finite("snr_db") & F.coalesce(F.col("snr_db") >= FINE_SNR_DB, F.lit(False)) & free(FINE_BLOCKERS)}
 
 
 def acquisition_usable(min_rms: float = 1e-4, max_gap_ms: float = MAX_BLOCK_GAP_MS) -> Column:

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import access, admissions, artefacts, checks, face_lane, histories, measures, observations, reports, signals, streams, surface, visits, voice_lane  # noqa: E402, F401  (these register their queries)
+from . import access, admissions, artefacts, checks, face_lane, histories, measures, observations, reports, signals, streams, surface, visits, voice_lane, voice_varied  # noqa: E402, F401  (these register their queries)
