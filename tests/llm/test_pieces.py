@@ -26,8 +26,9 @@ def test_encode_and_decode_any_text(spark, own):
     r = random.Random(5)
     texts = ODD + ["".join(r.choice("ab1é .\n▁日🙂") for _ in range(r.randint(0, 300))) for _ in range(300)]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    encoded = pieces.encode(rows, MODEL)
+    encoded = pieces.encode(rows, MODEL, back=True)
     found = {x.doc_id: x for x in encoded.withColumn("back", pieces.decoded(F.col("ids"), MODEL)).collect()}
+    assert all(x.decoded == x.back for x in found.values())
     for k, t in enumerate(texts):
         ids = own.model.encode(t)
         assert found[k].ids == ids and found[k].back == own.model.decode(ids), repr(t)

@@ -113,8 +113,8 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and ids (array<int>) of whole texts, as the library's encode() gives them."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """id_col and ids (array<int>) of whole texts, as the library's encode() gives them; with back also decoded, what its decode() makes of them."""
     text = F.translate(F.col(text_col), _MARK, " ")
     marked = F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise(F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -124,11 +124,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column(1)):
                 ids, counts = own.encode(data, offsets)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                columns = {id_col: batch.column(0).slice(low, high - low), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))}
+                if back:
+                    columns["decoded"] = pa.array([own.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
         release_memory()
 
-    return docs.select(F.col(id_col).alias("id"), marked.alias("text")).mapInArrow(read, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), marked.alias("text")).mapInArrow(read, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * back)
 
 
 def decoded(ids, model: str):

@@ -176,9 +176,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * (SELEC
 
 
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer("piece_bpe_32k.model")
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both = encoded.withColumn("decoded", pieces.decoded(F.col("ids"), model))
+    both = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"), back=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
 
