@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import assembly, geometry, governance, history, ingest, provenance, signals
 from ..sources import schemas
-from ..sources.scratch import shared_folder
+from ..sources.scratch import materialize, shared_folder
 from .catalog import query, table
 from .histories import ORDERS, orders
 from .signals import events
@@ -397,7 +397,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     codes = spark.createDataFrame([("urn:p", "1-URGENT", "a", "injection", 0), ("urn:p", "2-HIGH", "b", "injection", 1)], "system string, code string, product string, kind string, position int")
-    resources, unread = ingest.read_resources(_documents(spark, sf_dir), "document_id", "payload")
+    resources, unread = (materialize(x) for x in ingest.read_resources(_documents(spark, sf_dir), "document_id", "payload"))
     return *ingest.map_resources(resources, "document_id", codes, F.lit("Patient/a"), F.lit("-07:00")), unread
 
 
