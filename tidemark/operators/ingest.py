@@ -70,20 +70,22 @@ def read_resources(documents: DataFrame, document_id: str, payload: str) -> tupl
     parsed = documents.select(F.col(document_id), F.col(payload).alias("raw"), F.try_parse_json(payload).alias("json"))
     is_object = F.coalesce(_kind(json).startswith("OBJECT"), F.lit(False))
     bundle = is_object & F.coalesce(F.try_variant_get(json, "$.resourceType", "string") == "Bundle", F.lit(False))
-    entry = F.try_variant_get(json, "$.entry", "variant")
+    entry, entries = F.try_variant_get(json, "$.entry", "variant"), F.try_variant_get(json, "$.entry", "array<variant>")
     absent = entry.isNull() | (_kind(entry) == "VOID")
-    entries = F.try_variant_get(json, "$.entry", "array<variant>")
-    whole = parsed.withColumn("reason", F.when(json.isNull(), NO_JSON).when(~is_object, NO_OBJECT).when(bundle & ~absent & entries.isNull(), NO_ENTRIES))
-    each = F.when(~bundle, F.array(F.struct(json.alias("entry"), json.alias("resource")))).otherwise(
-        F.transform(F.coalesce(entries, F.array().cast("array<variant>")), lambda e: F.struct(e.alias("entry"), F.try_variant_get(e, "$.resource", "variant").alias("resource")))
-    )
-    listed = whole.filter("reason is null").select(document_id, F.posexplode(each).alias("position", "e"))
+    reason = F.when(json.isNull(), NO_JSON).when(~is_object, NO_OBJECT).when(bundle & ~absent & entries.isNull(), NO_ENTRIES)
+    none = F.lit(None).cast("variant")
+    item = lambda position, entry, resource, why: F.struct(position.cast("int").alias("position"), entry.alias("entry"), resource.alias("resource"), why.cast("string").alias("reason"))
+    listed = F.transform(F.coalesce(entries, F.array().cast("array<variant>")), lambda e, k: item(k, e, F.try_variant_get(e, "$.resource", "variant"), F.lit(None)))
+    #: One list for each document, so that its JSON is parsed once and filters stay behind the generator.
+    each = F.when(reason.isNotNull(), F.array(item(F.lit(None), none, none, reason))).when(~bundle, F.array(item(F.lit(0), json, json, F.lit(None)))).otherwise(listed)
+    items = parsed.select(document_id, "raw", F.explode(each).alias("e"))
     sound = F.coalesce(_kind(F.col("e.resource")).startswith("OBJECT"), F.lit(False))
     text = F.to_json("e.resource")
-    resources = listed.filter(sound).select(document_id, "position", F.from_json(text, RESOURCE_DDL).alias("resource"), F.sha2(text, 256).alias("content_sha256"))
-    missing = listed.filter(~sound).select(document_id, "position", F.lit(NO_RESOURCE).alias("reason"), F.to_json("e.entry").alias("raw"))
-    lost = whole.filter("reason is not null").select(document_id, F.lit(None).cast("int").alias("position"), "reason", "raw")
-    return resources, lost.unionByName(missing)
+    resources = items.filter(sound).select(document_id, "e.position", text.alias("text"))
+    resources = resources.select(document_id, "position", F.from_json("text", RESOURCE_DDL).alias("resource"), F.sha2("text", 256).alias("content_sha256"))
+    whole = F.col("e.reason").isNotNull()
+    unread = items.filter(~sound).select(document_id, "e.position", F.coalesce("e.reason", F.lit(NO_RESOURCE)).alias("reason"), F.when(whole, F.col("raw")).otherwise(F.to_json("e.entry")).alias("raw"))
+    return resources, unread
 
 
 def map_resources(resources: DataFrame, document_id: str, codes: DataFrame, patient: Column | None = None, date_offset: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
