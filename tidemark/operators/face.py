@@ -76,8 +76,8 @@ def in_range(frames: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def gated(frames: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Frames in range with resting, failures, bin and usable (no failures)."""
-    ranged = in_range(frames, sessions)
+    """Frames in range with resting, failures, bin and usable (no failures). A session's frames come together here; bins need no further shuffle."""
+    ranged = in_range(frames, sessions).repartition(*KEY)
     posed = ranged.join(resting_pose(ranged), "session_id", "left")
     calibration, resting = F.col("face_calibration"), F.col("resting")
     return posed.withColumns({"failures": gates.face_gate_failures(calibration, resting), "usable": gates.face_usable(calibration, resting)})
