@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import registry
-from ..sources.scratch import materialize
+from ..sources.scratch import SHUFFLED, materialize
 from . import detect, gates, robust, sessionize
 
 # Fixed values of the face metrics.
@@ -183,7 +183,7 @@ def accepted_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
     """(bins that qualify, their frames): usable frames only."""
     usable = gated(frames, sessions).filter("usable")
     bins = qualify(usable, [*KEY, "bin"]).filter("reason is null")
-    return bins, usable.join(bins.select(*KEY, "bin", "step_ms"), [*KEY, "bin"])
+    return bins, usable.join(bins.select(*KEY, "bin", "step_ms").hint(SHUFFLED), [*KEY, "bin"])
 
 
 def _with_variants(base: DataFrame) -> DataFrame:
@@ -199,13 +199,13 @@ def bins_and_frames(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
     """
     key = [*KEY, "variant", "bin"]
     usable = materialize(gated(frames, sessions).filter("usable"))
-    base = usable.join(qualify(usable, [*KEY, "bin"]).filter("reason is null").select(*KEY, "bin"), [*KEY, "bin"])
+    base = usable.join(qualify(usable, [*KEY, "bin"]).filter("reason is null").select(*KEY, "bin").hint(SHUFFLED), [*KEY, "bin"])
     candidates = _with_variants(base)
     bins = materialize(qualify(candidates, key).filter("reason is null"))
-    kept = materialize(candidates.join(bins.select(*key, "step_ms"), key))
+    kept = materialize(candidates.join(bins.select(*key, "step_ms").hint(SHUFFLED), key))
     values = materialize(bin_values(kept, key))
     seen_open = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").select(*KEY, "bin", F.replace("name", F.lit("eye"), F.lit("lid")).alias("variant"))
-    of_lids = lambda df: df.filter("variant = 'base'").drop("variant").join(seen_open, [*KEY, "bin"])
+    of_lids = lambda df: df.filter("variant = 'base'").drop("variant").join(seen_open.hint(SHUFFLED), [*KEY, "bin"])
     return bins.unionByName(of_lids(bins)), kept.unionByName(of_lids(kept)), values
 
 
@@ -219,7 +219,7 @@ def evidence(bins: DataFrame, kept: DataFrame) -> DataFrame:
     started = kept.groupBy(*by, "bin").agg(start.alias("started"))
     low = (F.col("started") + F.col("bin") * BIN_MS).cast("long")
     ref = S.window_ref("face", "capture_epoch", "track_segment_id", low, low + BIN_MS)
-    each = bins.join(started, [*by, "bin"]).withColumns({"window": F.struct("bin", ref.alias("ref")), "steady": steady})
+    each = bins.join(started.hint(SHUFFLED), [*by, "bin"]).withColumns({"window": F.struct("bin", ref.alias("ref")), "steady": steady})
     of_bins = each.groupBy(*by).agg(
         F.count("*").alias("bins"), F.sum("data_ms").alias("eligible_ms"), F.sum("frames").alias("samples"), F.size(F.collect_set(source)).alias("segments"),
         ((F.max("bin") - F.min("bin") + 1) * float(BIN_MS)).alias("span_ms"), F.min("cadence_hz").alias("least_cadence_hz"), F.min("data_ms").alias("least_data_ms"), F.min("frames").alias("least_frames"), F.min("span_ms").alias("least_span_ms"),
@@ -234,13 +234,13 @@ def evidence(bins: DataFrame, kept: DataFrame) -> DataFrame:
     gap = F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*by, "bin").orderBy(*ORDER))
     of_frames = kept.withColumn("gap_ms", gap).groupBy(*by).agg(robust.percentile("gap_ms", 0.95).alias("p95_gap_ms"), robust.median(S.clamp01(1 - turned)).alias("frontal"))
     quality = S.clamp01(0.3 * S.clamp01(F.col("cadence") / 30) + 0.3 * S.clamp01("coverage") + 0.2 * F.col("steadiness") + 0.2 * F.col("frontal"))
-    return of_bins.join(of_frames, by).withColumn("quality", quality).drop("cadence", "coverage", "steadiness", "frontal")
+    return of_bins.join(of_frames.hint(SHUFFLED), by).withColumn("quality", quality).drop("cadence", "coverage", "steadiness", "frontal")
 
 
 def _blink_rates(bins: DataFrame, base: DataFrame) -> DataFrame:
     """Bilateral blinks a minute of exposure, their number, and the spread of the bins' rates."""
     pairs = bilateral_blinks(blinks(base, KEY), KEY).groupBy(*KEY, "bin").agg(F.count("*").alias("pairs"))
-    each = bins.select(*KEY, "bin", "data_ms").join(pairs, [*KEY, "bin"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    each = bins.select(*KEY, "bin", "data_ms").join(pairs.hint(SHUFFLED), [*KEY, "bin"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     rates = each.withColumn("rate", F.col("pairs") / (BIN_MS / 60_000))
     whole = robust.median_and_mad(rates, KEY, "rate", F.sum("pairs").alias("blinks"), F.sum("data_ms").alias("exposure_ms"), F.count("*").alias("n"))
     return whole.select(*KEY, F.col("blinks").cast("long"), (F.col("blinks") / (F.col("exposure_ms") / 60_000)).alias("value"), F.when(F.col("n") >= 2, F.col("mad_value")).alias("dispersion"))
@@ -278,7 +278,7 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     Tables are written in the shared folder while the result is being planned.
     """
     bins, kept, values = bins_and_frames(frames, sessions)
-    proof = materialize(evidence(bins, kept))
+    proof = materialize(evidence(bins, kept)).hint(SHUFFLED)
     base, base_bins = kept.filter("variant = 'base'"), bins.filter("variant = 'base'")
     binned = robust.median_and_mad(values, [*KEY, "name"], "bin_value", F.count("*").alias("n"))
     lids = values.filter("variant = 'base' and name in ('eye_left', 'eye_right') and bin_value > 0").groupBy(*KEY, "name").agg(
@@ -342,7 +342,7 @@ def diagnostics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
         F.size(F.collect_set("bin")).cast("long").alias("bins_considered"), *[c.alias(n) for n, c in sizes]
     )
     judged = qualify(marked.filter("usable"), [*KEY, "bin"])
-    every = marked.select(*KEY, "bin").distinct().join(judged, [*KEY, "bin"], "left").withColumn("reason", F.when(F.col("frames").isNull(), "too-few-usable-frames").otherwise(F.col("reason")))
+    every = marked.select(*KEY, "bin").distinct().join(judged.hint(SHUFFLED), [*KEY, "bin"], "left").withColumn("reason", F.when(F.col("frames").isNull(), "too-few-usable-frames").otherwise(F.col("reason")))
     counted = every.groupBy(*KEY, "reason").agg(F.count("*").alias("n"))
     rejected = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
     return whole.join(counted.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("bins_accepted"), rejected.alias("bin_rejections")), KEY)

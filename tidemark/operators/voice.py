@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import registry
-from ..sources.scratch import materialize
+from ..sources.scratch import SHUFFLED, materialize
 from . import gates, robust, sessionize
 
 # Fixed values of the voice metrics.
@@ -159,7 +159,7 @@ def metrics(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """session_id, metric_code, status, reason_code, value, technical_quality_score and dispersion; seven rows for each session."""
     accepted, cut = segments(frames, sessions)
     accepted = materialize(accepted)
-    cut = materialize(cut.drop("browser_processing", "quality_reasons")).join(accepted.select(*KEY, "segment_no", F.col("pitched_ms").alias("segment_pitched_ms")), [*KEY, "segment_no"])
+    cut = materialize(cut.drop("browser_processing", "quality_reasons")).join(accepted.select(*KEY, "segment_no", F.col("pitched_ms").alias("segment_pitched_ms")).hint(SHUFFLED), [*KEY, "segment_no"])
     whole, joint = rejoined(accepted, cut.drop("segment_pitched_ms"))
     runs, whole = materialize(run_events(joint)), materialize(whole)
     proof = evidence(accepted, cut)

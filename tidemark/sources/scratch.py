@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The hint for joins of written tables by session and bin: on disk they take some hundredth of their rows' size, so that the planner would send whole ones through the driver.
+SHUFFLED = "shuffle_hash"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; under the machine's temporary folder only in local mode, where that is unset.
