@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.operators import face
 from tidemark.plans import face_lane
+from tidemark.streaming import folds, ordered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -20,3 +21,20 @@ def test_face_frames_are_not_broadcast(spark, monkeypatch):
     face.metrics(frames, face_lane.face_sessions(frames))
     joined = [p for p in plans[1:] if "Join" in p]
     assert joined and not any("BroadcastHashJoin" in p for p in joined)
+
+
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_frames_of_a_batch_come_in_any_order(spark, tmp_path, epochs):
+    """A batch whose newest rows come first, in frames of ten rows: none is late, none of an old epoch."""
+    ddl, setting = "s string, t_ms double, value double, source string, epoch long", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [("ab"[t % 2], 10.0 * t, 1.0, "x", 1 + (t >= 60 and epochs == 2)) for t in reversed(range(120))]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
+    fold, before = folds.Windows("t_ms", "value", "source", 300.0), spark.conf.get(setting)
+    spark.conf.set(setting, "10")
+    try:
+        tagged = ordered.ordered(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), "s", "t_ms", fold, 50.0, epoch="epoch")
+        found = ordered.run_to_end(tagged, str(tmp_path / "out"), str(tmp_path / "check"), "s", "t_ms", fold, epoch="epoch").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted((r.s, r.accepted, r.refused) for r in found if r.tag == "closed") == [("a", 60, 0), ("b", 60, 0)]
+    assert [r["rows"] for r in found if r.tag == "result"] == [15] * 8

@@ -1,8 +1,8 @@
 """Ordered folds over streams: rows wait for their turn, refusals are told, and state ends.
 
 Rows of a key wait in state until a row has come that is later by more than the allowed lateness; then they are folded in
-time order. So batches and files may cut and order a key's rows in any way within that lateness, and a batch of a key is
-taken frame by frame. What cannot be taken any more is refused with a reason: a row of an epoch before the current one, one
+time order. So batches and files may cut and order a key's rows in any way within that lateness. Of one batch they may come in
+any order: frames, which Spark cuts by their number of rows, decide nothing, unless a key has more rows in a batch than may wait. What cannot be taken any more is refused with a reason: a row of an epoch before the current one, one
 without a time, one earlier than what is folded, one that the fold has no room for. All that comes out is in one table:
 
     tag "result"   what the fold gives
@@ -77,6 +77,7 @@ class _Held:
         self.epoch, self.bound, self.newest, self.accepted, self.refused, packed, waiting = values or (None, -np.inf, -np.inf, 0, 0, b'{"_":{}}\n', None)
         self.fold = unpack(packed)
         self.waiting = pa.ipc.open_stream(bytes(waiting)).read_pandas() if waiting else None
+        self.coming: list[pd.DataFrame] = []
 
     def values(self) -> tuple:
         waiting = None
@@ -119,6 +120,20 @@ class _Held:
             self.fold = None
 
     def take(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows of a batch: they are held until it ends, or until they are more than may wait."""
+        self.coming.append(rows)
+        if sum(map(len, self.coming)) > self.most:
+            yield from self._settle()
+
+    def end_batch(self) -> Iterator[pd.DataFrame]:
+        """No more rows of this batch come: what the newest row is later than by more than the lateness is folded."""
+        if self.coming:
+            yield from self._settle()
+        self.bound = max(self.bound, self.newest - self.lateness)
+        yield from self._release()
+
+    def _settle(self) -> Iterator[pd.DataFrame]:
+        rows, self.coming = pd.concat(self.coming, ignore_index=True) if len(self.coming) > 1 else self.coming[0], []
         known = np.isfinite(rows[self.at].to_numpy(float))
         yield from self._refuse(rows[~known], NO_TIME)
         rows = rows[known]
@@ -135,7 +150,6 @@ class _Held:
             own = own[~late]
             if len(own):
                 self.newest = max(self.newest, float(own[self.at].max()))
-                self.bound = max(self.bound, self.newest - self.lateness)
                 both = own if self.waiting is None or not len(self.waiting) else pd.concat([self.waiting, own])
                 self.waiting = both.sort_values([self.at, *self.order], kind="stable")
                 yield from self._release()
@@ -178,6 +192,7 @@ def ordered(
                     rows = rows.assign(**{at: rows[at].where(rows[epoch].notna())})
                 yield from _told(held.take(rows), key, k[0], columns)
                 over |= bool(closes and rows[closes].fillna(False).any())
+            yield from _told(held.end_batch(), key, k[0], columns)
         if over:
             yield from _told(held.rest(), key, k[0], columns)
             yield from _told(iter([held.closed()]), key, k[0], columns)
