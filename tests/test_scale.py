@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import face
-from tidemark.plans import face_lane
+from tidemark.operators import alignment, assembly, documents, face
+from tidemark.plans import catalog, face_lane, observations, reports, surface, visits
 from tidemark.streaming import folds, ordered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -38,3 +39,33 @@ def test_frames_of_a_batch_come_in_any_order(spark, tmp_path, epochs):
         spark.conf.set(setting, before)
     assert sorted((r.s, r.accepted, r.refused) for r in found if r.tag == "closed") == [("a", 60, 0), ("b", 60, 0)]
     assert [r["rows"] for r in found if r.tag == "result"] == [15] * 8
+
+
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables here")
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def written_plans(monkeypatch, module):
+    """The plans of the tables that a module writes from now on."""
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: (plans.append(planned(df)), write(df))[1])
+    return plans
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["history_anchors", "history_flags"])
+def test_anchors_and_flags_need_no_metrics(spark, monkeypatch, name):
+    plans = written_plans(monkeypatch, alignment)
+    plans.append(planned(catalog.QUERIES[name](spark, SF_DIR)))
+    assert len(plans) > 1 and not any("lineitem.parquet" in p for p in plans)
+
+
+@needs_tables
+def test_a_run_places_orders_once(spark, monkeypatch):
+    """Histories are made of orders that were put in their places once; metrics alone still look up their owners."""
+    plans = written_plans(monkeypatch, alignment)
+    observations.run_of(spark, SF_DIR)
+    assert [p.count("orders.parquet") for p in plans if "orders.parquet" in p] == [1]

@@ -60,6 +60,17 @@ class Specification:
     anchor_kind: str = "botulinum-injection"
 
 
+@dataclass(frozen=True)
+class Start:
+    """What a run knows before it looks at metrics."""
+
+    observed: DataFrame
+    anchors: DataFrame
+    changes: DataFrame
+    cycles: DataFrame
+    flags: DataFrame
+
+
 @dataclass(frozen=True)
 class Alignment:
     """The tables of a run."""
@@ -156,11 +167,14 @@ def _judged(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bi
     consented = given(consents, "c", ["capture_allowed", "derived_analysis", "derived_retention", "modalities", "granted_at", "withdrawn_at", "expires_at"])
     bound = given(bindings, "b", ["verification_method", "revoked_at"])
     asked = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("metric_code", m.metric_code), ("d_unit", m.unit), ("d_modality", m.modality), ("d_context", m.context), ("d_algorithm_version", m.algorithm_version), ("least_usable_ms", float(m.least_usable_ms)), ("least_quality", float(m.least_quality)))]) for m in spec.metrics])
+    told = given(metrics, "m", ["revision_id"]).withColumn("found", F.lit(True))
+    listed = told.groupBy(*scope, "revision_id").agg(F.collect_list(F.struct(*[x for x in told.columns if x not in (*scope, "revision_id")])).alias("held"))
+    own = F.filter("held", lambda m: m["m_metric_code"] == c("metric_code"))  # a revision's metrics come together, so that its row is shuffled once, not once a metric asked for
     each = (
         observations.join(consented.withColumn("consent_id", c("c_consent_id")), [*scope, "consent_id"], "left")
         .join(bound.withColumn("binding_id", c("b_binding_id")), [*scope, "binding_id"], "left")
-        .select("*", F.inline(asked))
-        .join(given(metrics, "m", ["revision_id", "metric_code"]).withColumn("found", F.lit(True)), [*scope, "revision_id", "metric_code"], "left")
+        .join(listed, [*scope, "revision_id"], "left")
+        .select("*", F.inline(asked)).select("*", F.inline_outer(own)).drop("held", "m_metric_code")
     )
     clock = c("clock_uncertainty_ms") * 1000
     first, last = history.day_bounds(c("started_at"), c("ended_at"), clock, c("anchor_start"), c("anchor_end"))
@@ -182,7 +196,22 @@ def _judged(observations: DataFrame, metrics: DataFrame, consents: DataFrame, bi
         ), (c("period") == "treatment-time-overlap", "treatment-time-overlap"), (c("period") == "outside-analysis-window", "outside-analysis-window"),
         (later & F.lit(spec.exclude_after_change) & changed, "concurrent-treatment-change"), (later & (c("ended_at") + clock >= c("next_cycle")), "subsequent-treatment-cycle"),
     ])
-    return each.withColumn("reasons", reasons)
+    judged = each.withColumn("reasons", reasons)
+    return judged.select(
+        *scope, "metric_code", "observation_id", "revision_id", "encounter_id", "started_at", "ended_at", "period", "first_day", "last_day", "m_value", "reasons",
+        F.when(F.size("reasons") == 0, fingerprint()).alias("fingerprint")
+    )
+
+
+def start(observations: DataFrame, treatments: DataFrame, contexts: DataFrame, wanted: DataFrame, spec: Specification, scope: list[str]) -> Start:
+    """Current revisions, anchors, changes and flags. Tables are written in the shared folder while the result is being planned."""
+    cut = wanted.select(*scope, "as_of")
+    known = lambda records: history.known_at(records, cut, scope, "recorded_at", "as_of").drop("as_of")
+    observed, treated, told = _current({i: known(r) for r, i in ((observations, "observation_id"), (treatments, "treatment_id"), (contexts, "context_id"))}, scope)
+    anchors = materialize(_anchors(treated, wanted, scope))
+    flags, cycles = _changes(treated, told, anchors, scope, spec)
+    changes = history.first_change(flags.filter("relevant"), scope, "at")
+    return Start(observed, anchors, changes, cycles, _all_flags(flags, anchors, (observed, treated, told), scope))
 
 
 def align(
@@ -192,19 +221,16 @@ def align(
     """The whole run. Tables are written in the shared folder while the result is being planned."""
     cut = wanted.select(*scope, "as_of")
     known = lambda records, at="recorded_at": history.known_at(records, cut, scope, at, "as_of")
-    observed, treated, told = _current({i: known(r).drop("as_of") for r, i in ((observations, "observation_id"), (treatments, "treatment_id"), (contexts, "context_id"))}, scope)
-    anchors = materialize(_anchors(treated, wanted, scope))
-    flags, cycles = _changes(treated, told, anchors, scope, spec)
-    changes = history.first_change(flags.filter("relevant"), scope, "at")
-    placed = observed.join(anchors.select(*scope, "as_of", "anchor_start", "anchor_end"), scope).join(changes, scope, "left").join(cycles, scope, "left")
+    begun = start(observations, treatments, contexts, wanted, spec, scope)
+    anchors = begun.anchors
+    placed = begun.observed.join(anchors.select(*scope, "as_of", "anchor_start", "anchor_end"), scope).join(begun.changes, scope, "left").join(begun.cycles, scope, "left")
     judged = materialize(_judged(placed, metrics, known(consents.withColumnRenamed("capture", "capture_allowed"), "granted_at"), known(bindings), spec, scope))
     row, order = [*scope, "metric_code"], ["started_at", "revision_id"]
-    candidates = history.reference_stratum(
-        judged.filter(F.size("reasons") == 0).withColumns({"fingerprint": fingerprint(), "is_baseline": F.coalesce(F.col("period") == "baseline", F.lit(False))}),
-        row, "fingerprint", "is_baseline", order
-    )
+    candidates = materialize(history.reference_stratum(
+        judged.filter(F.size("reasons") == 0).withColumn("is_baseline", F.coalesce(F.col("period") == "baseline", F.lit(False))), row, "fingerprint", "is_baseline", order
+    ))
     alike = F.col("fingerprint") == F.col("reference_fingerprint")
-    compatible = materialize(candidates.filter(alike))
+    compatible = candidates.filter(alike)
     baselines = history.baseline(compatible.filter("is_baseline"), row, "encounter_id", "m_value", spec.least_observations, spec.least_encounters)
     valued = compatible.join(baselines.select(*row, "baseline_value"), row, "left").withColumn("delta", F.col("m_value") - F.col("baseline_value"))
     wild = F.col("delta").isNotNull() & ~S.finite("delta")
@@ -229,7 +255,7 @@ def align(
     )
     phases = parameter_tables(observations.sparkSession, spec)[1].drop("digest")
     coverage = history.phase_coverage(points.filter(~F.col("is_baseline") & F.col("first_day").isNotNull()), every, phases, row, "encounter_id", "first_day", "last_day")
-    return Alignment(anchors, _all_flags(flags, anchors, (observed, treated, told), scope), exclusions, points, rows, coverage, scope)
+    return Alignment(anchors, begun.flags, exclusions, points, rows, coverage, scope)
 
 
 def latest_points(points: DataFrame, row: list[str]) -> DataFrame:
