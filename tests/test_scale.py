@@ -55,6 +55,12 @@ def written_plans(monkeypatch, module):
     return plans
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["durable_rules", "measurement_audit"])
+def test_audits_gather_lines_once(spark, name):
+    assert "lineitem.parquet" not in planned(catalog.QUERIES[name](spark, SF_DIR))
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["history_anchors", "history_flags"])
 def test_anchors_and_flags_need_no_metrics(spark, monkeypatch, name):

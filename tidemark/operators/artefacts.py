@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import materialize
 from . import robust
 
 #: A session lasts its stated time but for this.
@@ -17,7 +18,7 @@ def _repeated(df: DataFrame, key: list[str], value: str, name: str) -> DataFrame
 
 
 def durable_violations(observations: DataFrame, windows: DataFrame, metrics: DataFrame, samples: DataFrame) -> DataFrame:
-    """revision_id and violations of durable observations with all that hangs on them.
+    """revision_id and violations of durable observations with all that hangs on them. The metrics' windows are written while the result is being planned.
 
     observations: revision_id, supersedes_revision_id, started_at_ms, ended_at_ms, recorded_at_ms. windows: revision_id, window_id, start_ms, end_ms, status, reason_codes.
     metrics: revision_id, metric_code, status, usable_ms, window_ids. samples: revision_id, metric_code, sample_id, start_ms, end_ms, window_ids.
@@ -27,9 +28,9 @@ def durable_violations(observations: DataFrame, windows: DataFrame, metrics: Dat
     bad_window = (c("end_ms") <= c("start_ms")) | (c("end_ms") > c("length")) | ((c("w_status") == "withheld") & (F.coalesce(F.size("reason_codes"), F.lit(0)) == 0))
     own = windows.withColumnRenamed("status", "w_status")
     of_windows = own.join(length, key).groupBy(*key).agg(F.max(bad_window).alias("bad_window"), (F.count("*") != F.countDistinct("window_id")).alias("repeated_window"))
-    refs = metrics.select(
+    refs = materialize(metrics.select(
         *key, "metric_code", c("status").alias("m_status"), "usable_ms", F.explode_outer("window_ids").alias("window_id")
-    ).join(own.dropDuplicates([*key, "window_id"]), [*key, "window_id"], "left")
+    ).join(own.drop("reason_codes").dropDuplicates([*key, "window_id"]), [*key, "window_id"], "left"))
     lost = c("window_id").isNotNull() & (c("w_status").isNull() | ((c("m_status") == "measured") & (c("w_status") != "eligible")))
     by_metric = [*key, "metric_code"]
     attributed = refs.groupBy(*by_metric).agg(

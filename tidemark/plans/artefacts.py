@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import artefacts, assembly, provenance
+from ..sources.scratch import materialize
 from .catalog import query, table
 from .observations import _LISTED
 
@@ -48,7 +49,7 @@ def durable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("revision_id"), F.when(k % 79 == 0, k).alias("supersedes_revision_id"), F.lit(0.0).alias("started_at_ms"), end.alias("ended_at_ms"),
         F.when(k % 73 == 0, end - 1).otherwise(end).alias("recorded_at_ms")
     )
-    li, part = lines(spark, sf_dir), F.col("part")
+    li, part = materialize(lines(spark, sf_dir)), F.col("part")
     start = F.col("n") * 1000.0
     length = F.when(part % 37 == 0, 0).when(part % 41 == 0, 20_000).otherwise(F.col("quantity") * 30.0)
     eligible = F.col("discount") > 0.01
@@ -57,17 +58,17 @@ def durable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eligible, "eligible").otherwise("withheld").alias("status"),
         F.when(part % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("reason_codes")
     )
-    last = li.groupBy("k").agg(F.collect_set("n").alias("numbers"))
+    numbered = li.withColumn("numbers", F.collect_set("n").over(Window.partitionBy("k")))
     name = lambda n: F.concat(F.lit("w"), _text(n))
     ids = F.array_compact(F.array(
         name(F.col("n")), F.when(F.array_contains("numbers", F.col("n") + 1), name(F.col("n") + 1)), F.when(part % 53 == 0, name(F.col("n"))),
         F.when(part % 59 == 0, "lost")
     ))
-    metrics = li.join(last, "k").select(
+    metrics = materialize(numbered.select(
         F.col("k").alias("revision_id"), F.concat(F.lit("m"), _text(F.col("n"))).alias("metric_code"),
         F.when(F.col("tax") > 0.02, "measured").otherwise("withheld").alias("status"), (F.col("quantity") * 40.0).alias("usable_ms"), ids.alias("window_ids"),
         start.alias("s"), (F.col("n") % 2 == 1).alias("sampled")
-    )
+    ))
     plain = F.array_distinct(F.filter("window_ids", lambda x: x != "lost"))
     samples = metrics.filter("sampled").select(
         "revision_id", "metric_code", F.lit("s1").alias("sample_id"), F.col("s").alias("start_ms"), (F.col("s") + 1500.0).alias("end_ms"),
@@ -134,7 +135,7 @@ def aggregate_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LINES} SELECT k AS session_id, 'x' || n AS measurement_id, {_LISTED(('part % 31 = 0', 'not-referenced'), ('part % 37 = 0 OR part % 41 = 0 OR discount <= 0.01', 'aggregate-mismatch'), ('part % 43 = 0 OR part % 47 = 0 OR tax <= 0.01', 'source-window-mismatch'))} AS violations FROM li""",
 )
 def measurement_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, part = lines(spark, sf_dir), F.col("part")
+    li, part = materialize(lines(spark, sf_dir)), F.col("part")
     same = lambda **odd: [odd.get(c, F.lit(c)).alias(c) for c in ("label", "modality", "context", "unit", "algorithm_version", "processor_ref", "track_segment_id")]
     number = lambda p: F.concat(F.lit(p), _text(F.col("n")))
     measurements = li.select(
