@@ -75,3 +75,10 @@ def test_a_run_places_orders_once(spark, monkeypatch):
     plans = written_plans(monkeypatch, alignment)
     observations.run_of(spark, SF_DIR)
     assert [p.count("orders.parquet") for p in plans if "orders.parquet" in p] == [1]
+
+
+def test_eligible_windows_are_listed_once_a_document(spark):
+    """What an array of windows is held against is bound outside of the step over windows."""
+    o = reports.outcomes(spark, SF_DIR) if os.path.isdir(SF_DIR) else pytest.skip("no tables here")
+    found = documents.windows_of(documents.session_documents(o, o.select("session_id", F.lit(1.0).alias("duration_ms")), o.select("session_id"), surface._PROTOCOL))
+    assert "array_contains(lambda" in found._jdf.queryExecution().optimizedPlan().toString()

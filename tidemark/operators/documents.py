@@ -28,11 +28,12 @@ def _windows(outcomes: Column) -> Column:
     refs = lambda some: F.array_sort(F.array_distinct(F.flatten(F.transform(some, lambda o: F.coalesce(o["window_refs"], F.array().cast("array<string>"))))))
     good = refs(F.filter(outcomes, _measured))
 
-    def window(ref: Column) -> Column:
+    def window(ref: Column, good: Column) -> Column:
         low, high = S.window_ref_bounds(ref)
         return F.struct(window_id(ref).alias("window_id"), ref.alias("ref"), low.alias("start_ms"), high.alias("end_ms"), F.when(F.array_contains(good, ref), "eligible").otherwise("withheld").alias("status"))
 
-    return F.transform(refs(outcomes), window)
+    # bound by a lambda of its own, the good ones are listed once a row and not once a window
+    return F.flatten(F.transform(F.array(good), lambda g: F.transform(refs(outcomes), lambda ref: window(ref, g))))
 
 
 def _lane(outcomes: Column, modality: str) -> Column:
