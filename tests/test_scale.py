@@ -77,6 +77,14 @@ def test_a_run_places_orders_once(spark, monkeypatch):
     assert [p.count("orders.parquet") for p in plans if "orders.parquet" in p] == [1]
 
 
+@needs_tables
+def test_reported_rows_are_dealt_out_once(spark):
+    """Neither by the few codes of metrics nor once more for their counts."""
+    reported = reports.outcomes(spark, SF_DIR).select("session_id", "metric_code", F.lit("timing").alias("section"))
+    found = assembly.section_errors(reported, spark.createDataFrame(reports.SECTIONS, "section string, metric_code string, position int"))
+    assert planned(found).count("Exchange hashpartitioning") == 1
+
+
 def test_eligible_windows_are_listed_once_a_document(spark):
     """What an array of windows is held against is bound outside of the step over windows."""
     o = reports.outcomes(spark, SF_DIR) if os.path.isdir(SF_DIR) else pytest.skip("no tables here")

@@ -6,7 +6,7 @@ eligible_ms, window_refs (array<string>) and processor_refs (array<string>).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -117,9 +117,8 @@ def report_sections(outcomes: DataFrame, sections: DataFrame, failures: DataFram
 
 def section_errors(reported: DataFrame, sections: DataFrame) -> DataFrame:
     """Reported rows (session_id, section, metric_code) with violations: another section than the metric's, or a metric that appears twice."""
-    own = reported.join(sections.select("metric_code", F.col("section").alias("own_section")), "metric_code", "left")
-    times = reported.groupBy(*KEY, "metric_code").agg(F.count("*").alias("times"))
-    joined = own.join(times, [*KEY, "metric_code"])
+    counted = reported.withColumn("times", F.count("*").over(Window.partitionBy(*KEY, "metric_code")))
+    joined = counted.join(F.broadcast(sections.select("metric_code", F.col("section").alias("own_section"))), "metric_code", "left")  # by so few codes no rows are shuffled
     return joined.withColumn(
         "violations",
         S.reasons([(F.col("own_section").isNull(), "unregistered-metric"), (F.col("own_section") != F.col("section"), "wrong-section"), (F.col("times") > 1, "repeated-metric")])
