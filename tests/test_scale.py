@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alignment, assembly, documents, face
-from tidemark.plans import catalog, face_lane, observations, reports, surface, visits
+from tidemark.plans import catalog, face_lane, observations, reports, surface
 from tidemark.streaming import folds, ordered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -55,6 +55,12 @@ def written_plans(monkeypatch, module):
     return plans
 
 
+@needs_tables
+def test_an_audit_compares_visits_once(spark):
+    """It holds written comparison rows against claims; it does not compare the visits again for each."""
+    assert "lineitem.parquet" not in planned(catalog.QUERIES["visit_row_audit"](spark, SF_DIR))
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["durable_rules", "measurement_audit"])
 def test_audits_gather_lines_once(spark, name):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import visits
+from ..sources.scratch import materialize
 from .catalog import query, table
 from .observations import _LISTED
 
@@ -125,7 +126,7 @@ SELECT reference_id, current_id, metric_code, CASE WHEN dropped THEN 'row-missin
 )
 def visit_row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison rows of which some have another delta, some no reasons, and some are missing, against those recomputed."""
-    rows = compared(spark, sf_dir)
+    rows = materialize(compared(spark, sf_dir))
     claimed = rows.filter(~((F.col("current_id") % 13 == 0) & (F.col("metric_code") == "m4"))).withColumns({
         "delta": F.when(F.col("current_id") % 7 == 0, F.col("delta") + 1).otherwise(F.col("delta")), "reasons": F.when(
             F.col("current_id") % 11 == 0, F.array().cast("array<string>")
