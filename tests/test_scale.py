@@ -41,6 +41,22 @@ def test_frames_of_a_batch_come_in_any_order(spark, tmp_path, epochs):
     assert [r["rows"] for r in found if r.tag == "result"] == [15] * 8
 
 
+def test_window_metrics_of_events_in_any_order(spark, tmp_path):
+    """Two sessions whose newest events come first, in frames of 500 rows: the metrics are those of events in order."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, e = spark.conf.get(setting), F.col("event_id")
+    events = spark.range(12_000).select(F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"), (F.col("id") * 7919 % 997 / 10.0).alias("value"))
+    found = []
+    spark.conf.set(setting, "500")
+    try:
+        for name, order in (("in-order", e), ("newest-first", e.desc())):
+            events.coalesce(1).sortWithinPartitions(order).write.parquet(str(tmp_path / name / "events.parquet"))
+            found.append(sorted(tuple(r) for r in catalog.QUERIES["stream_window_metrics"](spark, str(tmp_path / name)).collect()))
+    finally:
+        spark.conf.set(setting, before)
+    assert len(found[0]) == 28 and found[0] == found[1]
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables here")
 
 
