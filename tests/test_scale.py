@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alignment, assembly, documents, face
 from tidemark.plans import catalog, face_lane, observations, reports, surface
+from tidemark.plans import visits as plan_visits
 from tidemark.streaming import folds, ordered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -112,3 +113,13 @@ def test_eligible_windows_are_listed_once_a_document(spark):
     o = reports.outcomes(spark, SF_DIR) if os.path.isdir(SF_DIR) else pytest.skip("no tables here")
     found = documents.windows_of(documents.session_documents(o, o.select("session_id", F.lit(1.0).alias("duration_ms")), o.select("session_id"), surface._PROTOCOL))
     assert "array_contains(lambda" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["visit_comparison", "visit_cards", "visit_card_audit"])
+def test_visits_are_not_dealt_out_by_metric(spark, monkeypatch, name):
+    """A profile has a handful of metrics: shuffled by them, all rows would be in as few tasks."""
+    plans = written_plans(monkeypatch, plan_visits)
+    plans.append(planned(catalog.QUERIES[name](spark, SF_DIR)))
+    assert not any(f"hashpartitioning({side}metric_code#" in p for p in plans for side in ("", "d_"))
+    assert name != "visit_card_audit" or "lineitem.parquet" not in plans[-1]

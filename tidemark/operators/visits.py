@@ -3,6 +3,8 @@
 visits: observation_id and the columns that VISIT_CHECKS and the chronology name. outcomes: observation_id, metric_code, context, modality, unit,
 algorithm_version, processor_ref, status, value, quality. processors: observation_id, processor_ref, modality, runtime, runtime_version, asset_path,
 asset_sha256, integrity_verified. definitions: metric_code, context, modality, unit, algorithm_version. pairs: reference_id and current_id.
+
+Definitions and profiles have a row for each metric and are sent to all tasks: shuffled by metric, each metric would be one task.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import dealt
 
 #: Reasons why two visits or metrics cannot be compared, in the order in which they are listed.
 REASONS = [
@@ -40,6 +43,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 def global_reasons(pairs: DataFrame, visits: DataFrame) -> DataFrame:
     """pairs with global_reasons: what is unlike between the visits as such. A pair whose visit is missing is left out."""
+    visits = dealt(visits, "observation_id")
     both = pairs.join(_prefixed(visits, "r"), F.col("reference_id") == F.col("r_observation_id")).join(_prefixed(visits, "c"), F.col("current_id") == F.col("c_observation_id"))
     checks = []
     for columns, reason in VISIT_CHECKS:
@@ -55,7 +59,7 @@ def global_reasons(pairs: DataFrame, visits: DataFrame) -> DataFrame:
 def resolved(outcomes: DataFrame, processors: DataFrame) -> DataFrame:
     """outcomes with found (how many processors have the outcome's reference) and processor, if it is one."""
     own = F.struct("modality", "runtime", "runtime_version", "asset_path", "asset_sha256", "integrity_verified")
-    counted = processors.groupBy("observation_id", "processor_ref").agg(F.count("*").alias("found"), F.first(own).alias("processor"))
+    counted = dealt(processors, "observation_id", "processor_ref").groupBy("observation_id", "processor_ref").agg(F.count("*").alias("found"), F.first(own).alias("processor"))
     joined = outcomes.join(counted, ["observation_id", "processor_ref"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return joined.withColumn("processor", F.when(F.col("found") == 1, F.col("processor")))
 
@@ -77,7 +81,8 @@ def compare(pairs: DataFrame, visits: DataFrame, outcomes: DataFrame, processors
     unlike = F.lit(False)
     for c in _DEFINED:
         unlike = unlike | ~F.col(c).eqNullSafe(F.col(f"d_{c}"))
-    sources = resolved(outcomes, processors).filter(F.col("metric_code").isin(*codes)).join(defined, "metric_code", "left").withColumn("undefined", unlike).drop(*[f"d_{c}" for c in _DEFINED])
+    sources = resolved(outcomes, processors).filter(F.col("metric_code").isin(*codes)).join(F.broadcast(defined), "metric_code", "left").withColumn("undefined", unlike).drop(*[f"d_{c}" for c in _DEFINED])
+    sources = dealt(sources, "observation_id", "metric_code")
     every = global_reasons(pairs, visits).select("*", F.posexplode(F.array(*[F.lit(c) for c in codes])).alias("position", "metric_code"))
     r, c = F.col, F.col
     side = lambda p, key: _prefixed(sources, p).withColumnRenamed(f"{p}_observation_id", key).withColumn("metric_code", F.col(f"{p}_metric_code"))
@@ -121,7 +126,7 @@ def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def card_rows(rows: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a profile's metrics (metric_code, place, label, role), in its order; metrics without a row have none."""
-    return rows.join(profile, "metric_code").select(*keys, "place", "label", "role", *[c for c in rows.columns if c not in keys])
+    return rows.join(F.broadcast(profile), "metric_code").select(*keys, "place", "label", "role", *[c for c in rows.columns if c not in keys])
 
 
 def row_violations() -> Column:
@@ -146,7 +151,7 @@ def row_violations() -> Column:
 
 def recomputed_violations(claimed: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:
     """claimed rows with violations: their own, and status or reasons that are not those recomputed from the sources; recomputed rows that are missing."""
-    again = recomputed.select(*keys, F.col("status").alias("now_status"), F.col("reasons").alias("now_reasons"), F.lit(True).alias("expected"))
+    again = dealt(recomputed.select(*keys, F.col("status").alias("now_status"), F.col("reasons").alias("now_reasons"), F.lit(True).alias("expected")), *keys)
     joined = claimed.withColumn("given", F.lit(True)).join(again, keys, "full")
     own = F.when(F.col("given"), row_violations()).otherwise(F.array().cast("array<string>"))
     other = S.reasons([
@@ -159,11 +164,11 @@ def recomputed_violations(claimed: DataFrame, recomputed: DataFrame, keys: list[
 def card_violations(cards: DataFrame, claimed: DataFrame, rows: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
     """keys and violations of cards (generated_at, compared_at, review_status, reviewed_at, and the summary's columns) against their claimed rows and the comparison's."""
     sums = [c for c in summary(rows, keys).columns if c not in keys]
-    expected = summary(rows.join(profile.select("metric_code"), "metric_code", "left_semi"), keys).select(*keys, *[F.col(c).alias(f"x_{c}") for c in sums])
+    expected = summary(rows.join(F.broadcast(profile.select("metric_code")), "metric_code", "left_semi"), keys).select(*keys, *[F.col(c).alias(f"x_{c}") for c in sums])
     shown = F.struct("status", "delta", F.col("reasons").alias("reasons"))
     own = claimed.select(*keys, "place", "metric_code", shown.alias("claimed"))
-    placed = own.join(profile.select("metric_code", F.col("place").alias("own_place")), "metric_code", "left").join(
-        rows.select(*keys, "metric_code", shown.alias("compared")), [*keys, "metric_code"], "left"
+    placed = own.join(F.broadcast(profile.select("metric_code", F.col("place").alias("own_place"))), "metric_code", "left").join(
+        dealt(rows.select(*keys, "metric_code", shown.alias("compared")), *keys, "metric_code"), [*keys, "metric_code"], "left"
     )
     bad = placed.groupBy(*keys).agg(
         F.max(~F.col("place").eqNullSafe(F.col("own_place"))).alias("misplaced"), F.max(~F.col("claimed").eqNullSafe(F.col("compared"))).alias("altered"),

@@ -34,3 +34,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df by columns in just as many partitions as the session shuffles to.
+
+    The planner gathers shuffled partitions by their size on disk; where rows take some tenth of their size there, one task would sort more the larger the tables are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
