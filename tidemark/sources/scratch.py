@@ -40,5 +40,6 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """df by columns in just as many partitions as the session shuffles to.
 
     The planner gathers shuffled partitions by their size on disk; where rows take some tenth of their size there, one task would sort more the larger the tables are.
+    For the same reason a join of it is not turned into a broadcast.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns).hint("merge")
