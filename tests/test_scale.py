@@ -123,3 +123,9 @@ def test_visits_are_not_dealt_out_by_metric(spark, monkeypatch, name):
     plans.append(planned(catalog.QUERIES[name](spark, SF_DIR)))
     assert not any(f"hashpartitioning({side}metric_code#" in p for p in plans for side in ("", "d_"))
     assert name != "visit_card_audit" or "lineitem.parquet" not in plans[-1]
+
+
+@needs_tables
+def test_tones_are_dealt_out(spark):
+    """Their pitch is looked for in all tasks, however few the files are cut into."""
+    assert "Exchange hashpartitioning(event_id" in planned(catalog.QUERIES["pitch_of_blocks"](spark, SF_DIR))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import assembly, geometry, governance, history, ingest, provenance, signals
 from ..sources import schemas
-from ..sources.scratch import materialize, shared_folder
+from ..sources.scratch import dealt, materialize, shared_folder
 from .catalog import query, table
 from .histories import ORDERS, orders
 from .signals import events
@@ -218,10 +218,9 @@ def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pitch_of_blocks")
 def pitch_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pitch of 800-sample tones whose frequency each event's value sets."""
-    hz = 80 + F.col("value") % 300
-    tones = events(spark, sf_dir).select(
-        "event_id", F.transform(F.sequence(F.lit(0), F.lit(799)), lambda k: F.sin(2 * 3.141592653589793 * hz * k / 8000)).alias("samples"),
-        F.lit(8000.0).alias("rate")
+    turn = 2 * 3.141592653589793 * (80 + F.col("value") % 300)
+    tones = dealt(events(spark, sf_dir).select("event_id", "value"), "event_id").select(  # as files are cut, a large one may be a single task
+        "event_id", F.transform(F.array_repeat(turn, 800), lambda turned, k: F.sin(turned * k / 8000)).alias("samples"), F.lit(8000.0).alias("rate")
     )
     p = F.col("pitch")
     return signals.with_pitch(tones, "samples", "rate").select("event_id", F.round(p["hz"], 3).alias("hz"), F.round(p["agreement"], 4).alias("agreement"))
