@@ -129,3 +129,11 @@ def test_visits_are_not_dealt_out_by_metric(spark, monkeypatch, name):
 def test_tones_are_dealt_out(spark):
     """Their pitch is looked for in all tasks, however few the files are cut into."""
     assert "Exchange hashpartitioning(event_id" in planned(catalog.QUERIES["pitch_of_blocks"](spark, SF_DIR))
+
+
+@needs_tables
+def test_session_rules_move_lines_once(spark):
+    """Lines are dealt out by order; neither their identities nor the distinct ones among them are shuffled."""
+    plan = planned(catalog.QUERIES["session_rules"](spark, SF_DIR))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any(name in line for line in exchanges for name in ("aggregate_id", "l_linenumber", "outcome_id")) and "Expand" not in plan

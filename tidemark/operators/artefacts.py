@@ -98,9 +98,9 @@ def session_violations(observations: DataFrame, windows: DataFrame, measurements
         F.max(~c("w_session").eqNullSafe(c("session_id")) | (c("end_ms") > c("duration_ms"))).alias("outside")
     )
     bound = lambda df: df.drop("session_id", "protocol_id", "protocol_version").join(parent.drop("duration_ms"), key)
+    repeated = lambda x: F.count("*") != F.size(F.collect_set(x))  # noqa: E731  (several distinct counts would shuffle each row once for each of them)
     o = bound(outcomes).groupBy(*key).agg(
-        (F.count("*") != F.countDistinct("outcome_id")).alias("twice_o"), (F.count("*") != F.countDistinct("aggregate_id")).alias("twice_a"),
-        (F.count("*") != F.countDistinct("metric_code")).alias("twice_c"), F.max(c("aggregate_id") != aggregate_id()).alias("odd_o")
+        repeated("outcome_id").alias("twice_o"), repeated("aggregate_id").alias("twice_a"), repeated("metric_code").alias("twice_c"), F.max(c("aggregate_id") != aggregate_id()).alias("odd_o")
     )
     m0 = bound(measurements)
     m = m0.groupBy(*key).agg(

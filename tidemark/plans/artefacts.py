@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import artefacts, assembly, provenance
-from ..sources.scratch import materialize
+from ..sources.scratch import dealt, materialize
 from .catalog import query, table
 from .observations import _LISTED
 
@@ -15,10 +15,10 @@ _DEAR = "max(struct_pack(a := l_extendedprice, b := l_discount, c := l_tax, d :=
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line for each order and line number: k, n, price, discount, tax, quantity and part."""
+    """One line for each order and line number: k, n, price, discount, tax, quantity and part. An order's lines are in one partition, so that steps by order move them no more."""
     line = F.max(F.struct("l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_partkey")).alias("l")
-    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(line)
-    return one.select(
+    dealt_out = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_partkey"), "l_orderkey")
+    return dealt_out.groupBy("l_orderkey", "l_linenumber").agg(line).select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l.l_extendedprice").alias("price"), F.col("l.l_discount").alias("discount"),
         F.col("l.l_tax").alias("tax"), F.col("l.l_quantity").cast("long").alias("quantity"), F.col("l.l_partkey").alias("part")
     )
