@@ -137,3 +137,14 @@ def test_session_rules_move_lines_once(spark):
     plan = planned(catalog.QUERIES["session_rules"](spark, SF_DIR))
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and not any(name in line for line in exchanges for name in ("aggregate_id", "l_linenumber", "outcome_id")) and "Expand" not in plan
+
+
+@needs_tables
+def test_bins_are_summed_up_by_what_is_asked_for(spark):
+    """One value alone is that of all, and the others' columns do not reach the workers."""
+    frames = face_lane.face_frames(spark, SF_DIR)
+    _, kept = face.accepted_frames(frames, face_lane.face_sessions(frames))
+    keys = ["session_id", "bin"]
+    alone, every = face.bin_values(kept, keys, ("eye_left",)), face.bin_values(kept, keys).filter("name = 'eye_left'")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, every.collect()))
+    assert "movement" not in planned(catalog.QUERIES["face_eye_bins"](spark, SF_DIR))

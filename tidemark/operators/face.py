@@ -145,26 +145,28 @@ def _summed_up(t: np.ndarray, sequence: np.ndarray, value: np.ndarray, step: flo
     return float(np.percentile(value, 90 if share > 0.7 else 50)), least
 
 
-def bin_values(frames: DataFrame, keys: list[str]) -> DataFrame:
+def bin_values(frames: DataFrame, keys: list[str], names: tuple[str, ...] = tuple(SHARES)) -> DataFrame:
     """name, bin_value and least of each bin: the percentile by time, each value weighing until the next and the last one step; the least value.
 
     keys: the session first. A session's frames come together once, and all of its bins are summed up there; a session lasts five minutes.
-    Bins of special variants stand for their own value, the others for all but these.
+    Bins of special variants stand for their own value, the others for all but these. names: the values that are asked for; no others are summed up.
     """
+    shares = {n: SHARES[n] for n in names}
     inner, fields = keys[1:], {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-    wide = frames.select(*keys, *ORDER, F.col("step_ms").cast("double").alias("step_ms"), *[v.cast("double").alias(n) for n, v in _values().items()])
+    wide = frames.select(*keys, *ORDER, F.col("step_ms").cast("double").alias("step_ms"), *[v.cast("double").alias(n) for n, v in _values().items() if n in shares])
 
     def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values([*inner, *ORDER], kind="stable")
         t, sequence, step = (own[c].to_numpy() for c in (*ORDER, "step_ms"))
-        columns, groups = {n: own[n].to_numpy(float, copy=True) for n in SHARES}, own[inner]
+        columns, groups = {n: own[n].to_numpy(float, copy=True) for n in shares}, own[inner]
         starts = np.flatnonzero(np.append(True, (groups.to_numpy(object)[1:] != groups.to_numpy(object)[:-1]).any(axis=1)))
-        columns["movement"][starts] = np.nan
+        if "movement" in columns:
+            columns["movement"][starts] = np.nan
         out = []
         for low, high in zip(starts, [*starts[1:], len(own)], strict=True):
             place = tuple(groups.iloc[low])
             variant = place[inner.index("variant")] if "variant" in inner else None
-            for name, share in SHARES.items():
+            for name, share in shares.items():
                 if variant is None or (name == variant if variant in SPECIAL else name not in SPECIAL):
                     found = _summed_up(t[low:high], sequence[low:high], columns[name][low:high], float(step[low]), share)
                     out += [(*key, *place, name, *found)] if found else []

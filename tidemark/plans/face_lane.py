@@ -123,7 +123,7 @@ SELECT session_id, bin, round(min(eye_left) FILTER (WHERE running >= 0.9 * whole
 def face_eye_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
     _, kept = face.accepted_frames(frames, face_sessions(frames))
-    return face.bin_values(kept, ["session_id", "bin"]).filter("name = 'eye_left'").select("session_id", "bin", F.round("bin_value", 6).alias("eye_left_p90"), F.col("least").alias("eye_left_least"))
+    return face.bin_values(kept, ["session_id", "bin"], ("eye_left",)).select("session_id", "bin", F.round("bin_value", 6).alias("eye_left_p90"), F.col("least").alias("eye_left_least"))
 
 
 def blinks_sql(frames: str, key: str, out: str) -> str:
