@@ -93,6 +93,15 @@ def test_windows_rotate():
         ]
 
 
+def test_windows_lie_on_the_clock():
+    rows = pd.DataFrame([(130, 1.0), (190, 1.0), (195, 2.0), (200, 1.0), (720, None), (800, 3.0)], columns=["at_ms", "value"])
+    for cuts in ([], [1, 2, 3, 4, 5], [2]):
+        found = cut_fold(folds.ClockWindows(window_ms=100, max_rows=2), rows, cuts)
+        assert found.to_numpy().tolist() == [
+            [1, 100, 200, 2, 1, 2.0, "full"], [2, 200, 300, 1, 0, 1.0, "full"], [7, 700, 800, 1, 0, 0.0, "full"], [8, 800, 800, 1, 0, 3.0, "ended"]
+        ]
+
+
 def rows_of(n, seed=3):
     r = np.random.default_rng(seed)
     out = [(f"s{k % 3}", float(10 * k), float(r.integers(0, 9)), "x" if k < n * 0.7 else "y", 1, False) for k in range(n)]

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def test_window_metrics_of_events_in_any_order(spark, tmp_path):
     assert len(found[0]) == 28 and found[0] == found[1]
 
 
+@pytest.mark.parametrize("name", ["stream_window_metrics", "finalised_window_frames"])
+def test_windows_lie_on_the_sessions_clock(spark, tmp_path, name):
+    """Sessions that begin in the middle or late, are silent for longer than a window, or end with a window's first frame."""
+    e = F.col("id")
+    k, s = e % 6000, F.expr("id div 6000")
+    there = F.when(s == 1, k >= 1500).when(s == 2, k >= 4700).when(s == 3, k <= 4000).when(s == 4, (k < 150) | (k >= 5400)).when(s == 5, k == 5000).when(s == 6, (k < 300) | (k == 4100)).otherwise(True)
+    events = spark.range(42_000).filter(there).select(e.alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), (e * 7919 % 997 / 10.0).alias("value"))
+    events.coalesce(1).sortWithinPartitions(F.col("event_id").desc()).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = sorted(con.execute(catalog.ORACLE_SQL[name]).fetchall(), key=repr)
+    assert expected and sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == expected
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables here")
 
 

@@ -6,6 +6,8 @@ seconds of an expression, at most), the last event's end, the windows of a noise
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 
@@ -56,6 +58,30 @@ class Windows:
         return pd.DataFrame([(s["no"], s["start"], s["last"], s["n"], s["rejected"], s["total"], "ended")], columns=self.names)
 
 
+class ClockWindows(Windows):
+    """Windows of window_ms that lie on the key's own clock and are numbered by it, wherever its first row is and however long it is silent.
+
+    A window without rows is not told. Sources are not told apart.
+    """
+
+    def __init__(self, at: str = "at_ms", value: str = "value", window_ms: float = WINDOW_MS, max_rows: int = MAX_ROWS):
+        super().__init__(at, value, window_ms=window_ms, max_rows=max_rows)
+
+    def step(self, state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame, np.ndarray]:
+        at, value = rows[self.at].to_numpy(float), np.nan_to_num(rows[self.value].to_numpy(float))
+        place = np.floor(at / self.window_ms)
+        s, found, over = dict(state or {}), [], [_NONE]
+        for low, high in pairwise([*np.flatnonzero(np.diff(place, prepend=np.nan)).tolist(), len(at)]):
+            if s.get("no") != place[low]:
+                if s:
+                    found.append((s["no"], s["start"], s["start"] + self.window_ms, s["n"], s["rejected"], s["total"], "full"))
+                s = {"no": int(place[low]), "start": float(place[low] * self.window_ms), "n": 0, "rejected": 0, "total": 0.0}
+            taken = min(high - low, max(0, self.max_rows - s["n"]))
+            over.append(np.arange(low + taken, high))
+            s |= {"n": s["n"] + taken, "rejected": s["rejected"] + high - low - taken, "total": s["total"] + float(value[low : low + taken].sum()), "last": float(at[high - 1])}
+        return s, pd.DataFrame(found, columns=self.names), np.concatenate(over)
+
+
 class Blinks:
     """detect.blink_fold() of one eye. A closure that is open at the end is no blink."""
 
