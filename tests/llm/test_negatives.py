@@ -70,6 +70,19 @@ def test_mining(spark, monkeypatch, seed):
     assert mined(spark, rows, anchors, positives=2, negatives=7, least=(50, 100)) == brute(rows, anchors, 2, 7, (50, 100))
 
 
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """Groups are small on disk and go to all lanes: neither they nor what is found may be sent through the driver. Only the typical norms of each length may."""
+    plans, write = [], negatives.materialize
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(negatives, "materialize", lambda df: (plans.append(planned(df)), write(df))[1])
+    rows = [(k, k % 3, [k % 7, k % 11]) for k in range(120)]
+    vectors, anchors = (spark.createDataFrame([(*r, "x", "y") for r in some], DDL) for some in (rows, rows[::20]))
+    found = negatives.hard_negatives(vectors, anchors)
+    joined = [p for p in [*plans, planned(found)] if "Join" in p and "avg(" not in p]
+    assert len(joined) > 5 and not any("BroadcastHashJoin" in p for p in joined)
+    assert sorted(map(tuple, found.collect())) == brute(rows, rows[::20], 5, 5, (80, 100))
+
+
 def test_messy_rows(spark):
     rows = [
         (0, 1, [3, 4]), (0, 1, [3, 4]), (1, 1, [3, 4]), (2, 2, [3, 4]), (2, 2, [3, 4]), (3, 1, [0, 0]), (4, 2, [0, 0]), (5, 1, [-3, -4]), (6, None, [3, 4]), (7, 1, None), (8, 2, [None, 4]), (None, 2, [3, 4]),

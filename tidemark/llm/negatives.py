@@ -39,6 +39,8 @@ LANE_BLOCKS, LANES = 16, 64
 POSITIVE_LEVELS = (0.5, 0.35, 0.2)
 #: Of the way from the window's bottom to its top, what the rounds of negatives leave out at the lower end; the last leaves out none.
 NEGATIVE_LEVELS = (0.8, 0.5)
+#: The hint for joins of what grows with the vectors: the planner goes by their size on disk, before groups are dealt to all lanes, and would send them through the driver.
+_SHUFFLED = "merge"
 _EXACT, _LARGEST = float(2**52), float(2**63)
 _BLOCK = "block long, length int, label_low long, label_high long, norm double, ids binary, labels binary, matrix binary, dims binary, lists binary, bounds binary"
 _GROUP = "length int, label_low long, label_high long, need double, rows binary, ids binary, labels binary, matrix binary, thresholds binary, window_of binary, window_top binary, window_bottom binary"
@@ -208,7 +210,8 @@ def _search(index: DataFrame, anchors: DataFrame, lanes: int, same_label: bool,
     able: Column = (F.col("lane") == F.col("own_lane")) & (F.col("length") == F.col("own_length")) & (F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("need"))
     if same_label:
         able &= (F.col("label_low") <= F.col("own_high")) & (F.col("label_high") >= F.col("own_low"))
-    pairs = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).join(groups, able)
+    blocks = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    pairs = groups.hint(_SHUFFLED).join(blocks, able)  # a lane's blocks are held, groups go by
     taken = ["rows", "own_ids", "own_labels", "queries", "thresholds", "window_of", "window_top", "window_bottom", "ids", "labels", "dims", "matrix", "lists", "bounds"]
     return pairs.select(taken).mapInPandas(read, _FOUND)
 
@@ -224,15 +227,16 @@ def _rounds(index: DataFrame, anchors: DataFrame, lanes: int, same_label: bool,
     for level in levels:
         found = materialize(_ranked(_search(index, at_level(open_, level), lanes, same_label, k), k))
         full = found.filter(F.col("rank") == k).select("row", "top")
-        done = (found if level is None else found.join(full, ["row", "top"], "left_semi")) if done is None else done.unionByName(found if level is None else found.join(full, ["row", "top"], "left_semi"))
+        kept = found if level is None else found.join(full.hint(_SHUFFLED), ["row", "top"], "left_semi")
+        done = kept if done is None else done.unionByName(kept)
         if level is None:
             break
         if same_label:
-            rest = open_.join(full.select("row"), "row", "left_anti")
+            rest = open_.join(full.select("row").hint(_SHUFFLED), "row", "left_anti")
         else:
             filled = full.groupBy("row").agg(F.collect_set("top").alias("filled"))
             left = F.array_except("tops", F.coalesce("filled", F.array().cast("array<long>")))
-            rest = open_.join(filled, "row", "left").withColumn("tops", left).drop("filled").filter(F.size("tops") > 0)
+            rest = open_.join(filled.hint(_SHUFFLED), "row", "left").withColumn("tops", left).drop("filled").filter(F.size("tops") > 0)
         rest = materialize(rest)
         if open_ is not anchors:
             discard(open_)
@@ -274,8 +278,8 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
         return open_.withColumn("bottoms", bottoms).withColumn("threshold", F.array_min("bottoms").cast("double"))
 
     windows = mine.filter(F.col("top") >= 0).groupBy("row").agg(F.collect_set("top").alias("tops"))
-    facing = materialize(asked.drop("tops").join(windows, "row"))
+    facing = materialize(asked.drop("tops").join(windows.hint(_SHUFFLED), "row"))
     theirs = _rounds(index, facing, lanes, False, negatives, (*NEGATIVE_LEVELS, None), negative_level)
-    out = mine.join(theirs.select("row", "top", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")), ["row", "top"])
-    named = out.join(asked.select("row", F.col("id").alias("anchor_id")), "row")
+    out = mine.hint(_SHUFFLED).join(theirs.select("row", "top", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")), ["row", "top"])
+    named = out.join(asked.select("row", F.col("id").alias("anchor_id")).hint(_SHUFFLED), "row")
     return named.select("anchor_id", "positive_id", "rank", "negative_id", F.col("top").alias("positive_score"), "negative_score")
